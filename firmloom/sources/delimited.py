@@ -66,50 +66,51 @@ def pick_snapshot_columns(
     return df.select(*keep, *fields)
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) from the head of the first file under `path`."""
-    first = spark.read.text(path, wholetext=False).limit(1).select(F.input_file_name()).first()
-    name = first[0] if first else path
-    # Only the head leaves the executors, however large the file is.
-    lines = (
-        spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(name)
-        .select(F.substring("value", 1, SNIFF_CHARS).alias("value")).limit(50)
-    )
-    text = "\n".join(r.value for r in lines.collect())[:SNIFF_CHARS]
-    raw = text.encode("latin-1")
-    try:
-        raw.decode("utf-8")
-        encoding = "UTF-8"
-    except UnicodeDecodeError as error:
-        # A character cut at the end of the head is not evidence against UTF-8.
-        encoding = "UTF-8" if error.end >= len(raw) - 3 and error.start >= len(raw) - 3 else "ISO-8859-1"
-    return ("\t" if text.count("\t") > text.count(",") else ","), encoding
-
-
-def read_delimited(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, plus `ordinal`, the row order of the source.
-
-    The sniff reads only the head; pass `encoding` when accents come later.
-    Files are split between tasks, so quoted line breaks are not supported in
-    files read this way.
+def separator_of(spark: SparkSession, path: str) -> str:
+    """Tab when the head of the file holds more tabs than commas. Only the head leaves the executors."""
+    head = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS)).limit(50).collect()
+    text = "\n".join(r[0] for r in head)[:SNIFF_CHARS]
+    return "\t" if text.count("\t") > text.count(",") else ","
+
+
+def reader_options(spark: SparkSession, path: str) -> dict[str, str | bool]:
+    """Encoding and line handling that read the whole file right, from one distributed pass.
+
+    Bytes that are not UTF-8 decode to U+FFFD and mean Latin-1. A line with an
+    odd number of quotes means that some field spans lines; only then is the
+    file read unsplit.
     """
-    separator, sniffed = sniff(spark, path)
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    seen = spark.read.text(path).agg(
+        F.coalesce(F.bool_or(value.contains("\ufffd")), F.lit(False)).alias("other_bytes"),
+        F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quote"),
+    ).first()
+    return {
+        "encoding": "ISO-8859-1" if seen.other_bytes else "UTF-8",
+        "multiLine": seen.open_quote,
+        "sep": separator_of(spark, path),
+    }
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of one delimited file as strings, plus `ordinal`, its row order."""
     df = spark.read.csv(
-        path, header=True, sep=separator, encoding=encoding or sniffed, quote='"', escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE",
+        path, header=True, quote='"', escape='"', mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        **reader_options(spark, path),
     )
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return with_source_order(df)
+    return with_source_order(df.toDF(*[c.lstrip("\ufeff") for c in df.columns]))
 
 
 def with_source_order(df: DataFrame) -> DataFrame:
-    """Add `ordinal`, increasing in file and row order: partitions of a scan follow its files."""
+    """Add `ordinal`, increasing in row order: the splits of one file are scanned in file order."""
     return df.withColumn("ordinal", F.monotonically_increasing_id())
 
 
-def scan_register(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def scan_register(spark: SparkSession, path: str) -> DataFrame:
     """Firms of a delimited register, without rows that lack a legal name."""
-    return register_records(read_delimited(spark, path, encoding))
+    return register_records(read_delimited(spark, path))
 
 
 def register_records(rows: DataFrame, synonyms: dict[str, list[str]] = REGISTER_SYNONYMS) -> DataFrame:
@@ -129,9 +130,9 @@ def firm_records(records: DataFrame) -> DataFrame:
     }).filter("legal_name is not null")
 
 
-def scan_snapshot(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, bool]:
+def scan_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """Registry snapshot rows and whether the snapshot is missing or empty."""
-    rows = pick_snapshot_columns(read_delimited(spark, path, encoding), keep=("ordinal",))
+    rows = pick_snapshot_columns(read_delimited(spark, path), keep=("ordinal",))
     return rows, rows.isEmpty()
 
 
