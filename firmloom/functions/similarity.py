@@ -20,22 +20,25 @@ PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT = 0.9, 0.6
 
 
 class TextColumn:
-    """Strings of a candidate set as a code matrix, sorted by length."""
+    """Strings of a candidate set by character position, shortest string first.
+
+    `columns[j]` holds the codes of character j for the strings that have one,
+    so memory follows the total length, not the longest string.
+    """
 
     def __init__(self, texts: list[str]):
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.order = np.argsort(self.lengths, kind="stable")
-        widest = int(self.lengths.max()) if len(texts) else 0
-        flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        flat = np.frombuffer("".join(texts[i] for i in self.order).encode("utf-32-le"), dtype=np.uint32)
         self.alphabet, codes = np.unique(flat, return_inverse=True)
-        blank = len(self.alphabet)
-        self.codes = np.full((widest, len(texts)), blank, dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        for place, row in enumerate(self.order):
-            lo, hi = starts[row], starts[row + 1]
-            self.codes[: hi - lo, place] = codes[lo:hi]
-        sorted_lengths = self.lengths[self.order]
-        self.first_longer = np.searchsorted(sorted_lengths, np.arange(widest), side="right")
+        sizes = self.lengths[self.order]
+        widest = int(sizes[-1]) if len(texts) else 0
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        position = np.arange(len(flat)) - starts
+        by_position = codes[np.argsort(position, kind="stable")]
+        self.first_longer = np.searchsorted(sizes, np.arange(widest), side="right")
+        ends = np.cumsum(len(texts) - self.first_longer)
+        self.columns = np.split(by_position, ends[:-1]) if widest else []
 
     def masks(self, pattern: str) -> np.ndarray:
         """Bit masks of the pattern's characters, one row per alphabet code."""
@@ -51,22 +54,21 @@ class TextColumn:
     def lcs(self, pattern: str) -> np.ndarray:
         """LCS length of the pattern with every text, in the texts' given order."""
         found = np.zeros(len(self.lengths), dtype=np.int64)
-        if pattern and len(self.codes):
-            columns = ((self.codes[j], start) for j, start in enumerate(self.first_longer))
+        if pattern and self.columns:
+            columns = zip(self.columns, self.first_longer)
             found[self.order] = _lcs_columns(columns, self.masks(pattern), len(self.lengths), len(pattern))
         return found
 
 
 def _lcs_columns(columns, table: np.ndarray, count: int, size: int) -> np.ndarray:
-    """Bit-parallel LCS for `count` texts fed one character column at a time."""
+    """Bit-parallel LCS for `count` texts fed one (codes, first live text) column at a time."""
     words = table.shape[1]
     state = np.full((words, count), ~np.uint64(0), dtype=np.uint64)
     for codes, start in columns:
         carry = None
-        live = codes[start:]
         for w in range(words):
             s = state[w, start:]
-            match = s & table[live, w]
+            match = s & table[codes, w]
             total = s + match
             overflow = total < s
             if carry is not None:
@@ -207,11 +209,9 @@ class WRatioIndex:
                 self.holders.setdefault(token, []).append(row)
         self.set_sizes = np.array([len(" ".join(t)) for t in self.token_sets], dtype=np.int64)
         self.holders = {t: np.array(r) for t, r in self.holders.items()}
-        codes, blank = self.plain.codes, len(self.plain.alphabet)
-        self.bags = np.zeros((len(names), blank), dtype=np.int32)
-        for line in codes:
-            live = line < blank
-            np.add.at(self.bags, (self.plain.order[live], line[live]), 1)
+        self.bags = np.zeros((len(names), len(self.plain.alphabet)), dtype=np.int32)
+        for codes, start in zip(self.plain.columns, self.plain.first_longer):
+            np.add.at(self.bags, (self.plain.order[start:], codes), 1)
 
     def best(self, name: str) -> tuple[int, float]:
         """Position and score of the best name."""
@@ -286,18 +286,18 @@ class LevenshteinIndex:
         self.names = names
         column = TextColumn(names)
         self.alphabet = {int(c): i for i, c in enumerate(column.alphabet)}
-        self.codes, self.order, self.lengths = column.codes, column.order, column.lengths
+        self.column, self.order, self.lengths = column, column.order, column.lengths
 
     def best(self, name: str) -> tuple[int, float]:
         row = np.repeat(np.arange(len(name) + 1)[:, None], len(self.names), axis=1)
         pattern = [self.alphabet.get(ord(c), -1) for c in name]
-        sizes = self.lengths[self.order]
-        for j, text in enumerate(self.codes):
-            nxt = np.empty_like(row)
-            nxt[0] = j + 1
+        for j, (text, start) in enumerate(zip(self.column.columns, self.column.first_longer)):
+            old = row[:, start:].copy()
+            row[0, start:] = j + 1
             for i, code in enumerate(pattern):
-                nxt[i + 1] = np.minimum(np.minimum(row[i + 1], nxt[i]) + 1, row[i] + (text != code))
-            row = np.where(sizes > j, nxt, row)
+                row[i + 1, start:] = np.minimum(
+                    np.minimum(old[i + 1], row[i, start:]) + 1, old[i] + (text != code)
+                )
         distance = np.empty(len(self.names), dtype=np.int64)
         distance[self.order] = row[-1]
         at = int(distance.argmin())

@@ -134,13 +134,11 @@ def fields_from_row(
     rows: DataFrame, synonyms: dict[str, list[str]], row: str = "row", keep: tuple[str, ...] = ("file", "row_no")
 ) -> DataFrame:
     """`canonicalise_headers` for rows held as maps, whose headers differ per file."""
+    def hit(key: str) -> Column:
+        filled = lambda e: F.lower(e["key"]).contains(key) & (F.trim(e["value"]) != "")
+        return F.get(F.filter(F.map_entries(row), filled), 0)["value"]
+
     def field(keys: list[str]) -> Column:
-        hits = [
-            F.get(F.filter(
-                F.map_entries(row), lambda e, k=key: F.lower(e["key"]).contains(k) & (F.trim(e["value"]) != "")
-            ), 0)["value"]
-            for key in keys
-        ]
-        return blank_to_null(F.coalesce(*hits))
+        return blank_to_null(F.coalesce(*[hit(key) for key in keys]))
 
     return rows.select(*keep, F.col(row).alias("raw_row"), *[field(k).alias(t) for t, k in synonyms.items()])
