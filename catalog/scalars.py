@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from catalog.leads import contact_arrays
 from catalog.registry import query
 from firmloom import lexicons as L
 from firmloom.functions import documents as D

@@ -143,7 +143,7 @@ VIEWS = {
                CASE WHEN source = 'src3' THEN NULL ELSE CAST(n_chars % 103 AS DOUBLE) END AS research_confidence,
                CASE WHEN lang = 'es' THEN CAST(n_chars % 100 AS DOUBLE) END AS nested_confidence,
                CASE WHEN source = 'src4' THEN 'Unable to assess. ' || text WHEN source = 'src5' THEN '' 
-                    WHEN source = 'src6' THEN text || ' No website found.' ELSE text || ' Authorised firm, team of two.' END AS executive_summary,
+                    WHEN source = 'src6' THEN text || ' No website found.' WHEN source = 'src8' THEN text ELSE text || ' Authorised firm, team of two.' END AS executive_summary,
                CASE WHEN lang = 'de' THEN '' ELSE 'Angle ' || source END AS recommended_angle,
                CASE WHEN n_chars % 5 = 0 THEN 'company registry|regulator register'
                     WHEN n_chars % 5 = 1 THEN ' Company Registry |search:a.ie' WHEN n_chars % 5 = 2 THEN 'a.ie|a.ie'

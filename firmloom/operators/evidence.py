@@ -320,7 +320,7 @@ def search_queries(limit: int = MAX_QUERIES) -> Column:
     filled = lambda c: blank_to_null(F.col(c))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     legal, trading = filled("legal_name"), filled("trading_name")
-    city = blank_to_null(F.element_at(F.split("registered_address", ","), -2))
+    city = blank_to_null(F.try_element_at(F.split("registered_address", ","), F.lit(-2)))
     tried = F.array(
         F.concat(quoted(trading), F.lit(" insurance broker")),
         F.concat(quoted(legal), F.lit(" insurance")),
@@ -577,7 +577,7 @@ def evidence_context(
     listed = None
     if authorisations is not None:
         listed = F.when(F.size(authorisations) > 0, F.concat(
-            F.lit("Authorisations: "), F.array_join(F.transform(authorisations, describe_authorisation), "; ")
+            F.lit("Authorisations: "), F.array_join(F.transform(authorisations, lambda a: describe_authorisation(a)), "; ")
         ))
     site = F.coalesce(F.trim(website_text), F.lit(""))
     body = (
