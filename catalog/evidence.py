@@ -216,8 +216,8 @@ def _(v):
 @query("extract_contacts")
 def _(v):
     text = F.concat(F.col("text"), F.lit(" Mary Byrne, Director. Sean O'Neill - Partner. mary.byrne@firm.ie info@firm.ie "), F.col("source"), F.lit("@firm.ie"))
-    return v.documents.select("doc_id", F.posexplode(W.extract_contacts(text)).alias("position", "c")).select(
-        "doc_id", "position", "c.name", "c.role", "c.email", "c.detail")
+    found = W.extract_contacts(v.documents.select("doc_id", text.alias("text")), "text")
+    return W.contact_rows(found, ["doc_id"]).select("doc_id", "position", "name", "role", "email", "detail")
 
 
 PEOPLE = """SELECT source AS company_id, doc_id AS position,

@@ -128,14 +128,22 @@ def token_ratio(a: str, b: str) -> float:
     return max(ordered, _set_score(*_remainders(a, b)))
 
 
-def _best_window(needle: str, text: str) -> float:
-    """Best ratio of the needle against every window of the text no longer than it."""
-    size, length = len(needle), len(text)
-    flat = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+def _best_windows(needle: str, texts: list[str]) -> np.ndarray:
+    """Best ratio of the needle against every window of each text no longer than it.
+
+    The texts are laid out in one array with padding between them, so all
+    windows of all texts go through the LCS recurrence together.
+    """
+    size = len(needle)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
     alphabet, codes = np.unique(flat, return_inverse=True)
-    pad = np.full(size - 1, len(alphabet), dtype=np.int64)
-    padded = np.concatenate((pad, codes, pad))
-    windows = length + size - 1
+    # Text i starts after size - 1 pads for each text up to it.
+    starts = np.cumsum(lengths) - lengths + (size - 1) * np.arange(1, len(texts) + 1)
+    padded = np.full(lengths.sum() + (size - 1) * (len(texts) + 1), len(alphabet), dtype=np.int64)
+    offset = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    padded[np.repeat(starts, lengths) + offset] = codes
+    windows = len(padded) - size + 1
     index = {int(c): i for i, c in enumerate(alphabet)}
     table = np.zeros((len(alphabet) + 1, (size + 63) // 64), dtype=np.uint64)
     for at, char in enumerate(needle):
@@ -143,9 +151,15 @@ def _best_window(needle: str, text: str) -> float:
         if row is not None:
             table[row, at // 64] |= np.uint64(1) << np.uint64(at % 64)
     lcs = _lcs_columns(((padded[j:j + windows], 0) for j in range(size)), table, windows, size)
-    first = np.arange(windows) - (size - 1)
-    widths = np.minimum(first + size, length) - np.maximum(first, 0)
-    return float((200.0 * lcs / (size + widths)).max())
+    real = np.concatenate(([0], np.cumsum(padded != len(alphabet))))
+    widths = real[size:] - real[:-size]
+    scores = 200.0 * lcs / (size + widths)
+    # Windows from size - 1 before a text's start onwards touch that text only.
+    return np.maximum.reduceat(scores, starts - (size - 1))
+
+
+def _best_window(needle: str, text: str) -> float:
+    return float(_best_windows(needle, [text])[0])
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -185,6 +199,13 @@ def wratio(a: str, b: str) -> float:
     )
 
 
+def _partial_rows(name: str, texts: list[str]) -> np.ndarray:
+    """partial_ratio of one name with many texts."""
+    if name and all(len(t) > len(name) for t in texts):
+        return _best_windows(name, texts)
+    return np.array([partial_ratio(name, t) for t in texts])
+
+
 class WRatioIndex:
     """Right-hand names of one cell, prepared for top-1 search by `wratio`.
 
@@ -209,12 +230,14 @@ class WRatioIndex:
                 self.holders.setdefault(token, []).append(row)
         self.set_sizes = np.array([len(" ".join(t)) for t in self.token_sets], dtype=np.int64)
         self.holders = {t: np.array(r) for t, r in self.holders.items()}
+        self.repeats = np.array([len(t) < len(u) for t, u in zip(self.token_sets, split)])
+        self.by_order = [" ".join(sorted(t)) for t in split]
         self.bags = np.zeros((len(names), len(self.plain.alphabet)), dtype=np.int32)
         for codes, start in zip(self.plain.columns, self.plain.first_longer):
             np.add.at(self.bags, (self.plain.order[start:], codes), 1)
 
-    def best(self, name: str) -> tuple[int, float]:
-        """Position and score of the best name."""
+    def best(self, name: str, floor: float = 0.0) -> tuple[int, float]:
+        """Position and score of the best name; below `floor` the score is only a lower bound."""
         if not name:
             return 0, 0.0
         if len(self.names) <= self.SMALL:
@@ -222,15 +245,16 @@ class WRatioIndex:
             return int(scores.argmax()), float(scores.max())
         lengths = self.plain.lengths
         total = lengths + len(name)
-        exact = np.where(lengths > 0, 200.0 * self.plain.lcs(name) / total, 0.0)
+        common = self.plain.lcs(name)
+        exact = np.where(lengths > 0, 200.0 * common / total, 0.0)
         stretch = np.maximum(lengths, len(name)) / np.maximum(np.minimum(lengths, len(name)), 1)
         near = (stretch < LONG_RATIO) & (lengths > 0)
         far = (stretch >= LONG_RATIO) & (lengths > 0)
         tokens = name.split()
         by_order = " ".join(sorted(tokens))
-        if near.any() and tokens:
-            ordered = 200.0 * self.sorted.lcs(by_order) / np.maximum(self.sorted.lengths + len(by_order), 1)
-            exact = np.where(near, np.maximum(exact, TOKEN_WEIGHT * ordered), exact)
+        common_sorted = self.sorted.lcs(by_order)
+        ordered = 200.0 * common_sorted / np.maximum(self.sorted.lengths + len(by_order), 1)
+        exact = np.where(near, np.maximum(exact, TOKEN_WEIGHT * ordered), exact)
 
         shared_chars = np.zeros(len(self.names), dtype=np.int64)
         shared_count = np.zeros(len(self.names), dtype=np.int64)
@@ -244,27 +268,41 @@ class WRatioIndex:
         weight = np.where(stretch <= LONG_RATIO_MAX, PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT)
         exact = np.where(far & (shared_count > 0), np.maximum(exact, 100 * TOKEN_WEIGHT * weight), exact)
 
-        # Upper bounds of what is left to compute.
-        common = np.minimum(self.bags, self._bag(name)).sum(axis=1)
-        shorter = np.minimum(lengths, len(name))
-        window = 200.0 * common / np.maximum(shorter + common, 1)
-        bound = np.where(far, window * weight, 0.0)
+        # Upper bounds of what is left to compute. A window's LCS is at most the
+        # whole text's, and a window is at least as long as its LCS.
         mine = len(" ".join(set(tokens)))
+        window = 200.0 * common / np.maximum(np.minimum(lengths, len(name)) + common, 1)
+        by_token = 200.0 * common_sorted / np.maximum(np.minimum(self.set_sizes, mine) + common_sorted, 1)
+        bound = weight * np.maximum(np.minimum(window, 100.0), TOKEN_WEIGHT * np.minimum(by_token, 100.0))
+        shared_bag = np.minimum(self.bags, self._bag(name)).sum(axis=1)
         left = np.maximum(mine - shared - (shared_count > 0), 0)
         right = np.maximum(self.set_sizes - shared - (shared_count > 0), 0)
         sect = shared + (shared_count > 0)
-        overlap = np.minimum(np.minimum(left, right), np.maximum(common, 0))
+        overlap = np.minimum(np.minimum(left, right), shared_bag)
         full = 200.0 * (sect + overlap) / np.maximum(2 * sect + left + right, 1)
         ends = 200.0 * shared / np.maximum(shared + sect + np.minimum(left, right), 1)
         subset = (shared_count > 0) & ((left == 0) | (right == 0))
         token_bound = np.where(subset, 100.0, np.maximum(full, np.where(shared_count > 0, ends, 0.0)))
-        bound = np.where(near, TOKEN_WEIGHT * token_bound, bound)
+        bound = np.where(near, TOKEN_WEIGHT * token_bound, np.where(far, bound, 0.0))
+
+        # Texts longer than the name: all their windows at once.
+        wins = lambda limit: (bound > exact + 1e-9) & (bound >= limit - 1e-9)
+        long = far & (lengths > len(name)) & wins(max(floor, float(exact.max()))) & ~self.repeats
+        rows = np.flatnonzero(long) if len(set(tokens)) == len(tokens) else []
+        if len(rows):
+            found = _best_windows(name, [self.names[r] for r in rows])
+            apart = rows[shared_count[rows] == 0]
+            exact[rows] = np.maximum(exact[rows], weight[rows] * found)
+            if len(apart):
+                token = _partial_rows(by_order, [self.by_order[r] for r in apart])
+                exact[apart] = np.maximum(exact[apart], token * TOKEN_WEIGHT * weight[apart])
+            bound[rows] = 0.0
 
         open_rows = np.flatnonzero(bound > exact + 1e-9)
         at = int(exact.argmax())
         top = float(exact[at])
         for row in open_rows[np.argsort(-bound[open_rows], kind="stable")]:
-            if bound[row] < top - 1e-9:
+            if bound[row] < max(top, floor) - 1e-9:
                 break
             score = wratio(name, self.names[row])
             if score > top or (score == top and row < at):
@@ -288,7 +326,7 @@ class LevenshteinIndex:
         self.alphabet = {int(c): i for i, c in enumerate(column.alphabet)}
         self.column, self.order, self.lengths = column, column.order, column.lengths
 
-    def best(self, name: str) -> tuple[int, float]:
+    def best(self, name: str, floor: float = 0.0) -> tuple[int, float]:
         row = np.repeat(np.arange(len(name) + 1)[:, None], len(self.names), axis=1)
         pattern = [self.alphabet.get(ord(c), -1) for c in name]
         for j, (text, start) in enumerate(zip(self.column.columns, self.column.first_longer)):

@@ -88,7 +88,8 @@ def page_links(pages: DataFrame, keys: list[str]) -> DataFrame:
         F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"),
         F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("label"),
     )
-    links = pages.select(*keys, "url", F.posexplode(found).alias("position", "a"))
+    # The outer form: Catalyst would repeat the matching in a filter ahead of an inner explode.
+    links = pages.select(*keys, "url", F.posexplode_outer(found).alias("position", "a")).filter("a is not null")
     label = F.trim(F.regexp_replace(F.regexp_replace(F.col("a.label"), r"(?s)<[^>]*>", " "), r"\s+", " "))
     return links.select(
         *keys, "url", "position", resolve_link(F.col("url"), F.col("a.href")).alias("link"), label.alias("label")
@@ -394,72 +395,70 @@ def _contact(name: Column, role: Column, email: Column, detail: str) -> Column:
 
 
 def extract_contacts(
-    text: Column | str,
-    officers: Column | None = None,
+    df: DataFrame,
+    text: str,
+    officers: str | None = None,
     roles: list[str] = L.ROLE_WORDS,
     inboxes: list[str] = L.GENERIC_INBOXES,
     unicode_names: bool = False,
-) -> Column:
-    """Contacts a site text names, as array<struct<name,role,detail,email>>.
+    name: str = "contacts",
+) -> DataFrame:
+    """Add the contacts a site text names, as array<struct<name,role,detail,email>>.
 
     Emails come first, in order of appearance: an office inbox is a channel,
     another address takes the name one of whose tokens its local part holds,
     or its own local part in title case. Names without an email follow. Without
     text the firm's officers are returned.
+
+    Matches are staged as columns: inside a lambda they would be searched for
+    again per element.
     """
-    body = F.coalesce(col(text), F.lit(""))
+    body = F.coalesce(F.col(text), F.lit(""))
     upper, letter = (r"\p{Lu}", r"[\p{L}'’-]") if unicode_names else ("[A-Z]", "[A-Za-z'-]")
     person = rf"({upper}{letter}+(?: {upper}{letter}+){{1,3}})"
     role = "((?i:" + "|".join(roles) + "))"
     before = rf"{person}\s*[,:–-]\s*{role}\b"
     after = rf"\b{role}\s*[,:–-]\s*{person}"
-    pairs = F.concat(
-        F.arrays_zip(
-            F.regexp_extract_all(body, F.lit(before), F.lit(1)).alias("name"),
-            F.regexp_extract_all(body, F.lit(before), F.lit(2)).alias("role"),
-        ),
-        F.arrays_zip(
-            F.regexp_extract_all(body, F.lit(after), F.lit(2)).alias("name"),
-            F.regexp_extract_all(body, F.lit(after), F.lit(1)).alias("role"),
-        ),
-    )
-    names = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), p["role"].alias("role"), i.alias("i"))),
-        lambda p: F.array_position(F.transform(pairs, lambda q: q["name"]), p["name"]) == p["i"] + 1,
-    )
-    emails = F.array_distinct(F.transform(
-        F.regexp_extract_all(body, F.lit("(" + L.EMAIL + ")"), F.lit(1)), lambda e: F.lower(e)
-    ))
-
-    def owner(email: Column) -> Column:
-        local = F.substring_index(email, "@", 1)
-        held = lambda t: (F.length(t) >= 3) & local.contains(F.lower(t))
-        return F.get(F.filter(names, lambda n: F.exists(F.split(n["name"], " "), held)), 0)
+    found = lambda pattern, group: F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
+    staged = df.withColumns({
+        "__names": F.concat(found(before, 1), found(after, 2)),
+        "__roles": F.concat(found(before, 2), found(after, 1)),
+        "__emails": F.array_distinct(F.transform(found("(" + L.EMAIL + ")", 1), lambda e: F.lower(e))),
+    })
+    names = F.array_distinct("__names")
+    staged = staged.withColumn("__people", F.transform(names, lambda n: F.struct(
+        n.alias("name"), F.element_at("__roles", F.array_position("__names", n).cast("int")).alias("role"),
+        F.transform(F.filter(F.split(n, " "), lambda t: F.length(t) >= 3), lambda t: F.lower(t)).alias("tokens"),
+    )))
 
     def from_email(email: Column) -> Column:
         local = F.substring_index(email, "@", 1)
         guess = F.initcap(F.regexp_replace(local, "[._-]+", " "))
-        who = owner(email)
-        generic = is_generic_inbox(email, inboxes)
+        held = lambda p: F.exists(p["tokens"], lambda t: local.contains(t))
+        who = F.get(F.filter("__people", held), 0)
         return (
-            F.when(generic, _contact(F.lit("General enquiries"), F.lit("Office inbox"), email, "channel"))
+            F.when(is_generic_inbox(email, inboxes), _contact(F.lit("General enquiries"), F.lit("Office inbox"), email, "channel"))
             .when(who.isNotNull(), _contact(who["name"], who["role"], email, "person"))
             .otherwise(_contact(guess, F.lit(None).cast("string"), email, "inferred"))
         )
 
-    mailed = F.transform(emails, from_email)
-    taken = F.transform(mailed, lambda c: c["name"])
+    staged = staged.withColumn("__mailed", F.transform("__emails", from_email))
+    none = F.lit(None).cast("string")
     unmailed = F.transform(
-        F.filter(names, lambda n: ~F.array_contains(taken, n["name"])),
-        lambda n: _contact(n["name"], n["role"], F.lit(None).cast("string"), "person"),
-    )
-    found = F.concat(mailed, unmailed)
-    if officers is None:
-        return found
-    fallback = F.transform(
-        officers, lambda o: _contact(o["name"], o["role"], F.lit(None).cast("string"), "officer")
+        F.filter("__people", lambda p: ~F.exists("__mailed", lambda c: c["name"] == p["name"])),
+        lambda p: _contact(p["name"], p["role"], none, "person"),
     )
-    return F.when(F.trim(body) == "", fallback).otherwise(found)
+    contacts = F.concat(F.col("__mailed"), unmailed)
+    if officers is not None:
+        listed = F.transform(officers, lambda o: _contact(o["name"], o["role"], none, "officer"))
+        contacts = F.when(F.trim(body) == "", listed).otherwise(contacts)
+    return staged.withColumn(name, contacts).drop("__names", "__roles", "__emails", "__people", "__mailed")
+
+
+def contact_rows(df: DataFrame, keys: list[str], contacts: str = "contacts") -> DataFrame:
+    """One row per contact: keys, position, and the contact's fields."""
+    rows = df.select(*keys, F.posexplode_outer(contacts).alias("position", "c")).filter("c is not null")
+    return rows.select(*keys, "position", "c.*")
 
 
 def sanitise_contacts(contacts: DataFrame, junk: list[str] = L.NOT_A_PERSON, inboxes: list[str] = L.GENERIC_INBOXES) -> DataFrame:

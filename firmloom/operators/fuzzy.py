@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from firmloom.functions.similarity import LevenshteinIndex, WRatioIndex
 
 CELL_NAMES = 4096
-SMALL_BLOCK_BINS = 16
+SMALL_BLOCK_BINS = 4
 
 _BEST = T.StructType([
     T.StructField("block", T.StringType()),
@@ -30,7 +30,7 @@ _BEST = T.StructType([
 SCORERS = {"wratio": WRatioIndex, "levenshtein": LevenshteinIndex}
 
 
-def _cell_matcher(scorer: str):
+def _cell_matcher(scorer: str, floor: float):
     def match_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         candidates = dict(iter(right.sort_values(["block", "ordinal"]).groupby("block", sort=False)))
@@ -41,7 +41,7 @@ def _cell_matcher(scorer: str):
             texts, ordinals = side["name"].tolist(), side["ordinal"].tolist()
             index = SCORERS[scorer](texts)
             for name in names["name"]:
-                at, score = index.best(name)
+                at, score = index.best(name, floor)
                 rows.append((block, name, texts[at], ordinals[at], score))
         return pd.DataFrame(rows, columns=[f.name for f in _BEST.fields])
 
@@ -96,7 +96,9 @@ def best_matches(
     lhs = _with_chunk(left, sizes, "n_left", "n_right", cell, bins)
     rhs = _with_chunk(right, sizes, "n_right", "n_left", cell, bins)
     found = (
-        lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(_cell_matcher(scorer), _BEST)
+        lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(
+            _cell_matcher(scorer, cutoff or 0.0), _BEST
+        )
     )
     best = found.groupBy("block", "name").agg(
         F.max_by(
