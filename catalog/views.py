@@ -36,7 +36,7 @@ VIEWS = {
                CAST(1950 + CAST(floor(abs(c_acctbal)) AS INT) % 90 AS STRING) || '-03-' ||
                     CASE WHEN c_acctbal > 0 THEN '15' ELSE '05' END AS incorporation_date,
                CASE WHEN c_acctbal > 2000 THEN '2023-11-30' END AS last_annual_return,
-               CAST(c_custkey AS STRING) || ' Main Street, ' || n_name || ', A' || CAST(c_nationkey % 10 AS STRING) || '5 AB1C' AS registered_address,
+               CAST(c_custkey AS STRING) || ' Main Street, ' || n_name || ', A' || CAST(c_nationkey % 10 AS STRING) || '5 AC1C' AS registered_address,
                TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * c_custkey AS ingested_at
         FROM $customer JOIN $nation ON c_nationkey = n_nationkey
         UNION ALL

@@ -84,10 +84,9 @@ def resolve_link(base: Column, href: Column) -> Column:
 def page_links(pages: DataFrame, keys: list[str]) -> DataFrame:
     """All anchors of the pages: keys, base url, position, link, anchor text."""
     anchor = r'(?is)<a\s[^>]*?href\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a>'
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"),
-        F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("label"),
-    )
+    found = F.transform(F.regexp_extract_all("html", F.lit(anchor), F.lit(0)), lambda m: F.struct(
+        F.regexp_extract(m, anchor, 1).alias("href"), F.regexp_extract(m, anchor, 2).alias("label"),
+    ))
     # The outer form: Catalyst would repeat the matching in a filter ahead of an inner explode.
     links = pages.select(*keys, "url", F.posexplode_outer(found).alias("position", "a")).filter("a is not null")
     label = F.trim(F.regexp_replace(F.regexp_replace(F.col("a.label"), r"(?s)<[^>]*>", " "), r"\s+", " "))
@@ -419,11 +418,15 @@ def extract_contacts(
     role = "((?i:" + "|".join(roles) + "))"
     before = rf"{person}\s*[,:–-]\s*{role}\b"
     after = rf"\b{role}\s*[,:–-]\s*{person}"
-    found = lambda pattern, group: F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
+    # One pass over the text per pattern; groups are read from the short matches.
+    found = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    group = lambda c, pattern, n: F.transform(c, lambda m: F.regexp_extract(m, pattern, n))
     staged = df.withColumns({
-        "__names": F.concat(found(before, 1), found(after, 2)),
-        "__roles": F.concat(found(before, 2), found(after, 1)),
-        "__emails": F.array_distinct(F.transform(found("(" + L.EMAIL + ")", 1), lambda e: F.lower(e))),
+        "__before": found(before), "__after": found(after),
+        "__emails": F.array_distinct(F.transform(found(L.EMAIL), lambda e: F.lower(e))),
+    }).withColumns({
+        "__names": F.concat(group("__before", before, 1), group("__after", after, 2)),
+        "__roles": F.concat(group("__before", before, 2), group("__after", after, 1)),
     })
     names = F.array_distinct("__names")
     staged = staged.withColumn("__people", F.transform(names, lambda n: F.struct(
@@ -452,7 +455,7 @@ def extract_contacts(
     if officers is not None:
         listed = F.transform(officers, lambda o: _contact(o["name"], o["role"], none, "officer"))
         contacts = F.when(F.trim(body) == "", listed).otherwise(contacts)
-    return staged.withColumn(name, contacts).drop("__names", "__roles", "__emails", "__people", "__mailed")
+    return staged.withColumn(name, contacts).drop("__before", "__after", "__names", "__roles", "__emails", "__people", "__mailed")
 
 
 def contact_rows(df: DataFrame, keys: list[str], contacts: str = "contacts") -> DataFrame:

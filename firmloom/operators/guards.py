@@ -121,33 +121,30 @@ GUARDS: list[Guard] = [
 ]
 
 
-def guard_results(guards: list[Guard] = GUARDS) -> Column:
-    """One struct per guard, in order; a crashed guard is a passing, errored warning."""
-    def wrapped(guard: Guard) -> Column:
-        guard_id, name, build = guard
-        r = build()
-        crashed = F.coalesce(r["passed"].isNull() | r["score"].isNull(), F.lit(True))
-        return F.struct(
-            F.lit(guard_id).alias("guard_id"), F.lit(name).alias("name"),
-            F.when(crashed, True).otherwise(r["passed"]).alias("passed"),
-            F.when(crashed, "warning").otherwise(r["severity"]).alias("severity"),
-            F.when(crashed, 0.0).otherwise(r["score"]).alias("score"),
-            F.when(crashed, "guard error").otherwise(r["reason"]).alias("reason"),
-            crashed.alias("errored"),
-        )
-
-    return F.array(*[wrapped(g) for g in guards])
+def _judged(guard: Guard) -> Column:
+    """Result struct of a guard already evaluated into its column; a crash is a passing, errored warning."""
+    guard_id, name, _ = guard
+    r = F.col(f"__guard_{guard_id}")
+    crashed = F.coalesce(r["passed"].isNull() | r["score"].isNull(), F.lit(True))
+    return F.struct(
+        F.lit(guard_id).alias("guard_id"), F.lit(name).alias("name"),
+        F.when(crashed, True).otherwise(r["passed"]).alias("passed"),
+        F.when(crashed, "warning").otherwise(r["severity"]).alias("severity"),
+        F.when(crashed, 0.0).otherwise(r["score"]).alias("score"),
+        F.when(crashed, "guard error").otherwise(r["reason"]).alias("reason"),
+        crashed.alias("errored"),
+    )
 
 
 def run_guards(df: DataFrame, guards: list[Guard] = GUARDS, fail_fast: bool = True) -> DataFrame:
     """Add `guard_report`: results, passed, score, failures, warnings, errored.
 
-    Every guard is evaluated in one codegen stage; under `fail_fast` the results
-    after the first failure are cut off. The score is the plain mean of the
-    evaluated guards that did not crash.
+    Guards are evaluated into columns of their own, each once per row; under
+    `fail_fast` the results after the first failure are cut off. The score is
+    the plain mean of the evaluated guards that did not crash.
     """
-    results = guard_results(guards)
-    staged = df.withColumn("__all", results)
+    staged = df.withColumns({f"__guard_{g[0]}": g[2]() for g in guards})
+    staged = staged.withColumn("__all", F.array(*[_judged(g) for g in guards]))
     failed_at = F.array_position(F.transform("__all", lambda r: r["passed"]), False)
     kept = F.when(failed_at > 0, F.slice("__all", 1, failed_at.cast("int"))).otherwise(F.col("__all"))
     staged = staged.withColumn("__results", kept if fail_fast else F.col("__all"))
@@ -163,7 +160,8 @@ def run_guards(df: DataFrame, guards: list[Guard] = GUARDS, fail_fast: bool = Tr
         ids(lambda x: x["passed"] & (x["severity"] == "warning")).alias("warnings"),
         F.exists(r, lambda x: x["errored"]).alias("errored"),
     )
-    return staged.withColumn("guard_report", report).drop("__all", "__results")
+    made = [f"__guard_{g[0]}" for g in guards]
+    return staged.withColumn("guard_report", report).drop("__all", "__results", *made)
 
 
 # --- Storage routing -------------------------------------------------------
