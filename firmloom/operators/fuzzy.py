@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmloom.functions.similarity import LevenshteinIndex, WRatioIndex
+from firmloom.session import cut
 
 CELL_NAMES = 4096
 SMALL_BLOCK_BINS = 4
+BROADCAST_BLOCKS = 200_000
 
 _BEST = T.StructType([
     T.StructField("block", T.StringType()),
@@ -84,14 +86,17 @@ def best_matches(
     """
     bins = SMALL_BLOCK_BINS * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / cell)).cast("int")
-    # Only blocks beyond one cell need chunk numbers; at most (names / cell) of them exist.
-    sizes = (
+    # Only blocks beyond one cell get chunk numbers; at most (names / cell) of them exist.
+    sizes = cut(
         left.groupBy("block").agg(F.count(F.lit(1)).alias("l"), F.lit(0).alias("r"))
         .unionByName(right.groupBy("block").agg(F.lit(0).alias("l"), F.count(F.lit(1)).alias("r")))
         .groupBy("block").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
         .filter(F.greatest("l", "r") > cell)
         .select("block", chunks("l").alias("n_left"), chunks("r").alias("n_right"))
     )
+    # Broadcast by its counted size: then a block of most names stays where it was read.
+    if sizes.count() <= BROADCAST_BLOCKS:
+        sizes = F.broadcast(sizes)
     keys = ["__cell", "__big", "__l", "__r"]
     lhs = _with_chunk(left, sizes, "n_left", "n_right", cell, bins)
     rhs = _with_chunk(right, sizes, "n_right", "n_left", cell, bins)

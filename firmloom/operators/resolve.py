@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from firmloom.functions.text import blank_to_null, first_token, fold_id, fold_legal_name
 from firmloom.operators.fuzzy import best_matches
+from firmloom.session import cut
 
 MERGE_SCORE, REVIEW_SCORE = 85.0, 60.0
 # Company column filled from the snapshot column.
@@ -83,21 +84,22 @@ def match_fuzzy(
     Candidates share the first token; a name whose first token no candidate has
     is compared with every name.
     """
-    wanted = residue.select("name").distinct().withColumn("block", first_token("name"))
+    wanted = cut(residue.select("name").distinct().withColumn("block", first_token("name")))
     pool = names.select(
         F.col("name_key").alias("name"),
         F.col("first_ordinal").alias("ordinal"),
         first_token("name_key").alias("block"),
     )
     blocks = pool.select("block").distinct()
-    blocked = wanted.join(blocks, "block", "left_semi")
-    unblocked = wanted.join(blocks, "block", "left_anti")
-    everyone = F.lit("").alias("block")
-    inside = best_matches(blocked.select("block", "name"), pool, cutoff, scorer)
-    across = best_matches(
-        unblocked.select(everyone, "name"), pool.select(everyone, "name", "ordinal"), cutoff, scorer
-    )
-    return inside.unionByName(across).drop("block")
+    alone = cut(wanted.join(blocks, "block", "left_anti"))
+    near = pool.join(wanted.select("block").distinct(), "block", "left_semi")
+    left = wanted.join(alone, "name", "left_anti").select("block", "name")
+    right = near.select("block", "name", "ordinal")
+    if not alone.isEmpty():
+        everyone = F.lit("").alias("block")
+        left = left.unionByName(alone.select(everyone, "name"))
+        right = right.unionByName(pool.select(everyone, "name", "ordinal"))
+    return best_matches(left, right, cutoff, scorer).drop("block")
 
 
 def resolve(register: DataFrame, snapshot: DataFrame, scorer: str = "wratio") -> DataFrame:

@@ -76,14 +76,14 @@ def separator_of(spark: SparkSession, path: str) -> str:
 def reader_options(spark: SparkSession, path: str) -> dict[str, str | bool]:
     """Encoding and line handling that read the whole file right, from one distributed pass.
 
-    Bytes that are not UTF-8 decode to U+FFFD and mean Latin-1. A line with an
+    Bytes that are not UTF-8 mean Latin-1. A line with an
     odd number of quotes means that some field spans lines; only then is the
     file read unsplit.
     """
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     seen = spark.read.text(path).agg(
-        F.coalesce(F.bool_or(value.contains("\ufffd")), F.lit(False)).alias("other_bytes"),
+        F.coalesce(F.bool_or(~F.is_valid_utf8(value)), F.lit(False)).alias("other_bytes"),
         F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quote"),
     ).first()
     return {
