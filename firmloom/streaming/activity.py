@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from firmloom.operators.activity import RETENTION_SECONDS
 
 STATUS_SCHEMA = "run_id string, step string, seq long, status string, started_at timestamp, completed_at timestamp"
-_ENTRY = "seq long, status string, started_at timestamp, completed_at timestamp"
+_COLUMNS = ["run_id", "step", "seq", "status", "started_at", "completed_at"]
 
 
 def step_status_stream(events: DataFrame) -> DataFrame:
@@ -25,56 +26,52 @@ def step_status_stream(events: DataFrame) -> DataFrame:
     )
 
 
-class StragglerProcessor(StatefulProcessor):
-    """Per run: the running steps, closed with the run's status once it finishes.
+def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One run: fold its new entries into the status per step; close running steps once it finished.
 
-    State holds one entry per step of the run and expires `RETENTION_SECONDS`
-    after its last change. A finish is an entry with step NULL.
+    State is one entry per step (seq, status, start and its seq, completion), times in
+    microseconds, and the finish; it is dropped `RETENTION_SECONDS` after its last change.
     """
-
-    def init(self, handle) -> None:
-        self.steps = handle.getMapState("steps", "step string", _ENTRY, RETENTION_SECONDS * 1000)
-        self.finish = handle.getValueState(
-            "finish", "status string, completed_at timestamp", RETENTION_SECONDS * 1000
-        )
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed: dict[str, tuple] = {}
-        for batch in rows:
-            for row in batch.sort_values("seq").itertuples(index=False):
-                if row.step is None or row.step != row.step:
-                    self.finish.update((row.status, row.completed_at))
-                    continue
-                known = self.steps.getValue((row.step,)) if self.steps.containsKey((row.step,)) else None
-                if known is not None and known[0] > row.seq:
-                    continue
-                started = row.started_at
-                if pd.isna(started):
-                    started = known[2] if known is not None else None
-                entry = (row.seq, row.status, started, None if pd.isna(row.completed_at) else row.completed_at)
-                self.steps.updateValue((row.step,), entry)
-                changed[row.step] = entry
-        if self.finish.exists():
-            status, at = self.finish.get()
-            for (step,), entry in list(self.steps.iterator()):
-                if entry[1] == "running":
-                    closed = (entry[0], status, entry[2], at)
-                    self.steps.updateValue((step,), closed)
-                    changed[step] = closed
-        if changed:
-            yield pd.DataFrame(
-                [(key[0], step, *entry) for step, entry in changed.items()],
-                columns=["run_id", "step", "seq", "status", "started_at", "completed_at"],
-            )
-
-    def close(self) -> None:
-        pass
+    if state.hasTimedOut:
+        state.remove()
+        return
+    steps, finish = json.loads(state.get[0]) if state.exists else ({}, None)
+    changed = set()
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.step is None:
+                finish = [row.status, int(row.completed)]
+                continue
+            entry = steps.setdefault(row.step, [-1, None, None, -1, None])
+            if row.started >= 0 and row.seq > entry[3]:
+                entry[2], entry[3] = int(row.started), int(row.seq)
+                changed.add(row.step)
+            if row.seq > entry[0]:
+                entry[0], entry[1] = int(row.seq), row.status
+                entry[4] = int(row.completed) if row.completed >= 0 else None
+                changed.add(row.step)
+    if finish is not None:
+        for step, entry in steps.items():
+            if entry[1] == "running":
+                entry[1], entry[4] = finish
+                changed.add(step)
+    state.update((json.dumps([steps, finish]),))
+    state.setTimeoutDuration(RETENTION_SECONDS * 1000)
+    at = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
+    rows = [(key[0], s, e[0], e[1], at(e[2]), at(e[4])) for s, e in steps.items() if s in changed]
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def settled_status_stream(events: DataFrame) -> DataFrame:
-    """Step status with stragglers closed, from a stream of step entries and run finishes."""
-    entries = events.select("run_id", "seq", "step", "status", "started_at", "completed_at")
-    return entries.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=StragglerProcessor(), outputStructType=STATUS_SCHEMA,
-        outputMode="Update", timeMode="ProcessingTime",
+    """Step status with stragglers closed, from a stream of step entries and run finishes.
+
+    A finish is an entry whose step is NULL, with the run's status and finish time.
+    """
+    missing = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1))
+    entries = events.select(
+        "run_id", "seq", "step", "status", missing("started_at").alias("started"), missing("completed_at").alias("completed")
+    )
+    return entries.groupBy("run_id").applyInPandasWithState(
+        _settle, STATUS_SCHEMA, "document string", "update", GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -133,7 +133,7 @@ WORDS = "We noticed your renewals in Cork and wondered how billing works across
     ("x", WORDS + " Dear [First Name]", "renewals", ["placeholder"]),
     ("x", WORDS + " We help businesses like yours.", "renewals", ["generic_pitch"]),
     ("x", WORDS, "unrelated mortgage topics", ["ungrounded"]),
-    ("x", WORDS, "a few short ones", []),
+    ("x", WORDS, "a few tiny bits", []),
 ])
 def test_email(value, subject, body, grounding, issues):
     assert value(G.check_email(F.lit(subject), F.lit(body), F.lit(grounding))) == issues
