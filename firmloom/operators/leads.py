@@ -280,8 +280,11 @@ def pipeline_stats(companies: DataFrame, enrichment: DataFrame, emails: DataFram
         F.round(F.avg(score), 1).alias("avg_score"),
     )
     drafts = emails.agg(F.count_if(F.col("status") == "draft").alias("outreach_drafts"))
-    # Three one-row frames.
-    stats = total.join(F.broadcast(scores)).join(F.broadcast(drafts))
+    # Three one-row frames, laid over each other.
+    rows = total
+    for frame in (scores, drafts):
+        rows = rows.unionByName(frame, allowMissingColumns=True)
+    stats = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     return stats.withColumns({
         "needs_review": F.col("assessed") - F.col("strong") - F.col("moderate") - F.col("lower"),
         "awaiting": F.col("total") - F.col("assessed"),

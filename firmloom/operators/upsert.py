@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from firmloom.functions.text import blank_to_null, fold_legal_name
 from firmloom.operators import identity
+from firmloom.session import cut
 
 COALESCED = [
     "cbi_reference", "cro_number", "trading_name", "cro_status", "incorporation_date",
@@ -88,11 +89,12 @@ def upsert_companies(
         "cro_number": blank_to_null("cro_number"),
         "name": _name_key(F.lit(None).cast("string"), name),
     })
-    assigned = identity.owners(
+    # Three joins below read the owners; the fold must run once.
+    assigned = cut(identity.owners(
         rows.select("ordinal", "name", F.col("cro_number").alias("number")),
         existing.select(F.col("owner").alias("name"), F.col("cro_number").alias("number")),
         max_fold_rows,
-    )
+    ))
     columns = [f.name for f in current.schema.fields]
     missing = [c for c in columns if c not in batch.columns]
     incoming = rows.drop("name").withColumns(

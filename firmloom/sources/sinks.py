@@ -23,21 +23,27 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: str) -> str:
     return path
 
 
-def current_version(spark: SparkSession, root: str, table: str) -> str | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{POINTER}")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    row = spark.read.schema("version string").json(f"{root}/{table}/{POINTER}").first()
-    return row.version if row else None
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The current version of a table, empty before its first write."""
+def read_version(spark: SparkSession, root: str, table: str, version: str | None) -> DataFrame:
+    """One version of a table, empty where it was never written."""
     schema = getattr(schemas, table.upper())
-    version = current_version(spark, root, table)
-    if version is None:
+    path = f"{root}/{table}/{version}"
+    if version is None or not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}/{version}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The current version of a table, empty before its first write."""
+    pointer = f"{root}/{table}/{POINTER}"
+    if not _exists(spark, pointer):
+        return read_version(spark, root, table, None)
+    row = spark.read.schema("version string").json(pointer).first()
+    return read_version(spark, root, table, row.version if row else None)
 
 
 def run_audit(

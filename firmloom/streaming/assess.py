@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmloom.operators.guards import GUARDS, Guard, run_guards, storage_route
 from firmloom.operators.upsert import record_rejection, replace_enrichment
 from firmloom.session import cut
-from firmloom.sources.sinks import read_snapshot, write_snapshot
+from firmloom.sources.sinks import read_version, write_snapshot
 
 
 def assess_batch(batch: DataFrame, mode: str = "warn", guards: list[Guard] = GUARDS) -> DataFrame:
@@ -27,13 +27,13 @@ def assess_batch(batch: DataFrame, mode: str = "warn", guards: list[Guard] = GUA
     )
 
 
-def _base_version(spark, root: str, table: str, batch_id: int) -> DataFrame:
-    """The table as it was before this batch, also when the batch is replayed."""
-    if batch_id == 0:
-        return read_snapshot(spark, root, table).limit(0)
-    from firmloom import schemas
+def _before_batch(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame:
+    """The table as it was before this batch, also when the batch is replayed.
 
-    return spark.read.schema(getattr(schemas, table.upper())).parquet(f"{root}/{table}/v{batch_id - 1}")
+    The table a stream starts from is the version named "initial", if there is one.
+    """
+    version = f"v{batch_id - 1}" if batch_id else "initial"
+    return read_version(spark, root, table, version)
 
 
 def assess_sink(root: str, mode: str = "warn", on_audit: Callable[[DataFrame], None] | None = None):
@@ -46,8 +46,8 @@ def assess_sink(root: str, mode: str = "warn", on_audit: Callable[[DataFrame], N
         spark = batch.sparkSession
         routed = cut(assess_batch(batch, mode))
         text = routed.withColumn("guard_failures", F.to_json("guard_failures"))
-        enrichment = _base_version(spark, root, "enrichment", batch_id)
-        rejections = _base_version(spark, root, "assessment_rejections", batch_id)
+        enrichment = _before_batch(spark, root, "enrichment", batch_id)
+        rejections = _before_batch(spark, root, "assessment_rejections", batch_id)
         refused = text.filter(~F.col("stored")).select(
             "company_id", "ordinal", F.col("route_reason").alias("reason"), "guard_failures", "guard_score",
             "llm_model", F.col("generated_at").alias("rejected_at"),
@@ -72,7 +72,7 @@ def assess_sink(root: str, mode: str = "warn", on_audit: Callable[[DataFrame], N
 
 
 def assess_stream(assessments: DataFrame, root: str, checkpoint: str, mode: str = "warn"):
-    """Start the streaming query; returns its handle."""
+    """Writer of the streaming query; call `start()` on it."""
     return (
         assessments.writeStream.foreachBatch(assess_sink(root, mode))
         .option("checkpointLocation", checkpoint)
