@@ -100,6 +100,8 @@ def best_matches(
     keys = ["__cell", "__big", "__l", "__r"]
     lhs = _with_chunk(left, sizes, "n_left", "n_right", cell, bins)
     rhs = _with_chunk(right, sizes, "n_right", "n_left", cell, bins)
+    # Few bytes, much work: a fixed count keeps AQE from merging the cells into one task.
+    lhs, rhs = (side.repartition(bins, *keys) for side in (lhs, rhs))
     found = (
         lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(
             _cell_matcher(scorer, cutoff or 0.0), _BEST
