@@ -32,12 +32,13 @@ ASSIGN = (
     r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ASSIGN_LENGTH = 6
-# A run of the class is matched whole, so the least length can stand in these two patterns.
+# A run of the class is matched whole, so the least length can stand in the pattern; the
+# look-behind only spares a second look at the rest of a run that was too short.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 CLASSES = {  # class -> (pattern of the whole candidate, characters, bits a character)
     "entropy_hex": (r"^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
     "entropy_base64": (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
@@ -75,12 +76,13 @@ def _none() -> Column:
 
 
 def _found(rows: DataFrame, name: str, pattern: str, kind: int, least: int = 0, group: int = 0) -> DataFrame:
-    """Add `name`: the spans of a pattern whose `group` has at least `least` characters."""
-    rows = rows.withColumn("m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    keep = F.transform("m", lambda m: F.lit(True)) if not least else F.transform(
-        "m", lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least)
+    """Add `name`, the spans of a pattern whose `group` has at least `least` characters, and `<name>_text`, all matches."""
+    texts = f"{name}_text"
+    rows = rows.withColumn(texts, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    keep = F.transform(texts, lambda m: F.lit(True)) if not least else F.transform(
+        texts, lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least)
     gaps = F.split("text", pattern, -1)
-    return rows.withColumn(name, F.when(F.size("m") > 0, _at(F.col("m"), gaps, keep, kind)).otherwise(_none())).drop("m")
+    return rows.withColumn(name, F.when(F.size(texts) > 0, _at(F.col(texts), gaps, keep, kind)).otherwise(_none()))
 
 
 def hot_windows(candidate: Column, characters: str, bits: float, window: int) -> Column:
@@ -122,22 +124,21 @@ def hot_windows(candidate: Column, characters: str, bits: float, window: int) ->
 
 def _entropy(rows: DataFrame, window: int, allowed: tuple[str, ...]) -> DataFrame:
     """Add `entropy`: spans of both classes. A candidate of hexadecimal digits is of that class only."""
-    rows = _found(rows, "places", CANDIDATE, 0)
-    rows = rows.withColumn("m", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    rows = _found(rows, "place", CANDIDATE, 0)
     spans = []
     for name, (form, characters, bits) in CLASSES.items():
         hexadecimal = lambda c: c.rlike(CLASSES["entropy_hex"][0])
         mine = lambda c: hexadecimal(c) if name == "entropy_hex" else ~hexadecimal(c) & c.rlike(form)
         allow = lambda c: F.greatest(*[c.rlike(p) for p in allowed], F.lit(False), F.lit(False))
         kind = KINDS.index(name)
-        scanned = F.zip_with("m", "places", lambda c, p: F.when(mine(c) & ~allow(c), F.struct(
+        scanned = F.zip_with("place_text", "place", lambda c, p: F.when(mine(c) & ~allow(c), F.struct(
             p["start"].alias("at"), hot_windows(c, characters, bits, window).alias("w"))))
         spans.append(F.transform(
             F.filter(scanned, lambda s: s["w"]["first"] > 0),
             lambda s: F.struct(
                 (s["at"] + s["w"]["first"] - 1).alias("start"), F.lit(kind).alias("kind"),
                 (s["at"] + s["w"]["last"]).alias("end"))))
-    return rows.withColumn("entropy", F.when(F.size("m") > 0, F.concat(*spans)).otherwise(_none())).drop("m", "places")
+    return rows.withColumn("entropy", F.when(F.size("place") > 0, F.concat(*spans)).otherwise(_none()))
 
 
 def find_secrets(
