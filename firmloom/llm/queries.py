@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from firmloom.llm.common import table
+from firmloom.llm.decontamination import decontaminate
 from firmloom.llm.exact_dedup import exact_dedup
+from firmloom.llm.jaccard_join import jaccard_join
 from firmloom.llm.mixing import mix
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
+from firmloom.llm.warc import assemble, capture_report, read_archive, write_archive
 
 SHARDS = 16
 
@@ -15,19 +18,34 @@ def op2_secret_scan(spark, sf_dir):
     return secret_report(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_transactions(spark, sf_dir):
+    manifest = write_archive(table(spark, sf_dir, "pages"))
+    return capture_report(assemble(read_archive(spark, manifest)))
+
+
 def op6_rendezvous_sharding(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op8_weighted_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_secret_scan, op4_exact_dedup, op6_rendezvous_sharding, op8_weighted_mix)
+    f.__name__: f for f in (
+        op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
+        op7_benchmark_decontamination, op8_weighted_mix)
 }
 CHECKS: dict[str, str] = {}
