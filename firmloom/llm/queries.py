@@ -6,6 +6,7 @@ from firmloom.llm.common import table
 from firmloom.llm.decontamination import decontaminate
 from firmloom.llm.exact_dedup import exact_dedup
 from firmloom.llm.jaccard_join import jaccard_join
+from firmloom.llm.language_model import train_and_score
 from firmloom.llm.mixing import mix
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
@@ -43,9 +44,13 @@ def op8_weighted_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_kneser_ney_scores(spark, sf_dir):
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
-        op7_benchmark_decontamination, op8_weighted_mix)
+        op7_benchmark_decontamination, op8_weighted_mix, op10_kneser_ney_scores)
 }
 CHECKS: dict[str, str] = {}
