@@ -18,7 +18,9 @@ largest. All links that components need are found, none is guessed.
 
 Verification. The order is cut into fragments, sets into segments by fragment. A
 pair's overlap is counted per fragment and summed; a link needs
-100 * overlap >= percent * union.
+100 * overlap >= percent * union. The first fragment of a pair is what the prefixes
+of both cover: it is counted before the others, and a pair that could not link even
+if all that follows were shared goes no further.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; a text of
 fewer than `n` words is one n-gram; classes of equal sets are linked; null ids come
@@ -129,6 +131,11 @@ def in_order(hashes: np.ndarray, codes: np.ndarray, seen: np.ndarray) -> tuple[n
     return np.concatenate((hashes[~often], late[np.lexsort((late, seen[at[often]]))])), int(len(hashes) - often.sum())
 
 
+def signed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as signed numbers in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _least(size: int, percent: int) -> int:
     """ceil(percent * size / 100): the smallest partner, and the overlap it needs."""
     return -(-percent * size // 100)
@@ -140,20 +147,22 @@ def _prefixes(n: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = frequent.value
         for batch in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, rares = [], [], [], []
             for words in batch_words(batch.column("text")):
                 ngrams = shingle_set(words, n)
                 size = len(ngrams)
                 sizes.append(size)
                 names.append(hashlib.blake2b(ngrams.tobytes(), digest_size=16).digest())
                 keep = size - _least(size, percent) + 1 if size else 0
-                prefixes.append(in_order(ngrams, codes, seen)[0][:keep].view(np.int64))
+                ordered, rare = in_order(ngrams, codes, seen)
+                prefixes.append(signed(ordered[:keep]))
+                rares.append(min(rare, keep))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "key", "size", "name", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rares, pa.int32())],
+                names=["doc_id", "key", "size", "name", "prefix", "rare"])
 
     return run
 
@@ -173,7 +182,7 @@ def _segments(n: int, frequent):
                     if ends[i] < ends[i + 1]:
                         classes.append(name)
                         parts.append(i)
-                        segments.append(ngrams[ends[i]:ends[i + 1]].view(np.int64))
+                        segments.append(signed(ngrams[ends[i]:ends[i + 1]]))
             ends = np.cumsum([0, *map(len, segments)]).astype(np.int32)
             flat = np.concatenate(segments) if segments else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -205,11 +214,11 @@ class JaccardJoin:
         ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.frequent = spark.sparkContext.broadcast(frequent_ngrams(self.docs, n, frequent_limit, ranges))
         self.rows = stage(self.docs.select("doc_id", "key", "text").mapInArrow(
-            _prefixes(n, percent, self.frequent), "doc_id bigint, key string, size bigint, name binary, prefix array<bigint>"), "prefixes")
+            _prefixes(n, percent, self.frequent), "doc_id bigint, key string, size bigint, name binary, prefix array<bigint>, rare int"), "prefixes")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
         self.classes = stage(
-            self.rows.filter("size > 0").groupBy("name").agg(first, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-            .select("name", "size", "prefix", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"),
+            self.rows.filter("size > 0").groupBy("name").agg(first, F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
+            .select("name", "size", "prefix", "rare", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"),
                     F.monotonically_increasing_id().alias("class")), "classes")
 
     def places(self) -> DataFrame:
@@ -218,8 +227,23 @@ class JaccardJoin:
         shared = every.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h")
         return stage(every.join(shared, "h"), "places")
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that may still link after the part of the order that both prefixes cover."""
+        whole = F.col("rare") < F.size("prefix")  # all rare n-grams of the set are in the prefix
+        heads = self.classes.select(
+            "class", F.slice("prefix", 1, F.col("rare")).alias("head"),
+            F.when(whole, F.lit(2**63 - 1)).otherwise(F.element_at("prefix", -1)).alias("upto"))
+        of = lambda c: heads.select(F.col("class").alias(c), F.col("head").alias(f"head_{c}"), F.col("upto").alias(f"upto_{c}"))
+        upto = F.least("upto_a", "upto_b")
+        left = lambda c: F.col(f"size_{c}") - F.size(F.filter(f"head_{c}", lambda x: x <= F.col("upto")))
+        shared = F.size(F.filter(F.array_intersect("head_a", "head_b"), lambda x: x <= F.col("upto")))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("upto", upto)
+        return both.filter(_enough(shared + F.least(left("a"), left("b")), F.col("size_a"), F.col("size_b"), self.percent)).select(
+            "a", "b", "size_a", "size_b")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The rows (a, b) of `pairs` that link, by partial overlaps of their segments."""
+        pairs = stage(self.plausible(pairs), "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = broadcast_if_small(stage(self.classes.join(needed, "class").select("class", "key"), "wanted"))
         texts = self.docs.join(wanted, "key").select("class", "text")
@@ -275,9 +299,9 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Verified links (a, b) between classes; their components are those of all links."""
         places = self.places()
-        first = stage(self.verify(stage(self.hub_pairs(places), "hub_pairs")), "links")
+        first = stage(self.verify(self.hub_pairs(places)), "links")
         parts = components(first)
-        second = self.verify(stage(self.cross_pairs(places, parts), "cross_pairs"))
+        second = self.verify(self.cross_pairs(places, parts))
         return first.unionByName(second)
 
     def documents(self) -> DataFrame:
