@@ -13,8 +13,10 @@ by their first bytes. A broken record is an error, not a skipped row.
 
 Assembly: records of a transaction name one of its records in WARC-Concurrent-To, the
 response or the request. They meet by that identifier and give one nested row per
-capture: request, response, metadata; a part that is missing is null. If a role
-occurs twice, the smaller record id counts.
+capture: request, response, metadata; a part that is missing has null fields. If a role
+occurs twice, the smaller record id counts. The block of a metadata record is in
+`fields`, the payload of the others in `payload`; a field that nobody reads is not
+shuffled.
 
 Defined cases: a null html is empty; a null url is written as `urn:null` and comes
 back as null; null ids come after all others; rows that repeat an id and payload are
@@ -49,7 +51,7 @@ END = b"\r\n\r\n"
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
     "content_type string, payload_digest string, http_status int, payload_bytes bigint, payload_sha256 string, "
-    "http_headers string, payload binary"
+    "http_headers string, fields string, payload binary"
 )
 MANIFEST = "path string, records bigint, bytes bigint"
 FIELDS = [f.split()[0] for f in RECORD.split(", ")]
@@ -191,8 +193,9 @@ def record_row(headers: dict[str, str], block: bytes) -> dict:
         "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri"),
         "date": headers.get("warc-date"), "content_type": headers.get("content-type"),
         "payload_digest": headers.get("warc-payload-digest"), "http_status": status, "payload_bytes": size,
-        "payload_sha256": None if kind == "revisit" else hashlib.sha256(payload).hexdigest(),
-        "http_headers": http, "payload": None if kind == "revisit" else payload,
+        "payload_sha256": None if kind == "revisit" else hashlib.sha256(payload).hexdigest(), "http_headers": http,
+        "fields": block.decode("utf-8", "replace") if kind == "metadata" else None,
+        "payload": None if kind in ("revisit", "metadata") else payload,
     }
 
 
@@ -239,13 +242,12 @@ def assemble(records: DataFrame) -> DataFrame:
     ]
     whole = keyed.groupBy("capture_id").agg(*picks)
     return whole.select("capture_id", *[
-        F.when(F.col(f"{role}_record_id").isNotNull(), F.struct(*[F.col(f"{role}_{f}").alias(f) for f in FIELDS])).alias(role)
-        for role in roles])
+        F.struct(*[F.col(f"{role}_{f}").alias(f) for f in FIELDS]).alias(role) for role in roles])
 
 
 def capture_report(captures: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (page id) per capture, from the read records."""
-    about = F.col("metadata.payload").cast("string")
+    about = F.col("metadata.fields")
     rows = stage(captures.select(
         F.get_json_object(about, "$.page_id").cast("bigint").alias("page_id"),
         F.get_json_object(about, "$.url").alias("url"), F.spark_partition_id().alias("part"),
