@@ -8,6 +8,7 @@ from firmloom.llm.exact_dedup import exact_dedup
 from firmloom.llm.jaccard_join import jaccard_join
 from firmloom.llm.language_model import train_and_score
 from firmloom.llm.mixing import mix
+from firmloom.llm.quality import quality_scores
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
 from firmloom.llm.warc import assemble, capture_report, read_archive, write_archive
@@ -44,6 +45,10 @@ def op8_weighted_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_kneser_ney_scores(spark, sf_dir):
     return train_and_score(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op10_kneser_ney_scores(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
-        op7_benchmark_decontamination, op8_weighted_mix, op10_kneser_ney_scores)
+        op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores)
 }
 CHECKS: dict[str, str] = {}
