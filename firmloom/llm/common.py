@@ -31,7 +31,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +50,17 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """Identity of a row by its content; rows that repeat id and text share it."""
+    return F.md5(F.concat_ws(":", F.col(id_column).cast("string"), text_of(text_column)))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows of `docs` whose row_key is not in `keys`; broadcast if these were counted to be few."""
+    few = broadcast_if_small(keys.select(F.col("key").alias("__key")))
+    return docs.join(few, row_key(id_column, text_column) == F.col("__key"), "left_anti")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:
     """Join `rows` with `groups` (one row a key) so that a hot key spreads over the salts.
 

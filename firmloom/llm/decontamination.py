@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from firmloom.llm.common import ascii_lower, broadcast_if_small, stage, text_of
+from firmloom.llm.common import ascii_lower, broadcast_if_small, row_key, stage, text_of, without
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -90,9 +90,10 @@ def mark_documents(
     docs: DataFrame, table: DataFrame, sizes: list[int], bits: int, reach: int, shingle: int,
     id_column: str, text_column: str,
 ) -> DataFrame:
-    """row, doc_id, n_words and `spots`: positions that may hold an item shingle, with the words around them."""
+    """row, doc_id, key, n_words and `spots`: positions that may hold an item shingle, with the words around them."""
     rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(text_column).alias("words"))
+        F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+        row_key(id_column, text_column).alias("key"), words_of(text_column).alias("words"))
     rows = rows.select("*", *[table.scalar().alias(f"table{k}") for k in sizes])
 
     def spots(k: int) -> Column:
@@ -109,7 +110,7 @@ def mark_documents(
             F.slice(words, p + 1, k + far).alias("rest")))
 
     return stage(rows.select(
-        "row", "doc_id", F.size("words").alias("n_words"), F.concat(*[spots(k) for k in sizes]).alias("spots")), "spots")
+        "row", "doc_id", "key", F.size("words").alias("n_words"), F.concat(*[spots(k) for k in sizes]).alias("spots")), "spots")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -143,7 +144,7 @@ def find_hits(
     docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, bits: int = 2**22,
     id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: row, doc_id, n_words), (hits: row, class, spans), (classes: class, words, items)."""
+    """(documents: row, doc_id, key, n_words), (hits: row, class, spans), (classes: class, words, items)."""
     classes = item_classes(items, item_id_column, item_text_column)
     shingles = stage(item_shingles(classes, shingle), "shingles")
     sizes = sorted(r[0] for r in shingles.select("size").distinct().collect()) or [shingle]
@@ -165,11 +166,11 @@ def find_hits(
             (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).alias("span"))
         .groupBy("row", "class").agg(F.collect_set("span").alias("spans"))
     )
-    return marked.select("row", "doc_id", "n_words"), hits, classes
+    return marked.select("row", "doc_id", "key", "n_words"), hits, classes
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """doc_id, row, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
+    """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     rows, hits, classes = find_hits(docs, items, **options)
     covered = F.array_distinct(F.flatten(F.transform(F.flatten("spans"), lambda s: F.sequence(s["start"], s["end"] - 1))))
     found = (
@@ -179,6 +180,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     )
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, "row", "left").select(
-        "doc_id", "row", F.col("n_words").cast("bigint").alias("n_words"),
+        "doc_id", "key", F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.coalesce(F.col("hit") > 0, F.lit(False)).alias("contaminated"))
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with their columns, in which no window of an item occurs."""
+    verdict = stage(decontaminate(docs, items, id_column=id_column, text_column=text_column, **options), "verdict")
+    return without(docs, verdict.filter("contaminated").select("key").distinct(), id_column, text_column)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmloom.llm.common import attach, broadcast_if_small, stage, text_of
+from firmloom.llm.common import attach, broadcast_if_small, row_key, stage, text_of, without
 from firmloom.llm.components import components
 from firmloom.llm.shingles import batch_words, shingle_set
 
@@ -210,7 +210,8 @@ class JaccardJoin:
         self.n, self.percent = n, percent
         self.docs = docs.select(
             F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"),
-            F.md5(F.concat_ws(":", F.col(id_column).cast("string"), text)).alias("key"))
+            row_key(id_column, text_column).alias("key"))
+        self.source, self.id_column, self.text_column = docs, id_column, text_column
         ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.frequent = spark.sparkContext.broadcast(frequent_ngrams(self.docs, n, frequent_limit, ranges))
         self.rows = stage(self.docs.select("doc_id", "key", "text").mapInArrow(
@@ -304,16 +305,36 @@ class JaccardJoin:
         second = self.verify(self.cross_pairs(places, parts))
         return first.unionByName(second)
 
-    def documents(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+    def placed(self) -> DataFrame:
+        """doc_id, key, size, component_id and first_key, the key of the row that stands for the component."""
         parts = components(stage(self.links(), "links")).withColumnRenamed("node", "class")
         placed = self.classes.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
-        least = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-        named = placed.join(least, "part").select("name", "component_id")
+        least = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+        named = placed.join(least, "part").select(
+            "name", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
         rows = self.rows.select("doc_id", "key", "size", "name").withColumn("salt", F.substring("key", 1, 2))
-        joined = attach(rows.filter("size > 0"), named, ["name"], "salt").select("doc_id", "size", "component_id")
-        alone = rows.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-        return joined.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+        columns = ["doc_id", "key", "size", "component_id", "first_key"]
+        joined = attach(rows.filter("size > 0"), named, ["name"], "salt").select(*columns)
+        alone = rows.filter("size = 0").select(
+            "doc_id", "key", "size", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("first_key"))
+        return joined.unionByName(alone)
+
+    def documents(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row."""
+        return self.placed().select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+    def keep_one(self) -> DataFrame:
+        """The rows of the input without all but one of each component: that of the smallest id stays."""
+        keys = stage(self.placed().filter("size > 0").groupBy("key").agg(
+            F.first("first_key").alias("first_key"), F.count("*").alias("many")), "kept")
+        kept = without(self.source, keys.filter("key <> first_key"), self.id_column, self.text_column)
+        again = keys.filter("key = first_key and many > 1").select("key")
+        if again.isEmpty():
+            return kept
+        keyed = kept.withColumn("__key", row_key(self.id_column, self.text_column))
+        repeated = again.select(F.col("key").alias("__key"))
+        once = keyed.join(broadcast_if_small(repeated), "__key", "left_anti")
+        return once.unionByName(keyed.join(broadcast_if_small(repeated), "__key", "left_semi").dropDuplicates(["__key"])).drop("__key")
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:

@@ -92,3 +92,12 @@ def mix(
     return rows.join(out, "row").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
         *[F.col(f"kept_{c}").alias(c) for c in keep])
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with their columns, each as often as the mix takes it."""
+    columns = docs.columns
+    mixed = mix(docs.select("*", F.struct(*columns).alias("__row")), keep=("__row",), **options)
+    taken = mixed.filter("taken > 0").select(
+        "__row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
+    return taken.select(*[F.col("__row").getField(c).alias(c) for c in columns])

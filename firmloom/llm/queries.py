@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+from firmloom.llm.checks import CHECKS
 from firmloom.llm.common import table
 from firmloom.llm.decontamination import decontaminate
 from firmloom.llm.exact_dedup import exact_dedup
@@ -38,7 +40,7 @@ def op6_rendezvous_sharding(spark, sf_dir):
 
 
 def op7_benchmark_decontamination(spark, sf_dir):
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op8_weighted_mix(spark, sf_dir):
@@ -58,4 +60,6 @@ QUERIES = {
         op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
         op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores)
 }
-CHECKS: dict[str, str] = {}
+QUERIES["pipeline"] = run
+
+__all__ = ["CHECKS", "QUERIES"]

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmloom.llm.common import attach, shared_path, stage, text_of
+from firmloom.llm.common import attach, broadcast_if_small, shared_path, stage, text_of
 
 # Names of the format.
 VERSION = b"WARC/1.1"
@@ -133,7 +133,7 @@ def capture_roles(pages: DataFrame, least: int) -> DataFrame:
         .filter("copies > 1").select("digest", F.col("first.row").alias("first_row"))
     )
     linked = attach(pages.filter(F.col("payload_bytes") >= least).select("row", "digest", "part"), groups, ["digest"], "part")
-    return pages.join(linked.select("row", "first_row"), "row", "left")
+    return pages.join(broadcast_if_small(stage(linked.select("row", "first_row"), "repeats")), "row", "left")
 
 
 def write_archive(
