@@ -16,6 +16,14 @@ of its n-gram and length band, and the links found give components; then only pa
 of classes in different components are built, each smaller part against the n-gram's
 largest. All links that components need are found, none is guessed.
 
+Dense groups. Texts that consist mostly of frequent n-grams are clustered by the
+smallest of these; a cluster that fills an n-gram with more than `dense` classes is
+not paired by n-gram at all. Its members are compared with one hub instead, the class
+with the fewest rare n-grams, and kept as differences D from it. Two sets differ by
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| n-grams: pairs whose differences are short link by
+the triangle inequality and need one star; all others link only if their differences
+share n-grams, which are rare among differences, and are found by joining those.
+
 Verification. The order is cut into fragments, sets into segments by fragment. A
 pair's overlap is counted per fragment and summed; a link needs
 100 * overlap >= percent * union. The first fragment of a pair is what the prefixes
@@ -121,7 +129,7 @@ def frequent_ngrams(docs: DataFrame, n: int, limit: int, ranges: int) -> tuple[n
 
 
 def in_order(hashes: np.ndarray, codes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
-    """The set in global order, and how many of it are rare."""
+    """The set in global order, and how many of it are rare. Frequent ones follow, by count and hash."""
     if not len(codes):
         return hashes, len(hashes)
     mine = code_of(hashes)
@@ -147,7 +155,7 @@ def _prefixes(n: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = frequent.value
         for batch in batches:
-            sizes, names, prefixes, rares = [], [], [], []
+            sizes, names, prefixes, rares, clusters = [], [], [], [], []
             for words in batch_words(batch.column("text")):
                 ngrams = shingle_set(words, n)
                 size = len(ngrams)
@@ -156,13 +164,15 @@ def _prefixes(n: int, percent: int, frequent):
                 keep = size - _least(size, percent) + 1 if size else 0
                 ordered, rare = in_order(ngrams, codes, seen)
                 prefixes.append(signed(ordered[:keep]))
-                rares.append(min(rare, keep))
+                rares.append(rare)
+                clusters.append(int(signed(ordered[rare:]).min()) if size > 2 * rare else None)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rares, pa.int32())],
-                names=["doc_id", "key", "size", "name", "prefix", "rare"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rares, pa.int32()),
+                 pa.array(clusters, pa.int64())],
+                names=["doc_id", "key", "size", "name", "prefix", "rare", "cluster"])
 
     return run
 
@@ -202,12 +212,12 @@ class JaccardJoin:
 
     def __init__(
         self, docs: DataFrame, n: int = 3, percent: int = 90, frequent_limit: int = 1_000_000,
-        id_column: str = "doc_id", text_column: str = "text",
+        dense: int = 64, id_column: str = "doc_id", text_column: str = "text",
     ):
         spark = docs.sparkSession
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         text = text_of(text_column)
-        self.n, self.percent = n, percent
+        self.n, self.percent, self.dense = n, percent, dense
         self.docs = docs.select(
             F.col(id_column).cast("bigint").alias("doc_id"), text.alias("text"),
             row_key(id_column, text_column).alias("key"))
@@ -215,24 +225,75 @@ class JaccardJoin:
         ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.frequent = spark.sparkContext.broadcast(frequent_ngrams(self.docs, n, frequent_limit, ranges))
         self.rows = stage(self.docs.select("doc_id", "key", "text").mapInArrow(
-            _prefixes(n, percent, self.frequent), "doc_id bigint, key string, size bigint, name binary, prefix array<bigint>, rare int"), "prefixes")
+            _prefixes(n, percent, self.frequent), "doc_id bigint, key string, size bigint, name binary, prefix array<bigint>, rare int, cluster bigint"), "prefixes")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
         self.classes = stage(
-            self.rows.filter("size > 0").groupBy("name").agg(first, F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
-            .select("name", "size", "prefix", "rare", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"),
+            self.rows.filter("size > 0").groupBy("name").agg(first, F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"),
+                F.first("cluster").alias("cluster"))
+            .select("name", "size", "prefix", "rare", "cluster", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"),
                     F.monotonically_increasing_id().alias("class")), "classes")
 
     def places(self) -> DataFrame:
-        """h, class, size, rank: prefix n-grams that several classes share."""
-        every = self.classes.select("class", "size", F.posexplode("prefix").alias("rank", "h"))
+        """h, class, size, rank, dense: prefix n-grams that several classes share; dense is the class's dense cluster or null."""
+        every = self.classes.select("class", "size", "cluster", F.posexplode("prefix").alias("rank", "h"))
         shared = every.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h")
-        return stage(every.join(shared, "h"), "places")
+        places = stage(every.join(shared, "h"), "places")
+        full = (
+            places.filter("cluster is not null").groupBy("h", "cluster").agg(F.count("*").alias("many"))
+            .filter(F.col("many") > self.dense).select("cluster").distinct().withColumn("dense", F.col("cluster"))
+        )
+        return places.join(broadcast_if_small(stage(full, "dense")), "cluster", "left").drop("cluster")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """class, fragment, segment of the classes in `wanted`."""
+        keys = broadcast_if_small(stage(self.classes.join(wanted.select("class"), "class").select("class", "key"), "wanted"))
+        texts = self.docs.join(keys, "key").select("class", "text")
+        return stage(
+            texts.mapInArrow(_segments(self.n, self.frequent), "class bigint, fragment int, segment array<bigint>")
+            .dropDuplicates(["class", "fragment"]), "segments")
+
+    def dense_links(self, places: DataFrame) -> DataFrame:
+        """Links (a, b) inside dense clusters, enough for their components."""
+        members = places.filter("dense is not null").select("class", "dense").distinct()
+        mine = stage(self.classes.select("class", "size", "rare", "cluster").join(
+            members.select(F.col("dense").alias("cluster")).distinct(), "cluster"), "members")
+        if mine.isEmpty():
+            return mine.select(F.col("class").alias("a"), F.col("class").alias("b"))
+        whole = self.sets(mine).groupBy("class").agg(F.flatten(F.collect_list("segment")).alias("grams"))
+        full = stage(mine.join(whole, "class"), "dense_sets")
+        hubs = full.groupBy("cluster").agg(F.min_by("grams", F.struct("rare", "class")).alias("hub"))
+        apart = F.concat(F.array_except("grams", "hub"), F.array_except("hub", "grams"))
+        over, under = 100 + self.percent, 100 - self.percent
+        far = stage(
+            full.join(F.broadcast(hubs) if hubs.count() <= 100 else hubs, "cluster")
+            .select("cluster", "class", "size", apart.alias("apart"))
+            .withColumn("f", (over * F.size("apart") - under * F.col("size")).cast("bigint")), "differences")
+        # Sets differ by at most |D(x)| + |D(y)|, so f(x) + f(y) <= 0 is a link; the class of least f has all such links.
+        centres = far.groupBy("cluster").agg(F.min(F.struct("f", "class")).alias("c"))
+        placed = stage(far.join(F.broadcast(centres) if centres.count() <= 100_000 else centres, "cluster").select(
+            "cluster", "class", "f", "apart", F.col("c.class").alias("centre"), (F.col("f") + F.col("c.f") > 0).alias("away")), "centred")
+        star = placed.filter(~F.col("away") & (F.col("class") != F.col("centre"))).select(
+            F.col("class").alias("a"), F.col("centre").alias("b"))
+        grams = placed.select("cluster", "class", "f", "away", F.explode("apart").alias("g"))
+        shared = grams.groupBy("cluster", "g").agg(F.count("*").alias("many"), F.max("away").alias("any")).filter("many > 1 and any")
+        known = grams.join(shared.select("cluster", "g"), ["cluster", "g"])
+        usable = known.groupBy("class").agg(F.count("*").alias("usable"))
+        known = stage(known.join(usable, "class"), "shared")
+        x, y = known.filter("away").alias("x"), known.alias("y")
+        pairs = x.join(y, ["cluster", "g"]).filter(
+            (F.col("x.class") != F.col("y.class")) & (~F.col("y.away") | (F.col("x.class") < F.col("y.class")))
+            & (F.col("x.f") + F.col("y.f") <= 2 * over * F.least("x.usable", "y.usable")))
+        linked = (
+            pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), (F.col("x.f") + F.col("y.f")).alias("f"))
+            .agg(F.count("*").alias("both")).filter(F.col("f") <= 2 * over * F.col("both")).select("a", "b")
+        )
+        return star.unionByName(linked)
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that may still link after the part of the order that both prefixes cover."""
         whole = F.col("rare") < F.size("prefix")  # all rare n-grams of the set are in the prefix
         heads = self.classes.select(
-            "class", F.slice("prefix", 1, F.col("rare")).alias("head"),
+            "class", F.slice("prefix", 1, F.least("rare", F.size("prefix"))).alias("head"),
             F.when(whole, F.lit(2**63 - 1)).otherwise(F.element_at("prefix", -1)).alias("upto"))
         of = lambda c: heads.select(F.col("class").alias(c), F.col("head").alias(f"head_{c}"), F.col("upto").alias(f"upto_{c}"))
         upto = F.least("upto_a", "upto_b")
@@ -245,12 +306,7 @@ class JaccardJoin:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The rows (a, b) of `pairs` that link, by partial overlaps of their segments."""
         pairs = stage(self.plausible(pairs), "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        wanted = broadcast_if_small(stage(self.classes.join(needed, "class").select("class", "key"), "wanted"))
-        texts = self.docs.join(wanted, "key").select("class", "text")
-        segments = stage(
-            texts.mapInArrow(_segments(self.n, self.frequent), "class bigint, fragment int, segment array<bigint>")
-            .dropDuplicates(["class", "fragment"]), "segments")
+        segments = self.sets(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
         left = segments.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("mine"))
         right = segments.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("other"))
         parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
@@ -259,16 +315,20 @@ class JaccardJoin:
         return sums.filter(_enough(F.col("shared"), F.col("size_a"), F.col("size_b"), self.percent)).select("a", "b")
 
     def near(self, a: str, b: str) -> Column:
-        """Length and position bounds of two places of one n-gram."""
+        """Length and position bounds of two places of one n-gram; pairs of one dense cluster are found otherwise."""
         size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
         most = 1 + F.least(size_a - F.col(f"{a}.rank") - 1, size_b - F.col(f"{b}.rank") - 1) + F.least(f"{a}.rank", f"{b}.rank")
-        return (100 * F.least(size_a, size_b) >= self.percent * F.greatest(size_a, size_b)) & _enough(most, size_a, size_b, self.percent)
+        apart = ~F.coalesce(F.col(f"{a}.dense") == F.col(f"{b}.dense"), F.lit(False))
+        return (
+            apart & (100 * F.least(size_a, size_b) >= self.percent * F.greatest(size_a, size_b))
+            & _enough(most, size_a, size_b, self.percent)
+        )
 
     def hub_pairs(self, places: DataFrame) -> DataFrame:
         """Every class with the smallest class of its n-gram and length band."""
         band = F.floor(F.log("size") / F.log(F.lit(100 / self.percent)))
         banded = places.withColumn("band", band)
-        hubs = banded.groupBy("h", "band").agg(F.min(F.struct("size", "class", "rank")).alias("hub"), F.count("*").alias("many"))
+        hubs = banded.groupBy("h", "band").agg(F.min(F.struct("size", "class", "rank", "dense")).alias("hub"), F.count("*").alias("many"))
         hubs = hubs.filter("many > 1").select("h", "band", "hub.*")
         near = banded.alias("x").join(hubs.alias("y"), ["h", "band"]).filter(
             (F.col("x.class") != F.col("y.class")) & self.near("x", "y"))
@@ -299,8 +359,8 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """Verified links (a, b) between classes; their components are those of all links."""
-        places = self.places()
-        first = stage(self.verify(self.hub_pairs(places)), "links")
+        places = stage(self.places(), "places")
+        first = stage(self.verify(self.hub_pairs(places)).unionByName(self.dense_links(places)), "links")
         parts = components(first)
         second = self.verify(self.cross_pairs(places, parts))
         return first.unionByName(second)

@@ -54,6 +54,10 @@ def test_near_copies_with_many_variants(spark):
     assert len({c for _, _, c in want}) < 115
     assert listed(jaccard_join(df)) == want
     assert listed(jaccard_join(df, frequent_limit=3)) == want
+    for dense in (2, 20):  # the variants are then found by their differences from a hub
+        join = JaccardJoin(df, dense=dense)
+        assert not join.places().filter("dense is not null").isEmpty()
+        assert listed(join.documents()) == want
 
 
 def test_one_of_each_group_stays(docs, pairs):
