@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog.lists import INBOXES, NOT_A_NAME
 from catalog.registry import query
 from firmloom import lexicons as L
 from firmloom.operators import evidence as W
@@ -14,19 +15,30 @@ def page_text_sql(html: str) -> str:
         '[\s\x{{00A0}}]+', ' ', 'g'), '[^\x{{0020}}-\x{{007E}}\x{{00A0}}-\x{{00FF}}]', '', 'g'))"""
 
 
-@query("page_text", f"""SELECT page_id, CASE WHEN length(t) <= 100 THEN NULL WHEN length(t) > 8000 THEN substring(t, 1, 8000) || '...' ELSE t END AS page_text
-    FROM (SELECT page_id, {page_text_sql('html')} AS t FROM $pages) x""")
+@query("page_text", f"""SELECT page_id, nullif(t, '') AS page_text FROM (SELECT page_id, {page_text_sql('html')} AS t FROM $pages) x""")
 def _(v):
-    return v.pages.select("page_id", W.page_text("html", decode_entities=False).alias("page_text"))
+    return v.pages.select("page_id", W.page_text("html", decode=False).alias("page_text"))
 
 
-@query("page_text_decoded")
+NAMED = "map([" + ", ".join(f"'{n}'" for n in W.NAMED) + "], [" + ", ".join(f"chr({ord(c)})" if c else "''" for c in W.NAMED.values()) + "])"
+HEXADECIMAL = "list_reduce(list_prepend(0, list_transform(string_split(lower(x[4:-2]), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, b: a * 16 + b)"
+
+
+@query("page_text_decoded", rf"""
+    WITH stripped AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is){STRIP}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM $pages),
+    codes AS (SELECT page_id, string_split_regex(t, '{W.ENTITY}') AS between, regexp_extract_all(t, '{W.ENTITY}') AS found FROM stripped),
+    numbers AS (SELECT *, list_transform(found, lambda x: CASE WHEN x[2] <> '#' THEN -1 WHEN lower(x[3]) = 'x' THEN {HEXADECIMAL} ELSE CAST(x[3:-2] AS INT) END) AS n FROM codes),
+    texts AS (SELECT page_id, between, list_transform(found, lambda x, i: CASE WHEN x[2] <> '#' THEN coalesce({NAMED}[x[2:-2]], x)
+        WHEN n[i] BETWEEN 1 AND 255 THEN chr(CAST(n[i] AS INT)) ELSE '' END) AS found FROM numbers),
+    joined AS (SELECT page_id, array_to_string(list_transform(between, lambda b, i: b || coalesce(found[i], '')), '') AS t FROM texts)
+    SELECT page_id, nullif(trim(regexp_replace(regexp_replace(t, '[\s\x{{00A0}}]+', ' ', 'g'), '[^\x{{0020}}-\x{{007E}}\x{{00A0}}-\x{{00FF}}]', '', 'g')), '') AS page_text
+    FROM joined""")
 def _(v):
     return v.pages.select("page_id", W.page_text("html").alias("page_text"))
 
 
 @query("bot_challenge", f"""SELECT page_id, status IN (403, 503) AND (contains(lower(server), '{L.CHALLENGE_CDN}')
-    OR {" OR ".join(f"contains(lower(substring(html, 1, 2000)), '{m}')" for m in L.CHALLENGE_MARKERS)}) AS challenged FROM $served_pages""")
+    OR {" OR ".join(f"contains(lower(html), '{m}')" for m in L.CHALLENGE_MARKERS)}) AS challenged FROM $served_pages""")
 def _(v):
     return v.served_pages.select("page_id", W.is_bot_challenge("status", "server", "html").alias("challenged"))
 
@@ -47,7 +59,7 @@ ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>"""
                WHERE link IS NOT NULL AND regexp_replace(lower(split_part(split_part(split_part(link, '/', 3), '?', 1), '#', 1)), '^www\.', '') = regexp_replace(host, '^www\.', '')
                  AND regexp_replace(link, '/$', '') <> regexp_replace(split_part(url, '#', 1), '/$', '')
                  AND regexp_matches(regexp_replace(link, '^[A-Za-z]+://[^/]*', '') || ' ' || words, '{LINK_WORDS}') GROUP BY page_id, link)
-    SELECT page_id, link, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM wanted) x WHERE n <= 6""")
+    SELECT page_id, link, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM wanted) x""")
 def _(v):
     return W.people_links(v.served_pages, ["page_id"], LINK_WORDS).select("page_id", "link", "place")
 
@@ -72,19 +84,18 @@ def _(v):
 
 @query("select_people_pages", rf"""
     WITH texts AS (SELECT split_part(host, '.', 2) AS company_id, page_id AS place, url, {page_text_sql('html')} AS text FROM $served_pages),
-    readable AS (SELECT company_id, place, url, CASE WHEN length(text) > 8000 THEN substring(text, 1, 8000) || '...' ELSE text END AS text FROM texts WHERE length(text) > 100),
+    readable AS (SELECT * FROM texts WHERE text <> ''),
     marked AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)\b({"|".join(L.ROLE_WORDS)})s?\b') OR regexp_matches(text, '{L.EMAIL}') OR regexp_matches(text, '{L.PHONE}') THEN 0
                      WHEN contains(lower(url), 'contact') THEN 1 ELSE 2 END AS kind,
-               row_number() OVER (PARTITION BY company_id, substring(text, 1, 200) ORDER BY place, url) AS copy FROM readable),
+               row_number() OVER (PARTITION BY company_id, text ORDER BY place, url) AS copy FROM readable),
     firsts AS (SELECT *, row_number() OVER (PARTITION BY company_id, kind ORDER BY place, url) AS n FROM marked WHERE copy = 1),
     chosen AS (SELECT *, max(CASE WHEN kind < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY company_id) AS any_kept FROM firsts),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY place, url) AS m FROM chosen
-             WHERE kind = 0 OR (kind = 1 AND n = 1) OR (kind = 2 AND n = 1 AND any_kept = 0))
-    SELECT company_id, url, text FROM kept WHERE m <= 3""")
+    kept AS (SELECT * FROM chosen WHERE kind = 0 OR (kind = 1 AND n = 1) OR (kind = 2 AND n = 1 AND any_kept = 0))
+    SELECT company_id, url, text FROM kept""")
 def _(v):
     probed = v.served_pages.select(
         F.split_part("host", F.lit("."), F.lit(2)).alias("company_id"), F.col("page_id").alias("place"), "url",
-        W.page_text("html", decode_entities=False).alias("text"))
+        W.page_text("html", decode=False).alias("text"))
     return W.select_people_pages(probed).select("company_id", "url", "text")
 
 
@@ -135,7 +146,7 @@ SOCIAL = " OR ".join(f"contains(lower(url), '{m}')" for m, _ in L.SOCIAL_HOSTS)
 @query("cap_candidates", f"""
     WITH firsts AS (SELECT company_id, url, arg_min(title, (query_no, rank)) AS title, min((query_no, rank)) AS seen_at FROM $hits WHERE NOT ({SOCIAL}) GROUP BY company_id, url)
     SELECT company_id, CAST(n AS INTEGER) AS place, title, url FROM (
-      SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY seen_at, url) AS n FROM firsts) x WHERE n <= 15""")
+      SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY seen_at, url) AS n FROM firsts) x""")
 def _(v):
     return W.cap_candidates(v.hits).select("company_id", "place", "title", "url")
 
@@ -153,7 +164,7 @@ def _(v):
 
 
 @query("linkedin_hits", """SELECT company_id, CAST(n AS INTEGER) AS place, title || ' ' || url AS hit FROM (
-    SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY query_no, rank, url) AS n FROM $hits WHERE contains(lower(url), 'linkedin.com')) x WHERE n <= 5""")
+    SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY query_no, rank, url) AS n FROM $hits WHERE contains(lower(url), 'linkedin.com')) x""")
 def _(v):
     return W.linkedin_hits(v.hits)
 
@@ -162,7 +173,7 @@ QUOTED = "'\"' || {} || '\"'"
 
 
 @query("search_queries", f"""SELECT id, array_to_string(list_filter([{QUOTED.format('trading_name')} || ' insurance broker', {QUOTED.format('legal_name')} || ' insurance',
-      {QUOTED.format('legal_name')} || ' ' || cro_number, {QUOTED.format('legal_name')} || ' ' || cbi_reference, legal_name || ' ' || county, legal_name || ' ' || trim(string_split(registered_address, ',')[-2])], lambda x: x IS NOT NULL)[1:4], '|') AS queries
+      {QUOTED.format('legal_name')} || ' ' || cro_number, {QUOTED.format('legal_name')} || ' ' || cbi_reference, legal_name || ' ' || county, legal_name || ' ' || trim(string_split(registered_address, ',')[-2])], lambda x: x IS NOT NULL), '|') AS queries
     FROM $companies""")
 def _(v):
     return v.companies.select("id", F.array_join(W.search_queries(), "|").alias("queries"))
@@ -180,8 +191,8 @@ def _(v):
 @query("site_document", f"""
     WITH main AS (SELECT page_id, url, split_part(split_part(html, '<title>', 2), '</title>', 1) AS title, html FROM $pages),
     extra AS (SELECT 1 AS place, page_id, url || html AS text FROM $pages UNION ALL SELECT 0, page_id, html || url FROM $pages WHERE url LIKE 'https%'),
-    parts AS (SELECT page_id, string_agg(chr(10) || '{W.PAGE_SEPARATOR}' || chr(10) || substring(text, 1, 4000), '' ORDER BY place) AS tail FROM extra GROUP BY page_id)
-    SELECT m.page_id, '[' || title || '](' || url || ')' || chr(10) || substring(html, 1, 5000) || tail AS website_text FROM main m JOIN parts p ON p.page_id = m.page_id""")
+    parts AS (SELECT page_id, string_agg(chr(10) || '{W.PAGE_SEPARATOR}' || chr(10) || text, '' ORDER BY place) AS tail FROM extra GROUP BY page_id)
+    SELECT m.page_id, '[' || title || '](' || url || ')' || chr(10) || html || tail AS website_text FROM main m JOIN parts p ON p.page_id = m.page_id""")
 def _(v):
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     main = v.pages.select(F.col("page_id").alias("company_id"), title.alias("title"), "url", F.col("html").alias("text"))
@@ -216,7 +227,7 @@ def _(v):
 @query("extract_contacts")
 def _(v):
     text = F.concat(F.col("text"), F.lit(" Mary Byrne, Director. Sean O'Neill - Partner. mary.byrne@firm.ie info@firm.ie "), F.col("source"), F.lit("@firm.ie"))
-    found = W.extract_contacts(v.documents.select("doc_id", text.alias("text")), "text")
+    found = W.extract_contacts(v.documents.select("doc_id", text.alias("text")), "text", INBOXES)
     return W.contact_rows(found, ["doc_id"]).select("doc_id", "position", "name", "role", "email", "detail")
 
 
@@ -234,7 +245,7 @@ PEOPLE = """SELECT source AS company_id, doc_id AS position,
            CASE WHEN kind = 'dropped' THEN 'not a plausible person' WHEN k > 1 THEN 'duplicate' END AS reason FROM n""")
 def _(v):
     people = v.spark.sql(PEOPLE.replace("$documents", "{documents}"), documents=v.documents)
-    return W.sanitise_contacts(people).select("company_id", "position", "name_out", "verdict", "reason")
+    return W.sanitise_contacts(people, NOT_A_NAME, INBOXES).select("company_id", "position", "name_out", "verdict", "reason")
 
 
 PRESENCE = """SELECT c.*, c.cro_status = 'Normal' AS has_site, CASE WHEN c.cro_status = 'Normal' THEN 'site-' || c.id END AS domain,
@@ -282,7 +293,7 @@ def _(v):
 
 
 @query("sources_reviewed", f"""SELECT page_id, '{"|".join(L.REGISTRY_SOURCES)}' || CASE WHEN url LIKE 'https%' THEN '|website:' || regexp_replace(host, '^www\\.', '') ELSE '' END
-      || '|search:' || regexp_replace(host, '^www\\.', '') || '|search:' || CASE WHEN url LIKE '%?%' THEN substring(title, 1, 30) ELSE 'x' || CAST(page_id AS VARCHAR) END AS sources
+      || '|search:' || regexp_replace(host, '^www\\.', '') || '|search:' || CASE WHEN url LIKE '%?%' THEN title ELSE 'x' || CAST(page_id AS VARCHAR) END AS sources
     FROM (SELECT *, split_part(split_part(html, '<title>', 2), '</title>', 1) AS title FROM $served_pages) x""")
 def _(v):
     title = F.split_part(F.split_part("html", F.lit("<title>"), F.lit(2)), F.lit("</title>"), F.lit(1))
@@ -302,7 +313,13 @@ def _(v):
     return v.assessments.select("doc_id", fixed.alias("p")).select("doc_id", "p.has_website", "p.domain", "p.notes")
 
 
-@query("evidence_context")
+@query("evidence_context", rf"""SELECT c.id, concat_ws(chr(10), 'Legal name: ' || legal_name, 'Trading name: ' || nullif(trading_name, ''), 'Registry number: ' || cro_number,
+      'Registry status: ' || nullif(cro_status, ''), 'Regulator reference: ' || cbi_reference, 'County: ' || county,
+      'Incorporated: ' || strftime(TRY_CAST(incorporation_date AS DATE), '%-d %b %Y'), 'Authorisations: Insurance distributor; Mortgage intermediary',
+      CASE WHEN coalesce(trim(site), '') <> '' THEN 'Website:' || chr(10) || trim(site, ' ') WHEN source = 'src1' THEN 'Website: exists but blocked automated reading (a.ie)'
+           ELSE 'Website: none verified' END,
+      'Search results:' || chr(10) || '- ' || source || chr(10) || '- ' || legal_name) AS context
+    FROM $companies c JOIN ({SITE_TEXT}) s ON c.id = 'C' || CAST(s.doc_id AS VARCHAR)""")
 def _(v):
     firms = v.companies.join(_site_text(v).select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("id"), "site", "source"), "id")
     block = W.evidence_context(

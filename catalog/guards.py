@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from catalog.lists import COMPETITORS, DIMENSIONS, NOT_A_NAME, STOPWORDS
 from firmloom import lexicons as L
 from firmloom.operators import guards as G
 
@@ -15,7 +16,7 @@ def assessments(v):
     entry = lambda i, d: F.when(
         F.col("n_chars") % (i + 2) != 0,
         F.struct((F.col("lang") != "es").alias("is_object"), reason(i, d).alias("reason")))
-    pairs = F.array(*[F.struct(F.lit(d).alias("key"), entry(i, d).alias("value")) for i, d in enumerate(L.DIMENSIONS)])
+    pairs = F.array(*[F.struct(F.lit(d).alias("key"), entry(i, d).alias("value")) for i, d in enumerate(DIMENSIONS)])
     card = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
     signal = lambda i, d: F.when(
         F.col("n_chars") % (i + 2) != 0,
@@ -25,13 +26,13 @@ def assessments(v):
         "sources_reviewed": F.when(F.col("sources_text") != "", F.split("sources_text", "[|]")).otherwise(F.array().cast("array<string>")),
         "sources_count": F.lit(None).cast("int"),
         "scorecard": F.when(F.col("source") != "src9", card),
-        "signals": F.struct(*[signal(i, d).alias(d) for i, d in enumerate(L.DIMENSIONS)]),
+        "signals": F.struct(*[signal(i, d).alias(d) for i, d in enumerate(DIMENSIONS)]),
         "avoid": F.array(F.lit("nothing")),
         "contacts": F.array(F.struct(F.lit("Mary Byrne").alias("name"), graded.alias("confidence"))),
     })
 
 
-DIMS = "(VALUES " + ", ".join(f"({i}, '{d}')" for i, d in enumerate(L.DIMENSIONS)) + ") dims(i, d)"
+DIMS = "(VALUES " + ", ".join(f"({i}, '{d}')" for i, d in enumerate(DIMENSIONS)) + ") dims(i, d)"
 REASON = "CASE WHEN source = 'src7' THEN 'the same reason' WHEN n_chars % 7 = 0 THEN 'thin' ELSE 'because of ' || d || ' ' || source END"
 SIGNALS = " OR ".join(f"regexp_matches(s, '{p}')" for p in L.SUMMARY_SIGNALS)
 
@@ -63,7 +64,7 @@ def _single(name, guard, score):
 _single("guard_confidence", G.confidence_guard, "conf_score")
 _single("guard_summary", G.summary_guard, "summ_score")
 _single("guard_sources", G.sources_guard, "qual_score")
-_single("guard_dimensions", G.dimension_guard, "dim_score")
+_single("guard_dimensions", lambda: G.dimension_guard(DIMENSIONS), "dim_score")
 
 
 @query("guard_presence", f"WITH {JUDGED} SELECT doc_id, CAST(pres_score AS DOUBLE) AS score, CASE WHEN pres_score = 20 THEN 'warning' ELSE 'info' END AS severity FROM g")
@@ -85,7 +86,7 @@ REPORT = f"""{JUDGED},
 @query("run_guards", f"WITH {REPORT} SELECT doc_id, failures = '' AS passed, CAST(score AS DOUBLE) AS score, failures, warnings FROM report")
 def _(v):
     r = "guard_report"
-    return G.run_guards(assessments(v)).select(
+    return G.run_guards(assessments(v), G.standard_guards(DIMENSIONS)).select(
         "doc_id", f"{r}.passed", f"{r}.score", F.array_join(f"{r}.failures", ",").alias("failures"), F.array_join(f"{r}.warnings", ",").alias("warnings"))
 
 
@@ -93,7 +94,7 @@ def _(v):
 def _(v):
     from firmloom.streaming.assess import assess_batch
 
-    return assess_batch(assessments(v), "block").select("doc_id", "stored", "route_reason")
+    return assess_batch(assessments(v), G.standard_guards(DIMENSIONS), "block").select("doc_id", "stored", "route_reason")
 
 
 @query("storage_route_verdicts", """SELECT id, coalesce(guard_passed, false) AS stored_block, true AS stored_warn,
@@ -106,7 +107,7 @@ def _(v):
 
 RULES = ", ".join(f"""CASE WHEN n_chars % {i + 2} = 0 THEN '{d}_missing' END,
       CASE WHEN n_chars % {i + 2} <> 0 AND (signal_strength = 'none' OR n_chars % 105 > 100 OR (source <> 'src7' AND n_chars % 7 = 0)) THEN '{d}_invalid' END"""
-                  for i, d in enumerate(L.DIMENSIONS))
+                  for i, d in enumerate(DIMENSIONS))
 
 
 @query("validate_assessment", f"""SELECT doc_id, concat_ws(',', CASE WHEN qualification_score > 100 THEN 'score_range' END,
@@ -117,24 +118,24 @@ RULES = ", ".join(f"""CASE WHEN n_chars % {i + 2} = 0 THEN '{d}_missing' END,
       {RULES}, CASE WHEN length(recommended_angle) < 8 THEN 'contact_shape' END) AS violations
     FROM (SELECT *, trim(executive_summary) AS s FROM $assessments) x""")
 def _(v):
-    return assessments(v).select("doc_id", F.array_join(G.validate_assessment(), ",").alias("violations"))
+    return assessments(v).select("doc_id", F.array_join(G.validate_assessment(DIMENSIONS), ",").alias("violations"))
 
 
 @query("validate_contacts", "SELECT doc_id, CASE WHEN length(recommended_angle) >= 8 THEN 'Mary Byrne' ELSE 'fallback' END AS name FROM $assessments")
 def _(v):
     rows = assessments(v)
     fallback = F.transform("contacts", lambda c: c.withField("name", F.lit("fallback")))
-    return rows.select("doc_id", F.get(G.validate_contacts(F.col("contacts"), fallback), 0)["name"].alias("name"))
+    return rows.select("doc_id", F.get(G.validate_contacts(F.col("contacts"), fallback, NOT_A_NAME), 0)["name"].alias("name"))
 
 
-TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '([a-z]{{5,}})', 1)), lambda x: NOT list_contains([%s], x))" % ", ".join(f"'{w}'" for w in L.STOPWORDS)
+TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '([a-z]{{5,}})', 1)), lambda x: NOT list_contains([%s], x))" % ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 @query("check_email", rf"""SELECT conv_id, turn, concat_ws(',', CASE WHEN w < 25 THEN 'too_short' END, CASE WHEN w > 180 THEN 'too_long' END,
       {", ".join(f"CASE WHEN contains(lower(subject) || chr(10) || lower(body), '{p}') THEN 'banned:{p}' END" for p in L.BANNED_PHRASES)},
-      {", ".join(f"CASE WHEN contains(lower(body), '{p}') THEN 'competitor:{p}' END" for p in L.COMPETITORS)},
+      {", ".join(f"CASE WHEN contains(lower(body), '{p}') THEN 'competitor:{p}' END" for p in COMPETITORS)},
       CASE WHEN regexp_matches(subject || chr(10) || body, '{L.PLACEHOLDERS}') THEN 'placeholder' END, CASE WHEN regexp_matches(body, '{L.GENERIC_PITCH}') THEN 'generic_pitch' END,
       CASE WHEN len(g) > 0 AND NOT list_has_any(g, t) THEN 'ungrounded' END) AS issues
-    FROM (SELECT *, len(regexp_extract_all(body, '([^\s]+)', 1)) AS w, {TOKENS.format('grounding')} AS g, {TOKENS.format('body')} AS t FROM $outbox) x""")
+    FROM (SELECT *, len(regexp_extract_all(body, '([A-Za-z''’]+)', 1)) AS w, {TOKENS.format('grounding')} AS g, {TOKENS.format('body')} AS t FROM $outbox) x""")
 def _(v):
-    return v.outbox.select("conv_id", "turn", F.array_join(G.check_email("subject", "body", "grounding"), ",").alias("issues"))
+    return v.outbox.select("conv_id", "turn", F.array_join(G.check_email("subject", "body", "grounding", COMPETITORS, STOPWORDS), ",").alias("issues"))

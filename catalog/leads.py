@@ -230,7 +230,7 @@ def _(v):
     return O.batch_outcomes(v.outcomes)
 
 
-@query("batch_errors", "SELECT ordinal, company_id, status FROM $outcomes WHERE status <> 'enriched' ORDER BY ordinal LIMIT 10")
+@query("batch_errors", "SELECT ordinal, company_id, status FROM $outcomes WHERE status <> 'enriched'")
 def _(v):
     return O.batch_errors(v.outcomes).select("ordinal", "company_id", "status")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog.lists import INBOXES, NOT_A_NAME
 from catalog.registry import query
 from firmloom import lexicons as L
 from firmloom.functions import documents as D
@@ -109,18 +110,18 @@ INBOX = """SELECT doc_id, CASE source WHEN 'src1' THEN 'In.fo@a.ie' WHEN 'src2'
 
 
 @query("generic_inbox", f"""SELECT doc_id, contains(email, '@') AND
-      replace(replace(replace(lower(split_part(email, '@', 1)), '.', ''), '_', ''), '-', '') IN ({", ".join(f"'{i}'" for i in L.GENERIC_INBOXES)}) AS generic
+      replace(replace(replace(lower(split_part(email, '@', 1)), '.', ''), '_', ''), '-', '') IN ({", ".join(f"'{i}'" for i in INBOXES)}) AS generic
       FROM ({INBOX}) x""")
 def _(v):
     emails = v.spark.sql(INBOX.replace("$documents", "{documents}"), documents=v.documents)
-    return emails.select("doc_id", P.is_generic_inbox("email").alias("generic"))
+    return emails.select("doc_id", P.is_generic_inbox("email", INBOXES).alias("generic"))
 
 
 @query("plausible_person", r"""SELECT ordinal, coalesce(len(t) BETWEEN 2 AND 5 AND len(list_filter(t, lambda x: NOT regexp_full_match(x, '\p{Lu}[\p{L}''’.-]+'))) = 0
       AND len(list_filter(t, lambda x: list_contains([%s], lower(replace(replace(replace(replace(x, '''', ''), '’', ''), '.', ''), '-', ''))))) = 0, false) AS plausible
-      FROM (SELECT ordinal, string_split(trim(regexp_replace(legal_name, '\s+', ' ', 'g')), ' ') AS t FROM $register) x""" % ", ".join(f"'{w}'" for w in L.NOT_A_PERSON))
+      FROM (SELECT ordinal, string_split(trim(regexp_replace(legal_name, '\s+', ' ', 'g')), ' ') AS t FROM $register) x""" % ", ".join(f"'{w}'" for w in NOT_A_NAME))
 def _(v):
-    return v.register.select("ordinal", P.is_plausible_person("legal_name").alias("plausible"))
+    return v.register.select("ordinal", P.is_plausible_person("legal_name", NOT_A_NAME).alias("plausible"))
 
 
 @query("people_bearing", rf"""SELECT doc_id, regexp_matches(text, '(?i)\b({"|".join(L.ROLE_WORDS)})s?\b') OR regexp_matches(text, '{L.EMAIL}') OR regexp_matches(text, '{L.PHONE}') AS bearing

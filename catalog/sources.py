@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog.lists import PAGE_COLUMNS
 from catalog.registry import query
 from firmloom.sources import delimited as S
 from firmloom.sources import layout as Y
@@ -44,16 +45,16 @@ def _(v):
 
 
 COLUMN_CASE = "CASE " + " ".join(
-    f"WHEN {start} <= x0 + 0.5 THEN '{name}'" for name, start in reversed(Y.REGISTER_COLUMNS)
-) + f" ELSE '{Y.REGISTER_COLUMNS[0][0]}' END"
+    f"WHEN {start} <= x0 + 0.5 THEN '{name}'" for name, start in reversed(PAGE_COLUMNS)
+) + f" ELSE '{PAGE_COLUMNS[0][0]}' END"
 
 
 @query("rows_from_positioned_words", f"""
     WITH placed AS (SELECT page, CAST(round_even(top, 0) AS BIGINT) AS line, {COLUMN_CASE} AS col, x0, word_no, text FROM $placed_words),
     cells AS (SELECT page, line, col, string_agg(text, ' ' ORDER BY x0, word_no, text) AS t FROM placed GROUP BY page, line, col)
-    SELECT page, line, {", ".join(f"max(CASE WHEN col = '{n}' THEN t END) AS {n}" for n, _ in Y.REGISTER_COLUMNS)} FROM cells GROUP BY page, line""")
+    SELECT page, line, {", ".join(f"max(CASE WHEN col = '{n}' THEN t END) AS {n}" for n, _ in PAGE_COLUMNS)} FROM cells GROUP BY page, line""")
 def _(v):
-    return Y.rows_from_positioned_words(v.placed_words)
+    return Y.rows_from_positioned_words(v.placed_words, PAGE_COLUMNS)
 
 
 RECORDS = """

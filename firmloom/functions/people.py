@@ -22,13 +22,13 @@ def contact_channel(text: Column | str) -> Column:
     )
 
 
-def is_generic_inbox(email: Column | str, inboxes: list[str] = L.GENERIC_INBOXES) -> Column:
+def is_generic_inbox(email: Column | str, inboxes: list[str]) -> Column:
     """Whether the local part, without dots, underscores and hyphens, names an office inbox."""
     local = F.translate(F.lower(F.substring_index(F.trim(col(email)), "@", 1)), "._-", "")
     return F.coalesce(col(email).contains("@") & local.isin(inboxes), F.lit(False))
 
 
-def is_plausible_person(name: Column | str, junk: list[str] = L.NOT_A_PERSON) -> Column:
+def is_plausible_person(name: Column | str, junk: list[str]) -> Column:
     """Two to five name-like tokens, none of them a word that only pages use."""
     tokens = F.split(F.trim(F.regexp_replace(col(name), r"\s+", " ")), " ")
     bare = lambda t: F.lower(F.translate(t, NAME_PUNCTUATION, ""))

@@ -1,18 +1,16 @@
 """Evidence from crawled pages and search hits: tables of pages in, features out.
 
 `pages`: url, status, server, html. `search_hits`: company_id, query_no, rank,
-title, url. Per-firm lists are cut by `row_number` filters, which Spark applies
-before the shuffle, so no firm's hits or pages are gathered beyond the limit.
+title, url. Texts and lists are whole; a caller may pass a limit, which is then a
+`row_number` filter that Spark applies before the shuffle.
 """
 
 from __future__ import annotations
 
-import html as html_lib
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firmloom import lexicons as L
 from firmloom.functions.people import contact_channel, is_generic_inbox, is_plausible_person, people_bearing
@@ -21,9 +19,6 @@ from firmloom.functions.text import (
     blank_to_null, clean_firm_name, col, describe_authorisation, display_date, domain_label, host_of,
 )
 
-PAGE_CHARS, MIN_PAGE_CHARS = 8000, 100
-MAX_QUERIES, MAX_CANDIDATES, MAX_LINKS, MAX_PROBES, MAX_PEOPLE_PAGES = 4, 15, 6, 14, 3
-MAIN_CHARS, EXTRA_CHARS = 5000, 4000
 SITE_SCORE, BLOCKED_SCORE, ANCHOR_FLOOR, OFF_SECTOR_CAP = 30, 40, 75, 25
 PAGE_SEPARATOR = "--- additional page ---"
 LINK_LINE = r"^\[[^\n]*\]\(([^)\n]+)\)"
@@ -31,13 +26,40 @@ LINK_LINE = r"^\[[^\n]*\]\(([^)\n]+)\)"
 
 # --- Pages -----------------------------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(html_lib.unescape, na_action="ignore")
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Latin-1 characters by name; other named characters are removed with all others beyond Latin-1.
+NAMED = {name: chr(code) if code < 256 else "" for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
-def page_text(html: Column | str, limit: int = PAGE_CHARS, decode_entities: bool = True) -> Column:
-    """Readable text of a page; NULL when 100 characters or fewer remain."""
+def _up_to(place: str, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else F.col(place) <= limit
+
+
+def _start(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references as Latin-1 characters; those beyond are removed, unknown names stay."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(entity: Column) -> Column:
+        body = F.substring(entity, F.lit(2), F.length(entity) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 6), 16, 10)).otherwise(F.substring(body, 2, 7))
+        number = F.try_to_number(code, F.lit("9999999")).cast("int")
+        return (
+            F.when(~body.startswith("#"), F.coalesce(F.try_element_at(names, body), entity))
+            .when(number.between(1, 255), F.char(number)).otherwise("")
+        )
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), decoded)
+    between = F.split(text, ENTITY, -1)
+    whole = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(ENTITY), whole).otherwise(text)
+
+
+def page_text(html: Column | str, limit: int | None = None, decode: bool = True, min_chars: int = 1) -> Column:
+    """Readable text of a page; NULL when fewer than `min_chars` characters remain."""
     text = F.regexp_replace(
         col(html),
         r"(?is)<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>"
@@ -45,21 +67,21 @@ def page_text(html: Column | str, limit: int = PAGE_CHARS, decode_entities: bool
         " ",
     )
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    if decode_entities:
-        text = unescape_html(text)
+    if decode:
+        text = decode_entities(text)
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s\x{00A0}]+", " "), r"[^\x{0020}-\x{007E}\x{00A0}-\x{00FF}]", ""))
-    cut = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
-    return F.when(F.length(text) > MIN_PAGE_CHARS, cut)
+    cut = text if limit is None else F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) >= min_chars, cut)
 
 
 def is_bot_challenge(
     status: Column | str, server: Column | str, body: Column | str, markers: list[str] = L.CHALLENGE_MARKERS
 ) -> Column:
-    """A 403 or 503 from the CDN, or whose first 2,000 characters hold a challenge marker."""
-    head = F.lower(F.substring(F.coalesce(col(body), F.lit("")), 1, 2000))
+    """A 403 or 503 from the CDN, or whose body holds a challenge marker."""
+    whole = F.lower(F.coalesce(col(body), F.lit("")))
     seen = F.lower(F.coalesce(col(server), F.lit(""))).contains(L.CHALLENGE_CDN)
     for marker in markers:
-        seen = seen | head.contains(marker)
+        seen = seen | whole.contains(marker)
     return F.coalesce(col(status).isin(403, 503), F.lit(False)) & seen
 
 
@@ -96,9 +118,9 @@ def page_links(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def people_links(
-    pages: DataFrame, keys: list[str], pattern: str = L.PEOPLE_LINKS, limit: int = MAX_LINKS
+    pages: DataFrame, keys: list[str], pattern: str = L.PEOPLE_LINKS, limit: int | None = None
 ) -> DataFrame:
-    """First few distinct same-site links of a page that promise people: keys, url, link, place."""
+    """Distinct same-site links of a page that promise people: keys, url, link, place."""
     links = page_links(pages, keys)
     path = F.regexp_replace("link", r"^[A-Za-z]+://[^/]*", "")
     bare = lambda u: F.regexp_replace(F.split_part(u, F.lit("#"), F.lit(1)), "/$", "")
@@ -110,11 +132,11 @@ def people_links(
     )
     first = links.filter(wanted).groupBy(*keys, "url", "link").agg(F.min("position").alias("position"))
     order = Window.partitionBy(*keys, "url").orderBy("position")
-    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("position")
+    return first.withColumn("place", F.row_number().over(order)).filter(_up_to("place", limit)).drop("position")
 
 
 def people_probes(
-    sites: DataFrame, links: DataFrame, fetched: DataFrame, paths: list[str] = L.PEOPLE_PATHS, limit: int = MAX_PROBES
+    sites: DataFrame, links: DataFrame, fetched: DataFrame, paths: list[str] = L.PEOPLE_PATHS, limit: int | None = None
 ) -> DataFrame:
     """Pages worth fetching per site: its people links, then the usual paths, less those fetched.
 
@@ -130,37 +152,34 @@ def people_probes(
         fetched.select("company_id", F.col("url").alias("probe")), ["company_id", "probe"], "left_anti"
     )
     order = Window.partitionBy("company_id").orderBy("place", "probe")
-    return fresh.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return fresh.withColumn("place", F.row_number().over(order)).filter(_up_to("place", limit))
 
 
-def select_people_pages(probed: DataFrame, limit: int = MAX_PEOPLE_PAGES) -> DataFrame:
+def select_people_pages(probed: DataFrame, limit: int | None = None) -> DataFrame:
     """Pages kept per firm: those naming people, and one contact page; else the first readable one.
 
-    `probed`: (company_id, place, url, text). Pages opening with the same 200
-    characters count once. Returns (company_id, place, url, text).
+    `probed`: (company_id, place, url, text). Pages of the same text count once.
+    Returns (company_id, place, url, text).
     """
     readable = probed.filter("text is not null").withColumns({
         "bearing": people_bearing("text"),
         "contact": F.lower("url").contains("contact"),
     })
-    # The opening identifies a copy; the text itself stays whole.
-    opening = F.substring("text", 1, 200)
-    once = Window.partitionBy("company_id", opening).orderBy("place", "url")
+    once = Window.partitionBy("company_id", F.sha2("text", 256)).orderBy("place", "url")
     distinct = readable.withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").drop("__copy")
     kind = (
         F.when(F.col("bearing"), 0).when(F.col("contact"), 1).otherwise(2).alias("kind")
     )
     ranked = distinct.withColumn("kind", kind)
     in_kind = Window.partitionBy("company_id", "kind").orderBy("place", "url")
-    # At most `limit` bearing pages, one contact page and one other can matter.
-    short = ranked.withColumn("__n", F.row_number().over(in_kind)).filter(F.col("__n") <= limit).filter(
+    short = ranked.withColumn("__n", F.row_number().over(in_kind)).filter(_up_to("__n", limit)).filter(
         (F.col("kind") == 0) | (F.col("__n") == 1)
     )
     any_kept = F.max(F.col("kind") < 2).over(Window.partitionBy("company_id"))
     chosen = short.withColumn("__any", any_kept).filter((F.col("kind") < 2) | ~F.col("__any"))
     first = Window.partitionBy("company_id").orderBy("place", "url")
     return (
-        chosen.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= limit)
+        chosen.withColumn("__n", F.row_number().over(first)).filter(_up_to("__n", limit))
         .select("company_id", "place", "url", "text")
     )
 
@@ -237,24 +256,24 @@ def _not_social(url: Column) -> Column:
     return ~hit
 
 
-def cap_candidates(hits: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """First distinct non-social result URLs per firm, in (query, rank) order."""
+def cap_candidates(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct non-social result URLs per firm, in (query, rank) order."""
     first = hits.filter(_not_social(F.col("url"))).groupBy("company_id", "url").agg(
         F.min(F.struct("query_no", "rank")).alias("at"), F.min_by("title", F.struct("query_no", "rank")).alias("title")
     )
     order = Window.partitionBy("company_id").orderBy("at", "url")
     return (
-        first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        first.withColumn("place", F.row_number().over(order)).filter(_up_to("place", limit))
         .select("company_id", "place", "at.query_no", "at.rank", "title", "url")
     )
 
 
-def blocked_candidates(candidates: DataFrame, threshold: int = BLOCKED_SCORE) -> DataFrame:
+def blocked_candidates(candidates: DataFrame, threshold: int = BLOCKED_SCORE, limit: int | None = None) -> DataFrame:
     """URLs per firm that answered with a bot challenge and whose domain fits the firm's name."""
     blocked = candidates.filter(is_bot_challenge("status", "server", "html"))
     fit = site_match_score(blocked, with_text=False).filter(F.col("site_score") >= threshold)
     order = Window.partitionBy("company_id").orderBy("query_no", "rank", "url")
-    few = fit.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= MAX_CANDIDATES)
+    few = fit.withColumn("__n", F.row_number().over(order)).filter(_up_to("__n", limit))
     return few.groupBy("company_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("__n", "url"))), lambda s: s["url"]).alias("blocked")
     )
@@ -292,12 +311,12 @@ def social_links(hits: DataFrame) -> DataFrame:
     )
 
 
-def linkedin_hits(hits: DataFrame, limit: int = 5) -> DataFrame:
-    """Title and URL of the first few LinkedIn hits per firm: company_id, place, hit."""
+def linkedin_hits(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Title and URL of the LinkedIn hits per firm: company_id, place, hit."""
     order = Window.partitionBy("company_id").orderBy("query_no", "rank", "url")
     return (
         hits.filter(F.lower("url").contains("linkedin.com"))
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+        .withColumn("place", F.row_number().over(order)).filter(_up_to("place", limit))
         .select("company_id", "place", F.concat_ws(" ", "title", "url").alias("hit"))
     )
 
@@ -315,8 +334,8 @@ def domain_guesses(trading_name: Column | str, tlds: list[str] = L.PLAUSIBLE_TLD
     return F.when(fits, F.array(F.concat(F.lit("https://www."), host), F.concat(F.lit("https://"), host))).otherwise(none)
 
 
-def search_queries(limit: int = MAX_QUERIES) -> Column:
-    """Ordered search phrases of a company row, the first few that its fields allow."""
+def search_queries(limit: int | None = None) -> Column:
+    """Ordered search phrases of a company row, those that its fields allow."""
     filled = lambda c: blank_to_null(F.col(c))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     legal, trading = filled("legal_name"), filled("trading_name")
@@ -330,27 +349,28 @@ def search_queries(limit: int = MAX_QUERIES) -> Column:
         F.concat(legal, F.lit(" "), city),
         F.get(domain_guesses("trading_name"), 0),
     )
-    return F.slice(F.array_compact(tried), 1, limit)
+    phrases = F.array_compact(tried)
+    return phrases if limit is None else F.slice(phrases, 1, limit)
 
 
 # --- Site text -------------------------------------------------------------
 
-def site_document(main: DataFrame, extra: DataFrame) -> DataFrame:
+def site_document(main: DataFrame, extra: DataFrame, main_chars: int | None = None, extra_chars: int | None = None) -> DataFrame:
     """Text of the firm's site: a link line, the main page, then its people pages.
 
-    `main`: (company_id, title, url, text); `extra`: (company_id, place, text), at most three per firm.
+    `main`: (company_id, title, url, text); `extra`: (company_id, place, text).
     """
     parts = extra.groupBy("company_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("place", "text"))),
-            lambda p: F.concat(F.lit(f"\n{PAGE_SEPARATOR}\n"), F.substring(p["text"], 1, EXTRA_CHARS)),
+            lambda p: F.concat(F.lit(f"\n{PAGE_SEPARATOR}\n"), _start(p["text"], extra_chars)),
         ).alias("parts")
     )
     head = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit("]("), F.col("url"), F.lit(")\n"))
     return main.join(parts, "company_id", "left").select(
         "company_id", "url",
         F.concat(
-            head, F.substring("text", 1, MAIN_CHARS),
+            head, _start(F.col("text"), main_chars),
             F.array_join(F.coalesce("parts", F.array().cast("array<string>")), ""),
         ).alias("website_text"),
     )
@@ -396,9 +416,9 @@ def _contact(name: Column, role: Column, email: Column, detail: str) -> Column:
 def extract_contacts(
     df: DataFrame,
     text: str,
+    inboxes: list[str],
     officers: str | None = None,
     roles: list[str] = L.ROLE_WORDS,
-    inboxes: list[str] = L.GENERIC_INBOXES,
     unicode_names: bool = False,
     name: str = "contacts",
 ) -> DataFrame:
@@ -464,7 +484,7 @@ def contact_rows(df: DataFrame, keys: list[str], contacts: str = "contacts") ->
     return rows.select(*keys, "position", "c.*")
 
 
-def sanitise_contacts(contacts: DataFrame, junk: list[str] = L.NOT_A_PERSON, inboxes: list[str] = L.GENERIC_INBOXES) -> DataFrame:
+def sanitise_contacts(contacts: DataFrame, junk: list[str], inboxes: list[str]) -> DataFrame:
     """Classify contact rows (company_id, position, name, email): kept, relabelled or dropped.
 
     Plausible people stay, one per lower-cased name. Other names with an office
@@ -539,12 +559,14 @@ def research_confidence(presence: Column, website_text: Column, authorisations:
     return F.least(F.lit(100), total).cast("int")
 
 
-def sources_reviewed(domain: Column, hits: Column, registries: list[str] = L.REGISTRY_SOURCES) -> Column:
+def sources_reviewed(
+    domain: Column, hits: Column, registries: list[str] = L.REGISTRY_SOURCES, title_chars: int | None = None
+) -> Column:
     """Source labels: both registries, the website, then one per search hit struct<title,url>."""
     def label(hit: Column) -> Column:
         host = host_of(hit["url"])
         url = F.nullif(F.coalesce(hit["url"], F.lit("")), F.lit(""))
-        title = F.substring(hit["title"], 1, 30)
+        title = _start(hit["title"], title_chars)
         return F.concat(F.lit("search:"), F.coalesce(F.nullif(host, F.lit("")), url, title, F.lit("")))
 
     none = F.array().cast("array<string>")
@@ -568,11 +590,9 @@ def reconcile_presence(
     )
 
 
-CONTEXT_CHARS, CONTEXT_HITS = 12_000, 6
-
-
 def evidence_context(
-    website_text: Column, search_results: Column, linkedin: Column, blocked: Column, authorisations: Column | None = None
+    website_text: Column, search_results: Column, linkedin: Column, blocked: Column, authorisations: Column | None = None,
+    site_chars: int | None = None, hits: int | None = None,
 ) -> Column:
     """Text block per firm for the assessment step: register facts, site, search, LinkedIn."""
     line = lambda label, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(label + ": "), c))
@@ -583,13 +603,13 @@ def evidence_context(
         ))
     site = F.coalesce(F.trim(website_text), F.lit(""))
     body = (
-        F.when(site != "", F.concat(F.lit("Website:\n"), F.substring(site, 1, CONTEXT_CHARS)))
+        F.when(site != "", F.concat(F.lit("Website:\n"), _start(site, site_chars)))
         .when(F.size(blocked) > 0, F.concat(F.lit("Website: exists but blocked automated reading ("), F.array_join(blocked, ", "), F.lit(")")))
         .otherwise("Website: none verified")
     )
     bullets = lambda items: F.array_join(F.transform(items, lambda s: F.concat(F.lit("- "), s)), "\n")
     results = F.when(F.size(search_results) > 0, F.concat(
-        F.lit("Search results:\n"), bullets(F.slice(search_results, 1, CONTEXT_HITS))
+        F.lit("Search results:\n"), bullets(search_results if hits is None else F.slice(search_results, 1, hits))
     ))
     profiles = F.when(F.size(linkedin) > 0, F.concat(F.lit("LinkedIn:\n"), bullets(linkedin)))
     parts = [
@@ -603,7 +623,9 @@ def evidence_context(
     return F.concat_ws("\n", *parts, body, results, profiles)
 
 
-def outreach_inputs(contacts: Column, narrative: Column, verified: Column, best: Column) -> Column:
+def outreach_inputs(
+    contacts: Column, narrative: Column, verified: Column, best: Column, summary_chars: int | None = None
+) -> Column:
     """Inputs of the email step: recipient, context, lists, grounding text.
 
     `narrative` is a struct of text and array fields; `reference_points` falls
@@ -612,7 +634,7 @@ def outreach_inputs(contacts: Column, narrative: Column, verified: Column, best:
     fields = narrative
     points = F.coalesce(fields["reference_points"], fields["reference"], F.array().cast("array<string>"))
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    summary = F.substring(F.coalesce(fields["executive_summary"], F.lit("")), 1, 1500)
+    summary = _start(F.coalesce(fields["executive_summary"], F.lit("")), summary_chars)
     recipient = F.when(best.isNotNull(), F.concat_ws(", ", best["name"], best["role"])).otherwise("the team")
     context = F.concat_ws(
         "\n",

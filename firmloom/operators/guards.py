@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def sources_guard(registries: list[str] = L.REGISTRY_SOURCES) -> Column:
     )
 
 
-def dimension_guard(dimensions: list[str] = L.DIMENSIONS) -> Column:
+def dimension_guard(dimensions: list[str]) -> Column:
     """Scorecard completeness. `scorecard` maps a dimension to struct<is_object, reason>."""
     card = F.col("scorecard")
     entries = [card[d] for d in dimensions]
@@ -111,14 +112,15 @@ def presence_guard(pattern: str = L.PRESENCE_MISMATCH) -> Column:
     )
 
 
-# In the order they run.
-GUARDS: list[Guard] = [
-    ("CONF", "Research confidence", confidence_guard),
-    ("SUMM", "Executive summary", summary_guard),
-    ("QUAL", "Source quality", sources_guard),
-    ("DIM", "Dimension scorecard", dimension_guard),
-    ("DPRES", "Digital presence", presence_guard),
-]
+def standard_guards(dimensions: list[str]) -> list[Guard]:
+    """The five guards in the order they run, for scorecards of these dimensions."""
+    return [
+        ("CONF", "Research confidence", confidence_guard),
+        ("SUMM", "Executive summary", summary_guard),
+        ("QUAL", "Source quality", sources_guard),
+        ("DIM", "Dimension scorecard", lambda: dimension_guard(dimensions)),
+        ("DPRES", "Digital presence", presence_guard),
+    ]
 
 
 def _judged(guard: Guard) -> Column:
@@ -136,7 +138,7 @@ def _judged(guard: Guard) -> Column:
     )
 
 
-def run_guards(df: DataFrame, guards: list[Guard] = GUARDS, fail_fast: bool = True) -> DataFrame:
+def run_guards(df: DataFrame, guards: list[Guard], fail_fast: bool = True) -> DataFrame:
     """Add `guard_report`: results, passed, score, failures, warnings, errored.
 
     Guards are evaluated into columns of their own, each once per row; under
@@ -194,7 +196,7 @@ def storage_route(df: DataFrame, mode: str | None = "warn") -> DataFrame:
 LEVELS = ["high", "medium", "low"]
 
 
-def validate_assessment(dimensions: list[str] = L.DIMENSIONS) -> Column:
+def validate_assessment(dimensions: list[str]) -> Column:
     """Violation codes of an assessment row, in a fixed order; empty when it is valid."""
     summary = F.trim(F.coalesce("executive_summary", F.lit("")))
     confidence = F.col("research_confidence").try_cast("double")
@@ -237,9 +239,9 @@ def valid_contact(contact: Column) -> Column:
     return ok
 
 
-def validate_contacts(contacts: Column, fallback: Column) -> Column:
+def validate_contacts(contacts: Column, fallback: Column, junk: list[str]) -> Column:
     """Well-formed plausible contacts, or the fallback when none is left."""
-    kept = F.filter(contacts, lambda c: valid_contact(c) & is_plausible_person(c["name"]))
+    kept = F.filter(contacts, lambda c: valid_contact(c) & is_plausible_person(c["name"], junk))
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(fallback)
 
 
@@ -255,7 +257,7 @@ def _hits(text: Column, phrases: list[str], prefix: str, whole_words: bool = Fal
     return [F.when(test(p), F.lit(f"{prefix}:{p}")) for p in phrases]
 
 
-def content_tokens(text: Column, stopwords: list[str] = L.STOPWORDS) -> Column:
+def content_tokens(text: Column, stopwords: list[str]) -> Column:
     """Distinct lower-case words of five or more letters that are not stopwords."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{5,})"), F.lit(1)))
     return F.array_except(found, F.array(*[F.lit(s) for s in stopwords]))
@@ -265,20 +267,24 @@ def check_email(
     subject: Column | str,
     body: Column | str,
     grounding: Column | str,
+    competitors: list[str],
+    stopwords: list[str] | None = None,
     banned: list[str] = L.BANNED_PHRASES,
-    competitors: list[str] = L.COMPETITORS,
     competitor_words: bool = False,
 ) -> Column:
     """Issue codes of an outreach email; it passes when there are none.
 
-    Competitor names match inside words unless `competitor_words`.
+    Competitor names match inside words unless `competitor_words`. Words are runs of
+    letters and apostrophes. Stop words are Spark's English ones unless given.
     """
+    if stopwords is None:
+        stopwords = StopWordsRemover.loadDefaultStopWords("english")
     head = F.lower(F.coalesce(col(subject), F.lit("")))
     text = F.coalesce(col(body), F.lit(""))
     lowered = F.lower(text)
-    words = F.size(F.regexp_extract_all(text, F.lit(r"([^\s]+)"), F.lit(1)))
-    grounds = content_tokens(F.coalesce(col(grounding), F.lit("")))
-    ungrounded = (F.size(grounds) > 0) & ~F.arrays_overlap(grounds, content_tokens(text))
+    words = F.size(F.regexp_extract_all(text, F.lit(r"([A-Za-z'’]+)"), F.lit(1)))
+    grounds = content_tokens(F.coalesce(col(grounding), F.lit("")), stopwords)
+    ungrounded = (F.size(grounds) > 0) & ~F.arrays_overlap(grounds, content_tokens(text, stopwords))
     both = F.concat_ws("\n", head, lowered)
     return F.array_compact(F.array(
         F.when(words < WORDS_MIN, "too_short"),

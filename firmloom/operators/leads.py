@@ -304,7 +304,7 @@ def pipeline_segments(stats: DataFrame) -> DataFrame:
 def score_bracket(score: Column | str) -> Column:
     s = col(score)
     return (
-        F.when(F.coalesce(s, F.lit(0)) == 0, "No Score")
+        F.when(F.coalesce(s, F.lit(0)) < 1, "No Score")
         .when(s >= STRONG, "High (70-100)")
         .when(s >= MODERATE, "Medium (40-69)")
         .otherwise("Low (1-39)")
@@ -366,9 +366,10 @@ def batch_outcomes(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def batch_errors(outcomes: DataFrame, n: int = 10) -> DataFrame:
-    """First n rows of a bulk run that were not stored, in run order."""
-    return outcomes.filter(F.col("status") != "enriched").orderBy("ordinal").limit(n)
+def batch_errors(outcomes: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows of a bulk run that were not stored; with `n` the first of them in run order."""
+    failed = outcomes.filter(F.col("status") != "enriched")
+    return failed if n is None else failed.orderBy("ordinal").limit(n)
 
 
 def cost_by_model(calls: DataFrame) -> DataFrame:

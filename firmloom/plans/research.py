@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from firmloom.operators import evidence as W
 
 
-def research(companies: DataFrame, hits: DataFrame, pages: DataFrame) -> DataFrame:
+def research(companies: DataFrame, hits: DataFrame, pages: DataFrame, inboxes: list[str]) -> DataFrame:
     """Site, presence, contacts, coverage, confidence and sources of every firm.
 
-    Pages are read once per wanted URL: the candidate list is cut before the
-    join, and only pages that some firm's results name are parsed.
+    Only pages that some firm's results name are parsed.
     """
     firms = companies.withColumnRenamed("id", "company_id")
     anchors = firms.select("company_id", "legal_name", "trading_name", *W.ANCHORS)
@@ -41,7 +40,7 @@ def research(companies: DataFrame, hits: DataFrame, pages: DataFrame) -> DataFra
         .join(hit_list, "company_id", "left")
     )
     rows = rows.withColumn("presence", W.digital_presence("website_text", F.col("social_links"), F.col("blocked")))
-    rows = W.extract_contacts(rows, "website_text")
+    rows = W.extract_contacts(rows, "website_text", inboxes)
     return rows.withColumns({
         "coverage": W.research_coverage(F.col("presence"), F.col("contacts")),
         "research_confidence": W.research_confidence(F.col("presence"), F.col("website_text")),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmloom.functions.text import blank_to_null, county, eircode, squash_ws
 
-SNIFF_CHARS = 2048
 RAW = "raw_row"
 
 # Target field -> header keys, most specific first.
@@ -19,6 +18,8 @@ REGISTER_SYNONYMS = {
     "cro_number": ["cro number", "company number", "cro"],
     "authorisation_type": ["authorisation type", "registered as", "type"],
     "authorisation_status": ["authorisation status", "status"],
+    "county": ["county"],
+    "eircode": ["eircode", "postcode", "postal code"],
 }
 SNAPSHOT_COLUMNS = {
     "company_num": ["company_num", "company_number"],
@@ -66,30 +67,25 @@ def pick_snapshot_columns(
     return df.select(*keep, *fields)
 
 
-def separator_of(spark: SparkSession, path: str) -> str:
-    """Tab when the head of the file holds more tabs than commas. Only the head leaves the executors."""
-    head = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS)).limit(50).collect()
-    text = "\n".join(r[0] for r in head)[:SNIFF_CHARS]
-    return "\t" if text.count("\t") > text.count(",") else ","
-
-
 def reader_options(spark: SparkSession, path: str) -> dict[str, str | bool]:
-    """Encoding and line handling that read the whole file right, from one distributed pass.
+    """Encoding, separator and line handling that read the whole file right, from one distributed pass.
 
-    Bytes that are not UTF-8 mean Latin-1. A line with an
-    odd number of quotes means that some field spans lines; only then is the
-    file read unsplit.
+    Bytes that are not UTF-8 mean Latin-1. The separator is a tab where the file holds
+    more tabs than commas. A line with an odd number of quotes means that some field
+    spans lines; Spark then has to read that file in one piece.
     """
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     seen = spark.read.text(path).agg(
         F.coalesce(F.bool_or(~F.is_valid_utf8(value)), F.lit(False)).alias("other_bytes"),
         F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quote"),
+        (F.sum(F.length(value) - F.length(F.replace(value, F.lit("\t"), F.lit(""))))
+         > F.sum(F.length(value) - F.length(F.replace(value, F.lit(","), F.lit(""))))).alias("tabs"),
     ).first()
     return {
         "encoding": "ISO-8859-1" if seen.other_bytes else "UTF-8",
         "multiLine": seen.open_quote,
-        "sep": separator_of(spark, path),
+        "sep": "\t" if seen.tabs else ",",
     }
 
 
@@ -104,8 +100,20 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_source_order(df: DataFrame) -> DataFrame:
-    """Add `ordinal`, increasing in row order: the splits of one file are scanned in file order."""
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+    """Add `ordinal`, the row's place by file name, position of its block and place within the block.
+
+    Blocks are numbered by their place in the files, not by the order in which Spark
+    happens to deal them out.
+    """
+    placed = df.withColumns({
+        "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
+        "__row": F.monotonically_increasing_id(),
+    })
+    blocks = placed.select("__file", "__block").distinct()
+    numbered = blocks.withColumn("__n", F.row_number().over(Window.orderBy("__file", "__block")).cast("bigint"))
+    within = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(numbered), ["__file", "__block"]).withColumn(
+        "ordinal", F.shiftleft("__n", 33) + within).drop("__file", "__block", "__row", "__n")
 
 
 def scan_register(spark: SparkSession, path: str) -> DataFrame:
@@ -122,11 +130,15 @@ def register_records(rows: DataFrame, synonyms: dict[str, list[str]] = REGISTER_
 
 
 def firm_records(records: DataFrame) -> DataFrame:
-    """Clean names and address parts; drop records without a legal name."""
+    """Clean names and address parts; drop records without a legal name.
+
+    A register's own county and postcode count; the address is read where they are missing.
+    """
+    own = lambda c: blank_to_null(F.col(c)) if c in records.columns else F.lit(None).cast("string")
     return records.withColumns({
         "legal_name": squash_ws("legal_name"),
-        "county": county("registered_address"),
-        "eircode": eircode("registered_address"),
+        "county": F.coalesce(own("county"), county("registered_address")),
+        "eircode": F.coalesce(own("eircode"), eircode("registered_address")),
     }).filter("legal_name is not null")
 
 

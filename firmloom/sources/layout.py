@@ -9,17 +9,12 @@ from firmloom import lexicons as L
 from firmloom.functions.text import blank_to_null, parse_register_date
 from firmloom.operators.ordered import running_sum
 
-# Column name and left edge, left to right.
-REGISTER_COLUMNS = [
-    ("ref_no", 40.0), ("intermediary", 100.0), ("registered_as", 330.0),
-    ("registered_on", 470.0), ("persons_responsible", 600.0), ("passporting_into", 715.0),
-]
 HEADER_WORDS = ["ref no", "reference", "firm name", "intermediary", "name"]
 SLACK = 0.5
 
 
-def column_at(x0: Column, columns: list[tuple[str, float]] = REGISTER_COLUMNS) -> Column:
-    """Column whose left edge is the greatest at or before x0 (+0.5); the first one if none is."""
+def column_at(x0: Column, columns: list[tuple[str, float]]) -> Column:
+    """Of (name, left edge) pairs from left to right, the one whose left edge is the greatest at or before x0 (+0.5); the first one if none is."""
     found = F.lit(columns[0][0])
     for name, start in columns:
         found = F.when(F.lit(start) <= x0 + SLACK, name).otherwise(found)
@@ -27,7 +22,7 @@ def column_at(x0: Column, columns: list[tuple[str, float]] = REGISTER_COLUMNS) -
 
 
 def rows_from_positioned_words(
-    words: DataFrame, columns: list[tuple[str, float]] = REGISTER_COLUMNS, keys: tuple[str, ...] = ("page",)
+    words: DataFrame, columns: list[tuple[str, float]], keys: tuple[str, ...] = ("page",)
 ) -> DataFrame:
     """One row per printed line, its words joined per column in x order."""
     placed = words.withColumns({"line": F.bround("top").cast("long"), "column": column_at(F.col("x0"), columns)})

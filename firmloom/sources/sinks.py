@@ -1,49 +1,107 @@
-"""Versioned Parquet snapshots and the ingestion audit row."""
+"""Versioned Parquet tables and the ingestion audit row.
+
+A table is a folder of version folders and of pointers. A version is written to a
+fresh folder of its own attempt, then a numbered pointer names it; the pointer is put
+in place by a rename that fails if that number exists. Readers follow the highest
+pointer, so they see the version before or after, never a part. Nothing that a
+pointer names is overwritten or deleted by a write; `remove_old_versions` does that.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmloom import schemas
 
-POINTER = "_current"
+POINTERS = "_pointers"
 
 
-def write_snapshot(df: DataFrame, root: str, table: str, version: str) -> str:
-    """Write a table version to a directory of its own, then point readers at it.
+@dataclass(frozen=True)
+class Pointer:
+    """One written version: its number, name, folder, and the number of the version it was made from."""
 
-    Writing never touches the version being read, and repeating a version
-    replaces it, so a replayed batch leaves the same table.
-    """
-    path = f"{root}/{table}/{version}"
-    df.write.mode("overwrite").parquet(path)
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/{table}/{POINTER}")
-    return path
+    number: int
+    version: str
+    folder: str
+    base: int | None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def read_version(spark: SparkSession, root: str, table: str, version: str | None) -> DataFrame:
-    """One version of a table, empty where it was never written."""
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def pointers(spark: SparkSession, root: str, table: str) -> list[Pointer]:
+    """All pointers of a table, oldest first."""
+    folder, files = _path(spark, f"{root}/{table}/{POINTERS}")
+    if not files.exists(folder):
+        return []
+    found = []
+    for status in files.listStatus(folder):
+        if status.getPath().getName().endswith(".json"):
+            stream = files.open(status.getPath())
+            try:
+                text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            found.append(Pointer(**json.loads(text)))
+    return sorted(found, key=lambda p: p.number)
+
+
+def _point(spark: SparkSession, root: str, table: str, pointer: Pointer) -> None:
+    folder, files = _path(spark, f"{root}/{table}/{POINTERS}")
+    files.mkdirs(folder)
+    draft, _ = _path(spark, f"{folder.toString()}/.{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    try:
+        stream.write(bytearray(json.dumps(pointer.__dict__).encode()))
+    finally:
+        stream.close()
+    final, _ = _path(spark, f"{folder.toString()}/{pointer.number:012d}.json")
+    if files.exists(final) or not files.rename(draft, final):
+        files.delete(draft, False)
+        raise RuntimeError(f"{table}: another writer made version {pointer.number}; run again from it")
+
+
+def write_snapshot(df: DataFrame, root: str, table: str, version: str, base: int | None = None) -> Pointer:
+    """Write a version to a fresh folder, then point readers at it. `base`: number of the version it was made from."""
+    spark = df.sparkSession
+    known = pointers(spark, root, table)
+    number = known[-1].number + 1 if known else 1
+    folder = f"{version}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{root}/{table}/{folder}")
+    pointer = Pointer(number, version, folder, base if base is not None or not known else known[-1].number)
+    _point(spark, root, table, pointer)
+    return pointer
+
+
+def read_pointer(spark: SparkSession, root: str, table: str, pointer: Pointer | None) -> DataFrame:
+    """The version of a pointer; the empty table for None. A version whose files are gone is an error."""
     schema = getattr(schemas, table.upper())
-    path = f"{root}/{table}/{version}"
-    if version is None or not _exists(spark, path):
+    if pointer is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(f"{root}/{table}/{pointer.folder}")
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The current version of a table, empty before its first write."""
-    pointer = f"{root}/{table}/{POINTER}"
-    if not _exists(spark, pointer):
-        return read_version(spark, root, table, None)
-    row = spark.read.schema("version string").json(pointer).first()
-    return read_version(spark, root, table, row.version if row else None)
+    known = pointers(spark, root, table)
+    return read_pointer(spark, root, table, known[-1] if known else None)
+
+
+def remove_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> int:
+    """Delete all but the last `keep` versions with their pointers; returns how many."""
+    old = pointers(spark, root, table)[:-keep] if keep > 0 else []
+    for pointer in old:
+        for path, recursive in ((f"{root}/{table}/{POINTERS}/{pointer.number:012d}.json", False), (f"{root}/{table}/{pointer.folder}", True)):
+            target, files = _path(spark, path)
+            files.delete(target, recursive)
+    return len(old)
 
 
 def run_audit(

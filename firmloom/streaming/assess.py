@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmloom.operators.guards import GUARDS, Guard, run_guards, storage_route
+from firmloom.operators.guards import Guard, run_guards, storage_route
 from firmloom.operators.upsert import record_rejection, replace_enrichment
 from firmloom.session import cut
-from firmloom.sources.sinks import read_version, write_snapshot
+from firmloom.sources.sinks import Pointer, pointers, read_pointer, write_snapshot
 
+log = logging.getLogger(__name__)
 
-def assess_batch(batch: DataFrame, mode: str = "warn", guards: list[Guard] = GUARDS) -> DataFrame:
+
+def assess_batch(batch: DataFrame, guards: list[Guard], mode: str = "warn") -> DataFrame:
     """Batch of assessments with verdict and route columns and an outcome."""
     judged = run_guards(batch, guards)
     verdicts = judged.withColumns({
@@ -27,27 +31,42 @@ def assess_batch(batch: DataFrame, mode: str = "warn", guards: list[Guard] = GUA
     )
 
 
-def _before_batch(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame:
-    """The table as it was before this batch, also when the batch is replayed.
+def _before_batch(spark: SparkSession, root: str, table: str, run: str, batch_id: int) -> Pointer | None:
+    """The version this batch starts from, the same one when the batch is replayed.
 
-    The table a stream starts from is the version named "initial", if there is one.
+    A stream's first batch starts from the table as it is. A batch whose predecessor
+    is missing, or that comes after later ones of its run, is an error: the
+    checkpoint and the table do not belong together.
     """
-    version = f"v{batch_id - 1}" if batch_id else "initial"
-    return read_version(spark, root, table, version)
+    known = pointers(spark, root, table)
+    mine = {p.version: p for p in known if p.version.startswith(f"{run}-")}
+    if any(int(v.rsplit("-", 1)[1]) > batch_id for v in mine):
+        raise RuntimeError(f"{table}: run {run} is past batch {batch_id}; a reset checkpoint needs a new run name")
+    by_number = {p.number: p for p in known}
+    again = mine.get(f"{run}-{batch_id}")
+    if again is not None:
+        if again.base and again.base not in by_number:
+            raise RuntimeError(f"{table}: the version before {again.version} is gone")
+        return by_number[again.base] if again.base else None
+    if batch_id and f"{run}-{batch_id - 1}" not in mine:
+        raise RuntimeError(f"{table}: run {run} has no batch {batch_id - 1}")
+    return known[-1] if known else None
 
 
-def assess_sink(root: str, mode: str = "warn", on_audit: Callable[[DataFrame], None] | None = None):
+def assess_sink(
+    root: str, run: str, guards: list[Guard], mode: str = "warn", on_audit: Callable[[DataFrame], None] | None = None
+):
     """foreachBatch function writing enrichment, rejections and outcomes under `root`.
 
-    Version numbers follow the batch id, so a replay rewrites the same version
-    from the same predecessor. `on_audit` may fail without changing outcomes.
+    Versions are named by run and batch, so a replay starts from the same predecessor
+    as the first attempt. `on_audit` may fail without changing outcomes.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        routed = cut(assess_batch(batch, mode))
+        before = {t: _before_batch(spark, root, t, run, batch_id) for t in ("enrichment", "assessment_rejections")}
+        routed = cut(assess_batch(batch, guards, mode))
         text = routed.withColumn("guard_failures", F.to_json("guard_failures"))
-        enrichment = _before_batch(spark, root, "enrichment", batch_id)
-        rejections = _before_batch(spark, root, "assessment_rejections", batch_id)
+        enrichment, rejections = (read_pointer(spark, root, t, p) for t, p in before.items())
         refused = text.filter(~F.col("stored")).select(
             "company_id", "ordinal", F.col("route_reason").alias("reason"), "guard_failures", "guard_score",
             "llm_model", F.col("generated_at").alias("rejected_at"),
@@ -58,22 +77,24 @@ def assess_sink(root: str, mode: str = "warn", on_audit: Callable[[DataFrame], N
         late = refused.join(last_stored, "company_id", "left").filter(
             "stored_at is null or ordinal > stored_at"
         ).drop("stored_at")
-        write_snapshot(stored, root, "enrichment", f"v{batch_id}")
-        write_snapshot(record_rejection(cleared, late), root, "assessment_rejections", f"v{batch_id}")
+        for table, rows in (("enrichment", stored), ("assessment_rejections", record_rejection(cleared, late))):
+            start = before[table]
+            write_snapshot(rows, root, table, f"{run}-{batch_id}", start.number if start else 0)
         outcomes = routed.select("company_id", "ordinal", "outcome", "route_reason")
-        outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/batch={batch_id}")
+        outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/run={run}/batch={batch_id}")
         if on_audit is not None:
             try:
                 on_audit(outcomes)
             except Exception:  # noqa: BLE001 - the audit never decides an outcome
-                pass
+                log.exception("audit of batch %s of run %s failed", batch_id, run)
 
     return write
 
 
-def assess_stream(assessments: DataFrame, root: str, checkpoint: str, mode: str = "warn"):
-    """Writer of the streaming query; call `start()` on it."""
+def assess_stream(assessments: DataFrame, root: str, checkpoint: str, guards: list[Guard], mode: str = "warn"):
+    """Writer of the streaming query; call `start()` on it. A checkpoint folder is one run."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     return (
-        assessments.writeStream.foreachBatch(assess_sink(root, mode))
+        assessments.writeStream.foreachBatch(assess_sink(root, run, guards, mode))
         .option("checkpointLocation", checkpoint)
     )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from firmloom import lexicons as L
 from firmloom.operators import evidence as W
 
 lit = F.lit
@@ -51,8 +52,11 @@ def test_page_text(value):
     html = f"<head><title>t</title></head><script>x</script>{body}<svg>a<b></svg>"
     text = value(W.page_text(lit(html)))
     assert text.startswith("Café & tea words") and "<" not in text and not text.endswith("...")
-    assert value(W.page_text(lit("<p>short</p>"))) is None
-    assert len(value(W.page_text(lit("a " * 9000)))) == 8003
+    assert value(W.page_text(lit("<p>short</p>"))) == "short" and value(W.page_text(lit("<p> </p>"))) is None
+    assert value(W.page_text(lit("<p>short</p>"), min_chars=101)) is None
+    assert len(value(W.page_text(lit("a " * 9000)))) == 17999 and len(value(W.page_text(lit("a " * 9000), 8000))) == 8003
+    entities = "&lt;b&gt; &#233;&#xE9;&Eacute; &apos;&quot;&#39; a&nbsp;b &rsquo;&#8217;&#x2019; &bogus; &amp;amp; & &; &#0;&#9999999;x"
+    assert value(W.page_text(lit(entities))) == "<b> ééÉ '\"' a b &bogus; &amp; & &; x".replace("b  &", "b &")
 
 
 def test_people_links(spark):
@@ -60,27 +64,32 @@ def test_people_links(spark):
         ("/about-us#top", "x"), ("team", "<b>Meet</b> us"), ("/news", "News"), ("https://other.ie/team", "Team"), ("mailto:a@b.ie", "contact"),
         ("/", "about"), ("http://acme.ie/staff", "s"), ("/about-us", "again"), ("/p1", "People"), ("/p2", "people"), ("/p3", "people"), ("/p4", "people")])
     pages = spark.createDataFrame([("c", "http://www.acme.ie/", anchors)], "company_id string, url string, html string")
-    links = [r.link for r in W.people_links(pages, ["company_id"]).orderBy("place").collect()]
+    links = lambda **k: [r.link for r in W.people_links(pages, ["company_id"], **k).orderBy("place").collect()]
     base = "http://www.acme.ie"
-    assert links == [f"{base}/about-us", f"{base}/team", "http://acme.ie/staff", f"{base}/p1", f"{base}/p2", f"{base}/p3"]
+    expected = [f"{base}/about-us", f"{base}/team", "http://acme.ie/staff", f"{base}/p1", f"{base}/p2", f"{base}/p3", f"{base}/p4"]
+    assert links() == expected and links(limit=6) == expected[:6]
 
 
 def test_probes_and_people_pages(spark):
     sites = spark.createDataFrame([("c", "http://a.ie/x?y")], "company_id string, url string")
     links = spark.createDataFrame([("c", 1, "http://a.ie/who"), ("c", 2, "http://a.ie/team")], "company_id string, place int, link string")
     fetched = spark.createDataFrame([("c", "http://a.ie/about")], "company_id string, url string")
-    probes = [r.probe for r in W.people_probes(sites, links, fetched).orderBy("place").collect()]
+    probes = [r.probe for r in W.people_probes(sites, links, fetched, limit=14).orderBy("place").collect()]
+    assert W.people_probes(sites, links, fetched).count() == len(L.PEOPLE_PATHS)
     assert probes[:3] == ["http://a.ie/who", "http://a.ie/team", "http://a.ie/about-us"] and len(probes) == 14
     assert "http://a.ie/about" not in probes
 
-    def kept(*pages):
+    def kept(*pages, limit=3):
         rows = spark.createDataFrame([("c", i, u, t) for i, (u, t) in enumerate(pages)], "company_id string, place int, url string, text string")
-        return [r.url for r in W.select_people_pages(rows).orderBy("place").collect()]
+        return [r.url for r in W.select_people_pages(rows, limit).orderBy("place").collect()]
 
     team = "Mary Byrne, Director. "
     assert kept(("/news", "plain"), ("/team", team), ("/contact", "where to find us"), ("/contact2", "other words"), ("/team2", team)) == ["/team", "/contact"]
     assert kept(("/x", None), ("/a", "plain a"), ("/b", "plain b")) == ["/a"]
     assert kept(*[(f"/t{i}", f"{i} {team}") for i in range(5)]) == ["/t0", "/t1", "/t2"]
+    assert kept(*[(f"/t{i}", f"{i} {team}") for i in range(5)], limit=None) == [f"/t{i}" for i in range(5)]
+    banner = "one banner for all pages " * 20
+    assert kept(("/t0", f"{banner} Ann, Director"), ("/t1", f"{banner} Bob, Director")) == ["/t0", "/t1"]
 
 
 HITS = "company_id string, query_no int, rank int, title string, url string, legal_name string, trading_name string"
@@ -100,9 +109,9 @@ def test_social_and_linkedin(spark):
 
 def test_candidates_are_capped(spark):
     rows = [(f"t{i}", f"https://a.ie/{i % 20}") for i in range(30)] + [("s", "https://facebook.com/a"), ("box", "https://netbox.com/")]
-    got = [r.url for r in W.cap_candidates(hits(spark, *rows)).orderBy("place").collect()]
+    got = lambda **k: [r.url for r in W.cap_candidates(hits(spark, *rows), **k).orderBy("place").collect()]
     # "x.com" matches any URL holding those letters.
-    assert got == [f"https://a.ie/{i}" for i in range(15)]
+    assert got() == [f"https://a.ie/{i}" for i in range(20)] and got(limit=15) == got()[:15]
 
 
 def test_blocked_candidates(spark):
@@ -135,7 +144,7 @@ def test_document_and_presence(spark, value):
 
 def contacts_of(spark, text, officers=None):
     df = spark.createDataFrame([(text, officers)], "text string, officers array<struct<name:string,role:string>>")
-    return [(c.name, c.role, c.email) for c in W.extract_contacts(df, "text", "officers").first().contacts]
+    return [(c.name, c.role, c.email) for c in W.extract_contacts(df, "text", ["info"], "officers").first().contacts]
 
 
 def test_extract_contacts(spark):
@@ -149,7 +158,7 @@ def test_extract_contacts(spark):
 
 def test_sanitise_contacts(spark):
     rows = [("c", 0, "Mary Byrne", "m@a.ie"), ("c", 1, "Our Team", "info@a.ie"), ("c", 2, "Read More", None), ("c", 3, "mary byrne", "x@a.ie"), ("c", 4, "Mary Byrne", None)]
-    got = W.sanitise_contacts(spark.createDataFrame(rows, "company_id string, position int, name string, email string"))
+    got = W.sanitise_contacts(spark.createDataFrame(rows, "company_id string, position int, name string, email string"), ["our", "team", "read", "more"], ["info"])
     assert [(r.name_out, r.verdict, r.reason) for r in got.orderBy("position").collect()] == [
         ("Mary Byrne", "kept", None), ("General enquiries", "relabelled", None), ("Read More", "dropped", "not a plausible person"),
         ("mary byrne", "dropped", "not a plausible person"), ("Mary Byrne", "dropped", "duplicate")]
@@ -184,14 +193,16 @@ def test_context_and_outreach(spark):
     none = F.array().cast("array<string>")
     hits_ = F.array(*[lit(f"h{i}") for i in range(8)])
     text = firm.select(W.evidence_context(lit("s" * 13000), hits_, none, none)).first()[0]
-    assert text.startswith("Legal name: Acme\nRegistry number: 7") and text.count("s" * 12000) == 1 and "- h5" in text and "- h6" not in text
+    assert text.startswith("Legal name: Acme\nRegistry number: 7") and "s" * 13000 in text and "- h7" in text
+    cut = firm.select(W.evidence_context(lit("s" * 13000), hits_, none, none, site_chars=12000, hits=6)).first()[0]
+    assert "s" * 12000 in cut and "s" * 12001 not in cut and "- h5" in cut and "- h6" not in cut
     absent = firm.select(W.evidence_context(missing(), none, F.array(lit("p")), F.array(lit("a.ie")))).first()[0]
     assert "blocked" in absent and "a.ie" in absent and absent.endswith("LinkedIn:\n- p")
     narrative = F.struct(lit("S" * 2000).alias("executive_summary"), lit("angle").alias("recommended_angle"), none.alias("avoid"), none.alias("discovery"),
                          F.lit(None).cast("array<string>").alias("reference_points"), F.array(lit("old key")).alias("reference"))
     best = F.struct(lit("Mary Byrne").alias("name"), lit("Director").alias("role"))
     o = firm.select(W.outreach_inputs(F.array(best), narrative, F.array(lit("fact")), best).alias("o")).first().o
-    assert o.recipient == "Mary Byrne, Director" and o.reference_points == ["old key"] and len(o.summary) == 1500 and "fact" in o.grounding
+    assert o.recipient == "Mary Byrne, Director" and o.reference_points == ["old key"] and len(o.summary) == 2000 and "fact" in o.grounding
 
 
 def test_research_plan(spark):
@@ -208,7 +219,7 @@ def test_research_plan(spark):
         [("https://www.acmecover.ie/", 200, "nginx", f"<p>{BROKER}</p><a href='/team'>Our team</a>"),
          ("https://www.acmecover.ie/team", 200, "nginx", "<p>" + "Mary Byrne, Director. m.byrne@acmecover.ie. " * 4 + "</p>")],
         "url string, status int, server string, html string")
-    rows = {r.company_id: r for r in research(firms, found, pages).collect()}
+    rows = {r.company_id: r for r in research(firms, found, pages, ["info"]).collect()}
     acme = rows["c"]
     assert acme.presence.domain == "acmecover.ie" and acme.presence.pages_crawled == 2
     assert [(c.name, c.email) for c in acme.contacts] == [("Mary Byrne", "m.byrne@acmecover.ie")]

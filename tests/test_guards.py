@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.lists import COMPETITORS, DIMENSIONS, NOT_A_NAME
 from firmloom import lexicons as L
 from firmloom.operators import guards as G
 
@@ -15,7 +16,7 @@ def assessment(spark, **changes):
     row = dict(
         company_id="c", qualification_score=80, signal_strength="high", research_confidence="85", nested_confidence=None,
         executive_summary=GOOD, recommended_angle="billing", sources_reviewed=list(L.REGISTRY_SOURCES), sources_count=None,
-        scorecard={d: (True, f"because of {d}") for d in L.DIMENSIONS}, has_website=True, presence_notes="", avoid=[])
+        scorecard={d: (True, f"because of {d}") for d in DIMENSIONS}, has_website=True, presence_notes="", avoid=[])
     row.update(changes)
     return spark.createDataFrame([tuple(row.values())], ROW)
 
@@ -48,15 +49,15 @@ def test_sources(spark):
 
 
 def test_dimensions(spark):
-    full = {d: (True, f"because of {d}") for d in L.DIMENSIONS}
-    at = lambda card: judge(spark, G.dimension_guard, scorecard=card)[::2]
+    full = {d: (True, f"because of {d}") for d in DIMENSIONS}
+    at = lambda card: judge(spark, lambda: G.dimension_guard(DIMENSIONS), scorecard=card)[::2]
     assert at(full) == (True, 100) and at(None) == (False, 0) and at({}) == (False, 0)
-    first, second = L.DIMENSIONS[:2]
+    first, second = DIMENSIONS[:2]
     assert at({**full, first: (True, "thin")}) == (True, 85)
     assert at({d: v for d, v in full.items() if d != first}) == (True, 85)
     # An entry that is not an object is neither missing nor thin.
     assert at({**full, first: (False, None)}) == (True, 100)
-    assert at({d: (True, "one same reason") for d in L.DIMENSIONS}) == (True, 85)
+    assert at({d: (True, "one same reason") for d in DIMENSIONS}) == (True, 85)
     assert at({first: (True, "x")}) == (True, 30)
 
 
@@ -66,7 +67,7 @@ def test_presence(spark):
     assert at(has_website=False, presence_notes="No website found") == ("info", 100)
 
 
-def report(spark, guards=G.GUARDS, fail_fast=True, **changes):
+def report(spark, guards=G.standard_guards(DIMENSIONS), fail_fast=True, **changes):
     return G.run_guards(assessment(spark, **changes), guards, fail_fast).first().guard_report
 
 
@@ -99,12 +100,12 @@ def with_shape(df, reason="a good reason", level="high", name="Mary Byrne"):
     signal = lambda: F.struct(F.lit("high").alias("level"), F.lit(80.0).alias("pct"), F.lit("solid evidence seen").alias("reason"))
     graded = F.struct(*[F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason")).alias(f) for f in L.CONFIDENCE_FIELDS])
     return df.withColumns({
-        "signals": F.struct(*[signal().alias(d) for d in L.DIMENSIONS]),
+        "signals": F.struct(*[signal().alias(d) for d in DIMENSIONS]),
         "contacts": F.array(F.struct(F.lit(name).alias("name"), graded.alias("confidence")))})
 
 
 def test_schema_rules(spark):
-    codes = lambda shape={}, **c: with_shape(assessment(spark, **c), **shape).select(G.validate_assessment()).first()[0]
+    codes = lambda shape={}, **c: with_shape(assessment(spark, **c), **shape).select(G.validate_assessment(DIMENSIONS)).first()[0]
     assert codes() == []
     assert codes(qualification_score=120) == ["score_range"]
     assert codes(research_confidence="35") == ["confidence_unqualified"]
@@ -116,7 +117,7 @@ def test_schema_rules(spark):
 
 def test_contacts_fall_back(spark):
     pick = lambda **shape: with_shape(assessment(spark), **shape).select(G.validate_contacts(
-        F.col("contacts"), F.transform("contacts", lambda c: c.withField("name", F.lit("fallback"))))).first()[0][0].name
+        F.col("contacts"), F.transform("contacts", lambda c: c.withField("name", F.lit("fallback"))), NOT_A_NAME)).first()[0][0].name
     assert pick() == "Mary Byrne" and pick(reason="short") == "fallback" and pick(name="Our Team") == "fallback"
 
 
@@ -136,8 +137,8 @@ WORDS = "We noticed your renewals in Cork and wondered how billing works across
     ("x", WORDS, "a few tiny bits", []),
 ])
 def test_email(value, subject, body, grounding, issues):
-    assert value(G.check_email(F.lit(subject), F.lit(body), F.lit(grounding))) == issues
+    assert value(G.check_email(F.lit(subject), F.lit(body), F.lit(grounding), COMPETITORS)) == issues
 
 
 def test_competitor_word_mode(value):
-    assert value(G.check_email(F.lit("x"), F.lit(WORDS + " Your message"), F.lit("renewals"), competitor_words=True)) == []
+    assert value(G.check_email(F.lit("x"), F.lit(WORDS + " Your message"), F.lit("renewals"), COMPETITORS, competitor_words=True)) == []

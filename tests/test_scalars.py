@@ -54,10 +54,10 @@ def test_contact_channel(value, text, channel):
 
 
 def test_people(value):
-    inbox = lambda e: value(P.is_generic_inbox(lit(e)))
+    inbox = lambda e: value(P.is_generic_inbox(lit(e), ["info", "customerservice"]))
     assert inbox("In.Fo@firm.ie") and inbox("customer-service@firm.ie")
     assert not inbox("mary@firm.ie") and not inbox("info")
-    person = lambda n: value(P.is_plausible_person(lit(n)))
+    person = lambda n: value(P.is_plausible_person(lit(n), ["about", "us", "our", "team", "insurance"]))
     assert person("Mary O'Brien") and person("Seán Ó Briain-Walsh") is False and person("Seán MacBriain-Walsh")
     for junk in ("Mary", "About Us", "mary byrne", "Our Team", "Acme Insurance", "A B C D E F", ""):
         assert not person(junk), junk

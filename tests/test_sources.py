@@ -3,7 +3,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.lists import PAGE_COLUMNS
 from firmloom.operators import ordered
+from firmloom import schemas
 from firmloom.plans.ingest import run_ingestion
 from firmloom.sources import delimited as S
 from firmloom.sources import layout as Y
@@ -63,8 +65,8 @@ def test_latest_file(spark, tmp_path):
 
 
 def test_columns_of_words(spark):
-    at = {44.8: "ref_no", 106.7: "intermediary", 213.0: "intermediary", 604.4: "persons_responsible", 715.8: "passporting_into", 760.0: "passporting_into"}
-    row = spark.range(1).select(*[Y.column_at(F.lit(x)).alias(str(i)) for i, x in enumerate(at)]).first()
+    at = {44.8: "ref_no", 106.7: "intermediary", 213.0: "intermediary", 243.0: "registered_as", 363.0: "registered_on", 451.0: "tied_to", 604.4: "persons_responsible", 715.8: "passporting_into", 760.0: "passporting_into"}
+    row = spark.range(1).select(*[Y.column_at(F.lit(x), PAGE_COLUMNS).alias(str(i)) for i, x in enumerate(at)]).first()
     assert list(row) == list(at.values())
 
 
@@ -86,7 +88,7 @@ def test_records_across_pages(spark):
 
 def test_words_to_rows(spark):
     words = [(1, 1, 110.0, 10.2, "Acme"), (1, 2, 44.8, 10.4, "C1"), (1, 3, 105.0, 9.8, "The"), (1, 4, 101.0, 12.5, "even"), (2, 5, 10.0, 10.0, "left")]
-    rows = Y.rows_from_positioned_words(spark.createDataFrame(words, "page int, word_no int, x0 double, top double, text string"))
+    rows = Y.rows_from_positioned_words(spark.createDataFrame(words, "page int, word_no int, x0 double, top double, text string"), PAGE_COLUMNS)
     got = {(r.page, r.line): (r.ref_no, r.intermediary) for r in rows.collect()}
     assert got == {(1, 10): ("C1", "The Acme"), (1, 12): (None, "even"), (2, 10): ("left", None)}
 
@@ -132,6 +134,37 @@ def test_ingestion_end_to_end(spark, tmp_path):
     assert sinks.read_snapshot(spark, root, "ingestion_runs").count() == 2
 
 
+def test_one_run_twice_loses_nothing(spark, tmp_path):
+    register, registry = put(tmp_path / "r.csv", REGISTER), put(tmp_path / "s.csv", REGISTRY)
+    root = str(tmp_path / "tables")
+    run_ingestion(spark, register, registry, root, "run1")
+    audit = run_ingestion(spark, register, registry, root, "run1").first()
+    assert (audit.records_found, audit.records_new) == (2, 0)
+    assert sinks.read_snapshot(spark, root, "companies").count() == 2
+    assert sinks.read_snapshot(spark, root, "ingestion_runs").count() == 1
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = lambda n: spark.createDataFrame([("r%d" % i, "s", None, None, 1, 1, "[]") for i in range(n)], schemas.INGESTION_RUNS)
+    first = sinks.write_snapshot(rows(2), root, "ingestion_runs", "a")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_point", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_snapshot(rows(5), root, "ingestion_runs", "b")
+    assert sinks.read_snapshot(spark, root, "ingestion_runs").count() == 2
+    with pytest.raises(RuntimeError, match="another writer"):
+        sinks._point(spark, root, "ingestion_runs", first)
+    sinks.write_snapshot(rows(3), root, "ingestion_runs", "b")
+    assert sinks.remove_old_versions(spark, root, "ingestion_runs", keep=1) == 1
+    assert sinks.read_snapshot(spark, root, "ingestion_runs").count() == 3
+
+
+def test_own_county_and_postcode_count(spark, tmp_path):
+    path = put(tmp_path / "c.csv", "Firm Name,County,Eircode,Registered Address\nAcme,Cork,T12 AB34,\"1 St, Co. Mayo, F12 XY34\"\nBeta,,,\"1 St, Co. Mayo\"\n")
+    assert [(r.county, r.eircode) for r in S.scan_register(spark, path).orderBy("ordinal").collect()] == [("Cork", "T12 AB34"), ("Mayo", None)]
+
+
 def test_ingestion_without_snapshot_or_register(spark, tmp_path):
     root = str(tmp_path / "tables")
     audit = run_ingestion(spark, put(tmp_path / "r.csv", REGISTER), None, root, "run1").first()

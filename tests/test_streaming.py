@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.guards import assessments
+from catalog.lists import DIMENSIONS
 from catalog.views import Views
 from firmloom.operators import activity as A
+from firmloom.operators.guards import standard_guards
 from firmloom.sources.sinks import read_snapshot
 from firmloom.streaming.activity import settled_status_stream, step_status_stream
 from firmloom.streaming.assess import assess_batch, assess_sink
@@ -79,16 +81,30 @@ def test_assess_in_batches_equals_all_at_once(spark, judged, tmp_path):
         failing.append(outcomes.count())
         raise RuntimeError("audit down")
 
-    write = assess_sink(many, "block", on_audit=audit)
+    guards = standard_guards(DIMENSIONS)
+    write = assess_sink(many, "a", guards, "block", on_audit=audit)
     parts = [judged.filter("doc_id < 70"), judged.filter("doc_id between 70 and 130"), judged.filter("doc_id > 130")]
     for i, part in enumerate(parts):
         write(part, i)
     write(parts[2], 2)  # replayed
-    assess_sink(one, "block")(judged, 0)
+    assess_sink(one, "b", guards, "block")(judged, 0)
     assert final(spark, many) == final(spark, one)
     stored, refused = final(spark, many)
     assert stored and refused
     outcomes = spark.read.parquet(f"{many}/outcomes")
-    expected = {r.outcome: r["count"] for r in assess_batch(judged, "block").groupBy("outcome").count().collect()}
+    expected = {r.outcome: r["count"] for r in assess_batch(judged, guards, "block").groupBy("outcome").count().collect()}
     # A failed audit changes no outcome.
     assert {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()} == expected and len(failing) == 4
+
+
+def test_a_new_checkpoint_keeps_the_table(spark, judged, tmp_path):
+    root, guards = str(tmp_path), standard_guards(DIMENSIONS)
+    assess_sink(root, "a", guards)(judged.filter("doc_id < 100"), 0)
+    before = read_snapshot(spark, root, "enrichment").count()
+    assess_sink(root, "b", guards)(judged.filter("doc_id > 190"), 0)
+    assert read_snapshot(spark, root, "enrichment").count() >= before
+    with pytest.raises(RuntimeError, match="has no batch 2"):
+        assess_sink(root, "b", guards)(judged, 3)
+    assess_sink(root, "b", guards)(judged.filter("doc_id > 180"), 1)
+    with pytest.raises(RuntimeError, match="past batch 0"):
+        assess_sink(root, "b", guards)(judged, 0)
