@@ -10,12 +10,18 @@ from firmloom.llm.exact_dedup import exact_dedup
 from firmloom.llm.jaccard_join import jaccard_join
 from firmloom.llm.language_model import train_and_score
 from firmloom.llm.mixing import mix
+from firmloom.llm.pseudonyms import pseudonym_report, pseudonymise
 from firmloom.llm.quality import quality_scores
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
 from firmloom.llm.warc import assemble, capture_report, read_archive, write_archive
 
 SHARDS = 16
+KEY = b"firmloom"  # a deployment passes its own secret
+
+
+def op1_feistel_pseudonyms(spark, sf_dir):
+    return pseudonym_report(pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY))
 
 
 def op2_secret_scan(spark, sf_dir):
@@ -57,7 +63,7 @@ def op10_kneser_ney_scores(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
+        op1_feistel_pseudonyms, op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
         op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores)
 }
 QUERIES["pipeline"] = run
