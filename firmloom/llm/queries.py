@@ -14,7 +14,7 @@ from firmloom.llm.pseudonyms import pseudonym_report, pseudonymise
 from firmloom.llm.quality import quality_scores
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
-from firmloom.llm.warc import assemble, capture_report, read_archive, write_archive
+from firmloom.llm.warc import REPORT_FIELDS, assemble, capture_report, read_archive, write_archive
 
 SHARDS = 16
 KEY = b"firmloom"  # a deployment passes its own secret
@@ -38,7 +38,7 @@ def op4_exact_dedup(spark, sf_dir):
 
 def op5_warc_transactions(spark, sf_dir):
     manifest = write_archive(table(spark, sf_dir, "pages"))
-    return capture_report(assemble(read_archive(spark, manifest)))
+    return capture_report(assemble(read_archive(spark, manifest), REPORT_FIELDS))
 
 
 def op6_rendezvous_sharding(spark, sf_dir):

@@ -15,8 +15,8 @@ Assembly: records of a transaction name one of its records in WARC-Concurrent-To
 response or the request. They meet by that identifier and give one nested row per
 capture: request, response, metadata; a part that is missing has null fields. If a role
 occurs twice, the smaller record id counts. The block of a metadata record is in
-`fields`, the payload of the others in `payload`; a field that nobody reads is not
-shuffled.
+`fields`, the payload of the others in `payload`; the caller may name the fields that
+the rows shall have.
 
 Defined cases: a null html is empty; a null url is written as `urn:null` and comes
 back as null; null ids come after all others; rows that repeat an id and payload are
@@ -231,18 +231,21 @@ def read_archive(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return files.repartition(max(files.count(), 1)).mapInArrow(read_files, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, request, response, metadata (structs of FIELDS)."""
+def assemble(records: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """One row per capture: capture_id, request, response, metadata (structs of `fields`). Only those are shuffled."""
     roles = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
     keyed = records.filter(F.col("type").isin("request", "response", "revisit", "metadata")).withColumn(
         "capture_id", F.coalesce("concurrent_to", "record_id"))
     picks = [
         F.min_by(field, F.when(F.col("type").isin(*kinds), F.col("record_id"))).alias(f"{role}_{field}")
-        for role, kinds in roles.items() for field in FIELDS
+        for role, kinds in roles.items() for field in fields
     ]
     whole = keyed.groupBy("capture_id").agg(*picks)
     return whole.select("capture_id", *[
-        F.struct(*[F.col(f"{role}_{f}").alias(f) for f in FIELDS]).alias(role) for role in roles])
+        F.struct(*[F.col(f"{role}_{f}").alias(f) for f in fields]).alias(role) for role in roles])
+
+
+REPORT_FIELDS = ["record_id", "type", "refers_to", "payload_digest", "payload_bytes", "payload_sha256", "fields"]
 
 
 def capture_report(captures: DataFrame) -> DataFrame:
