@@ -18,7 +18,6 @@ from firmloom.functions.similarity import LevenshteinIndex, WRatioIndex
 from firmloom.session import cut
 
 CELL_NAMES = 4096
-SMALL_BLOCK_BINS = 4
 BROADCAST_BLOCKS = 200_000
 
 _BEST = T.StructType([
@@ -84,16 +83,23 @@ def best_matches(
     `left`: (block, name), distinct. `right`: (block, name, ordinal), names
     distinct within a block. Ties go to the lowest ordinal.
     """
-    bins = SMALL_BLOCK_BINS * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / cell)).cast("int")
-    # Only blocks beyond one cell get chunk numbers; at most (names / cell) of them exist.
-    sizes = cut(
+    blocks = cut(
         left.groupBy("block").agg(F.count(F.lit(1)).alias("l"), F.lit(0).alias("r"))
         .unionByName(right.groupBy("block").agg(F.lit(0).alias("l"), F.count(F.lit(1)).alias("r")))
         .groupBy("block").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .filter(F.greatest("l", "r") > cell)
-        .select("block", chunks("l").alias("n_left"), chunks("r").alias("n_right"))
+        .withColumn("large", F.greatest("l", "r") > cell)
     )
+    # Only blocks beyond one cell get chunk numbers; at most (names / cell) of them exist.
+    sizes = blocks.filter("large").select("block", chunks("l").alias("n_left"), chunks("r").alias("n_right"))
+    # As many bins as keep the names of small blocks to about a cell each; a task for each bin and each grid cell.
+    counted = blocks.agg(
+        F.sum(F.when(~F.col("large"), F.col("l") + F.col("r"))).alias("small"),
+        F.sum(F.when(F.col("large"), chunks("l").cast("bigint") * chunks("r"))).alias("cells"),
+    ).first()
+    least = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(least, -(-(counted.small or 0) // cell))
+    tasks = bins + (counted.cells or 0)
     # Broadcast by its counted size: then a block of most names stays where it was read.
     if sizes.count() <= BROADCAST_BLOCKS:
         sizes = F.broadcast(sizes)
@@ -101,7 +107,7 @@ def best_matches(
     lhs = _with_chunk(left, sizes, "n_left", "n_right", cell, bins)
     rhs = _with_chunk(right, sizes, "n_right", "n_left", cell, bins)
     # Few bytes, much work: a fixed count keeps AQE from merging the cells into one task.
-    lhs, rhs = (side.repartition(bins, *keys) for side in (lhs, rhs))
+    lhs, rhs = (side.repartition(tasks, *keys) for side in (lhs, rhs))
     found = (
         lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(
             _cell_matcher(scorer, cutoff or 0.0), _BEST

@@ -110,11 +110,11 @@ def resolve(register: DataFrame, snapshot: DataFrame, scorer: str = "wratio") ->
     match_confidence, needs_review, match_method, near_miss and degraded.
     """
     degraded = snapshot.isEmpty()
-    names = snapshot_by_name(snapshot)
+    names = cut(snapshot_by_name(snapshot))
     exact = match_by_name(match_by_number(register, snapshot), snapshot, names)
     hit = F.coalesce("number_hit", "name_hit")
     folded = F.nullif(fold_legal_name("legal_name"), F.lit(""))
-    exact = exact.withColumn("name", _spread(F.when(hit.isNull(), folded)))
+    exact = cut(exact.withColumn("name", _spread(F.when(hit.isNull(), folded))))
     residue = exact.filter(hit.isNull() & folded.isNotNull()).select("name")
     fuzzy = (
         match_fuzzy(residue, names, scorer=scorer)
