@@ -17,12 +17,6 @@ TABLES = (
 ).split()
 
 
-def words(text: str, n: int) -> str:
-    """SQL for the first n words of a text, a stand-in for a firm's name."""
-    line = f"replace({text}, chr(10), ' ')"
-    return "concat_ws(' ', " + ", ".join(f"split_part({line}, ' ', {i})" for i in range(1, n + 1)) + ")"
-
-
 VIEWS = {
     "companies": """
         SELECT 'C' || CAST(c_custkey AS STRING) AS id,
@@ -105,17 +99,22 @@ VIEWS = {
                CASE WHEN event_type IN ('signup', 'view') THEN 'assess' ELSE 'refresh' END AS kind,
                CASE WHEN event_type IN ('view', 'purchase') THEN 'finish' ELSE 'request' END AS action
         FROM $events""",
-    "register": f"""
-        SELECT doc_id AS ordinal, {words('text', 4)} AS legal_name,
-               CASE WHEN source = 'src1' THEN 'n-' || CAST(doc_id AS STRING) END AS cro_number, lang, source
-        FROM $documents""",
-    "snapshot": f"""
-        SELECT doc_id AS ordinal, 'N' || CAST(doc_id AS STRING) AS company_num,
-               CASE WHEN lang = 'en' THEN {words('text', 4)} || ' Ltd' ELSE {words('text', 5)} END AS company_name,
-               CASE WHEN n_chars > 500 THEN 'Normal' ELSE 'Dissolved' END AS company_status,
+    "titled": """
+        SELECT page_id, split_part(split_part(html, '<title>', 2), '</title>', 1) AS title,
+               split_part(split_part(html, 'lang="', 2), '"', 1) AS lang, length(html) AS n_chars,
+               'src' || CAST(page_id % 20 AS STRING) AS source
+        FROM $pages""",
+    "register": """
+        SELECT page_id AS ordinal, title AS legal_name,
+               CASE WHEN source = 'src1' THEN 'n-' || CAST(page_id AS STRING) END AS cro_number, lang, source
+        FROM $titled""",
+    "snapshot": """
+        SELECT page_id AS ordinal, 'N' || CAST(page_id AS STRING) AS company_num,
+               CASE WHEN lang = 'en' THEN title || ' Ltd' ELSE title || ' ' || source END AS company_name,
+               CASE WHEN n_chars > 2000 THEN 'Normal' ELSE 'Dissolved' END AS company_status,
                '2001-02-03' AS company_reg_date, 'LTD' AS company_type, CAST(NULL AS STRING) AS last_ar_date,
                CAST(NULL AS STRING) AS last_accounts_date, source AS princ_object_code
-        FROM $documents""",
+        FROM $titled""",
     "served_pages": """
         SELECT page_id, url, html,
                CASE WHEN url LIKE 'https%' THEN 200 WHEN url LIKE '%?%' THEN 403 ELSE 503 END AS status,
