@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 1. quality: rows that the classifier rejects go.
-2. near_duplicates: of each group of linked texts the row of the smallest id stays.
+2. near_duplicates: of each group of texts linked by a similarity of 0.8 or more in
+   shingles of five words the row of the smallest id stays.
 3. decontamination: documents in which a benchmark window occurs go.
 4. mixing: each document stays as often as the mix takes it, that is 0, 1 or 2 times.
 5. sharding: the rows get their shard and slot.
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return JaccardJoin(docs).keep_one()
+    return JaccardJoin(docs, n=5, percent=80).keep_one()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,9 +41,9 @@ def shingles(text, n=3):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def jaccard_components(rows, percent=90):
+def jaccard_components(rows, percent=90, n=3):
     """(doc_id, set size, component) of (doc_id, text) rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j in range(i):

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import brute
+from conftest import prose
 
 import corpus_pipeline
 from firmloom.llm.common import stage, table
@@ -40,3 +41,21 @@ def test_stages(spark):
     last = steps["sharding"](spark, fourth, FOLDER).collect()
     assert len(last) == fourth.count()
     assert sorted(map(tuple, last)) == sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect()))
+
+
+def test_near_duplicates_of_five_words(spark):
+    """Copies whose similarity is 0.8 or more in five words but below 0.9 in three."""
+    rows = []
+    for k in range(6):
+        base = prose(300 + k, 200).split()
+        swapped, longer = list(base), list(base)
+        for at in (30, 80, 130, 180):
+            swapped[at] = f"other{at}"
+        longer[100:100] = [f"more{i}" for i in range((20, 30, 40)[k % 3])]
+        fewer = [w if i % 20 else f"gap{i}" for i, w in enumerate(base)]  # below 0.8: stays
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate((base, swapped, longer, fewer))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER).collect())
+    assert kept == sorted({c for *_, c in brute.jaccard_components(rows, 80, 5)})
+    assert kept == sorted(10 * k + i for k in range(6) for i in (0, 3))
+    assert len({c for *_, c in brute.jaccard_components(rows)}) == len(rows)
