@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read through memory maps.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and read through memory maps.
 
 Words are 64-bit hashes. A model is a folder of sorted arrays in the shared folder:
 
@@ -10,6 +10,11 @@ Words are 64-bit hashes. A model is a folder of sorted arrays in the shared fold
    different words before each word, and the counts of counts for the discounts.
 3. The sums meet by word and are written as arrays by id.
 
+Order 3 first writes the pairs of step 2 without counts; a pair's id is its place. The
+triples are counted by range of their first pair, as followers and counts of each pair.
+Every range sends the pairs (v, w) of its distinct triples (u, v, w) with the number of
+their u, and step 2's merge takes these instead of raw counts.
+
 Only the numbers of a range and the counts of counts reach the driver. Workers map
 the arrays and look up a batch's distinct, sorted words and pairs range by range.
 Files carry fresh names and count only if the manifest names them, so a lost or
@@ -18,7 +23,8 @@ repeated task does no harm.
 A text is a sequence of words between two document ends; the closing end is a token.
 P(w | u) = (max(c(uw) - D, 0) + (D1 N1 + D2 N2 + D3 N3+)(u) P(w)) / c(u), with P(w) the
 same of continuation counts over 1 / (V + 1), the chance of any unknown word. An
-unknown context passes on to P(w).
+unknown context passes on to P(w). At order 3, P(w | uv) is the same of the raw counts over
+P(w | v), whose counts are continuation counts; before a text stand two document ends.
 
 Defined cases: a null or empty text has the end as its only token; a null id has the
 checksum of the empty string; without training rows all chances are 1; repeated rows
@@ -85,10 +91,34 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
 
 
-def _sequences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def write_counts(folder: str, counts: np.ndarray) -> str:
+    """One byte a count; those of 255 and more follow with their places."""
+    large = np.flatnonzero(counts >= 255)
+    parts = [np.minimum(counts, 255).astype("u1"), large.astype("<u8"), counts[large].astype("<u8")]
+    return ",".join(write_array(folder, x) for x in parts)
+
+
+def read_counts(folder: str, names: str, at: np.ndarray) -> np.ndarray:
+    small, places, large = names.split(",")
+    out = mapped(folder, small, "u1")[at].astype(np.uint64)
+    over = np.flatnonzero(out == 255)
+    if len(over):
+        out[over] = mapped(folder, large, "<u8")[np.searchsorted(mapped(folder, places, "<u8"), at[over].astype(np.uint64))]
+    return out
+
+
+def _by_part(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray, ranges: int) -> list[tuple[int, bytes, bytes]]:
+    """Packed runs of sorted keys for each part."""
+    order = np.argsort(parts, kind="stable")
+    at = np.searchsorted(parts[order], np.arange(ranges + 1))
+    cells = [order[at[p]:at[p + 1]] for p in range(ranges)]
+    return [(p, pack(keys[mine]), pack_counts(counts[mine])) for p, mine in enumerate(cells) if len(mine)]
+
+
+def _sequences(batch: pa.RecordBatch, before: int = 1) -> Iterator[np.ndarray]:
     """Each text's words with the document end before and after."""
     for words in batch_words(batch.column("text")):
-        yield np.concatenate((END, words, END))
+        yield np.concatenate((*[END] * before, words, END))
 
 
 @dataclass
@@ -178,6 +208,65 @@ def discounts(counts: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1)]
 
 
+@dataclass
+class Pairs:
+    """The sorted pairs: where each range lies and how many ids come before it."""
+
+    words: Words
+    keys: list[str]
+    base: np.ndarray
+
+    def ids(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ids of pairs of known words in any order, -1 for unknown pairs."""
+        out = np.full(len(first), -1, np.int64)
+        keys, parts = first.astype(np.uint64) * np.uint64(max(self.words.size, 1)) + second.astype(np.uint64), _part(self.words, first, second)
+        order = np.lexsort((keys, parts))
+        cuts = np.searchsorted(parts[order], np.arange(len(self.keys) + 1))
+        for p, name in enumerate(self.keys):
+            mine = order[cuts[p]:cuts[p + 1]]
+            if name and len(mine):
+                known = mapped(self.words.folder, name, "<u8")
+                at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
+                out[mine] = np.where(known[at] == keys[mine], at + self.base[p], -1)
+        return out
+
+
+@dataclass
+class Triples:
+    """Followers of each pair: by range of the pair, starts, words and counts, and the sums of each pair."""
+
+    pairs: Pairs
+    starts: list[str]
+    words: list[str]
+    counts: list[str]
+    sums: list[tuple[str, ...]]
+    discounts: list[float]
+
+    def find(self, pairs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the known pairs `pairs` and counts of `words`, -1 for unknown, behind them."""
+        folder = self.pairs.words.folder
+        sums, out = np.zeros(len(pairs), CONTEXT), np.zeros(len(pairs), np.uint64)
+        order = np.argsort(pairs, kind="stable")
+        cuts = np.searchsorted(pairs[order], self.pairs.base)
+        for p, name in enumerate(self.starts):
+            mine = order[cuts[p]:cuts[p + 1]]
+            if name and len(mine):
+                at, want = pairs[mine] - self.pairs.base[p], words[mine]
+                for field, names in zip(CONTEXT.names, self.sums[p], strict=True):
+                    sums[field][mine] = read_counts(folder, names, at)
+                starts, follow = mapped(folder, name, "<u4"), mapped(folder, self.words[p], "<u4")
+                low, end = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
+                high = end.copy()
+                while (open_ := low < high).any():
+                    middle = (low + high) // 2
+                    less = open_ & (follow[np.minimum(middle, len(follow) - 1)] < want)
+                    low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+                found = np.flatnonzero(low < end)
+                found = found[follow[low[found]] == want[found]]
+                out[mine[found]] = read_counts(folder, self.counts[p], low[found])
+        return sums, out
+
+
 @dataclass
 class Bigrams:
     """The whole model."""
@@ -191,6 +280,7 @@ class Bigrams:
     word_discounts: list[float]
     pair_types: int
     word_classes: list[int]
+    triples: Triples | None = None
 
     def parts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return _part(self.words, first, second)
@@ -206,7 +296,7 @@ class Bigrams:
                 known = mapped(self.words.folder, name, "<u8")
                 at = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
                 found = known[at] == keys[mine]
-                out[mine[found]] = mapped(self.words.folder, self.counts[p], "<u4")[at[found]]
+                out[mine[found]] = read_counts(self.words.folder, self.counts[p], at[found])
         return out
 
 
@@ -220,8 +310,9 @@ def _part(words: Words, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return of(first) // SPLIT * SPLIT + of(second) * SPLIT // ranges
 
 
-def count_pairs(docs: DataFrame, words: Words, folder: str) -> Bigrams:
-    size, ranges = np.uint64(max(words.size, 1)), 1 << words.bits
+def _gram_runs(words: Words, folder: str, before: int, pairs: Pairs | None = None):
+    """mapInArrow function: packed runs of the texts' pairs; with `pairs` of their triples, by range of the first pair."""
+    size, ranges, width = np.uint64(max(words.size, 1)), 1 << words.bits, 2 if pairs is None else 3
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(folder)
@@ -231,22 +322,20 @@ def count_pairs(docs: DataFrame, words: Words, folder: str) -> Bigrams:
             flat = np.concatenate(held)
             distinct, place = np.unique(flat, return_inverse=True)
             ids = words.ids(distinct)[place]
-            inner = np.ones(len(flat) - 1, bool)
-            inner[np.cumsum([len(x) for x in held])[:-1] - 1] = False
-            first, second = ids[:-1][inner], ids[1:][inner]
-            keys, counts = np.unique(first.astype(np.uint64) * size + second.astype(np.uint64), return_counts=True)
-            parts = _part(words, (keys // size).astype(np.int64), (keys % size).astype(np.int64))
-            order = np.argsort(parts, kind="stable")
-            at = np.searchsorted(parts[order], np.arange(ranges + 1))
-            rows = []
-            for p in range(ranges):
-                mine = order[at[p]:at[p + 1]]
-                if len(mine):
-                    rows.append((p, pack(keys[mine]), pack_counts(counts[mine])))
-            return _binary(rows, ["part", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
+            inner = np.ones(len(flat) - width + 1, bool)
+            for back in range(1, width):
+                inner[np.cumsum([len(x) for x in held])[:-1] - back] = False
+            first, last = ids[:len(inner)][inner], ids[width - 1:][inner]
+            if pairs is not None:
+                both, place = np.unique(first.astype(np.uint64) * size + ids[1:-1][inner].astype(np.uint64), return_inverse=True)
+                first = pairs.ids((both // size).astype(np.int64), (both % size).astype(np.int64))[place]
+            keys, counts = np.unique(first.astype(np.uint64) * size + last.astype(np.uint64), return_counts=True)
+            first, last = (keys // size).astype(np.int64), (keys % size).astype(np.int64)
+            parts = _part(words, first, last) if pairs is None else np.searchsorted(pairs.base, first, side="right") - 1
+            return _binary(_by_part(keys, counts, parts, ranges), ["part", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])
 
         for batch in batches:
-            for sequence in _sequences(batch):
+            for sequence in _sequences(batch, before):
                 held.append(sequence)
                 total += len(sequence)
                 if total >= FLUSH:
@@ -255,19 +344,94 @@ def count_pairs(docs: DataFrame, words: Words, folder: str) -> Bigrams:
         if held:
             yield cut()
 
+    return runs
+
+
+RUNS = "part int, keys binary, counts binary"
+
+
+def _merged_runs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _merge(
+        np.concatenate([unpack(x) for x in group.column("keys").to_pylist()]),
+        np.concatenate([unpack_counts(x) for x in group.column("counts").to_pylist()]))
+
+
+def number_pairs(docs: DataFrame, words: Words, folder: str) -> Pairs:
+    """Write the sorted pairs of `docs`, two document ends before each text."""
+
+    def write(group: pa.Table) -> pa.Table:
+        keys, _ = _merged_runs(group)
+        return pa.table({"part": group.column("part")[:1], "types": [len(keys)], "keys": [write_array(folder, keys.astype("<u8"))]})
+
+    rows = stage(docs.mapInArrow(_gram_runs(words, folder, 2), RUNS).groupBy("part").applyInArrow(
+        write, "part int, types bigint, keys string"), "pair_ids").collect()
+    by, every = {r.part: r for r in rows}, range(1 << words.bits)
+    return Pairs(words, [by[r].keys if r in by else "" for r in every], np.cumsum([0, *(by[r].types if r in by else 0 for r in every)]))
+
+
+def count_triples(docs: DataFrame, pairs: Pairs, folder: str) -> tuple[Triples, DataFrame]:
+    """The triples, and runs of the pairs (v, w) with the number of different words before them."""
+    words = pairs.words
+    size, ranges = np.uint64(max(words.size, 1)), 1 << words.bits
+
+    def write(group: pa.Table) -> pa.Table:
+        forget(folder)
+        part = int(group.column("part")[0].as_py())
+        keys, counts = _merged_runs(group)
+        first, last = (keys // size).astype(np.int64) - pairs.base[part], (keys % size).astype(np.int64)
+        many = int(pairs.base[part + 1] - pairs.base[part])
+        starts = np.searchsorted(first, np.arange(many + 1))
+        sums = [np.bincount(first, weights=x, minlength=many).astype(np.uint64) for x in (counts, counts == 1, counts == 2, counts > 2)]
+        names = [write_array(folder, starts.astype("<u4")), write_array(folder, last.astype("<u4")), write_counts(folder, counts),
+                 *(write_counts(folder, x) for x in sums)]
+        rows = [("triples", part, None, None, names, [int((counts == k).sum()) for k in range(1, 5)])]
+        middle = mapped(folder, pairs.keys[part], "<u8")[first] % size
+        after, befores = np.unique(middle * size + last.astype(np.uint64), return_counts=True)
+        parts = _part(words, (after // size).astype(np.int64), (after % size).astype(np.int64))
+        rows += [("pairs", p, k, c, None, None) for p, k, c in _by_part(after, befores, parts, ranges)]
+        return pa.Table.from_batches([_binary(
+            rows, ["kind", "part", "keys", "counts", "names", "totals"],
+            [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())])])
+
+    merged = stage(docs.mapInArrow(_gram_runs(words, folder, 2, pairs), RUNS).groupBy("part").applyInArrow(
+        write, f"kind string, {RUNS}, names array<string>, totals array<bigint>"), "triples")
+    by = {r.part: r for r in merged.filter("kind = 'triples'").select("part", "names", "totals").collect()}
+    names = [by[r].names if r in by else [""] * 7 for r in range(ranges)]
+    totals = np.sum([r.totals for r in by.values()], axis=0).tolist() if by else [0] * 4
+    found = Triples(pairs, *([n[i] for n in names] for i in range(3)), [tuple(n[3:]) for n in names], discounts(totals))
+    return found, merged.filter("kind = 'pairs'").select("part", "keys", "counts")
+
+
+def count_pairs(docs: DataFrame, words: Words, folder: str, order: int = 2) -> Bigrams:
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
+    size, ranges = np.uint64(max(words.size, 1)), 1 << words.bits
+    pairs, triples = None, None
+    if order == 2:
+        runs = docs.mapInArrow(_gram_runs(words, folder, 1), RUNS)
+    else:
+        pairs = number_pairs(docs, words, folder)
+        triples, runs = count_triples(docs, pairs, folder)
+
     def write(group: pa.Table) -> pa.Table:
         """The range's pair arrays, and its share of every word's sums by range of the word."""
-        keys, counts = _merge(
-            np.concatenate([unpack(x) for x in group.column("keys").to_pylist()]),
-            np.concatenate([unpack_counts(x) for x in group.column("counts").to_pylist()]))
+        forget(folder)
+        part = int(group.column("part")[0].as_py())
+        keys, counts = _merged_runs(group)
+        if pairs is None:
+            names = write_array(folder, keys.astype("<u8")), write_counts(folder, counts)
+        else:  # the pairs have been written; that of two document ends may have no count
+            known = mapped(folder, pairs.keys[part], "<u8")
+            whole = np.zeros(len(known), np.uint64)
+            whole[np.searchsorted(known, keys)] = counts
+            names = pairs.keys[part], write_counts(folder, whole)
         first, second = keys // size, (keys % size).astype(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         sums = np.zeros(len(starts), CONTEXT)
         sums["count"] = np.add.reduceat(counts, starts)
         for name, holds in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts > 2)):
             sums[name] = np.add.reduceat(holds.astype(np.uint32), starts)
-        rows = [("pairs", int(group.column("part")[0].as_py()), write_array(folder, keys.astype("<u8")),
-                 write_array(folder, np.minimum(counts, 2**32 - 1).astype("<u4")), None, None,
+        rows = [("pairs", part, *names, None, None,
                  [len(keys), *(int((counts == k).sum()) for k in range(1, 5))])]
         befores, many = np.unique(second, return_counts=True)
         for kind, ids, values in (("context", first[starts].astype(np.int64), sums), ("before", befores, many.astype("<u4"))):
@@ -294,22 +458,22 @@ def count_pairs(docs: DataFrame, words: Words, folder: str) -> Bigrams:
             "kind": [kind], "part": pa.array([part], pa.int32()), "name": [write_array(folder, out)],
             "totals": pa.array([classes], pa.list_(pa.int64()))})
 
-    merged = stage(docs.mapInArrow(runs, "part int, keys binary, counts binary").groupBy("part").applyInArrow(
+    merged = stage(runs.groupBy("part").applyInArrow(
         write, "kind string, part int, keys string, counted string, ids binary, values binary, totals array<bigint>"), "pairs")
-    pairs = {r.part: r for r in merged.filter("kind = 'pairs'").select("part", "keys", "counted", "totals").collect()}
+    ends = {r.part: r for r in merged.filter("kind = 'pairs'").select("part", "keys", "counted", "totals").collect()}
     arrays = stage(merged.filter("kind <> 'pairs'").groupBy("kind", "part").applyInArrow(
         sum_up, "kind string, part int, name string, totals array<bigint>"), "sums").collect()
     named = {(r.kind, r.part): r.name for r in arrays}
-    totals = np.sum([r.totals for r in pairs.values()], axis=0).tolist() if pairs else [0] * 5
-    classes = np.sum([r.totals for r in arrays if r.kind == "before"], axis=0).tolist() if pairs else [0] * 5
+    totals = np.sum([r.totals for r in ends.values()], axis=0).tolist() if ends else [0] * 5
+    classes = np.sum([r.totals for r in arrays if r.kind == "before"], axis=0).tolist() if ends else [0] * 5
     every = range(ranges)
     return Bigrams(
-        words, [pairs[r].keys if r in pairs else "" for r in every], [pairs[r].counted if r in pairs else "" for r in every],
+        words, [ends[r].keys if r in ends else "" for r in every], [ends[r].counted if r in ends else "" for r in every],
         [named.get(("context", r), "") for r in every], [named.get(("before", r), "") for r in every],
-        discounts(totals[1:]), discounts(classes[:4]), totals[0], [classes[0], classes[1], classes[4]])
+        discounts(totals[1:]), discounts(classes[:4]), totals[0], [classes[0], classes[1], classes[4]], triples)
 
 
-def train(docs: DataFrame, text_column: str = "text", bits: int | None = None) -> Bigrams:
+def train(docs: DataFrame, text_column: str = "text", bits: int | None = None, order: int = 2) -> Bigrams:
     """Count the texts of `docs`. 2^bits ranges; by default about one for each shuffle partition."""
     spark: SparkSession = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -318,7 +482,7 @@ def train(docs: DataFrame, text_column: str = "text", bits: int | None = None) -
     folder = shared_path(spark, "model")
     make_folder(folder)
     texts = docs.select(text_of(text_column).alias("text"))
-    return count_pairs(texts, count_words(texts, folder, bits), folder)
+    return count_pairs(texts, count_words(texts, folder, bits), folder, order)
 
 
 def _discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
@@ -362,6 +526,17 @@ def score_sequences(model: Bigrams, sequences: list[np.ndarray]) -> dict[str, np
         about = context[u[seen]]
         left = sum(d * about[n].astype(np.float64) for d, n in zip(model.pair_discounts, ("n1", "n2", "n3"), strict=True))
         chance[seen] = (_discounted(pair[seen], model.pair_discounts) + left * lower[w[seen]]) / about["count"]
+    if model.triples is not None:
+        opening = np.zeros(len(flat), bool)
+        opening[ends - lengths + 1] = True
+        third = np.where(opening[second], words.ids(END)[0], ids[place[np.maximum(second - 2, 0)]])
+        known = np.flatnonzero((third >= 0) & (ids[u] >= 0))
+        pair = model.triples.pairs.ids(third[known], ids[u[known]])
+        known, pair = known[pair >= 0], pair[pair >= 0]
+        about, count = model.triples.find(pair, ids[w[known]])
+        known, about, count = (x[about["count"] > 0] for x in (known, about, count))
+        left = sum(d * about[n].astype(np.float64) for d, n in zip(model.triples.discounts, ("n1", "n2", "n3"), strict=True))
+        chance[known] = (_discounted(count.astype(np.float64), model.triples.discounts) + left * chance[known]) / about["count"]
     at = np.concatenate(([0], np.cumsum(lengths - 1)[:-1]))
     return {
         "n_tokens": lengths - 1, "n_known": np.add.reduceat((counts[w] > 0).astype(np.int64), at),
@@ -394,7 +569,7 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def train_and_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", order: int = 2) -> DataFrame:
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
-    model = train(rows.filter(~F.col("held_out")))
+    model = train(rows.filter(~F.col("held_out")), order=order)
     return score(rows, model, ("doc_id", "held_out"))

@@ -58,7 +58,7 @@ def op9_quality_classifier(spark, sf_dir):
 
 
 def op10_kneser_ney_scores(spark, sf_dir):
-    return train_and_score(table(spark, sf_dir, "documents"))
+    return train_and_score(table(spark, sf_dir, "documents"), order=3)
 
 
 QUERIES = {
