@@ -10,7 +10,13 @@ what is kept (country, issuer, domain name) are part of the key of the permutati
 
 Kinds: e-mail local parts, IBANs (mod 97), IPv4 addresses, phone numbers, US social
 security numbers, dates (ISO, dotted, slashed; 1900 to 2099) and payment cards
-(Luhn). Where two candidates overlap the one first in this order counts.
+(Luhn). Where two candidates overlap the one first in this order counts. Slashes are
+day/month, or month/day where the second number is above 12; the latter keep to the
+dates of that order. Digit groups before or behind a card, and words behind an IBAN, may
+match with it: such a match is tried at its group borders, an IBAN first at its country's
+length, then from the longest to the shortest, then from the next group on. A pseudonym
+with which another of these trials would succeed is permuted on until none does, so that
+the way back meets the same value; only there may equal values differ.
 
 Defined cases: a null text stays null, an empty one empty, both without values; very
 long texts are scanned whole; a value that fails validation stays; repeated rows give
@@ -22,6 +28,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -118,10 +125,33 @@ def email(m: re.Match, f: Feistel, back: bool = False) -> str | None:
     return f"{_class_permuted(local, f'email:{shape}@{domain.lower()}'.encode(), f, back)}@{domain}"
 
 
-def iban(m: re.Match, f: Feistel, back: bool = False) -> str | None:
+IBAN_LENGTH = {
+    c[:2]: int(c[2:]) for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+        "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()}
+
+
+def _borders(text: str, marks: str) -> list[int]:
+    """Ends of the prefixes that end with a group, longest first."""
+    return [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] in marks)]
+
+
+def iban_ends(text: str) -> list[int]:
+    length = IBAN_LENGTH.get(text[:2])
+    return sorted(_borders(text, " "), key=lambda end: end - text.count(" ", 0, end) != length)
+
+
+def iban_valid(text: str) -> bool:
+    bare = text.replace(" ", "")
+    return 15 <= len(bare) <= 34 and iban_check(bare[:2], bare[4:]) == bare[2:4]
+
+
+def iban(m: re.Match | list[str], f: Feistel, back: bool = False) -> str | None:
     bare = m[0].replace(" ", "")
-    country, check, rest = bare[:2], bare[2:4], bare[4:]
-    if not 15 <= len(bare) <= 34 or iban_check(country, rest) != check:
+    country, rest = bare[:2], bare[4:]
+    if not iban_valid(m[0]):
         return None
     shape = "".join("0" if c in DIGITS else "A" for c in rest)
     new = _class_permuted(rest, f"iban:{country}{shape}".encode(), f, back)
@@ -165,6 +195,8 @@ def date(m: re.Match, f: Feistel, back: bool = False) -> str | None:
     parts = [int(x) for x in m[0].split(mark)]
     iso = mark == "-"
     year, month, day = parts if iso else parts[::-1]
+    if mark == "/" and month > 12:
+        return _month_first(parts, f, back)
     try:
         at = dt.date(year, month, day).toordinal() - START
     except ValueError:
@@ -175,9 +207,33 @@ def date(m: re.Match, f: Feistel, back: bool = False) -> str | None:
     return new.strftime("%Y-%m-%d") if iso else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
 
 
-def card(m: re.Match, f: Feistel, back: bool = False) -> str | None:
+# Days above 12 of each month, so that month/day cannot be read as day/month.
+LATE = [d for d in range(DAYS) if dt.date.fromordinal(START + d).day > 12]
+
+
+def _month_first(parts: list[int], f: Feistel, back: bool) -> str | None:
+    try:
+        at = dt.date(parts[2], parts[0], parts[1]).toordinal() - START
+    except ValueError:
+        return None
+    if not 0 <= at < DAYS:
+        return None
+    new = dt.date.fromordinal(START + LATE[f.permute(bisect_left(LATE, at), len(LATE), b"date:month", back)])
+    return f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+
+
+def card_ends(text: str) -> list[int]:
+    return _borders(text, " -")
+
+
+def card_valid(text: str) -> bool:
+    bare = _digits(text)
+    return 13 <= len(bare) <= 19 and bare[0] != "0" and luhn_digit(bare[:-1]) == bare[-1]
+
+
+def card(m: re.Match | list[str], f: Feistel, back: bool = False) -> str | None:
     bare = _digits(m[0])
-    if not 13 <= len(bare) <= 19 or bare[0] == "0" or luhn_digit(bare[:-1]) != bare[-1]:
+    if not card_valid(m[0]):
         return None
     rest = bare[1:-1]
     out = f.places([int(c) for c in rest], [10] * len(rest), f"card:{bare[0]}:{len(rest)}".encode(), back)
@@ -195,10 +251,49 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
         r"|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})" + NOT_AFTER), phone),
     "ssn": (re.compile(NOT_BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])"), ssn),
     "date": (re.compile(
-        r"(?<![A-Za-z0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9]|[.-][0-9])"), date),
+        r"(?<![A-Za-z0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+        r"(?:(?![A-Za-z0-9]|[.-][0-9])|(?<=-[0-9]{2})(?=T[0-9]{2}))"), date),
     "card": (re.compile(NOT_BEFORE + r"[0-9](?:[ -]?[0-9]){12,18}" + NOT_AFTER), card),
 }
 ANY = re.compile("[0-9@]")
+# kind -> (ends of the prefixes to try in turn, validation, borders of groups)
+GROUPED: dict[str, tuple[Callable, Callable, str]] = {"iban": (iban_ends, iban_valid, " "), "card": (card_ends, card_valid, " -")}
+REACH = 128  # more characters than three matches of a grouped kind have
+
+
+def _grouped(kind: str, text: str, used: bytearray, at: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Spans of the valid values that start from `at` on, before `stop`."""
+    ends, valid, marks = GROUPED[kind]
+    while (m := KINDS[kind][0].search(text, at)) and m.start() < stop:
+        hit = next((e for e in ends(m[0]) if not any(used[m.start():m.start() + e]) and valid(m[0][:e])), None)
+        if hit:
+            at = m.start() + hit
+            yield m.start(), at
+        else:
+            at = next((i for i in range(m.start(), m.end()) if text[i] in marks), m.end())
+
+
+def _permuted_groups(kind: str, text: str, used: bytearray, f: Feistel, back: bool) -> list[tuple[int, int, str, str]]:
+    """The values of a grouped kind. One after the other is replaced, on the way back from the
+    last to the first, so both ways a value meets the same neighbours and walks the same cycle."""
+    cells, now, new = list(_grouped(kind, text, used, 0, len(text))), {}, {}
+    for k in reversed(range(len(cells))) if back else range(len(cells)):
+        start, end = cells[k]
+        low = max(0, start - REACH, cells[k - 3][1] if k > 2 else 0)
+        window, value = list(text[low:end + REACH]), text[start:end]
+        for a, b in cells[max(0, k - 9):k + 9]:
+            for i in range(max(a, low), min(b, end + REACH)):
+                window[i - low] = now.get(i, text[i])
+        trials = lambda: list(_grouped(kind, "".join(window), used[low:end + REACH], 0, end - low))
+        found = trials()
+        while True:
+            value = KINDS[kind][1]([value], f, back)
+            window[start - low:end - low] = value
+            if trials() == found:
+                break
+        now.update(zip(range(start, end), value, strict=True))
+        new[k] = value
+    return [(*cells[k], kind, new[k]) for k in range(len(cells))]
 
 
 def find_values(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -206,10 +301,14 @@ def find_values(text: str, f: Feistel, back: bool = False) -> list[tuple[int, in
     taken: list[tuple[int, int, str, str]] = []
     if not ANY.search(text):
         return taken
-    used = bytearray()
+    used = bytearray(len(text))
     for kind, (pattern, new) in KINDS.items():
+        if kind in GROUPED:
+            for hit in _permuted_groups(kind, text, used, f, back):
+                used[hit[0]:hit[1]] = b"\x01" * (hit[1] - hit[0])
+                taken.append(hit)
+            continue
         for m in pattern.finditer(text):
-            used = used or bytearray(len(text))
             if any(used[m.start():m.end()]):
                 continue
             pseudonym = new(m, f, back)

@@ -97,3 +97,38 @@ def test_report(spark, nothing):
     rows = {r.doc_id: r for r in pseudonym_report(pseudonymise(df, KEY)).collect()}
     assert (rows[1].n_date, rows[1].n_email, rows[1].n_card, rows[1].n_phone) == (1, 1, 1, 0) and rows[2].text is None and rows[2].n_card == 0
     assert pseudonym_report(pseudonymise(nothing, KEY)).count() == 0
+
+
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+BESIDE = [
+    (f"{CARD} 123", CARD), ("4111111111111111 12", "4111111111111111"), ("3782 822463 10005 2027", "3782 822463 10005"),
+    (f"{IBAN} EUR", IBAN), ("2024-01-31T10:00:00Z", "2024-01-31"), ("12/31/2020", "12/31/2020"),
+]
+
+
+@pytest.mark.parametrize("text, value", BESIDE)
+def test_values_beside_other_groups(text, value):
+    new, kinds = one(f"x {text}, y")
+    assert len(kinds) == 1 and value not in new and new.endswith(text[len(value):] + ", y")
+    assert replace_values(new, find_values(new, F, back=True)) == f"x {text}, y"
+
+
+def test_groups_around_cards_come_back():
+    rng = random.Random(7)
+    for _ in range(300):
+        cells = []
+        for _ in range(rng.randint(1, 4)):
+            payload = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+            card = payload + luhn_digit(payload)
+            cells.append(" ".join(card[i:i + 4] for i in range(0, 16, 4)) if rng.random() < 0.7 else card)
+            cells += [str(rng.randint(1, 9999)) for _ in range(rng.randint(0, 2))]
+        text = " ".join(cells)
+        new = replace_values(text, find_values(text, F))
+        assert new != text and replace_values(new, find_values(new, F, back=True)) == text
+
+
+def test_month_first_dates_keep_their_order():
+    days = [f"{m:02d}/{d:02d}/2020" for m in range(1, 13) for d in range(13, 29)]
+    images = [one(d)[0] for d in days]
+    assert len(set(images)) == len(days) and all(int(x[3:5]) > 12 >= int(x[:2]) for x in images)
+    assert one("13/32/2020")[1] == [] == one("02/30/2020")[1]
