@@ -14,6 +14,7 @@ from firmloom.llm.pseudonyms import pseudonym_report, pseudonymise
 from firmloom.llm.quality import quality_scores
 from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
+from firmloom.llm.simhash import simhash_groups
 from firmloom.llm.warc import REPORT_FIELDS, assemble, capture_report, read_archive, write_archive
 
 SHARDS = 16
@@ -61,10 +62,14 @@ def op10_kneser_ney_scores(spark, sf_dir):
     return train_and_score(table(spark, sf_dir, "documents"), order=3)
 
 
+def op11_simhash_near_dedup(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_feistel_pseudonyms, op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
-        op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores)
+        op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores, op11_simhash_near_dedup)
 }
 QUERIES["pipeline"] = run
 

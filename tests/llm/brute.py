@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +123,28 @@ def language_model(rows):
         score = sum(math.log10(chance(u, w)) for u, w in zip(["</s>", *t[:-1]], t, strict=True))
         out.append((i, h, len(t), sum(one[w] > 0 for w in t), total, round(base, 6), round(score, 6)))
     return sorted(out, key=repr)
+
+
+def simhash(text, n=3):
+    """The 64-bit fingerprint of a text."""
+    words = [w.encode() for w in WORDS.findall(low(text))]
+    if not words:
+        return 0
+    n = min(n, len(words))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + n]), 42) for i in range(len(words) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(rows, distance=2):
+    """(doc_id, fingerprint, component) of (doc_id, text) rows."""
+    prints = [simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= distance and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    return sorted(((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group, strict=True)), key=repr)
