@@ -185,7 +185,52 @@ taken AS (SELECT row, sum(size) AS words FROM ordered WHERE total <= (SELECT sum
 SELECT doc_id, size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken FROM queue LEFT JOIN taken USING (row)
 """
 
+# Terms of both tables, cut as in the operator; a NULL text has none.
+_TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH terms AS (
+    SELECT doc, doc_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS doc, doc_id, {_TERMS} AS w FROM documents)),
+counts AS (SELECT doc, doc_id, t, count(*) AS tf FROM terms GROUP BY doc, doc_id, t),
+sizes AS (SELECT doc, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+weights AS (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM counts, corpus GROUP BY t, docs),
+items AS (
+    SELECT item, item_id, unnest(w) AS t FROM (
+        SELECT row_number() OVER () AS item, item_id, list_distinct({_TERMS}) AS w FROM benchmark)),
+scores AS (
+    SELECT item, item_id, doc, doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+    FROM items JOIN weights USING (t) JOIN counts USING (t) JOIN sizes USING (doc), corpus GROUP BY item, item_id, doc, doc_id),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+OP13 = """
+WITH rows AS (
+    SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.row AS anchor, a.vec_id AS anchor_id, r.row, r.vec_id, a.label = r.label AS same,
+           CAST(coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
+    FROM rows a JOIN rows r ON a.row <> r.row AND a.vec_id % 100 = 0),
+near AS (
+    SELECT * FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, row) <= 5),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.row) AS place
+    FROM near p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 5
+"""
+
 CHECKS = {
     "op2_secret_scan": OP2, "op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_warc_transactions": OP5,
     "op6_rendezvous_sharding": OP6, "op7_benchmark_decontamination": OP7, "op8_weighted_mix": OP8,
+    "op12_lexical_search": OP12, "op13_hard_negatives": OP13,
 }

@@ -7,8 +7,10 @@ from firmloom.llm.checks import CHECKS
 from firmloom.llm.common import table
 from firmloom.llm.decontamination import decontaminate
 from firmloom.llm.exact_dedup import exact_dedup
+from firmloom.llm.hard_negatives import mine
 from firmloom.llm.jaccard_join import jaccard_join
 from firmloom.llm.language_model import train_and_score
+from firmloom.llm.lexical_search import search
 from firmloom.llm.mixing import mix
 from firmloom.llm.pseudonyms import pseudonym_report, pseudonymise
 from firmloom.llm.quality import quality_scores
@@ -66,10 +68,19 @@ def op11_simhash_near_dedup(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_feistel_pseudonyms, op2_secret_scan, op3_ngram_jaccard_join, op4_exact_dedup, op5_warc_transactions, op6_rendezvous_sharding,
-        op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores, op11_simhash_near_dedup)
+        op7_benchmark_decontamination, op8_weighted_mix, op9_quality_classifier, op10_kneser_ney_scores, op11_simhash_near_dedup,
+        op12_lexical_search, op13_hard_negatives)
 }
 QUERIES["pipeline"] = run
 

@@ -148,3 +148,46 @@ def simhash_components(rows, distance=2):
     for g, (i, _) in zip(group, rows, strict=True):
         least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
     return sorted(((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group, strict=True)), key=repr)
+
+
+SEARCH_TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical_score(terms, document, df, documents, words):
+    counts = Counter(document)
+    m = 100 - 90 + (90 * len(document) * documents) // words
+    return sum(
+        math.floor(1000 * math.log((2 * documents + 2) / (2 * df[t] + 1))) * ((1000000000 * counts[t]) // (1000 * counts[t] + 8 * m))
+        for t in terms if counts[t])
+
+
+def lexical_search(rows, items, top=10):
+    """(item_id, rank, doc_id, score) of (doc_id, text) rows for (item_id, text) items."""
+    docs = [(i, SEARCH_TERMS.findall(low(t))) for i, t in rows]
+    df = Counter(t for _, w in docs for t in set(w))
+    documents, words, out = sum(bool(w) for _, w in docs), sum(len(w) for _, w in docs), []
+    for item, text in items:
+        terms = set(SEARCH_TERMS.findall(low(text)))
+        scored = [(-lexical_score(terms, w, df, documents, words), i is None, i) for i, w in docs if terms & set(w)]
+        best = sorted((s for s in scored if s[0] < 0), key=lambda s: (s[0], s[1], s[2] or 0))[:top]
+        out += [(item, k, i, -s) for k, (s, _, i) in enumerate(best, 1)]
+    return sorted(out, key=repr)
+
+
+def hard_negatives(rows):
+    """The report of (vec_id, vector, label) rows."""
+    kept = []
+    for i, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        kept.append((i, [math.floor(256 * x) for x in vector], (label + 1) % 10 if i is not None and i % 7 == 0 else label))
+    order = lambda s: (-s[0], s[1] is None, s[1] or 0)
+    out = []
+    for a, (i, vector, label) in enumerate(kept):
+        if i is None or i % 100:
+            continue
+        scored = [(sum(x * y for x, y in zip(vector, v, strict=False)), j, m) for b, (j, v, m) in enumerate(kept) if b != a]
+        for high, p, _ in sorted((s for s in scored if s[2] == label), key=order)[:5]:
+            window = [s for s in scored if s[2] != label and 80 * high <= 100 * s[0] <= 100 * high]
+            out += [(i, p, k, j, high, s) for k, (s, j, _) in enumerate(sorted(window, key=order)[:5], 1)]
+    return sorted(out, key=repr)
