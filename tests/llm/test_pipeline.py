@@ -27,7 +27,7 @@ def test_stages(spark):
     assert {i for i, _ in rows} == good and len(rows) == len(good) and first.columns == columns
 
     second = stage(steps["near_duplicates"](spark, first, FOLDER))
-    one = {c for i, n, c in brute.jaccard_components(rows)}
+    one = {c for i, n, c in brute.jaccard_components(rows, 80, 5)}
     assert sorted(r.doc_id for r in second.collect()) == sorted(one) and second.columns == columns
 
     third = stage(steps["decontamination"](spark, second, FOLDER))
@@ -58,4 +58,4 @@ def test_near_duplicates_of_five_words(spark):
     kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, FOLDER).collect())
     assert kept == sorted({c for *_, c in brute.jaccard_components(rows, 80, 5)})
     assert kept == sorted(10 * k + i for k in range(6) for i in (0, 3))
-    assert len({c for *_, c in brute.jaccard_components(rows)}) == len(rows)
+    assert len({c for *_, c in brute.jaccard_components(rows, 80, 5)}) == len(rows)
