@@ -136,9 +136,35 @@ def _(v):
     return U.upsert_companies(company_table(v), name_batch(v)).outcomes.select("ordinal", "is_new")
 
 
-@query("upsert_companies_numbered")
+@query("upsert_companies_numbered", """
+    WITH RECURSIVE batch AS (
+      SELECT (l_orderkey * 8 + l_linenumber) * 100000000000 + l_partkey * 10000 + l_suppkey AS ordinal,
+             'Firm ' || CAST(l_suppkey AS VARCHAR) AS name, CASE WHEN l_discount > 0.02 THEN CAST(l_partkey AS VARCHAR) END AS number,
+             l_returnflag AS county, l_linestatus AS payload FROM $lineitem),
+    rounds(round, ordinal, name, number, took, holder, changed) AS (
+      SELECT 0, ordinal, name, number, true, name, true FROM batch WHERE number IS NOT NULL
+      UNION ALL
+      SELECT round + 1, ordinal, own, number, taking, holder, taking <> took OR round = 0 FROM (
+        SELECT *, holder IS NULL OR coalesce(moved, -1) > since AS taking FROM (
+          SELECT *, max(CASE WHEN place = 1 THEN ordinal END) OVER (
+              PARTITION BY name ORDER BY ordinal, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS moved FROM (
+            SELECT round, ordinal, own, number, took, holder, since, coalesce(holder, own) AS name, 0 AS place FROM (
+              SELECT round, ordinal, name AS own, number, took,
+                     last_value(CASE WHEN took THEN name END IGNORE NULLS) OVER earlier AS holder,
+                     last_value(CASE WHEN took THEN ordinal END IGNORE NULLS) OVER earlier AS since
+              FROM rounds WINDOW earlier AS (PARTITION BY number ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) a
+            UNION ALL SELECT round, ordinal, name, number, took, NULL, NULL, name, 1 FROM rounds WHERE took) b) c
+        WHERE place = 0) d
+      WHERE (SELECT bool_or(changed) FROM rounds)),
+    owned AS (
+      SELECT ordinal, CASE WHEN took THEN name ELSE holder END AS owner FROM rounds WHERE round = (SELECT max(round) FROM rounds)
+      UNION ALL SELECT ordinal, name FROM batch WHERE number IS NULL)
+    SELECT owner AS legal_name, arg_max(number, ordinal) FILTER (WHERE number IS NOT NULL) AS cro_number,
+           arg_max(county, ordinal) AS county, arg_max(payload, ordinal) AS raw_payload
+    FROM owned JOIN batch USING (ordinal) GROUP BY owner
+    UNION ALL SELECT legal_name, cro_number, county, NULL FROM $companies""")
 def _(v):
-    # Numbers and names both repeat: numbers change hands and are folded in order.
+    # Numbers and names both repeat: numbers change hands and are settled in rounds.
     name = F.concat(F.lit("Firm "), F.col("l_suppkey").cast("string"))
     number = F.when(F.col("l_discount") > 0.02, F.col("l_partkey").cast("string"))
     batch = v.lineitem.select(

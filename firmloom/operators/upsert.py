@@ -70,9 +70,7 @@ def _name_key(normalized: Column, legal_name: Column) -> Column:
     )
 
 
-def upsert_companies(
-    current: DataFrame, batch: DataFrame, max_fold_rows: int = identity.MAX_FOLD_ROWS
-) -> Upserted:
+def upsert_companies(current: DataFrame, batch: DataFrame, chunk_rows: int = 100_000) -> Upserted:
     """Fold a register batch into the company table, in batch order.
 
     Returns the new snapshot and one outcome per batch row (ordinal,
@@ -93,7 +91,7 @@ def upsert_companies(
     assigned = cut(identity.owners(
         rows.select("ordinal", "name", F.col("cro_number").alias("number")),
         existing.select(F.col("owner").alias("name"), F.col("cro_number").alias("number")),
-        max_fold_rows,
+        chunk_rows,
     ))
     columns = [f.name for f in current.schema.fields]
     missing = [c for c in columns if c not in batch.columns]

@@ -1,77 +1,195 @@
-"""The run event log as a stream."""
+"""The run event log as a stream: step status, stragglers, expiry, single flight, tail.
+
+State is keyed and small: one map entry per step of a run, one per kind of a company's
+runs. Entries leave by themselves, by a time to live or a timer. Rows of a key are taken by
+their `seq` within a micro-batch; batches come in the order of the source.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from firmloom.operators.activity import RETENTION_SECONDS
+from firmloom.operators.activity import RETENTION_SECONDS, tail
 
 STATUS_SCHEMA = "run_id string, step string, seq long, status string, started_at timestamp, completed_at timestamp"
-_COLUMNS = ["run_id", "step", "seq", "status", "started_at", "completed_at"]
+FLIGHT_SCHEMA = "company_id string, kind string, seq long, outcome string, run_seq long"
+MISSING = -1  # no time, no entry yet
 
 
-def step_status_stream(events: DataFrame) -> DataFrame:
-    """`step_status` as a streaming aggregate (update mode): built-in state, combined map-side."""
-    newest = F.max(F.struct("seq", "status", "completed_at"))
-    started = F.max(F.when(F.col("started_at").isNotNull(), F.struct("seq", "started_at")))
-    return (
-        events.groupBy("run_id", "step").agg(newest.alias("e"), started.alias("s"))
-        .select("run_id", "step", "e.seq", "e.status", F.col("s.started_at").alias("started_at"), "e.completed_at")
-    )
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values("seq", kind="stable")
 
 
-def _settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One run: fold its new entries into the status per step; close running steps once it finished.
+# --- Step status ----------------------------------------------------------
 
-    State is one entry per step (seq, status, start and its seq, completion), times in
-    microseconds, and the finish; it is dropped `RETENTION_SECONDS` after its last change.
+class _Steps(StatefulProcessor):
+    """One run: the newest entry of each step and the newest start before it; once the run ended, its open steps end too.
+
+    State: a map entry per step (seq, status, start and the seq it came with, completion; times
+    in microseconds) and the run's end, each dropped `ttl` after its last change.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    steps, finish = json.loads(state.get[0]) if state.exists else ({}, None)
-    changed = set()
-    for batch in batches:
-        for row in batch.itertuples(index=False):
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        entry = "seq long, status string, started long, started_seq long, completed long"
+        self.steps = handle.getMapState("steps", "step string", entry, self.ttl)
+        self.ended = handle.getValueState("ended", "status string, at long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.ended.get() if self.ended.exists() else None
+        ended, steps, changed = before, {}, set()
+
+        def of(step):
+            if step not in steps:
+                known = self.steps.containsKey((step,))
+                steps[step] = list(self.steps.getValue((step,))) if known else [MISSING, None, MISSING, MISSING, MISSING]
+            return steps[step]
+
+        for row in _in_order(rows).itertuples(index=False):
             if row.step is None:
-                finish = [row.status, int(row.completed)]
+                ended = (row.status, int(row.completed))
                 continue
-            entry = steps.setdefault(row.step, [-1, None, None, -1, None])
-            if row.started >= 0 and row.seq > entry[3]:
+            entry = of(row.step)
+            if row.started != MISSING and row.seq > entry[3]:
                 entry[2], entry[3] = int(row.started), int(row.seq)
                 changed.add(row.step)
             if row.seq > entry[0]:
-                entry[0], entry[1] = int(row.seq), row.status
-                entry[4] = int(row.completed) if row.completed >= 0 else None
+                entry[0], entry[1], entry[4] = int(row.seq), row.status, int(row.completed)
                 changed.add(row.step)
-    if finish is not None:
-        for step, entry in steps.items():
-            if entry[1] == "running":
-                entry[1], entry[4] = finish
-                changed.add(step)
-    state.update((json.dumps([steps, finish]),))
-    state.setTimeoutDuration(RETENTION_SECONDS * 1000)
-    at = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
-    rows = [(key[0], s, e[0], e[1], at(e[2]), at(e[4])) for s, e in steps.items() if s in changed]
-    if rows:
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-
-def settled_status_stream(events: DataFrame) -> DataFrame:
-    """Step status with stragglers closed, from a stream of step entries and run finishes.
-
-    A finish is an entry whose step is NULL, with the run's status and finish time.
+        if ended is not None:
+            if ended != before:
+                self.ended.update(ended)
+                for (step,) in list(self.steps.keys()):
+                    of(step)
+            for step, entry in steps.items():
+                if entry[1] == "running":
+                    entry[1], entry[4] = ended
+                    changed.add(step)
+        for step in changed:
+            self.steps.updateValue((step,), tuple(steps[step]))
+        if changed:
+            at = lambda us: pd.NaT if us == MISSING else pd.Timestamp(us, unit="us")
+            yield pd.DataFrame(
+                [(key[0], s, steps[s][0], steps[s][1], at(steps[s][2]), at(steps[s][4])) for s in sorted(changed)],
+                columns=["run_id", "step", "seq", "status", "started_at", "completed_at"])
+
+
+def settled_status_stream(events: DataFrame, retention_seconds: int = RETENTION_SECONDS) -> DataFrame:
+    """Step status with stragglers closed, from a stream of step entries and run ends (update mode).
+
+    The end of a run is an entry whose step is NULL, with the run's status and finish time. A
+    run leaves the state `retention_seconds` after its last change.
     """
-    missing = lambda c: F.coalesce(F.unix_micros(c), F.lit(-1))
-    entries = events.select(
-        "run_id", "seq", "step", "status", missing("started_at").alias("started"), missing("completed_at").alias("completed")
-    )
-    return entries.groupBy("run_id").applyInPandasWithState(
-        _settle, STATUS_SCHEMA, "document string", "update", GroupStateTimeout.ProcessingTimeTimeout
+    time = lambda c: F.coalesce(F.unix_micros(c), F.lit(MISSING)).alias(c.removesuffix("_at"))
+    entries = events.select("run_id", "seq", "step", "status", time("started_at"), time("completed_at"))
+    return entries.groupBy("run_id").transformWithStateInPandas(
+        _Steps(retention_seconds * 1000), STATUS_SCHEMA, "Update", "ProcessingTime")
+
+
+def step_status_stream(events: DataFrame, retention_seconds: int = RETENTION_SECONDS) -> DataFrame:
+    """`step_status` as a stream: run ends are left out."""
+    return settled_status_stream(events.filter("step is not null"), retention_seconds)
+
+
+# --- Single flight --------------------------------------------------------
+
+class _Flights(StatefulProcessor):
+    """One company: which kinds of run are active, since which request, and who joined them.
+
+    A timer ends a run whose finish does not come: those that wait for it hear `expired`.
+    """
+
+    def __init__(self, refused_while: tuple[str, str] | None, expire_ms: int | None):
+        self.refused_while, self.expire_ms = refused_while, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState("runs", "kind string", "run_seq long, deadline long")
+        self.joined = handle.getListState("joined", "kind string, seq long")
+
+    def _end(self, kind: str) -> list[int]:
+        """Forget the active run of a kind; returns the requests that had joined it."""
+        _, deadline = self.runs.getValue((kind,))
+        self.runs.removeKey((kind,))
+        if deadline != MISSING and all(d != deadline for _, d in self.runs.values()):
+            self.handle.deleteTimer(deadline)
+        waiting = [tuple(x) for x in self.joined.get()] if self.joined.exists() else []
+        rest = [x for x in waiting if x[0] != kind]
+        if len(rest) < len(waiting):
+            self.joined.put(rest) if rest else self.joined.clear()
+        return [seq for k, seq in waiting if k == kind]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for row in _in_order(rows).itertuples(index=False):
+            active = self.runs.containsKey((row.kind,))
+            if row.action == "finish":
+                if active:
+                    self._end(row.kind)
+                continue
+            if self.refused_while and row.kind == self.refused_while[0] and self.runs.containsKey((self.refused_while[1],)):
+                out.append((key[0], row.kind, row.seq, "refused", None))
+                continue
+            if active:
+                self.joined.appendValue((row.kind, int(row.seq)))
+                out.append((key[0], row.kind, row.seq, "joined", self.runs.getValue((row.kind,))[0]))
+                continue
+            deadline = MISSING
+            if self.expire_ms is not None:
+                deadline = timerValues.getCurrentProcessingTimeInMs() + self.expire_ms
+                self.handle.registerTimer(deadline)
+            self.runs.updateValue((row.kind,), (int(row.seq), deadline))
+            out.append((key[0], row.kind, row.seq, "started", row.seq))
+        yield _flights(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for (kind,), (run, deadline) in [(tuple(k), tuple(v)) for k, v in self.runs.iterator()]:
+            if deadline == at:
+                out += [(key[0], kind, seq, "expired", run) for seq in (run, *self._end(kind))]
+        yield _flights(out)
+
+
+def _flights(rows: list[tuple]) -> pd.DataFrame:
+    found = pd.DataFrame(rows, columns=["company_id", "kind", "seq", "outcome", "run_seq"])
+    return found.astype({"seq": "int64", "run_seq": "Int64"})
+
+
+def single_flight_stream(
+    log: DataFrame, refused_while: tuple[str, str] | None = ("refresh", "assess"), expire_seconds: int | None = None
+) -> DataFrame:
+    """`single_flight` as a stream (append mode), with the seq of the request that started the run.
+
+    With `expire_seconds` a run ends that long after its start if no finish comes; a request
+    after that starts a new one.
+    """
+    return log.select("company_id", "kind", "seq", "action").groupBy("company_id").transformWithStateInPandas(
+        _Flights(refused_while, None if expire_seconds is None else expire_seconds * 1000),
+        FLIGHT_SCHEMA, "Append", "None" if expire_seconds is None else "ProcessingTime")
+
+
+# --- Tail -----------------------------------------------------------------
+
+def event_stream(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 64) -> DataFrame:
+    """The event log at `path`, a folder that writers add Parquet files to, as a stream.
+
+    The offsets are those of Spark's file source: what a query has read stands in its
+    checkpoint, so a query that starts again goes on behind it.
+    """
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true").parquet(path)
     )
+
+
+def tail_stream(events: DataFrame, since: int, runs: DataFrame | None = None) -> DataFrame:
+    """Entries after `since`, each once, with the status of their run as it is when they are read."""
+    return tail(events, since, runs)

@@ -122,7 +122,7 @@ def test_owners_match_the_ordered_fold(spark, seed, numbers, names, size, limit)
         (f"k{i}" for i in rng.sample(range(names), min(3, names))), map(str, rng.sample(range(numbers), min(3, numbers)))))
     got = identity.owners(
         spark.createDataFrame(rows, "ordinal long, name string, number string"),
-        spark.createDataFrame(held, "name string, number string"), max_fold_rows=limit,
+        spark.createDataFrame(held, "name string, number string"), chunk_rows=limit,
     ).collect()
     assert {r.ordinal: r.owner for r in got} == in_order(rows, held)
 

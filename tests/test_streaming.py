@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from catalog.views import Views
 from firmloom.operators import activity as A
 from firmloom.operators.guards import standard_guards
 from firmloom.sources.sinks import read_snapshot
-from firmloom.streaming.activity import settled_status_stream, step_status_stream
+from firmloom.streaming.activity import (
+    event_stream, settled_status_stream, single_flight_stream, step_status_stream, tail_stream)
 from firmloom.streaming.assess import assess_batch, assess_sink
 
 ENTRY = "run_id string, seq long, step string, status string, started_at timestamp, completed_at timestamp"
@@ -21,20 +23,31 @@ EVENTS = [
 ]
 
 
-def stream(spark, tmp_path, build):
-    folder = tmp_path / "in"
-    for i, rows in enumerate(EVENTS):
-        spark.createDataFrame(rows, ENTRY).coalesce(1).write.mode("append").parquet(str(folder / f"b{i}"))
-    source = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
-    # Processing-time timeouts ask for empty batches for ever; the test only wants those with data.
+def put(spark, folder, i, rows):
+    df = rows if not isinstance(rows, list) else spark.createDataFrame(rows, ENTRY)
+    df.coalesce(1).write.mode("append").parquet(f"{folder}/b{i}")
+
+
+def drain(spark, tmp_path, build, schema=ENTRY, mode="update"):
+    """All rows that the query gives for what is new in the folder, in the order of its batches."""
+    # Time to live and timers ask for empty batches for ever; the tests only want those with data.
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     out = []
-    query = build(source).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(
+    source = event_stream(spark, str(tmp_path / "in"), schema, 1)
+    query = build(source).writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(
         availableNow=True).foreachBatch(lambda df, i: out.extend((i, r) for r in df.collect())).start()
-    assert query.awaitTermination(60)
+    assert query.awaitTermination(120)
+    return [r for _, r in sorted(out, key=lambda x: x[0])]
+
+
+def stream(spark, tmp_path, build):
+    """Newest row of each step, over a restart of the query before the last batch."""
     latest = {}
-    for _, r in sorted(out, key=lambda x: x[0]):
-        latest[(r.run_id, r.step)] = (r.seq, r.status, r.started_at, r.completed_at)
+    for part in (EVENTS[:-1], EVENTS[-1:]):
+        for rows in part:
+            put(spark, tmp_path / "in", EVENTS.index(rows), rows)
+        for r in drain(spark, tmp_path, build):
+            latest[(r.run_id, r.step)] = (r.seq, r.status, r.started_at, r.completed_at)
     return latest
 
 
@@ -59,6 +72,79 @@ def test_settled_status_stream(spark, tmp_path):
     assert expected[("r", "guard")][1] == "failed"
 
 
+def test_settled_status_of_the_whole_table(spark, tmp_path):
+    v = Views(spark, "/root/testdata/sf0.001")
+    ends = v.runs.filter("finished_at is not null").select(
+        "run_id", F.lit(10**9).cast("long").alias("seq"), F.lit(None).cast("string").alias("step"), "status",
+        F.lit(None).cast("timestamp").alias("started_at"), F.col("finished_at").alias("completed_at"))
+    log = v.activity.select(*ends.columns).unionByName(ends)
+    for i in range(3):
+        put(spark, tmp_path / "in", i, log.filter(F.pmod("seq", F.lit(3)) == i))
+    got = {}
+    for r in drain(spark, tmp_path, settled_status_stream):
+        got[(r.run_id, r.step)] = (r.seq, r.status, r.started_at, r.completed_at)
+    assert got == as_map(A.settled_status(A.step_status(v.activity), v.runs))
+
+
+def test_an_expired_run_leaves_the_state(spark, tmp_path):
+    build = lambda df: settled_status_stream(df, retention_seconds=1)
+    put(spark, tmp_path / "in", 0, [("r", 1, "research", "running", at(1), None), ("r", 2, None, "failed", None, at(9))])
+    assert [r.status for r in drain(spark, tmp_path, build)] == ["failed"]
+    time.sleep(3)
+    # Neither the start nor the end is known any more.
+    put(spark, tmp_path / "in", 1, [("r", 3, "research", "running", None, None)])
+    assert [(r.status, r.started_at) for r in drain(spark, tmp_path, build)] == [("running", None)]
+
+
+REQUEST = "company_id string, kind string, seq long, action string"
+
+
+def test_single_flight_stream_of_the_whole_table(spark, tmp_path):
+    log = Views(spark, "/root/testdata/sf0.001").run_requests
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [low + (high + 1 - low) * i // 4 for i in range(5)]
+    got = []
+    for part in ((0, 1, 2), (3,)):  # the query starts again before the last part
+        for i in part:
+            put(spark, tmp_path / "in", i, log.filter((F.col("seq") >= cuts[i]) & (F.col("seq") < cuts[i + 1])))
+        got += drain(spark, tmp_path, single_flight_stream, REQUEST, "append")
+    expected = A.single_flight(log).collect()
+    assert sorted((r.company_id, r.kind, r.seq, r.outcome) for r in got) == sorted(
+        (r.company_id, r.kind, r.seq, r.outcome) for r in expected)
+    assert {r.outcome for r in got} == {"started", "joined", "refused"}
+    started = {(r.company_id, r.kind, r.seq) for r in got if r.outcome == "started"}
+    assert all((r.company_id, r.kind, r.run_seq) in started for r in got if r.outcome == "joined")
+
+
+def test_a_run_without_a_finish_expires(spark, tmp_path):
+    build = lambda df: single_flight_stream(df, expire_seconds=1)
+    rows = lambda *r: spark.createDataFrame([("c", *x) for x in r], REQUEST)
+    put(spark, tmp_path / "in", 0, rows(("assess", 1, "request"), ("refresh", 2, "request"), ("assess", 3, "request")))
+    first = [(r.seq, r.outcome, r.run_seq) for r in drain(spark, tmp_path, build, REQUEST, "append")]
+    assert first == [(1, "started", 1), (2, "refused", None), (3, "joined", 1)]
+    time.sleep(3)
+    # Rows of a batch come before its timers: the batch after this one finds no run.
+    put(spark, tmp_path / "in", 1, rows(("other", 4, "request")))
+    put(spark, tmp_path / "in", 2, rows(("assess", 5, "request"), ("assess", 6, "finish"), ("assess", 7, "request")))
+    later = [(r.kind, r.seq, r.outcome, r.run_seq) for r in drain(spark, tmp_path, build, REQUEST, "append")]
+    assert sorted(x for x in later if x[0] == "assess" and x[2] == "expired") == [("assess", 1, "expired", 1), ("assess", 3, "expired", 1)]
+    assert [x for x in later if x[0] == "assess" and x[2] != "expired"] == [("assess", 5, "started", 5), ("assess", 7, "started", 7)]
+
+
+def test_tail_gives_each_event_once(spark, tmp_path):
+    v = Views(spark, "/root/testdata/sf0.001")
+    log = v.activity.select("run_id", "seq", "step")
+    runs = v.runs
+    seen = []
+    for i in range(2):
+        put(spark, tmp_path / "in", i, log.filter(F.pmod("seq", F.lit(2)) == i))
+        build = lambda df: tail_stream(df, 400, runs)
+        seen += drain(spark, tmp_path, build, "run_id string, seq long, step string", "append")
+    assert drain(spark, tmp_path, build, "run_id string, seq long, step string", "append") == []
+    key = lambda r: (r.run_id, r.seq, r.step, r.run_status)
+    assert sorted(map(key, seen)) == sorted(map(key, A.tail(log, 400, runs).collect()))
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rows = assessments(Views(spark, "/root/testdata/sf0.001"))
