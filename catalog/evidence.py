@@ -224,11 +224,42 @@ def _(v):
         "doc_id", "p.has_website", "p.domain", "p.pages_crawled", "p.contact_channel", "p.notes")
 
 
-@query("extract_contacts")
+PERSON = "([A-Z][A-Za-z''-]+(?: [A-Z][A-Za-z''-]+){1,3})"
+ROLE = "((?i:" + "|".join(L.ROLE_WORDS) + "))"
+BEFORE, AFTER = rf"{PERSON}\s*[,:–-]\s*{ROLE}\b", rf"\b{ROLE}\s*[,:–-]\s*{PERSON}"
+
+
+@query("extract_contacts", rf"""
+    WITH texts AS (SELECT doc_id, text || ' Mary Byrne, Director. Sean O''Neill - Partner. mary.byrne@firm.ie info@firm.ie ' || source || '@firm.ie' AS t
+                   FROM $documents),
+    pairs AS (SELECT doc_id, list_zip(regexp_extract_all(t, '{BEFORE}', 1) || regexp_extract_all(t, '{AFTER}', 2),
+                                      regexp_extract_all(t, '{BEFORE}', 2) || regexp_extract_all(t, '{AFTER}', 1)) AS p,
+                     list_transform(regexp_extract_all(t, '{L.EMAIL}'), lambda e: lower(e)) AS e FROM texts),
+    people AS (SELECT doc_id, p[i][1] AS name, min(i) AS spot, arg_min(p[i][2], i) AS role
+               FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM pairs) GROUP BY doc_id, p[i][1]),
+    tokens AS (SELECT doc_id, name, role, spot, unnest(string_split(lower(name), ' ')) AS token FROM people),
+    emails AS (SELECT doc_id, e[i] AS email, split_part(e[i], '@', 1) AS local, min(i) AS spot
+               FROM (SELECT doc_id, e, unnest(range(1, len(e) + 1)) AS i FROM pairs) GROUP BY ALL),
+    owners AS (SELECT doc_id, email, arg_min(name, t.spot) AS name, arg_min(role, t.spot) AS role
+               FROM emails JOIN tokens t USING (doc_id) WHERE length(token) >= 3 AND contains(local, token) GROUP BY doc_id, email),
+    mailed AS (
+      SELECT doc_id, e.spot, e.email, o.name AS own, o.role,
+             translate(local, '._-', '') IN ({", ".join(f"'{i}'" for i in INBOXES)}) AS generic,
+             array_to_string(list_transform(string_split(regexp_replace(local, '[._-]+', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS guess
+      FROM emails e LEFT JOIN owners o USING (doc_id, email)),
+    listed AS (
+      SELECT doc_id, 0 AS part, spot, CASE WHEN generic THEN 'General enquiries' ELSE coalesce(own, guess) END AS name,
+             CASE WHEN generic THEN 'Office inbox' ELSE role END AS role, email,
+             CASE WHEN generic THEN 'channel' WHEN own IS NOT NULL THEN 'person' ELSE 'inferred' END AS detail FROM mailed),
+    every AS (
+      SELECT * FROM listed UNION ALL
+      SELECT doc_id, 1, spot, name, role, NULL, 'person' FROM people p
+      WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.doc_id = p.doc_id AND l.name = p.name))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, spot) - 1 AS INTEGER) AS position, name, role, email, detail FROM every""")
 def _(v):
     text = F.concat(F.col("text"), F.lit(" Mary Byrne, Director. Sean O'Neill - Partner. mary.byrne@firm.ie info@firm.ie "), F.col("source"), F.lit("@firm.ie"))
-    found = W.extract_contacts(v.documents.select("doc_id", text.alias("text")), "text", INBOXES)
-    return W.contact_rows(found, ["doc_id"]).select("doc_id", "position", "name", "role", "email", "detail")
+    rows = v.documents.select("doc_id", text.alias("text"))
+    return W.find_contacts(rows, ["doc_id"], "text", INBOXES).select("doc_id", "position", "name", "role", "email", "detail")
 
 
 PEOPLE = """SELECT source AS company_id, doc_id AS position,

@@ -18,6 +18,7 @@ from firmloom.functions.similarity import partial_ratio_udf, wratio_udf
 from firmloom.functions.text import (
     blank_to_null, clean_firm_name, col, describe_authorisation, display_date, domain_label, host_of,
 )
+from firmloom.session import cut
 
 SITE_SCORE, BLOCKED_SCORE, ANCHOR_FLOOR, OFF_SECTOR_CAP = 30, 40, 75, 25
 PAGE_SEPARATOR = "--- additional page ---"
@@ -406,76 +407,104 @@ def digital_presence(website_text: Column | str, social: Column | None = None, b
 
 # --- Contacts --------------------------------------------------------------
 
-def _contact(name: Column, role: Column, email: Column, detail: str) -> Column:
-    return F.struct(
-        name.alias("name"), role.alias("role"), F.lit(detail).alias("detail"),
-        email.alias("email"),
-    )
+TOKEN_LETTERS = 3
 
 
-def extract_contacts(
-    df: DataFrame,
-    text: str,
-    inboxes: list[str],
-    officers: str | None = None,
-    roles: list[str] = L.ROLE_WORDS,
-    unicode_names: bool = False,
-    name: str = "contacts",
-) -> DataFrame:
-    """Add the contacts a site text names, as array<struct<name,role,detail,email>>.
-
-    Emails come first, in order of appearance: an office inbox is a channel,
-    another address takes the name one of whose tokens its local part holds,
-    or its own local part in title case. Names without an email follow. Without
-    text the firm's officers are returned.
-
-    Matches are staged as columns: inside a lambda they would be searched for
-    again per element.
-    """
+def _found_in(text: str, roles: list[str], unicode_names: bool) -> tuple[Column, Column]:
+    """Names with their roles, in order of the patterns and of the text, and the addresses in order of appearance."""
     body = F.coalesce(F.col(text), F.lit(""))
     upper, letter = (r"\p{Lu}", r"[\p{L}'’-]") if unicode_names else ("[A-Z]", "[A-Za-z'-]")
     person = rf"({upper}{letter}+(?: {upper}{letter}+){{1,3}})"
     role = "((?i:" + "|".join(roles) + "))"
-    before = rf"{person}\s*[,:–-]\s*{role}\b"
-    after = rf"\b{role}\s*[,:–-]\s*{person}"
     # One pass over the text per pattern; groups are read from the short matches.
     found = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    group = lambda c, pattern, n: F.transform(c, lambda m: F.regexp_extract(m, pattern, n))
-    staged = df.withColumns({
-        "__before": found(before), "__after": found(after),
-        "__emails": F.array_distinct(F.transform(found(L.EMAIL), lambda e: F.lower(e))),
-    }).withColumns({
-        "__names": F.concat(group("__before", before, 1), group("__after", after, 2)),
-        "__roles": F.concat(group("__before", before, 2), group("__after", after, 1)),
-    })
-    names = F.array_distinct("__names")
-    staged = staged.withColumn("__people", F.transform(names, lambda n: F.struct(
-        n.alias("name"), F.element_at("__roles", F.array_position("__names", n).cast("int")).alias("role"),
-        F.transform(F.filter(F.split(n, " "), lambda t: F.length(t) >= 3), lambda t: F.lower(t)).alias("tokens"),
-    )))
-
-    def from_email(email: Column) -> Column:
-        local = F.substring_index(email, "@", 1)
-        guess = F.initcap(F.regexp_replace(local, "[._-]+", " "))
-        held = lambda p: F.exists(p["tokens"], lambda t: local.contains(t))
-        who = F.get(F.filter("__people", held), 0)
-        return (
-            F.when(is_generic_inbox(email, inboxes), _contact(F.lit("General enquiries"), F.lit("Office inbox"), email, "channel"))
-            .when(who.isNotNull(), _contact(who["name"], who["role"], email, "person"))
-            .otherwise(_contact(guess, F.lit(None).cast("string"), email, "inferred"))
-        )
+    part = lambda m, pattern, n: F.regexp_extract(m, pattern, n)
 
-    staged = staged.withColumn("__mailed", F.transform("__emails", from_email))
-    none = F.lit(None).cast("string")
-    unmailed = F.transform(
-        F.filter("__people", lambda p: ~F.exists("__mailed", lambda c: c["name"] == p["name"])),
-        lambda p: _contact(p["name"], p["role"], none, "person"),
+    def people(pattern: str, name: int, role: int) -> Column:
+        return F.transform(found(pattern), lambda m: F.struct(part(m, pattern, name).alias("name"), part(m, pattern, role).alias("role")))
+
+    before = people(rf"{person}\s*[,:–-]\s*{role}\b", 1, 2)
+    after = people(rf"\b{role}\s*[,:–-]\s*{person}", 2, 1)
+    return F.concat(before, after), F.transform(found(L.EMAIL), lambda e: F.lower(e))
+
+
+def find_contacts(
+    df: DataFrame, keys: list[str], text: str, inboxes: list[str], officers: str | None = None,
+    roles: list[str] = L.ROLE_WORDS, unicode_names: bool = False,
+) -> DataFrame:
+    """The contacts that each site text names: keys, position, name, role, detail, email.
+
+    Emails come first, in order of appearance: an office inbox is a channel, another
+    address takes the first name one of whose tokens its local part holds, or its own
+    local part in title case. Names without an email follow. Without text the firm's
+    officers are the contacts. `keys` are not null and name one row of `df` each.
+
+    Names and addresses are rows. Tokens are an inverted index (row, token) with the first
+    name that has one, and a local part looks all its stretches up in it, so the work
+    grows with the addresses and the names of a text, not with their product.
+    """
+    people, emails = _found_in(text, roles, unicode_names)
+    listed = F.col(officers) if officers else F.lit(None).cast("array<struct<name:string,role:string>>")
+    empty = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    # Only what was found goes on; the texts are read once.
+    staged = cut(df.select(
+        *keys, people.alias("people"), emails.alias("emails"), F.when(empty, listed).alias("officers")))
+    first = lambda column, at, item: staged.select(*keys, F.posexplode(column).alias(at, item))
+    named = first("people", "at", "p").groupBy(*keys, "p.name").agg(
+        F.min("at").alias("at"), F.min_by("p.role", "at").alias("role"))
+    mailed = first("emails", "place", "email").groupBy(*keys, "email").agg(F.min("place").alias("place")).withColumn(
+        "local", F.substring_index("email", "@", 1))
+
+    index = (
+        named.select(*keys, "at", F.explode(F.split(F.lower("name"), " ")).alias("token"))
+        .filter(F.length("token") >= TOKEN_LETTERS).groupBy(*keys, "token").agg(F.min("at").alias("at"))
     )
-    contacts = F.concat(F.col("__mailed"), unmailed)
-    if officers is not None:
-        listed = F.transform(officers, lambda o: _contact(o["name"], o["role"], none, "officer"))
-        contacts = F.when(F.trim(body) == "", listed).otherwise(contacts)
-    return staged.withColumn(name, contacts).drop("__before", "__after", "__names", "__roles", "__emails", "__people", "__mailed")
+    longest = index.groupBy(*keys).agg(F.max(F.length("token")).alias("longest"))
+    starts = F.sequence(F.lit(1), F.length("local") - TOKEN_LETTERS + 1)
+    stretch = lambda i: F.transform(
+        F.sequence(F.lit(TOKEN_LETTERS), F.least(F.col("longest"), F.length("local") - i + 1)), lambda n: F.substring("local", i, n))
+    looked = (
+        mailed.filter(F.length("local") >= TOKEN_LETTERS).join(longest, keys)
+        .select(*keys, "place", F.explode(F.array_distinct(F.flatten(F.transform(starts, stretch)))).alias("token"))
+    )
+    owners = looked.join(index, [*keys, "token"]).groupBy(*keys, "place").agg(F.min("at").alias("at"))
+
+    who = mailed.join(owners, [*keys, "place"], "left").join(named, [*keys, "at"], "left")
+    generic = is_generic_inbox("email", inboxes)
+    guess = F.initcap(F.regexp_replace("local", "[._-]+", " "))
+    contact = lambda name, role, detail, email: F.struct(
+        name.alias("name"), role.alias("role"), detail.alias("detail"), email.alias("email"))
+    none = F.lit(None).cast("string")
+    by_mail = who.select(*keys, F.lit(0).alias("part"), F.col("place").alias("at"), contact(
+        F.when(generic, "General enquiries").otherwise(F.coalesce("name", guess)),
+        F.when(generic, "Office inbox").otherwise(F.col("role")),
+        F.when(generic, "channel").when(F.col("name").isNotNull(), "person").otherwise("inferred"), F.col("email")).alias("c"))
+    taken = by_mail.select(*keys, F.col("c.name").alias("name")).distinct()
+    by_name = named.join(taken, [*keys, "name"], "left_anti").select(
+        *keys, F.lit(1).alias("part"), "at", contact(F.col("name"), F.col("role"), F.lit("person"), none).alias("c"))
+    by_office = staged.select(*keys, F.posexplode("officers").alias("at", "o")).select(
+        *keys, F.lit(1).alias("part"), "at", contact(F.col("o.name"), F.col("o.role"), F.lit("officer"), none).alias("c"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "at")) - 1
+    return by_mail.unionByName(by_name).unionByName(by_office).select(*keys, place.alias("position"), "c.*")
+
+
+def extract_contacts(
+    df: DataFrame, text: str, inboxes: list[str], officers: str | None = None, roles: list[str] = L.ROLE_WORDS,
+    unicode_names: bool = False, name: str = "contacts", keys: list[str] | None = None,
+) -> DataFrame:
+    """`find_contacts` as a column, array<struct<name,role,detail,email>>.
+
+    Without `keys` the rows are numbered and written to the checkpoint folder first.
+    """
+    own = keys or ["__row"]
+    if not keys:
+        df = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    rows = find_contacts(df, own, text, inboxes, officers, roles, unicode_names)
+    gathered = rows.groupBy(*own).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("position", F.struct("name", "role", "detail", "email").alias("c")))), lambda x: x["c"]).alias("__contacts"))
+    kind = gathered.schema["__contacts"].dataType
+    joined = df.join(gathered, own, "left").withColumn(name, F.coalesce("__contacts", F.array().cast(kind)))
+    return joined.drop("__contacts", "__row")
 
 
 def contact_rows(df: DataFrame, keys: list[str], contacts: str = "contacts") -> DataFrame:

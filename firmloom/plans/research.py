@@ -40,7 +40,7 @@ def research(companies: DataFrame, hits: DataFrame, pages: DataFrame, inboxes: l
         .join(hit_list, "company_id", "left")
     )
     rows = rows.withColumn("presence", W.digital_presence("website_text", F.col("social_links"), F.col("blocked")))
-    rows = W.extract_contacts(rows, "website_text", inboxes)
+    rows = W.extract_contacts(rows, "website_text", inboxes, keys=["company_id"])
     return rows.withColumns({
         "coverage": W.research_coverage(F.col("presence"), F.col("contacts")),
         "research_confidence": W.research_confidence(F.col("presence"), F.col("website_text")),

@@ -156,6 +156,21 @@ def test_extract_contacts(spark):
     assert contacts_of(spark, "plain", [("Ann Lee", "Secretary")]) == []
 
 
+def test_contacts_of_a_long_list(spark):
+    """Ten thousand names and addresses in one text: each address finds its name."""
+    name = lambda i: "Ann " + "".join(chr(97 + int(d)) for d in f"{i:05d}").capitalize() + "x"
+    lines = [f"{name(i)}, Director. {name(i).split()[1].lower()}.{i}@firm.ie" for i in range(10_000)]
+    lines += ["Bo Walsh: Partner", "Partner: Cy Walsh", "j.walsh@firm.ie", "JO@firm.ie", "Sales@firm.ie", "sales@firm.ie"]
+    df = spark.createDataFrame([("a", "\n".join(lines)), ("b", "Bo Walsh, Owner"), ("c", None)], "id string, text string")
+    rows = W.find_contacts(df, ["id"], "text", ["sales"]).collect()
+    found = {(r.id, r.email or r.name): (r.position, r.name, r.role, r.detail) for r in rows}
+    assert all(found["a", line.split()[-1]] == (i, name(i), "Director", "person") for i, line in enumerate(lines[:10_000]))
+    assert [found["a", e] for e in ("j.walsh@firm.ie", "jo@firm.ie", "sales@firm.ie", "Cy Walsh")] == [
+        (10_000, "Bo Walsh", "Partner", "person"), (10_001, "Jo", None, "inferred"),
+        (10_002, "General enquiries", "Office inbox", "channel"), (10_003, "Cy Walsh", "Partner", "person")]
+    assert found["b", "Bo Walsh"] == (0, "Bo Walsh", "Owner", "person") and len(rows) == 10_005
+
+
 def test_sanitise_contacts(spark):
     rows = [("c", 0, "Mary Byrne", "m@a.ie"), ("c", 1, "Our Team", "info@a.ie"), ("c", 2, "Read More", None), ("c", 3, "mary byrne", "x@a.ie"), ("c", 4, "Mary Byrne", None)]
     got = W.sanitise_contacts(spark.createDataFrame(rows, "company_id string, position int, name string, email string"), ["our", "team", "read", "more"], ["info"])
