@@ -167,6 +167,15 @@ for key in O.SORT_KEYS:
             return O.page(leads(v), order, 50, 25).select("company_id", "legal_name", "qualification_score")
 
 
+@query("lead_page_deep", f"""WITH {LEADS}
+    SELECT company_id, legal_name, qualification_score FROM leads
+    QUALIFY row_number() OVER (ORDER BY qualification_score DESC NULLS LAST, legal_name, company_id)
+            BETWEEN (SELECT count(*) // 2 FROM leads) + 1 AND (SELECT count(*) // 2 FROM leads) + 50""")
+def _(v):
+    rows = leads(v)
+    return O.page(rows, O.lead_sort("score", "desc"), 50, rows.count() // 2).select("company_id", "legal_name", "qualification_score")
+
+
 @query("list_sort_nulls_low", f"""WITH {LEADS}
     SELECT company_id, qualification_score FROM leads ORDER BY qualification_score ASC NULLS FIRST, company_id LIMIT 100""")
 def _(v):

@@ -1,5 +1,6 @@
 """Read and write paths: a given table goes to files and comes back through the operators."""
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from catalog.guards import REPORT, assessments
 from catalog.lists import DIMENSIONS
 from catalog.registry import query
 from catalog.resolution import company_table
+from catalog.scalars import fold
 from firmloom.operators.guards import standard_guards
+from firmloom.plans.ingest import run_ingestion
 from firmloom.session import checkpoint_dir
 from firmloom.sources import delimited as S
 from firmloom.sources import sinks
@@ -52,10 +55,33 @@ def _(v):
     root, table = folder(v, "tables"), company_table(v)
     sinks.write_snapshot(table, root, "companies", "first")
     known = sinks.read_snapshot(v.spark, root, "companies")
-    sinks.write_snapshot(known.filter("cbi_reference is not null"), root, "companies", "first")
+    sinks.write_snapshot(known.filter("cbi_reference is not null"), root, "companies", "first", base=1)
     return sinks.read_snapshot(v.spark, root, "companies").select("id", "legal_name")
 
 
+@query("run_audit", f"""WITH firms AS (SELECT {fold('title')} AS k FROM $titled WHERE trim(title) <> '')
+    SELECT 'first' AS id, count(*) AS records_found, count(DISTINCT k) AS records_new, '["no registry snapshot"]' AS errors FROM firms
+    UNION ALL SELECT 'second', count(*), 0, '["no registry snapshot"]' FROM firms
+    UNION ALL SELECT 'third', 0, 0, '["register not read: AnalysisException"]'""")
+def _(v):
+    root = folder(v, "tables")
+    path = written(v, v.titled.select(F.regexp_replace("title", r"\s+", " ").alias("Firm Name")), "register")
+    for run, register in (("first", path), ("second", path), ("third", f"{root}/nowhere")):
+        run_ingestion(v.spark, register, None, root, run)
+    return sinks.read_snapshot(v.spark, root, "ingestion_runs").select("id", "records_found", "records_new", "errors")
+
+
+@query("latest_file", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM $supplier")
+def _(v):
+    path = folder(v, "files")
+    older = v.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    newer = v.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    for rows in (older, newer):
+        rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+        time.sleep(1.5)  # times of files may be whole seconds
+    return v.spark.read.option("header", True).csv(S.latest_file(v.spark, path, ["*.csv"]))
+
+
 @query("assess_sink", f"""WITH {REPORT} SELECT company_id, failures = '' AS guard_passed, CAST(score AS DOUBLE) AS guard_score FROM report""")
 def _(v):
     root = folder(v, "assessments")

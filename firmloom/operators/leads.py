@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmloom.functions.text import col
+from firmloom.session import cut
 
 STRONG, MODERATE = 70, 40
 SIZE_RANK = {"1-10": 1, "11-50": 2, "51-200": 3, "200+": 4}
@@ -245,7 +246,30 @@ def list_sort(key: str, direction: str = "desc") -> list[Column]:
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """The rows `offset` to `offset + limit` of the order.
+
+    The first page is a top-k, cut in every task. A later one seeks: rows are dealt to ranges of the order, the
+    ranges are counted, and only those that hold the page are read and numbered, so no task
+    holds the rows before it. The order should tell rows apart, as `lead_sort` does.
+    """
+    if not offset:
+        return df.orderBy(*order).limit(limit)
+    dealt = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dict(map(tuple, dealt.groupBy("__range").count().collect()))  # one number a range
+    start, held = 0, []
+    for number in sorted(sizes):
+        if start < offset + limit and start + sizes[number] > offset:
+            held.append((number, start))
+        start += sizes[number]
+    if not held:
+        return df.limit(0)
+    before = F.create_map(*[F.lit(x) for pair in held for x in pair])
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.element_at(before, F.col("__range"))
+    return (
+        dealt.filter(F.col("__range").isin([n for n, _ in held])).withColumn("__place", place)
+        .filter((F.col("__place") > offset) & (F.col("__place") <= offset + limit)).orderBy("__place")
+        .drop("__place", "__range")
+    )
 
 
 LEVEL_RANK = {"high": 3, "medium": 2, "low": 1}

@@ -13,7 +13,7 @@ from firmloom.operators.resolve import resolve
 from firmloom.operators.upsert import replace_run, upsert_companies
 from firmloom.session import cut
 from firmloom.sources.delimited import scan_register, scan_snapshot
-from firmloom.sources.sinks import raw_payload, read_snapshot, run_audit, write_snapshot
+from firmloom.sources.sinks import newest, raw_payload, read_pointer, run_audit, update_snapshot, write_snapshot
 
 
 def ingest(current: DataFrame, register: DataFrame, snapshot: DataFrame, source: str, at) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +35,8 @@ def run_ingestion(
     """Ingest one register file into the tables under `root`; returns the run's audit row.
 
     A register that cannot be read is a run with no records. A missing or empty
-    registry snapshot is an error of the run, and every firm is kept for review.
+    registry snapshot is an error of the run, and every firm is kept for review. Companies
+    are committed against the version they were made from: `LostRace` if another run came between.
     """
     started = datetime.now(timezone.utc)
     errors: list[str] = []
@@ -58,13 +59,12 @@ def run_ingestion(
 
     found = new = 0
     if register is not None:
-        current = read_snapshot(spark, root, "companies")
-        companies, outcomes = ingest(current, register, snapshot, source, started)
+        base = newest(spark, root, "companies")
+        companies, outcomes = ingest(read_pointer(spark, root, "companies", base), register, snapshot, source, started)
         outcomes = cut(outcomes)
         counts = ingest_counts(outcomes).first()
         found, new = counts.records_found, counts.records_new
-        write_snapshot(companies, root, "companies", run_id)
+        write_snapshot(companies, root, "companies", run_id, base.number if base else 0)
     audit = run_audit(spark, run_id, source, started, datetime.now(timezone.utc), found, new, errors)
-    runs = replace_run(read_snapshot(spark, root, "ingestion_runs"), audit)
-    write_snapshot(runs, root, "ingestion_runs", run_id)
+    update_snapshot(spark, root, "ingestion_runs", run_id, lambda runs: replace_run(runs, audit))
     return audit

@@ -5,12 +5,17 @@ fresh folder of its own attempt, then a numbered pointer names it; the pointer i
 in place by a rename that fails if that number exists. Readers follow the highest
 pointer, so they see the version before or after, never a part. Nothing that a
 pointer names is overwritten or deleted by a write; `remove_old_versions` does that.
+
+A version that was made from another one is committed against it: its number is the
+other's plus one, so of two writers that read the same version the second gets
+`LostRace`, before or after it has written its files, and no update is lost.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +26,10 @@ from firmloom import schemas
 POINTERS = "_pointers"
 
 
+class LostRace(RuntimeError):
+    """Another writer has committed since the version was read that this write was made from."""
+
+
 @dataclass(frozen=True)
 class Pointer:
     """One written version: its number, name, folder, and the number of the version it was made from."""
@@ -65,21 +74,47 @@ def _point(spark: SparkSession, root: str, table: str, pointer: Pointer) -> None
     final, _ = _path(spark, f"{folder.toString()}/{pointer.number:012d}.json")
     if files.exists(final) or not files.rename(draft, final):
         files.delete(draft, False)
-        raise RuntimeError(f"{table}: another writer made version {pointer.number}; run again from it")
+        raise LostRace(f"{table}: another writer made version {pointer.number}; run again from it")
+
+
+def newest(spark: SparkSession, root: str, table: str) -> Pointer | None:
+    """The pointer readers follow, None before the first write."""
+    known = pointers(spark, root, table)
+    return known[-1] if known else None
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, version: str, base: int | None = None) -> Pointer:
-    """Write a version to a fresh folder, then point readers at it. `base`: number of the version it was made from."""
+    """Write a version to a fresh folder, then point readers at it.
+
+    `base`: number of the version that `df` was made from, 0 for the empty table. It has to be
+    the newest still. None is for rows that were made from no version: they replace whatever is newest.
+    """
     spark = df.sparkSession
-    known = pointers(spark, root, table)
-    number = known[-1].number + 1 if known else 1
+    now = newest(spark, root, table)
+    number = now.number if now else 0
+    if base is not None and base != number:
+        raise LostRace(f"{table}: made from version {base}, but version {number} is there; run again from it")
     folder = f"{version}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(f"{root}/{table}/{folder}")
-    pointer = Pointer(number, version, folder, base if base is not None or not known else known[-1].number)
+    pointer = Pointer(number + 1, version, folder, number)
     _point(spark, root, table, pointer)
     return pointer
 
 
+def update_snapshot(
+    spark: SparkSession, root: str, table: str, version: str, change: Callable[[DataFrame], DataFrame], attempts: int = 5
+) -> Pointer:
+    """Write what `change` makes of the newest version; again from the newest one if the race for it was lost."""
+    for left in reversed(range(attempts)):
+        now = newest(spark, root, table)
+        try:
+            return write_snapshot(change(read_pointer(spark, root, table, now)), root, table, version, now.number if now else 0)
+        except LostRace:
+            if not left:
+                raise
+    raise ValueError("attempts must be positive")
+
+
 def read_pointer(spark: SparkSession, root: str, table: str, pointer: Pointer | None) -> DataFrame:
     """The version of a pointer; the empty table for None. A version whose files are gone is an error."""
     schema = getattr(schemas, table.upper())
@@ -90,8 +125,7 @@ def read_pointer(spark: SparkSession, root: str, table: str, pointer: Pointer |
 
 def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The current version of a table, empty before its first write."""
-    known = pointers(spark, root, table)
-    return read_pointer(spark, root, table, known[-1] if known else None)
+    return read_pointer(spark, root, table, newest(spark, root, table))
 
 
 def remove_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> int:

@@ -31,8 +31,8 @@ def assess_batch(batch: DataFrame, guards: list[Guard], mode: str = "warn") -> D
     )
 
 
-def _before_batch(spark: SparkSession, root: str, table: str, run: str, batch_id: int) -> Pointer | None:
-    """The version this batch starts from, the same one when the batch is replayed.
+def _before_batch(spark: SparkSession, root: str, table: str, run: str, batch_id: int) -> tuple[Pointer | None, bool]:
+    """The version this batch starts from, the same one when the batch is replayed, and whether it has been written.
 
     A stream's first batch starts from the table as it is. A batch whose predecessor
     is missing, or that comes after later ones of its run, is an error: the
@@ -47,10 +47,10 @@ def _before_batch(spark: SparkSession, root: str, table: str, run: str, batch_id
     if again is not None:
         if again.base and again.base not in by_number:
             raise RuntimeError(f"{table}: the version before {again.version} is gone")
-        return by_number[again.base] if again.base else None
+        return (by_number[again.base] if again.base else None), True
     if batch_id and f"{run}-{batch_id - 1}" not in mine:
         raise RuntimeError(f"{table}: run {run} has no batch {batch_id - 1}")
-    return known[-1] if known else None
+    return (known[-1] if known else None), False
 
 
 def assess_sink(
@@ -58,15 +58,16 @@ def assess_sink(
 ):
     """foreachBatch function writing enrichment, rejections and outcomes under `root`.
 
-    Versions are named by run and batch, so a replay starts from the same predecessor
-    as the first attempt. `on_audit` may fail without changing outcomes.
+    Versions are named by run and batch: a replay starts from the same predecessor as the
+    first attempt and writes only what that did not commit. Each is committed against its
+    predecessor. `on_audit` may fail without changing outcomes.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = {t: _before_batch(spark, root, t, run, batch_id) for t in ("enrichment", "assessment_rejections")}
         routed = cut(assess_batch(batch, guards, mode))
         text = routed.withColumn("guard_failures", F.to_json("guard_failures"))
-        enrichment, rejections = (read_pointer(spark, root, t, p) for t, p in before.items())
+        enrichment, rejections = (read_pointer(spark, root, t, p) for t, (p, _) in before.items())
         refused = text.filter(~F.col("stored")).select(
             "company_id", "ordinal", F.col("route_reason").alias("reason"), "guard_failures", "guard_score",
             "llm_model", F.col("generated_at").alias("rejected_at"),
@@ -78,8 +79,9 @@ def assess_sink(
             "stored_at is null or ordinal > stored_at"
         ).drop("stored_at")
         for table, rows in (("enrichment", stored), ("assessment_rejections", record_rejection(cleared, late))):
-            start = before[table]
-            write_snapshot(rows, root, table, f"{run}-{batch_id}", start.number if start else 0)
+            start, written = before[table]
+            if not written:
+                write_snapshot(rows, root, table, f"{run}-{batch_id}", start.number if start else 0)
         outcomes = routed.select("company_id", "ordinal", "outcome", "route_reason")
         outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/run={run}/batch={batch_id}")
         if on_audit is not None:

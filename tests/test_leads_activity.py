@@ -100,3 +100,20 @@ def test_prune(spark):
         "run_id", F.col("f").cast("timestamp").alias("finished_at"))
     kept = A.prune(runs, F.lit("2024-01-01 12:00:00").cast("timestamp"))
     assert sorted(r.run_id for r in kept.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("key, direction", [("score", "desc"), ("county", "asc"), ("size", "desc")])
+def test_deep_pages(spark, key, direction):
+    """Pages of any offset are the pieces of the whole order, NULLs and equal keys included."""
+    rows = [(f"C{i}", f"Firm {i % 40:02d}", None if i % 9 == 0 else i % 7, f"K{i % 3}" if i % 4 else None, "11-50" if i % 2 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "company_id string, legal_name string, qualification_score int, county string, employee_band string").repartition(6)
+    order = O.lead_sort(key, direction)
+    whole = [r.company_id for r in df.orderBy(*order).collect()]
+    for limit, offset in ((20, 0), (20, 7), (300, 150), (50, 480), (10, 500), (10, 9000), (0, 30)):
+        assert [r.company_id for r in O.page(df, order, limit, offset).collect()] == whole[offset:offset + limit]
+
+
+def test_a_deep_page_reads_its_ranges_only(spark):
+    df = spark.range(20_000).select(F.col("id").alias("company_id"), F.lit("x").alias("legal_name"), F.col("id").alias("qualification_score"))
+    plan = O.page(df, O.lead_sort("score", "desc"), 10, 12_000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan.replace("GlobalLimit 0", "")

@@ -174,3 +174,49 @@ def test_ingestion_without_snapshot_or_register(spark, tmp_path):
     audit = run_ingestion(spark, str(tmp_path / "none.csv"), None, root, "run2").first()
     assert (audit.records_found, audit.records_new) == (0, 0) and "register not read" in audit.errors
     assert sinks.read_snapshot(spark, root, "ingestion_runs").count() == 2
+
+
+def test_the_second_writer_from_one_version_gets_an_error(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    write = lambda df, version, base: sinks.write_snapshot(df, root, "ingestion_runs", version, base)
+    assert write(rows("a"), "v", 0).number == 1
+    mine = rows("a", "A")
+    assert write(rows("a", "B"), "w", 1).number == 2
+    with pytest.raises(sinks.LostRace, match="made from version 1, but version 2"):
+        write(mine, "x", 1)
+    with pytest.raises(sinks.LostRace):
+        write(mine, "x", 0)
+    assert {r.id for r in sinks.read_snapshot(spark, root, "ingestion_runs").collect()} == {"a", "B"}
+
+    came_between = []
+
+    def add(df):
+        if not came_between:  # another writer commits while this one works
+            came_between.append(write(rows("a", "B", "C"), "y", 2))
+        return df.select("id").unionByName(rows("D"))
+
+    assert sinks.update_snapshot(spark, root, "ingestion_runs", "z", add).number == 4
+    assert {r.id for r in sinks.read_snapshot(spark, root, "ingestion_runs").collect()} == {"a", "B", "C", "D"}
+    with pytest.raises(sinks.LostRace):
+        sinks.update_snapshot(spark, root, "ingestion_runs", "u", lambda df: (write(rows("E"), "t", None), df)[1], attempts=2)
+
+
+def test_an_ingestion_that_lost_the_race_commits_nothing(spark, tmp_path, monkeypatch):
+    from firmloom.plans import ingest as plan
+
+    root, register = str(tmp_path / "t"), put(tmp_path / "r.csv", REGISTER)
+    run_ingestion(spark, register, None, root, "run1")
+    before = sinks.read_snapshot(spark, root, "companies").count()
+    whole = plan.ingest
+
+    def slow(*args):
+        done = whole(*args)
+        sinks.write_snapshot(sinks.read_snapshot(spark, root, "companies").limit(1), root, "companies", "other", 1)
+        return done
+
+    monkeypatch.setattr(plan, "ingest", slow)
+    with pytest.raises(sinks.LostRace):
+        run_ingestion(spark, register, None, root, "run2")
+    assert before > 1 and sinks.read_snapshot(spark, root, "companies").count() == 1
+    assert {r.id for r in sinks.read_snapshot(spark, root, "ingestion_runs").collect()} == {"run1"}
