@@ -11,6 +11,7 @@ from catalog.registry import query
 from catalog.resolution import company_table
 from catalog.scalars import fold
 from firmloom.operators.guards import standard_guards
+from firmloom.operators.ordered import running_sum
 from firmloom.plans.ingest import run_ingestion
 from firmloom.session import checkpoint_dir
 from firmloom.sources import delimited as S
@@ -41,6 +42,17 @@ def _(v):
     return rows.select("legal_name", "registered_address", "county", "cbi_reference")
 
 
+@query("read_spanning_lines", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, chr(13), ' ') AS text, source,
+      row_number() OVER (ORDER BY doc_id) - 1 AS place FROM $documents""")
+def _(v):
+    # Whole texts with their line breaks and quotes as fields of one file.
+    text = F.regexp_replace("text", "\r", " ")
+    rows = v.documents.select("doc_id", text.alias("text"), "source").coalesce(1).sortWithinPartitions("doc_id")
+    read = S.read_delimited(v.spark, written(v, rows, "spanning"))
+    placed = running_sum(read, [], ["ordinal"], F.lit(1).cast("long"), "n")
+    return placed.select("doc_id", "text", "source", (F.col("n") - 1).alias("place"))
+
+
 @query("scan_snapshot", """SELECT CAST(s_suppkey AS VARCHAR) AS company_num, s_name AS company_name,
       CASE WHEN s_acctbal > 0 THEN 'Normal' END AS company_status FROM $supplier""")
 def _(v):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmloom.functions.text import blank_to_null, county, eircode, squash_ws
+from firmloom.operators.ordered import previous_value, running_sum
+from firmloom.session import cut
 
 RAW = "raw_row"
 
@@ -67,12 +69,12 @@ def pick_snapshot_columns(
     return df.select(*keep, *fields)
 
 
-def reader_options(spark: SparkSession, path: str) -> dict[str, str | bool]:
-    """Encoding, separator and line handling that read the whole file right, from one distributed pass.
+def reader_options(spark: SparkSession, path: str) -> tuple[dict[str, str], bool]:
+    """Encoding and separator that read the whole file right, and whether a field spans lines, from one distributed pass.
 
     Bytes that are not UTF-8 mean Latin-1. The separator is a tab where the file holds
-    more tabs than commas. A line with an odd number of quotes means that some field
-    spans lines; Spark then has to read that file in one piece.
+    more tabs than commas. A line with a field that is opened by a quote and not closed
+    means that some field spans lines.
     """
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
@@ -82,24 +84,75 @@ def reader_options(spark: SparkSession, path: str) -> dict[str, str | bool]:
         (F.sum(F.length(value) - F.length(F.replace(value, F.lit("\t"), F.lit(""))))
          > F.sum(F.length(value) - F.length(F.replace(value, F.lit(","), F.lit(""))))).alias("tabs"),
     ).first()
-    return {
-        "encoding": "ISO-8859-1" if seen.other_bytes else "UTF-8",
-        "multiLine": seen.open_quote,
-        "sep": "\t" if seen.tabs else ",",
-    }
+    return {"encoding": "ISO-8859-1" if seen.other_bytes else "UTF-8", "sep": "\t" if seen.tabs else ","}, seen.open_quote
+
+
+CSV = {
+    "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of one delimited file as strings, plus `ordinal`, its row order."""
-    df = spark.read.csv(
-        path, header=True, quote='"', escape='"', mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        **reader_options(spark, path),
-    )
-    return with_source_order(df.toDF(*[c.lstrip("\ufeff") for c in df.columns]))
+    """All columns of one delimited file, or of the files of a folder, as strings, plus `ordinal`, the row order."""
+    options, spans_lines = reader_options(spark, path)
+    rows = _spanning_rows(spark, path, options) if spans_lines else with_source_order(
+        spark.read.csv(path, header=True, **CSV, **options))
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
 
 
-def with_source_order(df: DataFrame) -> DataFrame:
+def _left_open(line: Column, sep: str) -> Column:
+    """Whether a line that begins outside of quotes ends inside of them: its last field has a quote that nothing closes."""
+    quoted, other = f'"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+', f'[^"{sep}][^{sep}]*+'
+    return line.rlike(f'^(?:(?:{quoted}|{other})?{sep})*+"[^"]*+(?:""[^"]*+)*+$')
+
+
+def records(lines: DataFrame, sep: str) -> DataFrame:
+    """(file, ordinal, value): whole records of the lines (file, ordinal, value), by a parallel scan of the quotes.
+
+    A line is a function of the state it begins in, inside or outside of quotes: it sets the
+    state, keeps it (no quotes) or swaps it. The state before a line is what the last
+    setting line left, swapped as often as lines since then swap; both are running values
+    along the file (operators/ordered.py), so any number of tasks share one file. Only lines of
+    records that span several are gathered.
+    """
+    closed = F.regexp_replace("value", f'^[^"]*+(?:""[^"]*+)*+"[^{sep}]*+{sep}?+', "")
+    from_out = _left_open(F.col("value"), sep)
+    from_in = (~F.col("value").rlike('^[^"]*+(?:""[^"]*+)*+"')) | (_left_open(closed, sep))
+    marked = lines.withColumns({"__out": from_out.cast("int"), "__in": from_in.cast("int")}).withColumn(
+        "__swaps", ((F.col("__out") == 1) & (F.col("__in") == 0)).cast("int"))
+    counted = running_sum(marked, ["file"], ["ordinal"], F.col("__swaps"), "__sum")
+    sets = F.when(F.col("__out") == F.col("__in"), (F.col("__out") + F.col("__sum")) % 2)
+    known = previous_value(counted, ["file"], ["ordinal"], sets, "__set")
+    inside = (F.coalesce("__set", F.lit(0)) + F.col("__sum") - F.col("__swaps")) % 2 == 1
+    stated = cut(known.select(
+        "file", "ordinal", "value", inside.alias("inside"),
+        (F.when(inside, F.col("__in")).otherwise(F.col("__out")) == 1).alias("open")))
+
+    whole = stated.filter("not inside and not open").select("file", "ordinal", "value")
+    pieces = stated.filter("inside or open")
+    begun = previous_value(pieces, ["file"], ["ordinal"], F.when(~F.col("inside"), F.col("ordinal")), "__first")
+    first = F.when(F.col("inside"), F.col("__first")).otherwise(F.col("ordinal"))
+    joined = begun.withColumn("first", first).groupBy("file", "first").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("lines"))
+    return whole.unionByName(joined.select(
+        "file", F.col("first").alias("ordinal"), F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")))
+
+
+def _spanning_rows(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
+    """Rows of files whose fields may hold line breaks: records put together from lines, each read by `from_csv`."""
+    columns = spark.read.csv(path, header=True, multiLine=True, **CSV, **options).columns  # reads a header, no rows
+    lines = with_source_order(spark.read.text(path), keep_file=True)
+    if options["encoding"] != "UTF-8":
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), options["encoding"]))
+    whole = cut(records(lines, options["sep"]).filter(F.trim("value") != ""))
+    header = whole.groupBy("file").agg(F.min("ordinal").alias("ordinal"))
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    row = F.from_csv("value", schema, {**CSV, "sep": options["sep"]})
+    body = whole.join(header, ["file", "ordinal"], "left_anti").select(row.alias("r"), "ordinal")
+    return body.select(*[F.col("r")[c].alias(c) for c in columns], "ordinal")
+
+
+def with_source_order(df: DataFrame, keep_file: bool = False) -> DataFrame:
     """Add `ordinal`, the row's place by file name, position of its block and place within the block.
 
     Blocks are numbered by their place in the files, not by the order in which Spark
@@ -112,8 +165,8 @@ def with_source_order(df: DataFrame) -> DataFrame:
     blocks = placed.select("__file", "__block").distinct()
     numbered = blocks.withColumn("__n", F.row_number().over(Window.orderBy("__file", "__block")).cast("bigint"))
     within = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(numbered), ["__file", "__block"]).withColumn(
-        "ordinal", F.shiftleft("__n", 33) + within).drop("__file", "__block", "__row", "__n")
+    ordered = placed.join(numbered, ["__file", "__block"]).withColumn("ordinal", F.shiftleft("__n", 33) + within)
+    return (ordered.withColumn("file", F.col("__file")) if keep_file else ordered).drop("__file", "__block", "__row", "__n")
 
 
 def scan_register(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,41 @@ def test_an_ingestion_that_lost_the_race_commits_nothing(spark, tmp_path, monkey
         run_ingestion(spark, register, None, root, "run2")
     assert before > 1 and sinks.read_snapshot(spark, root, "companies").count() == 1
     assert {r.id for r in sinks.read_snapshot(spark, root, "ingestion_runs").collect()} == {"run1"}
+
+
+def reference_rows(spark, path, sep=","):
+    """What Spark's one-task reader makes of the file."""
+    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', sep=sep)
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("sep", [",", "\t"])
+def test_quoted_breaks_are_read_by_many_tasks(spark, tmp_path, sep):
+    rng = random.Random(4)
+    text = lambda: rng.choice(["plain", "a b", "", "x" * 30, 'five" pipe', 'say "" twice'])
+    inner = lambda: rng.choice(['one\ntwo', 'He said ""no""', f"a{sep}b", "\n\n", '""', "end\n", '"" \n ""', f'x""{sep}\n""y'])
+    lines = [f"Firm Name{sep}Note{sep}Other"]
+    for i in range(4000):
+        lines.append(sep.join([f"Firm {i}", f'"{inner()}"' if rng.random() < 0.3 else text(), f'"{inner()}"' if rng.random() < 0.2 else text()]))
+    lines[2000:2000] = ["", ""]
+    path = put(tmp_path / "big.csv", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        rows = S.read_delimited(spark, path)
+        got = rows.orderBy("ordinal").collect()
+        assert sorted((tuple(r)[:-1] for r in got), key=repr) == reference_rows(spark, path, sep)
+        assert [r["Firm Name"] for r in got] == [f"Firm {i}" for i in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_breaks_in_other_encodings_and_folders(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes('Firm Name,Note\r\n"Caf\xe9\r\nOne",x\r\n'.encode("latin-1"))
+    (folder / "b.csv").write_bytes('Firm Name,Note\nTwo,"y\nz"\nThree,\n'.encode("latin-1"))
+    rows = S.read_delimited(spark, str(folder)).orderBy("ordinal").collect()
+    assert [(r["Firm Name"], r["Note"]) for r in rows] == [("Caf\xe9\nOne", "x"), ("Two", "y\nz"), ("Three", None)]
