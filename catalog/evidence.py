@@ -48,7 +48,7 @@ LINK_WORDS = "(?i)(the|and|die|que|los)"
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>"""
 
 
-@query("people_links", rf"""
+PEOPLE_LINKS = rf"""
     WITH anchors AS (
       SELECT page_id, url, host, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS label,
              unnest(range(len(regexp_extract_all(html, '{ANCHOR}', 1)))) AS position FROM $served_pages),
@@ -59,24 +59,27 @@ ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>"""
                WHERE link IS NOT NULL AND regexp_replace(lower(split_part(split_part(split_part(link, '/', 3), '?', 1), '#', 1)), '^www\.', '') = regexp_replace(host, '^www\.', '')
                  AND regexp_replace(link, '/$', '') <> regexp_replace(split_part(url, '#', 1), '/$', '')
                  AND regexp_matches(regexp_replace(link, '^[A-Za-z]+://[^/]*', '') || ' ' || words, '{LINK_WORDS}') GROUP BY page_id, link)
-    SELECT page_id, link, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM wanted) x""")
-def _(v):
-    return W.people_links(v.served_pages, ["page_id"], LINK_WORDS).select("page_id", "link", "place")
+    SELECT page_id, link, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM wanted) x"""
 
 
-def _sites(v):
-    return v.hits.filter("rank < 1000000").groupBy("company_id").agg(F.min_by("url", "rank").alias("url"))
+@query("people_links", PEOPLE_LINKS)
+def _(v):
+    return W.people_links(v.served_pages, ["page_id"], LINK_WORDS).select("page_id", "link", "place")
 
 
-@query("people_probes", f"""
-    WITH sites AS (SELECT company_id, arg_min(url, rank) AS url FROM $hits WHERE rank < 1000000 GROUP BY company_id),
+@query("people_probes", rf"""
+    WITH sites AS (SELECT company_id, arg_min(url, rank) AS url, arg_min(page_id, rank) AS page_id FROM $hits WHERE rank < 1000000 GROUP BY company_id),
+    linked AS (SELECT s.company_id, l.place, l.link AS probe FROM sites s JOIN ({PEOPLE_LINKS}) l ON l.page_id = s.page_id),
     paths AS (SELECT unnest([{", ".join(f"'{p}'" for p in L.PEOPLE_PATHS)}]) AS path, unnest(range({len(L.PEOPLE_PATHS)})) AS place),
-    probes AS (SELECT company_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || path AS probe, place FROM sites, paths
-               WHERE path <> '/team' OR split_part(url, '?', 2) = '')
+    usual AS (SELECT company_id, 1000 + place AS place, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || path AS probe FROM sites, paths),
+    firsts AS (SELECT company_id, probe, min(place) AS place FROM (SELECT * FROM linked UNION ALL SELECT company_id, place, probe FROM usual) x GROUP BY ALL),
+    probes AS (SELECT * FROM firsts WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE s.company_id = firsts.company_id AND split_part(s.url, '?', 2) <> ''
+               AND probe = regexp_extract(s.url, '^([A-Za-z]+://[^/?#]+)', 1) || '/team'))
     SELECT company_id, probe, CAST(row_number() OVER (PARTITION BY company_id ORDER BY place, probe) AS INTEGER) AS place FROM probes""")
 def _(v):
-    sites = _sites(v)
-    links = sites.limit(0).select("company_id", F.lit(1).alias("place"), F.col("url").alias("link"))
+    sites = v.hits.filter("rank < 1000000").groupBy("company_id").agg(F.min_by("url", "rank").alias("url"), F.min_by("page_id", "rank").alias("page_id"))
+    pages = sites.select("company_id", "page_id").join(v.served_pages.select("page_id", "url", "html"), "page_id")
+    links = W.people_links(pages, ["company_id"], LINK_WORDS)
     team = F.concat(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1), F.lit("/team"))
     fetched = sites.filter(F.split_part("url", F.lit("?"), F.lit(2)) != "").select("company_id", team.alias("url"))
     return W.people_probes(sites, links, fetched).select("company_id", "probe", "place")
@@ -188,6 +191,28 @@ def _(v):
     return v.customer.select("c_custkey", F.array_join(W.domain_guesses(F.expr(TRADING)), " ").alias("guesses"))
 
 
+TLD = "CASE " + " ".join(f"WHEN contains(host, '{t}') THEN '{t}'" for t in L.PLAUSIBLE_TLDS) + " END"
+CORE = f"regexp_replace(split_part(host, {TLD}, 1), '[^a-z0-9-]', '', 'g')"
+
+
+@query("guessed_sites", f"""
+    WITH placed AS (SELECT page_id, host, 'https://' || CASE WHEN page_id % 2 = 0 THEN 'www.' ELSE '' END || {CORE} || {TLD} AS url, html FROM $served_pages),
+    texts AS (SELECT host, page_id, url, nullif({page_text_sql('html')}, '') AS text FROM placed),
+    firms AS (SELECT DISTINCT host AS company_id FROM $served_pages WHERE length({CORE}) >= 3),
+    found AS (SELECT company_id, page_id, t.url, text, CASE WHEN t.url LIKE 'https://www.%' THEN 0 ELSE 1 END AS guess
+              FROM firms f JOIN texts t ON t.host = f.company_id WHERE text IS NOT NULL)
+    SELECT company_id, arg_min(page_id, (guess, page_id)) AS page_id, arg_min(url, (guess, page_id)) AS url, min(guess) AS guess FROM found GROUP BY company_id""")
+def _(v):
+    tld = F.coalesce(*[F.when(F.col("host").contains(t), F.lit(t)) for t in L.PLAUSIBLE_TLDS])
+    root = F.concat(F.regexp_replace(F.split_part("host", tld, F.lit(1)), "[^a-z0-9-]", ""), tld)
+    www = F.when(F.col("page_id") % 2 == 0, "www.").otherwise("")
+    # Several pages share a guessed address here; the first of them counts.
+    pages = v.served_pages.select("page_id", F.concat(F.lit("https://"), www, root).alias("url"), "html")
+    firms = v.served_pages.select(F.col("host").alias("company_id"), F.upper("host").alias("trading_name")).distinct()
+    one = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), F.struct(W.page_text("html").isNull(), "page_id")).alias("p"))
+    return W.guessed_sites(firms, one.select("url", "p.page_id", "p.html")).select("company_id", "page_id", "url", F.col("guess"))
+
+
 @query("site_document", f"""
     WITH main AS (SELECT page_id, url, split_part(split_part(html, '<title>', 2), '</title>', 1) AS title, html FROM $pages),
     extra AS (SELECT 1 AS place, page_id, url || html AS text FROM $pages UNION ALL SELECT 0, page_id, html || url FROM $pages WHERE url LIKE 'https%'),
@@ -359,7 +384,13 @@ def _(v):
     return firms.select("id", block.alias("context"))
 
 
-@query("outreach_inputs")
+@query("outreach_inputs", """
+    WITH best AS (SELECT doc_id, source, lang, executive_summary AS summary, recommended_angle AS angle, 'Firm ' || CAST(doc_id AS VARCHAR) AS firm,
+                         CASE WHEN n_chars > 500 THEN 'a-' || source WHEN lang IN ('en', 'fr') THEN 'b' WHEN lang <> 'de' THEN 'c' END AS name FROM $assessments),
+    told AS (SELECT *, concat_ws(', ', name, 'Director') AS recipient FROM best)
+    SELECT doc_id, recipient, 3 AS contact_count, source AS reference_points, concat_ws(' ', firm, summary, source, source) AS grounding,
+           concat_ws(chr(10), 'To: ' || recipient, 'Firm: ' || firm, 'Angle: ' || angle, CASE WHEN summary <> '' THEN 'Summary: ' || summary END) AS context
+    FROM told""")
 def _(v):
     from catalog.leads import contact_arrays
     from firmloom.operators.leads import rank_contacts

@@ -89,7 +89,7 @@ def _(v):
 
 
 @query("email_preflight", """
-    WITH per AS (SELECT company_id, count(*) AS contacts FROM $contact_rows WHERE side = 'O' AND full_name IS NULL GROUP BY company_id),
+    WITH per AS (SELECT company_id, count(*) AS contacts FROM $contact_rows GROUP BY company_id),
     best AS (SELECT company_id, max(guard_score) AS confidence FROM $enrichment GROUP BY company_id)
     SELECT c.id AS company_id,
       CASE WHEN b.company_id IS NULL THEN 'no assessment'
@@ -97,7 +97,7 @@ def _(v):
            THEN 'low confidence, no website, no contacts' END AS skip_reason
     FROM $companies c LEFT JOIN per p ON p.company_id = c.id LEFT JOIN best b ON b.company_id = c.id""")
 def _(v):
-    per = v.contact_rows.filter("side = 'O' and full_name is null").groupBy("company_id").agg(F.count(F.lit(1)).alias("contacts"))
+    per = v.contact_rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("contacts"))
     best = v.enrichment.groupBy("company_id").agg(F.max("guard_score").alias("confidence")).withColumn("assessed", F.lit(True))
     firms = v.companies.withColumnRenamed("id", "company_id").join(per, "company_id", "left").join(best, "company_id", "left")
     why = O.email_preflight(F.col("assessed"), F.col("confidence"), F.col("trading_name").isNotNull(), F.col("contacts"))

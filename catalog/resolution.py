@@ -101,21 +101,21 @@ def company_table(v):
         "ingested_at", F.col("ingested_at").cast("timestamp"))
 
 
+UPSERT_KEY = f"coalesce(nullif({fold('{0}')}, ''), '=' || {{0}})"
 UPSERTED = f"""
-  batch AS (SELECT doc_id AS ordinal, {fold('name')} AS k, name, county, status FROM (
-     SELECT doc_id, split_part(replace(text, chr(10), ' '), ' ', 1) || ' ' || lang AS name, CASE WHEN lang <> 'fr' THEN source END AS county,
-            CASE WHEN n_chars > 600 THEN 'Normal' END AS status FROM $documents) d),
-  meeting AS (SELECT -1 AS ordinal, {fold('legal_name')} AS k, legal_name AS name, county, cro_status AS status FROM $companies
+  batch AS (SELECT page_id AS ordinal, {UPSERT_KEY.format('title')} AS k, title AS name, CASE WHEN lang <> 'fr' THEN source END AS county,
+                   CASE WHEN n_chars > 2000 THEN 'Normal' END AS status FROM $titled),
+  meeting AS (SELECT -1 AS ordinal, {UPSERT_KEY.format('legal_name')} AS k, legal_name AS name, county, cro_status AS status FROM $companies
            UNION ALL SELECT * FROM batch)
 """
 
 
 def name_batch(v):
-    name = F.concat_ws(" ", F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(1)), "lang")
-    return v.documents.select(
-        F.col("doc_id").alias("ordinal"), name.alias("legal_name"), F.lit(None).cast("string").alias("cro_number"),
-        F.when(F.col("lang") != "fr", F.col("source")).alias("county"), F.when(F.col("n_chars") > 600, "Normal").alias("cro_status"),
-        F.lit("register").alias("source"), F.lit(None).cast("timestamp").alias("ingested_at"), F.col("doc_id").cast("string").alias("raw_payload"),
+    """All page titles, whole, as the names of a register."""
+    return v.titled.select(
+        F.col("page_id").alias("ordinal"), F.col("title").alias("legal_name"), F.lit(None).cast("string").alias("cro_number"),
+        F.when(F.col("lang") != "fr", F.col("source")).alias("county"), F.when(F.col("n_chars") > 2000, "Normal").alias("cro_status"),
+        F.lit("register").alias("source"), F.lit(None).cast("timestamp").alias("ingested_at"), F.col("page_id").cast("string").alias("raw_payload"),
     )
 
 
@@ -176,14 +176,17 @@ def _(v):
 
 
 def contact_table(v):
-    rows = v.contact_rows.filter("side = 'O' and full_name is not null")
-    one = U.last_per_key(rows, ["company_id", "full_name"])
-    return one.select(U.derived_id(F.col("company_id"), F.col("full_name")).alias("id"), *[c for c in schemas.CONTACTS.names if c != "id"])
+    """The contacts of side 'O': the last of each name, and all without a name."""
+    rows = v.contact_rows.filter("side = 'O'")
+    one = U.last_per_key(rows.filter("full_name is not null"), ["company_id", "full_name"])
+    every = one.unionByName(rows.filter("full_name is null").select(*one.columns))
+    named = F.coalesce("full_name", F.concat(F.lit("#"), F.col("ordinal").cast("string")))
+    return every.select(U.derived_id(F.col("company_id"), named).alias("id"), *[c for c in schemas.CONTACTS.names if c != "id"])
 
 
 @query("upsert_contacts", """
     WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, full_name ORDER BY ordinal DESC) AS n
-                 FROM $contact_rows WHERE side = 'O' AND full_name IS NOT NULL) x WHERE n = 1),
+                 FROM $contact_rows WHERE side = 'O') x WHERE n = 1 OR full_name IS NULL),
     meeting AS (SELECT company_id, full_name, role_title, email, phone, confidence_score, source, -1 AS ordinal FROM cur
              UNION ALL SELECT company_id, full_name, role_title, email, phone, confidence_score, source, ordinal FROM $contact_rows WHERE side = 'F')
     SELECT company_id, full_name, arg_max(role_title, ordinal) FILTER (WHERE role_title IS NOT NULL) AS role_title,

@@ -151,14 +151,14 @@ VIEWS = {
                'model-' || lang AS llm_model
         FROM $documents""",
     "outbox": """
-        SELECT a.conv_id, a.turn, 'About ' || split_part(a.text, ' ', 1) AS subject, a.text AS body,
+        SELECT a.conv_id, a.turn, 'About ' || coalesce(u.text, a.text) AS subject, a.text AS body,
                coalesce(u.text, '') AS grounding
         FROM $conversations a LEFT JOIN $conversations u
              ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user'
         WHERE a.role = 'assistant'""",
     "responses": """
         SELECT conv_id, turn, role, model, summary,
-               CASE WHEN role = 'system' THEN 'no json in here'
+               CASE WHEN role = 'system' THEN summary
                     WHEN turn % 4 = 0 THEN doc
                     WHEN turn % 4 = 1 THEN 'Here it is: ```json ' || doc || ' ``` done'
                     WHEN turn % 4 = 2 THEN 'Sure. ' || doc || ' Hope it helps.'

@@ -240,11 +240,32 @@ def site_match_score(
     return candidates.withColumn(name, F.when(usable, score).otherwise(0).cast("int"))
 
 
-def best_site(scored: DataFrame, threshold: int = SITE_SCORE) -> DataFrame:
-    """Best readable page per firm at or above the threshold; lowest (query, rank) among equals."""
+def guessed_sites(firms: DataFrame, pages: DataFrame) -> DataFrame:
+    """The first readable page among the domains that a firm's trading name suggests.
+
+    `firms`: (company_id, trading_name); `pages`: (url, html, ...). Returns the page's columns, its
+    text and `guess`, the number of the guess. A trailing slash makes no difference.
+    """
+    bare = lambda c: F.regexp_replace(c, "/$", "")
+    guesses = firms.select("company_id", F.posexplode(domain_guesses("trading_name")).alias("guess", "__at"))
+    read = guesses.join(pages.withColumn("__at", bare(F.col("url"))), "__at").withColumn("text", page_text("html"))
+    rest = [c for c in read.columns if c not in ("company_id", "__at")]
+    first = read.filter("text is not null").groupBy("company_id").agg(
+        F.min_by(F.struct(*rest), F.struct("guess", "url")).alias("g"))
+    return first.select("company_id", *[f"g.{c}" for c in rest])
+
+
+def best_site(scored: DataFrame, threshold: int = SITE_SCORE, guessed: DataFrame | None = None) -> DataFrame:
+    """Best readable page per firm at or above the threshold; lowest (query, rank) among equals.
+
+    A page of `guessed` (the columns of `scored`) is the firm's site at any score, unless
+    a page of `scored` has a higher one.
+    """
     rest = [c for c in scored.columns if c != "company_id"]
-    fit = scored.filter((F.col("site_score") >= threshold) & F.col("text").isNotNull())
-    order = F.struct(F.col("site_score"), -F.col("query_no"), -F.col("rank"))
+    fit = scored.filter((F.col("site_score") >= threshold) & F.col("text").isNotNull()).withColumn("__guess", F.lit(0))
+    if guessed is not None:
+        fit = fit.unionByName(guessed.select(*scored.columns).withColumn("__guess", F.lit(1)))
+    order = F.struct(F.col("site_score"), "__guess", -F.col("query_no"), -F.col("rank"))
     return fit.groupBy("company_id").agg(F.max_by(F.struct(*rest), order).alias("b")).select(
         "company_id", *[f"b.{c}" for c in rest]
     )

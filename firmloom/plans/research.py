@@ -11,13 +11,15 @@ from firmloom.operators import evidence as W
 def research(companies: DataFrame, hits: DataFrame, pages: DataFrame, inboxes: list[str]) -> DataFrame:
     """Site, presence, contacts, coverage, confidence and sources of every firm.
 
-    Only pages that some firm's results name are parsed.
+    Only pages that some firm's results or its trading name point to are parsed.
     """
     firms = companies.withColumnRenamed("id", "company_id")
     anchors = firms.select("company_id", "legal_name", "trading_name", *W.ANCHORS)
     candidates = W.cap_candidates(hits)
     served = candidates.join(pages, "url").join(anchors, "company_id").withColumn("text", W.page_text("html"))
-    site = W.best_site(W.site_match_score(served))
+    guesses = W.guessed_sites(firms.select("company_id", "trading_name"), pages).join(anchors, "company_id").withColumns({
+        "place": F.lit(0), "query_no": F.lit(-1), "rank": F.col("guess"), "title": F.lit(None).cast("string")})
+    site = W.best_site(W.site_match_score(served), guessed=W.site_match_score(guesses))
     blocked = W.blocked_candidates(served)
 
     links = W.people_links(

@@ -240,3 +240,26 @@ def test_research_plan(spark):
     assert [(c.name, c.email) for c in acme.contacts] == [("Mary Byrne", "m.byrne@acmecover.ie")]
     assert acme.social_links == {"facebook": "https://facebook.com/acmecover"} and acme.research_confidence >= 90
     assert rows["d"].presence.notes == "No verified website" and rows["d"].contacts == []
+
+
+def test_a_readable_guess_is_the_site(spark):
+    from firmloom.plans.research import research
+
+    names = ["id", "legal_name", "trading_name", "cro_number", "cro_status", "cbi_reference", "incorporation_date", "last_annual_return",
+             "registered_address", "eircode"]
+    firms = spark.createDataFrame(
+        [("g", "Quill Holdings Ltd", "Zephyr.ie"), ("b", "Acme Cover Insurance Ltd", "acmex.com"), ("n", "Nowhere Ltd", "nowhere.ie")],
+        "id string, legal_name string, trading_name string").select(
+            *[n if n in ("id", "legal_name", "trading_name") else F.lit(None).cast("string").alias(n) for n in names])
+    found = spark.createDataFrame([("b", 0, 0, "Acme", "https://www.acmecover.ie/"), ("g", 0, 0, "Other", "https://other.ie/")],
+                                  "company_id string, query_no int, rank int, title string, url string")
+    pages = spark.createDataFrame(
+        [("https://www.zephyr.ie", 200, "nginx", ""), ("https://zephyr.ie/", 200, "nginx", "<p>" + "Nothing about the firm. " * 9 + "</p>"),
+         ("https://other.ie/", 200, "nginx", "<p>" + "Cheese. " * 30 + "</p>"), ("https://www.acmex.com", 200, "nginx", "<p>" + "Cheese. " * 30 + "</p>"),
+         ("https://www.acmecover.ie/", 200, "nginx", f"<p>{BROKER}</p>")],
+        "url string, status int, server string, html string")
+    rows = {r.company_id: r.presence.domain for r in research(firms, found, pages, ["info"]).collect()}
+    # Below the threshold, yet the site; a result that scores higher; no readable guess.
+    assert rows == {"g": "zephyr.ie", "b": "acmecover.ie", "n": None}
+    guessed = W.guessed_sites(firms.withColumnRenamed("id", "company_id"), pages).orderBy("company_id").collect()
+    assert [(r.company_id, r.guess, r.url) for r in guessed] == [("b", 0, "https://www.acmex.com"), ("g", 1, "https://zephyr.ie/")]
