@@ -97,7 +97,7 @@ def _(v):
 @query("assess_sink", f"""WITH {REPORT} SELECT company_id, failures = '' AS guard_passed, CAST(score AS DOUBLE) AS guard_score FROM report""")
 def _(v):
     root = folder(v, "assessments")
-    write = assess_sink(root, "run", standard_guards(DIMENSIONS), "warn")
+    write = assess_sink(root, "run", standard_guards(DIMENSIONS), "warn", buckets=8)
     rows = assessments(v).withColumns({"ordinal": F.col("doc_id"), "generated_at": F.lit("2024-01-01").cast("timestamp")})
     write(rows.filter("lang = 'en'"), 0)
     write(rows.filter("lang <> 'en'"), 1)

@@ -9,6 +9,10 @@ pointer names is overwritten or deleted by a write; `remove_old_versions` does t
 A version that was made from another one is committed against it: its number is the
 other's plus one, so of two writers that read the same version the second gets
 `LostRace`, before or after it has written its files, and no update is lost.
+
+A keyed table can be kept in buckets by a hash of its key. A version then names a folder
+for each bucket; an update reads and writes the buckets of its keys, and the pointer
+keeps the folders of all others.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from firmloom import schemas
 
 POINTERS = "_pointers"
+BUCKET, BUCKETS = "key_bucket", 64
 
 
 class LostRace(RuntimeError):
@@ -32,12 +37,16 @@ class LostRace(RuntimeError):
 
 @dataclass(frozen=True)
 class Pointer:
-    """One written version: its number, name, folder, and the number of the version it was made from."""
+    """One written version: its number, name, folder, and the number of the version it was made from.
+
+    `buckets`, of a table in buckets: the folder of each, None for one without rows.
+    """
 
     number: int
     version: str
     folder: str
     base: int | None
+    buckets: dict[str, str | None] | None = None
 
 
 def _path(spark: SparkSession, path: str):
@@ -115,12 +124,53 @@ def update_snapshot(
     raise ValueError("attempts must be positive")
 
 
-def read_pointer(spark: SparkSession, root: str, table: str, pointer: Pointer | None) -> DataFrame:
-    """The version of a pointer; the empty table for None. A version whose files are gone is an error."""
+def read_pointer(spark: SparkSession, root: str, table: str, pointer: Pointer | None, only: list[int] | None = None) -> DataFrame:
+    """The version of a pointer; the empty table for None. A version whose files are gone is an error.
+
+    `only`: the buckets to read, of a table in buckets.
+    """
     schema = getattr(schemas, table.upper())
     if pointer is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}/{pointer.folder}")
+    if pointer.buckets is None:
+        paths = [f"{root}/{table}/{pointer.folder}"]
+    else:
+        wanted = pointer.buckets if only is None else [str(b) for b in only]
+        paths = [f"{root}/{table}/{pointer.buckets[b]}/{BUCKET}={b}" for b in wanted if pointer.buckets[b]]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def touched_buckets(keys: DataFrame, key: str, pointer: Pointer | None, buckets: int = BUCKETS) -> list[int]:
+    """The buckets of the keys. Of a table that is not in buckets yet, all."""
+    if pointer is None or pointer.buckets is None:
+        return list(range(buckets))
+    return sorted(r[0] for r in keys.select(bucket_of(key, len(pointer.buckets))).distinct().collect())
+
+
+def write_buckets(
+    df: DataFrame, root: str, table: str, version: str, base: Pointer | None, key: str, touched: list[int], buckets: int = BUCKETS
+) -> Pointer:
+    """Write `df`, all rows of the `touched` buckets, as a version made from `base`; its other buckets stay."""
+    spark = df.sparkSession
+    now = newest(spark, root, table)
+    if (now.number if now else 0) != (base.number if base else 0):
+        raise LostRace(f"{table}: made from version {base.number if base else 0}, but version {now.number} is there; run again from it")
+    kept = base.buckets if base is not None and base.buckets is not None else {}
+    many = len(kept) or buckets
+    folder = f"{version}-{uuid.uuid4().hex}"
+    placed = df.withColumn(BUCKET, bucket_of(key, many))
+    placed.repartition(BUCKET).write.mode("errorifexists").partitionBy(BUCKET).parquet(f"{root}/{table}/{folder}")
+    written = {}
+    for b in touched:
+        path, files = _path(spark, f"{root}/{table}/{folder}/{BUCKET}={b}")
+        written[str(b)] = folder if files.exists(path) else None
+    pointer = Pointer((now.number if now else 0) + 1, version, folder, base.number if base else 0, {**kept, **written})
+    _point(spark, root, table, pointer)
+    return pointer
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -129,12 +179,23 @@ def read_snapshot(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def remove_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> int:
-    """Delete all but the last `keep` versions with their pointers; returns how many."""
-    old = pointers(spark, root, table)[:-keep] if keep > 0 else []
+    """Delete all but the last `keep` versions with their pointers; returns how many. Buckets that a kept one names stay."""
+    known = pointers(spark, root, table)
+    old = known[:-keep] if keep > 0 else []
+    named = {(folder, b) for p in known[len(old):] for b, folder in (p.buckets or {}).items()}
+
+    def delete(path: str) -> None:
+        target, files = _path(spark, path)
+        files.delete(target, True)
+
     for pointer in old:
-        for path, recursive in ((f"{root}/{table}/{POINTERS}/{pointer.number:012d}.json", False), (f"{root}/{table}/{pointer.folder}", True)):
-            target, files = _path(spark, path)
-            files.delete(target, recursive)
+        delete(f"{root}/{table}/{POINTERS}/{pointer.number:012d}.json")
+    for folder in {f for p in old for f in (p.folder, *(p.buckets or {}).values()) if f}:
+        if all(f != folder for f, _ in named):
+            delete(f"{root}/{table}/{folder}")
+        else:
+            for b in {b for p in old for b, f in (p.buckets or {}).items() if f == folder and (f, b) not in named}:
+                delete(f"{root}/{table}/{folder}/{BUCKET}={b}")
     return len(old)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from firmloom.operators.guards import Guard, run_guards, storage_route
 from firmloom.operators.upsert import record_rejection, replace_enrichment
 from firmloom.session import cut
-from firmloom.sources.sinks import Pointer, pointers, read_pointer, write_snapshot
+from firmloom.sources.sinks import BUCKETS, Pointer, pointers, read_pointer, touched_buckets, write_buckets
 
 log = logging.getLogger(__name__)
 
@@ -54,20 +54,23 @@ def _before_batch(spark: SparkSession, root: str, table: str, run: str, batch_id
 
 
 def assess_sink(
-    root: str, run: str, guards: list[Guard], mode: str = "warn", on_audit: Callable[[DataFrame], None] | None = None
+    root: str, run: str, guards: list[Guard], mode: str = "warn", on_audit: Callable[[DataFrame], None] | None = None,
+    buckets: int = BUCKETS,
 ):
     """foreachBatch function writing enrichment, rejections and outcomes under `root`.
 
     Versions are named by run and batch: a replay starts from the same predecessor as the
     first attempt and writes only what that did not commit. Each is committed against its
-    predecessor. `on_audit` may fail without changing outcomes.
+    predecessor and writes only the buckets of the batch's companies. `on_audit` may fail
+    without changing outcomes.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = {t: _before_batch(spark, root, t, run, batch_id) for t in ("enrichment", "assessment_rejections")}
         routed = cut(assess_batch(batch, guards, mode))
         text = routed.withColumn("guard_failures", F.to_json("guard_failures"))
-        enrichment, rejections = (read_pointer(spark, root, t, p) for t, (p, _) in before.items())
+        touched = {t: touched_buckets(routed, "company_id", p, buckets) for t, (p, _) in before.items()}
+        enrichment, rejections = (read_pointer(spark, root, t, p, touched[t]) for t, (p, _) in before.items())
         refused = text.filter(~F.col("stored")).select(
             "company_id", "ordinal", F.col("route_reason").alias("reason"), "guard_failures", "guard_score",
             "llm_model", F.col("generated_at").alias("rejected_at"),
@@ -81,7 +84,7 @@ def assess_sink(
         for table, rows in (("enrichment", stored), ("assessment_rejections", record_rejection(cleared, late))):
             start, written = before[table]
             if not written:
-                write_snapshot(rows, root, table, f"{run}-{batch_id}", start.number if start else 0)
+                write_buckets(rows, root, table, f"{run}-{batch_id}", start, "company_id", touched[table], buckets)
         outcomes = routed.select("company_id", "ordinal", "outcome", "route_reason")
         outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/run={run}/batch={batch_id}")
         if on_audit is not None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.lists import PAGE_COLUMNS
-from firmloom.operators import ordered
+from firmloom.operators import ordered, upsert as U
 from firmloom import schemas
 from firmloom.plans.ingest import run_ingestion
 from firmloom.sources import delimited as S
@@ -259,3 +259,37 @@ def test_quoted_breaks_in_other_encodings_and_folders(spark, tmp_path):
     (folder / "b.csv").write_bytes('Firm Name,Note\nTwo,"y\nz"\nThree,\n'.encode("latin-1"))
     rows = S.read_delimited(spark, str(folder)).orderBy("ordinal").collect()
     assert [(r["Firm Name"], r["Note"]) for r in rows] == [("Caf\xe9\nOne", "x"), ("Two", "y\nz"), ("Three", None)]
+
+
+def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
+    root, schema = str(tmp_path), schemas.ASSESSMENT_REJECTIONS
+    make = lambda rows: spark.createDataFrame([(k, why, "[]", 1.0, "m", None) for k, why in rows], schema)
+    content = lambda: {r.company_id: r.reason for r in sinks.read_snapshot(spark, root, "assessment_rejections").collect()}
+
+    def store(version, rows):
+        batch, base = make(rows), sinks.newest(spark, root, "assessment_rejections")
+        touched = sinks.touched_buckets(batch, "company_id", base, 16)
+        part = sinks.read_pointer(spark, root, "assessment_rejections", base, touched)
+        return touched, sinks.write_buckets(
+            U.replace_rows(part, batch, ["company_id"]), root, "assessment_rejections", version, base, "company_id", touched, 16)
+
+    want = {f"c{i}": "first" for i in range(200)}
+    first, pointer = store("a", want.items())
+    assert first == list(range(16)) and content() == want
+    touched, second = store("b", [("c3", "second"), ("c7", "second"), ("new", "second")])
+    want |= {"c3": "second", "c7": "second", "new": "second"}
+    assert content() == want and 1 <= len(touched) <= 3
+    # Only these were written; the pointer keeps the folders of all others.
+    assert sorted(d for d in os.listdir(f"{root}/assessment_rejections/{second.folder}") if d[0] not in "._") == sorted(
+        f"key_bucket={b}" for b in touched)
+    assert {b for b, f in second.buckets.items() if f == pointer.folder} == {str(b) for b in range(16)} - {str(b) for b in touched}
+    with pytest.raises(sinks.LostRace):
+        sinks.write_buckets(make([]), root, "assessment_rejections", "x", pointer, "company_id", [0])
+    # A bucket whose rows are gone has no folder.
+    gone = sinks.write_buckets(make([]), root, "assessment_rejections", "c", second, "company_id", [5])
+    assert gone.buckets["5"] is None
+    before = content()
+    assert 0 < len(before) < len(want)
+    assert sinks.remove_old_versions(spark, root, "assessment_rejections", keep=1) == 2
+    assert content() == before
+    assert not os.path.exists(f"{root}/assessment_rejections/{pointer.folder}/key_bucket=5")

@@ -168,12 +168,12 @@ def test_assess_in_batches_equals_all_at_once(spark, judged, tmp_path):
         raise RuntimeError("audit down")
 
     guards = standard_guards(DIMENSIONS)
-    write = assess_sink(many, "a", guards, "block", on_audit=audit)
+    write = assess_sink(many, "a", guards, "block", on_audit=audit, buckets=8)
     parts = [judged.filter("doc_id < 70"), judged.filter("doc_id between 70 and 130"), judged.filter("doc_id > 130")]
     for i, part in enumerate(parts):
         write(part, i)
     write(parts[2], 2)  # replayed
-    assess_sink(one, "b", guards, "block")(judged, 0)
+    assess_sink(one, "b", guards, "block", buckets=4)(judged, 0)
     assert final(spark, many) == final(spark, one)
     stored, refused = final(spark, many)
     assert stored and refused
@@ -185,12 +185,12 @@ def test_assess_in_batches_equals_all_at_once(spark, judged, tmp_path):
 
 def test_a_new_checkpoint_keeps_the_table(spark, judged, tmp_path):
     root, guards = str(tmp_path), standard_guards(DIMENSIONS)
-    assess_sink(root, "a", guards)(judged.filter("doc_id < 100"), 0)
+    assess_sink(root, "a", guards, buckets=4)(judged.filter("doc_id < 100"), 0)
     before = read_snapshot(spark, root, "enrichment").count()
-    assess_sink(root, "b", guards)(judged.filter("doc_id > 190"), 0)
+    assess_sink(root, "b", guards, buckets=4)(judged.filter("doc_id > 190"), 0)
     assert read_snapshot(spark, root, "enrichment").count() >= before
     with pytest.raises(RuntimeError, match="has no batch 2"):
-        assess_sink(root, "b", guards)(judged, 3)
-    assess_sink(root, "b", guards)(judged.filter("doc_id > 180"), 1)
+        assess_sink(root, "b", guards, buckets=4)(judged, 3)
+    assess_sink(root, "b", guards, buckets=4)(judged.filter("doc_id > 180"), 1)
     with pytest.raises(RuntimeError, match="past batch 0"):
-        assess_sink(root, "b", guards)(judged, 0)
+        assess_sink(root, "b", guards, buckets=4)(judged, 0)
