@@ -300,6 +300,23 @@ class Bigrams:
         return out
 
 
+    def pairs_of(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, -1 for unknown ones, and counts of pairs of word ids, -1 for unknown ones; each distinct pair is looked up once."""
+        pairs, size = self.triples.pairs, np.uint64(max(self.words.size, 1))
+        ids, counts = np.full(len(first), -1, np.int64), np.zeros(len(first), np.uint64)
+        known = np.flatnonzero((first >= 0) & (second >= 0))
+        distinct, place = np.unique(first[known].astype(np.uint64) * size + second[known].astype(np.uint64), return_inverse=True)
+        found = pairs.ids((distinct // size).astype(np.int64), (distinct % size).astype(np.int64))
+        order = np.argsort(found, kind="stable")
+        cuts, seen = np.searchsorted(found[order], pairs.base), np.zeros(len(distinct), np.uint64)
+        for p, names in enumerate(self.counts):
+            mine = order[cuts[p]:cuts[p + 1]]
+            if names and len(mine):
+                seen[mine] = read_counts(self.words.folder, names, found[mine] - pairs.base[p])
+        ids[known], counts[known] = found[place], seen[place]
+        return ids, counts
+
+
 CONTEXT = np.dtype([("count", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 
 
@@ -517,23 +534,27 @@ def score_sequences(model: Bigrams, sequences: list[np.ndarray]) -> dict[str, np
         lower = np.ones(len(distinct))
     chance = lower[w]
     seen = context["count"][u] > 0
-    if seen.any():
+    if model.triples is not None:
+        pair_id, pair = model.pairs_of(ids[u], ids[w])
+        pair = pair.astype(np.float64)
+    elif seen.any():
         both = seen & (ids[w] >= 0)
         pair = np.zeros(len(w))
         first_id, second_id = ids[u[both]], ids[w[both]]
         keys = first_id.astype(np.uint64) * np.uint64(max(words.size, 1)) + second_id.astype(np.uint64)
         pair[both] = model.pair_counts(keys, model.parts(first_id, second_id))
+    if seen.any():
         about = context[u[seen]]
         left = sum(d * about[n].astype(np.float64) for d, n in zip(model.pair_discounts, ("n1", "n2", "n3"), strict=True))
         chance[seen] = (_discounted(pair[seen], model.pair_discounts) + left * lower[w[seen]]) / about["count"]
     if model.triples is not None:
-        opening = np.zeros(len(flat), bool)
-        opening[ends - lengths + 1] = True
-        third = np.where(opening[second], words.ids(END)[0], ids[place[np.maximum(second - 2, 0)]])
-        known = np.flatnonzero((third >= 0) & (ids[u] >= 0))
-        pair = model.triples.pairs.ids(third[known], ids[u[known]])
-        known, pair = known[pair >= 0], pair[pair >= 0]
-        about, count = model.triples.find(pair, ids[w[known]])
+        # The context of a word is the pair before it, at a text's beginning that of two document ends.
+        end = words.ids(END)[:1]
+        opening = np.concatenate(([0], np.cumsum(lengths - 1)[:-1]))
+        before_it = np.concatenate(([-1], pair_id[:-1]))
+        before_it[opening] = model.pairs_of(end, end)[0][0]
+        known = np.flatnonzero(before_it >= 0)
+        about, count = model.triples.find(before_it[known], ids[w[known]])
         known, about, count = (x[about["count"] > 0] for x in (known, about, count))
         left = sum(d * about[n].astype(np.float64) for d, n in zip(model.triples.discounts, ("n1", "n2", "n3"), strict=True))
         chance[known] = (_discounted(count.astype(np.float64), model.triples.discounts) + left * chance[known]) / about["count"]
