@@ -22,7 +22,9 @@ not paired by n-gram at all. Its members are compared with one hub instead, the
 with the fewest rare n-grams, and kept as differences D from it. Two sets differ by
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| n-grams: pairs whose differences are short link by
 the triangle inequality and need one star; all others link only if their differences
-share n-grams, which are rare among differences, and are found by joining those.
+share n-grams. Differences without a possible partner are dropped in rounds, what is
+left is cut to prefixes, and these pair as n-grams do: first with one hub a difference,
+then only across components. Shared differences are counted per fragment and summed.
 
 Verification. The order is cut into fragments, sets into segments by fragment. A
 pair's overlap is counted per fragment and summed; a link needs
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmloom.llm.common import attach, broadcast_if_small, row_key, stage, text_of, without
@@ -54,6 +56,7 @@ CODE_BITS, SKIP = 40, (1 << 24) - 1
 RUN = 1 << 20
 FREQUENT_FROM = 16
 FRAGMENTS = 4
+SALTS = 16
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
@@ -265,29 +268,114 @@ class JaccardJoin:
         apart = F.concat(F.array_except("grams", "hub"), F.array_except("hub", "grams"))
         over, under = 100 + self.percent, 100 - self.percent
         far = stage(
-            full.join(F.broadcast(hubs) if hubs.count() <= 100 else hubs, "cluster")
-            .select("cluster", "class", "size", apart.alias("apart"))
+            attach(full.withColumn("salt", F.pmod("class", F.lit(SALTS))), hubs, ["cluster"], "salt")
+            .select("cluster", "class", "size", "salt", apart.alias("apart"))
             .withColumn("f", (over * F.size("apart") - under * F.col("size")).cast("bigint")), "differences")
         # Sets differ by at most |D(x)| + |D(y)|, so f(x) + f(y) <= 0 is a link; the class of least f has all such links.
         centres = far.groupBy("cluster").agg(F.min(F.struct("f", "class")).alias("c"))
-        placed = stage(far.join(F.broadcast(centres) if centres.count() <= 100_000 else centres, "cluster").select(
+        placed = stage(attach(far, centres, ["cluster"], "salt").select(
             "cluster", "class", "f", "apart", F.col("c.class").alias("centre"), (F.col("f") + F.col("c.f") > 0).alias("away")), "centred")
         star = placed.filter(~F.col("away") & (F.col("class") != F.col("centre"))).select(
             F.col("class").alias("a"), F.col("centre").alias("b"))
-        grams = placed.select("cluster", "class", "f", "away", F.explode("apart").alias("g"))
-        shared = grams.groupBy("cluster", "g").agg(F.count("*").alias("many"), F.max("away").alias("any")).filter("many > 1 and any")
-        known = grams.join(shared.select("cluster", "g"), ["cluster", "g"])
-        usable = known.groupBy("class").agg(F.count("*").alias("usable"))
-        known = stage(known.join(usable, "class"), "shared")
-        x, y = known.filter("away").alias("x"), known.alias("y")
-        pairs = x.join(y, ["cluster", "g"]).filter(
-            (F.col("x.class") != F.col("y.class")) & (~F.col("y.away") | (F.col("x.class") < F.col("y.class")))
-            & (F.col("x.f") + F.col("y.f") <= 2 * over * F.least("x.usable", "y.usable")))
-        linked = (
-            pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), (F.col("x.f") + F.col("y.f")).alias("f"))
-            .agg(F.count("*").alias("both")).filter(F.col("f") <= 2 * over * F.col("both")).select("a", "b")
-        )
-        return star.unionByName(linked)
+        met = self.shared_differences(placed)
+        near = stage(star.unionByName(self.close(self.hubs_of_differences(met), placed)), "near")
+        parts = components(near).withColumnRenamed("node", "class")
+        met = stage(met.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "parted")
+        return near.unionByName(self.close(self.parts_of_differences(met), placed))
+
+    def shared_differences(self, placed: DataFrame) -> DataFrame:
+        """cluster, g, class, f, away, usable, cap, rank, salt: differences at which two classes that link may first meet.
+
+        Two classes link if f(x) + f(y) <= 2 (100 + percent) times the differences they share,
+        so one with `usable` of them left has partners of f <= cap = 2 (100 + percent) usable - f
+        only. A place without such a partner goes, which lowers the caps of its class; rounds
+        go on while they take a tenth away. All that a pair that links shares stays. Of what
+        is left, the rarest first, a class needs no more than the prefix that the overlap
+        with its least partner leaves.
+        """
+        twice = 2 * (100 + self.percent)
+        now = stage(placed.select(
+            "cluster", "class", "f", "away", F.explode("apart").alias("g"), F.lit(0).cast("bigint").alias("many"),
+            F.lit(0).cast("bigint").alias("low")), "differing")
+        of_class = Window.partitionBy("class")
+        count = now.count()
+        while count:
+            capped = (
+                now.drop("many", "low").withColumn("cap", twice * F.count("*").over(of_class) - F.col("f"))
+                .withColumn("salt", F.pmod("class", F.lit(SALTS))))
+            away = lambda c: F.when(F.col("away"), F.col(c))
+            partners = capped.groupBy("cluster", "g").agg(
+                F.count("*").alias("many"), F.min("f").alias("least"), F.max("cap").alias("most"),
+                F.min(away("f")).alias("least_away"), F.max(away("cap")).alias("most_away")).filter("many > 1 and least_away is not null")
+            now = stage(
+                attach(capped, partners, ["cluster", "g"], "salt")
+                .withColumn("low", F.when(F.col("away"), F.col("least")).otherwise(F.col("least_away")))
+                .withColumn("high", F.when(F.col("away"), F.col("most")).otherwise(F.col("most_away")))
+                .filter("low <= cap and f <= high").select("cluster", "class", "f", "away", "g", "many", "low"), "differing")
+            before, count = count, now.count()
+            if 10 * count > 9 * before:
+                break
+        need = F.greatest(F.lit(1), F.ceil((F.col("f") + F.min("low").over(of_class)) / twice))
+        ranked = (
+            now.withColumn("usable", F.count("*").over(of_class)).withColumn("need", need)
+            .withColumn("rank", F.row_number().over(of_class.orderBy("many", "g"))))
+        return stage(ranked.filter("rank <= usable - need + 1").select(
+            "cluster", "g", "class", "f", "away", "usable", "rank", (twice * F.col("usable") - F.col("f")).alias("cap"),
+            F.pmod("class", F.lit(SALTS)).alias("salt")), "met")
+
+    def may_link(self, a: str, b: str) -> Column:
+        """Bounds of two places of one difference, the first that both classes share."""
+        x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+        most = 1 + F.least(x("usable") - x("rank"), y("usable") - y("rank"))
+        return (x("away") | y("away")) & (x("f") + y("f") <= 2 * (100 + self.percent) * most)
+
+    def hubs_of_differences(self, met: DataFrame) -> DataFrame:
+        """Every class with the class of least f that has the same difference: a, b, f."""
+        hubs = met.groupBy("cluster", "g").agg(
+            F.min(F.struct("f", "class", "away", "usable", "rank")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
+        row = F.struct("f", "class", "away", "usable", "rank")
+        both = attach(met, hubs, ["cluster", "g"], "salt").select(row.alias("x"), F.col("hub").alias("y"))
+        return self.named_pairs(both.filter((F.col("x.class") != F.col("y.class")) & self.may_link("x", "y")))
+
+    def parts_of_differences(self, met: DataFrame) -> DataFrame:
+        """Pairs a, b, f of classes that have the same difference and lie in different components."""
+        main = (
+            met.groupBy("cluster", "g", "part").agg(F.count("*").alias("many")).groupBy("cluster", "g")
+            .agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts"))
+            .filter("parts > 1").select("cluster", "g", "main"))
+        mixed = stage(attach(met, main, ["cluster", "g"], "salt"), "mixed")
+        other = mixed.filter("part <> main")
+        both = other.alias("x").join(mixed.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.g") == F.col("y.g"))).filter(
+            (F.col("x.part") != F.col("y.part")) & self.may_link("x", "y")
+            & ((F.col("y.part") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))))
+        return self.named_pairs(both)
+
+    @staticmethod
+    def named_pairs(both: DataFrame) -> DataFrame:
+        return both.select(
+            F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b"),
+            (F.col("x.f") + F.col("y.f")).alias("f")).distinct()
+
+    def close(self, pairs: DataFrame, placed: DataFrame) -> DataFrame:
+        """The rows (a, b) of `pairs` that link: shared differences are counted per fragment of the order and summed."""
+        pairs = stage(pairs, "apart_pairs")
+        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        width = 2**64 // FRAGMENTS
+        cuts = [-(2**63) + i * width for i in range(1, FRAGMENTS)]
+        within = lambda i: lambda g: (
+            (g >= F.lit(cuts[i - 1]) if i else F.lit(True)) & (g < F.lit(cuts[i]) if i < len(cuts) else F.lit(True)))
+        fragments = F.array(*(
+            F.struct(F.lit(i).alias("fragment"), F.filter("apart", within(i)).alias("segment")) for i in range(FRAGMENTS)))
+        segments = stage(
+            placed.join(wanted, "class").select("class", F.explode(fragments).alias("s")).select("class", "s.*")
+            .filter(F.size("segment") > 0), "apart_segments")
+        left = segments.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("mine"))
+        right = segments.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("other"))
+        sums = (
+            pairs.join(left, "a").join(right, ["b", "fragment"])
+            .select("a", "b", "f", F.size(F.array_intersect("mine", "other")).alias("shared"))
+            .groupBy("a", "b", "f").agg(F.sum("shared").alias("shared")))
+        return sums.filter(F.col("f") <= 2 * (100 + self.percent) * F.col("shared")).select("a", "b")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that may still link after the part of the order that both prefixes cover."""
@@ -368,9 +456,11 @@ class JaccardJoin:
     def placed(self) -> DataFrame:
         """doc_id, key, size, component_id and first_key, the key of the row that stands for the component."""
         parts = components(stage(self.links(), "links")).withColumnRenamed("node", "class")
-        placed = self.classes.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+        placed = stage(
+            self.classes.select("name", "doc_id", "key", "class", F.pmod("class", F.lit(SALTS)).alias("salt"))
+            .join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")
         least = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
-        named = placed.join(least, "part").select(
+        named = attach(placed, least, ["part"], "salt").select(
             "name", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
         rows = self.rows.select("doc_id", "key", "size", "name").withColumn("salt", F.substring("key", 1, 2))
         columns = ["doc_id", "key", "size", "component_id", "first_key"]
