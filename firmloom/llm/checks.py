@@ -9,15 +9,17 @@ _ASSIGN = (
     r"[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 )
 
+_WORDS = "regexp_matches(hit, '(?i)example|placeholder|changeme|your_?key|xxxx|0123456789|abcdefgh')"
 
-def _matches(kind: str, place: int, pattern: str, keep: str) -> str:
+
+def _matches(kind: str, place: int, pattern: str, keep: str, source: str = "texts") -> str:
     """Rows doc, kind, place, start, text of one pattern's kept matches."""
     return f"""
         SELECT doc, '{kind}' AS kind, {place} AS place, m[i] AS hit,
                list_sum(list_transform(g[1:i], lambda x: length(x))) +
                coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS pos
         FROM (SELECT doc, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
-            SELECT doc, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM texts))
+            SELECT doc, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM {source}))
         WHERE {keep}"""
 
 
@@ -27,13 +29,18 @@ base AS (
     {_matches("assign", 0, _ASSIGN, f"length(regexp_extract(m[i], '{_ASSIGN}', 2)) >= 6")}
     UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", "length(m[i]) >= 20")}
     UNION ALL {_matches("hex", 2, "[0-9a-f]+", "length(m[i]) >= 24")}),
-runs AS ({_matches("run", 9, "[A-Za-z0-9+/_=-]+", "length(m[i]) >= 20")}),
+runs AS ({_matches("run", 9, "[A-Za-z0-9+/_-]+", "length(m[i]) >= 20")}),
+named AS (SELECT *, {_WORDS} AS named FROM runs),
+within AS (SELECT struct_pack(doc := doc, pos := pos) AS doc, hit AS t FROM named WHERE named),
+parts AS ({_matches("part", 9, "[A-Za-z0-9+]+", "length(m[i]) >= 20", "within")}),
+pieces AS (
+    SELECT doc, pos, hit, true AS hexadecimal FROM ({_matches("run", 9, "[0-9A-Fa-f]+", "length(m[i]) >= 20")})
+    UNION ALL SELECT doc, pos, hit, false FROM named WHERE NOT named AND NOT regexp_full_match(hit, '[0-9A-Fa-f]+')
+    UNION ALL SELECT doc.doc, doc.pos + pos, hit, false FROM parts WHERE NOT regexp_full_match(hit, '[0-9A-Fa-f]+')),
 candidates AS (
-    SELECT doc, pos, hit, regexp_full_match(hit, '[0-9A-Fa-f]+') AS hexadecimal FROM runs
+    SELECT doc, pos, hit, hexadecimal FROM pieces
     WHERE NOT regexp_matches(hit, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
-      AND regexp_matches(hit, '[0-9]') AND NOT regexp_full_match(hit, '[0-9+/_=-]*')
-      AND NOT regexp_matches(hit, '(?i)example|placeholder|changeme|your_?key|xxxx')
-      AND NOT regexp_matches(hit, '(?i)0123456789|abcdefgh')),
+      AND regexp_matches(hit, '[0-9]') AND NOT regexp_full_match(hit, '[0-9+/_-]*') AND NOT {_WORDS}),
 windows AS (SELECT *, unnest(range(1, length(hit) - 18)) AS i FROM candidates),
 letters AS (SELECT doc, pos, hexadecimal, i, unnest(string_split(substr(hit, i, 20), '')) AS c FROM windows),
 counts AS (SELECT doc, pos, hexadecimal, i, count(*) AS n FROM letters GROUP BY doc, pos, hexadecimal, i, c),

@@ -3,17 +3,22 @@
 Base forms are found by pattern, leftmost and non-overlapping for each kind; a match
 that fails the length of its kind is dropped after it was matched, so it still uses
 up its characters. The method adds spans of kind `entropy_hex` and `entropy_base64`:
-candidate strings (runs of key characters) get the entropy of every window of
-`window` characters. The window moves by one character; the counts of the leaving
-and the entering character change by one and the sum of c * log2(c) follows from
-those two changes. A span runs from the first window above the class's threshold to
-the end of the last. Candidates of the allow-list give none; base spans stay.
+the pieces of a class get the entropy of every window of `window` characters. The
+window moves by one character; the counts of the leaving and the entering character
+change by one and the sum of c * log2(c) follows from those two changes. A span runs
+from the first window above the class's threshold to the end of the last.
+
+Pieces of hexadecimal digits are the maximal runs of them, whatever stands beside. Pieces
+of key characters are the maximal runs without "=", so a name before it is a piece of its
+own; where a run holds one of `words`, its parts between "/", "_" and "-" are the pieces.
+Pieces of hexadecimal digits alone belong to that class only. A piece that `allowed` or
+one of `words` matches gives no span, its neighbours do; base spans stay.
 
 All of it is one projection over the row, without a shuffle. Offsets are code
 points, ends exclusive.
 
 Defined cases: a null text is empty; an empty text has no spans, its digest is that
-of the empty string; rows are scanned one by one, so ties and repeated rows each
+of the empty string; very long texts are scanned whole; rows are scanned one by one, so ties and repeated rows each
 give their own result; an empty table gives no rows; other columns are not read.
 """
 
@@ -38,15 +43,20 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-CLASSES = {  # class -> (pattern of the whole candidate, characters, bits a character)
-    "entropy_hex": (r"^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
-    "entropy_base64": (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.75),
+# class -> (maximal runs, characters, bits a character)
+CLASSES = {
+    "entropy_hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 3.0),
+    "entropy_base64": (
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.75),
 }
+ALL_HEX = r"^[0-9A-Fa-f]+$"
+PART = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[^0-9]*$",  # words and identifiers without a digit
-    r"^[0-9+/_=-]*$",  # numbers, rules of dashes
+    r"^[0-9+/_-]*$",  # numbers, rules of dashes
+)
+WORDS = (
     r"(?i)example|placeholder|changeme|your_?key|xxxx",
     r"(?i)0123456789|abcdefgh",
 )
@@ -122,35 +132,55 @@ def hot_windows(candidate: Column, characters: str, bits: float, window: int) ->
     return F.aggregate(moves, empty, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def _entropy(rows: DataFrame, window: int, allowed: tuple[str, ...]) -> DataFrame:
-    """Add `entropy`: spans of both classes. A candidate of hexadecimal digits is of that class only."""
-    rows = _found(rows, "place", CANDIDATE, 0)
+def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.greatest(*[text.rlike(p) for p in patterns], F.lit(False), F.lit(False))
+
+
+def _pieces(runs: Column, places: Column, words: tuple[str, ...]) -> Column:
+    """array<struct<text, at>>: the runs, and of those with one of `words` their parts."""
+    placed = F.zip_with(runs, places, lambda run, p: F.struct(run.alias("text"), p["start"].alias("at")))
+
+    def parts(run: Column) -> Column:
+        found = F.regexp_extract_all(run["text"], F.lit(PART), F.lit(0))
+        spans = _at(found, F.split(run["text"], PART, -1), F.transform(found, lambda _: F.lit(True)), 0)
+        return F.when(F.size(found) > 0, F.zip_with(found, spans, lambda part, p: F.struct(
+            part.alias("text"), (run["at"] + p["start"]).alias("at")))).otherwise(
+            F.array().cast("array<struct<text:string,at:bigint>>"))
+
+    return F.concat(
+        F.filter(placed, lambda r: ~_matches(r["text"], words)),
+        F.flatten(F.transform(F.filter(placed, lambda r: _matches(r["text"], words)), parts)))
+
+
+def _entropy(rows: DataFrame, window: int, allowed: tuple[str, ...], words: tuple[str, ...]) -> DataFrame:
+    """Add `entropy`: spans of both classes."""
     spans = []
-    for name, (form, characters, bits) in CLASSES.items():
-        hexadecimal = lambda c: c.rlike(CLASSES["entropy_hex"][0])
-        mine = lambda c: hexadecimal(c) if name == "entropy_hex" else ~hexadecimal(c) & c.rlike(form)
-        allow = lambda c: F.greatest(*[c.rlike(p) for p in allowed], F.lit(False), F.lit(False))
-        kind = KINDS.index(name)
-        scanned = F.zip_with("place_text", "place", lambda c, p: F.when(mine(c) & ~allow(c), F.struct(
-            p["start"].alias("at"), hot_windows(c, characters, bits, window).alias("w"))))
-        spans.append(F.transform(
-            F.filter(scanned, lambda s: s["w"]["first"] > 0),
-            lambda s: F.struct(
-                (s["at"] + s["w"]["first"] - 1).alias("start"), F.lit(kind).alias("kind"),
-                (s["at"] + s["w"]["last"]).alias("end"))))
-    return rows.withColumn("entropy", F.when(F.size("place") > 0, F.concat(*spans)).otherwise(_none()))
+    for name, (runs, characters, bits) in CLASSES.items():
+        rows = _found(rows, name, runs, 0)
+        texts, places, kind = F.col(f"{name}_text"), F.col(name), KINDS.index(name)
+        if name == "entropy_hex":
+            pieces = F.zip_with(texts, places, lambda run, p: F.struct(run.alias("text"), p["start"].alias("at")))
+        else:
+            pieces = F.filter(_pieces(texts, places, words), lambda p: ~p["text"].rlike(ALL_HEX))
+        scanned = F.transform(
+            F.filter(pieces, lambda p: ~_matches(p["text"], allowed + words)),
+            lambda p: F.struct(p["at"].alias("at"), hot_windows(p["text"], characters, bits, window).alias("w")))
+        hot = F.transform(F.filter(scanned, lambda s: s["w"]["first"] > 0), lambda s: F.struct(
+            (s["at"] + s["w"]["first"] - 1).alias("start"), F.lit(kind).alias("kind"), (s["at"] + s["w"]["last"]).alias("end")))
+        spans.append(F.when(F.size(texts) > 0, hot).otherwise(_none()))
+    return rows.withColumn("entropy", F.concat(*spans))
 
 
 def find_secrets(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    window: int = 20, allowed: tuple[str, ...] = ALLOWED,
+    window: int = 20, allowed: tuple[str, ...] = ALLOWED, words: tuple[str, ...] = WORDS,
 ) -> DataFrame:
     """doc_id and `spans`: array<struct<start, kind, end>> by start, kind, end; `kind` indexes KINDS."""
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     rows = _found(rows, "assign", ASSIGN, 0, ASSIGN_LENGTH, 2)
     rows = _found(rows, "access", ACCESS, 1)
     rows = _found(rows, "hex", HEX, 2)
-    rows = _entropy(rows, window, allowed)
+    rows = _entropy(rows, window, allowed, words)
     return rows.select(
         "doc_id", F.array_sort(F.concat("assign", "access", "hex", "entropy")).alias("spans"))
 

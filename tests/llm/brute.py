@@ -37,6 +37,25 @@ def window_entropy(text, size):
     return [sum(-n / size * math.log2(n / size) for n in Counter(text[i:i + size]).values()) for i in range(len(text) - size + 1)]
 
 
+def entropy_spans(text, size=20):
+    """(start, kind, end) of the windows of high entropy, by the definition of the pieces."""
+    text, found, words = text or "", [], re.compile("example|placeholder|changeme|your_?key|xxxx|0123456789|abcdefgh", re.I)
+    pieces = [(m.start(), m[0], 3) for m in re.finditer("[0-9A-Fa-f]+", text)]
+    for m in re.finditer("[A-Za-z0-9+/_-]+", text):
+        if len(m[0]) < size:
+            continue
+        parts = [(x.start(), x[0]) for x in re.finditer("[^/_-]+", m[0])] if words.search(m[0]) else [(0, m[0])]
+        pieces += [(m.start() + at, x, 4) for at, x in parts if not re.fullmatch("[0-9A-Fa-f]+", x)]
+    for at, x, kind in pieces:
+        uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", x)
+        if uuid or words.search(x) or not re.search("[0-9]", x) or not re.search("[A-Za-z]", x):
+            continue
+        hot = [i for i, h in enumerate(window_entropy(x, size)) if h >= (3.0 if kind == 3 else 3.75) - 1e-9]
+        if hot:
+            found.append((at + hot[0], kind, at + hot[-1] + size))
+    return sorted(found)
+
+
 def shingles(text, n=3):
     w = WORDS.findall(low(text))
     n = min(n, len(w))

@@ -1,7 +1,7 @@
 """Exact dedup, sharding, mixing and secrets against plain definitions."""
 
 import hashlib
-import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +11,7 @@ from conftest import listed, odd_texts
 
 from firmloom.llm.exact_dedup import exact_dedup
 from firmloom.llm.mixing import mix, take_mix
-from firmloom.llm.secrets import ALLOWED, find_secrets, secret_report
+from firmloom.llm.secrets import find_secrets, secret_report
 from firmloom.llm.sharding import shard_rows
 
 
@@ -98,22 +98,33 @@ def test_base_secrets(docs, pairs):
     assert got == want
 
 
+def entropy_of(spark, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    return {r.doc_id: [tuple(s) for s in r.spans if s.kind > 2] for r in find_secrets(df).collect()}
+
+
 def test_entropy_windows(spark):
-    random = "Zx9Qw7Er5Ty3Ui1Op0As2Df4Gh6Jk8LmN"
-    texts = ["aaaa1aaaa1aaaa1aaaa1aaaa1" + random, random + "/" + "a1" * 40, "f3a9c07be8d14526" * 3, "word" * 10, "x" + random + "example", None]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
-    spans = {r.doc_id: [tuple(s) for s in r.spans if s.kind > 2] for r in find_secrets(df).collect()}
-    for k, t in enumerate(texts):
-        want = []
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
-            if any(re.search(p, m[0]) for p in ALLOWED):
-                continue
-            kind, bits = (3, 3.0) if re.fullmatch("[0-9A-Fa-f]+", m[0]) else (4, 3.75)
-            hot = [i for i, h in enumerate(brute.window_entropy(m[0], 20)) if h >= bits]
-            if hot:
-                want.append((m.start() + hot[0], kind, m.start() + hot[-1] + 20))
-        assert spans[k] == want, t
-    assert spans[0] and spans[1] and spans[2] and not spans[3] and not spans[4] and math.isfinite(len(spans))
+    key, hexa = "Zx9Qw7Er5Ty3Ui1Op0As2Df4Gh6Jk8LmN", "9F86D081884C7D659A2FEAA0C55AD015"
+    texts = [
+        "aaaa1aaaa1aaaa1aaaa1aaaa1" + key, key + "/" + "a1" * 40, "f3a9c07be8d14526" * 3, "word" * 10, "x" + key + "example", None, "",
+        f"sig={hexa}", f"id_{hexa}", f"EXAMPLE_AUTH={hexa}", f"/x/{hexa}", f"EXAMPLE_AUTH={key}", f"/example/{key}/{key}", f"{key}==",
+        f"your_key_{key}", f"{key[:15]}/{key[15:]}", f"EXAMPLE_AUTH={key[:15]}/{key[15:]}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "550e8400-e29b-41d4-a716-446655440000", "20240101123456789012345", f"ä {key}😀{hexa.lower()} " + "plain " * 20_000 + key,
+    ]
+    spans = entropy_of(spark, texts)
+    assert spans == {k: brute.entropy_spans(t) for k, t in enumerate(texts)}
+    assert [k for k in range(len(texts)) if not spans[k]] == [3, 4, 5, 6, 17, 18, 19]
+    assert len(spans[12]) == 2 and len(spans[20]) == 3
+    assert [spans[k][0][1] for k in (7, 8, 9, 10)] == [3] * 4
+
+
+def test_prefixed_keys_are_found_as_often_as_bare_ones(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(200)]
+    heads = ["", "sig=", "id_", "/x/", "EXAMPLE_AUTH="]
+    spans = entropy_of(spark, [h + k for h in heads for k in keys])
+    hits = [sum(bool([s for s in spans[i * 200 + j] if s[1] == 3]) for j in range(200)) for i in range(len(heads))]
+    assert len(set(hits)) == 1 and hits[0] >= 199
 
 
 def test_empty_tables(nothing):
