@@ -11,17 +11,21 @@ Reading: one task per file reads records one after the other, by Content-Length,
 passes them on in batches of bounded size. Compressed and plain files are told apart
 by their first bytes. A broken record is an error, not a skipped row.
 
-Assembly: records of a transaction name one of its records in WARC-Concurrent-To, the
-response or the request. They meet by that identifier and give one nested row per
-capture: request, response, metadata; a part that is missing has null fields. If a role
-occurs twice, the smaller record id counts. The block of a metadata record is in
-`fields`, the payload of the others in `payload`; the caller may name the fields that
-the rows shall have.
+Assembly: records of a transaction name one or several of its records in
+WARC-Concurrent-To. They meet by the first identifier; groups that are linked further,
+because a record names several or one that itself names another, are joined as connected
+components. One nested row per capture: request, response, metadata; a part that is
+missing has null fields. If a role occurs twice, the smaller record id counts. The block
+of a metadata record is in `fields`, the payload of the others in `payload`; the caller
+may name the fields that the rows shall have. `capture_id` is the identifier that the
+records meet by, of linked groups the smallest.
 
 Defined cases: a null html is empty; a null url is written as `urn:null` and comes
 back as null; null ids come after all others; rows that repeat an id and payload are
-captures of their own and the first row is the response; an empty table gives an
-empty archive; other columns are not written.
+captures of their own and the first row is the response; very long texts are written
+and read whole; an empty table gives an empty archive; other columns are not written.
+Records without an identifier stand in no capture; identifiers of records that are in no
+file still bring together those that name them.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmloom.llm.common import attach, broadcast_if_small, shared_path, stage, text_of
+from firmloom.llm.components import components
 
 # Names of the format.
 VERSION = b"WARC/1.1"
@@ -49,7 +54,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
 RECORD = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "content_type string, payload_digest string, http_status int, payload_bytes bigint, payload_sha256 string, "
     "http_headers string, fields string, payload binary"
 )
@@ -166,18 +171,20 @@ def parse_records(stream: io.BufferedIOBase, name: str) -> Iterator[dict]:
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"{name}: no record where one must begin: {line[:40]!r}")
-        headers = {}
+        headers, named = {}, []
         while (line := stream.readline()).strip():
             key, _, value = line.decode("utf-8", "replace").partition(":")
             headers[key.strip().lower()] = value.strip()
+            if key.strip().lower() == "warc-concurrent-to":
+                named.append(value.strip())
         length = int(headers["content-length"])
         block = stream.read(length)
         if len(block) != length:
             raise ValueError(f"{name}: record {headers.get('warc-record-id')} ends early")
-        yield record_row(headers, block)
+        yield record_row(headers, named, block)
 
 
-def record_row(headers: dict[str, str], block: bytes) -> dict:
+def record_row(headers: dict[str, str], named: list[str], block: bytes) -> dict:
     http, payload, status, size = None, block, None, len(block)
     if headers.get("content-type", "").startswith("application/http"):
         head, _, payload = block.partition(END)
@@ -189,7 +196,7 @@ def record_row(headers: dict[str, str], block: bytes) -> dict:
         size = int(fields.get("content-length", 0)) if headers["warc-type"] == "revisit" else len(payload)
     kind = headers["warc-type"]
     return {
-        "record_id": headers.get("warc-record-id"), "type": kind, "concurrent_to": headers.get("warc-concurrent-to"),
+        "record_id": headers.get("warc-record-id"), "type": kind, "concurrent_to": named,
         "refers_to": headers.get("warc-refers-to"), "target_uri": headers.get("warc-target-uri"),
         "date": headers.get("warc-date"), "content_type": headers.get("content-type"),
         "payload_digest": headers.get("warc-payload-digest"), "http_status": status, "payload_bytes": size,
@@ -199,8 +206,8 @@ def record_row(headers: dict[str, str], block: bytes) -> dict:
     }
 
 
-ARROW = pa.schema([(n, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}.get(t, pa.string()))
-                   for n, t in (f.split() for f in RECORD.split(", "))])
+TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+ARROW = pa.schema([(n, TYPES.get(t, pa.string())) for n, t in (f.split() for f in RECORD.split(", "))])
 
 
 def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,18 +238,33 @@ def read_archive(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return files.repartition(max(files.count(), 1)).mapInArrow(read_files, RECORD)
 
 
+ROLES = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
+
+
+def linked_groups(records: DataFrame) -> DataFrame:
+    """node, part of the groups (`capture_id`) that are linked with others; empty if all records are one hop apart."""
+    naming = records.filter(F.size("concurrent_to") > 0)
+    several = naming.select(F.col("capture_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    named = naming.select(F.col("capture_id").alias("b")).distinct()
+    further = naming.select(F.col("capture_id").alias("a"), F.col("record_id").alias("b")).join(named, "b", "left_semi")
+    return components(several.filter("a <> b").unionByName(further.select("a", "b")))
+
+
 def assemble(records: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """One row per capture: capture_id, request, response, metadata (structs of `fields`). Only those are shuffled."""
-    roles = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
-    keyed = records.filter(F.col("type").isin("request", "response", "revisit", "metadata")).withColumn(
-        "capture_id", F.coalesce("concurrent_to", "record_id"))
+    """One row per capture: capture_id, request, response, metadata (structs of `fields`). Only those are staged and shuffled."""
+    wanted = list(dict.fromkeys(["record_id", "type", "concurrent_to", *fields]))
+    keyed = stage(records.filter(F.col("record_id").isNotNull() & F.col("type").isin(*sum(ROLES.values(), []))).select(
+        *wanted, F.coalesce(F.get("concurrent_to", F.lit(0)), "record_id").alias("capture_id")), "records")
+    linked = broadcast_if_small(linked_groups(keyed))
+    keyed = keyed.join(linked, F.col("capture_id") == F.col("node"), "left").withColumn(
+        "capture_id", F.coalesce("part", "capture_id")).drop("node", "part")
     picks = [
         F.min_by(field, F.when(F.col("type").isin(*kinds), F.col("record_id"))).alias(f"{role}_{field}")
-        for role, kinds in roles.items() for field in fields
+        for role, kinds in ROLES.items() for field in fields
     ]
     whole = keyed.groupBy("capture_id").agg(*picks)
     return whole.select("capture_id", *[
-        F.struct(*[F.col(f"{role}_{f}").alias(f) for f in fields]).alias(role) for role in roles])
+        F.struct(*[F.col(f"{role}_{f}").alias(f) for f in fields]).alias(role) for role in ROLES])
 
 
 REPORT_FIELDS = ["record_id", "type", "refers_to", "payload_digest", "payload_bytes", "payload_sha256", "fields"]

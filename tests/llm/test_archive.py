@@ -69,6 +69,37 @@ def test_other_writers(spark, tmp_path):
         read_archive(spark, frame).collect()
 
 
+def test_whole_transactions(spark, tmp_path):
+    """Repeated headers and chains are one capture; it does not matter in which file or order the records stand."""
+    http = ("Content-Type", "application/http; msgtype=response")
+    head = lambda i, *to: [*([("WARC-Record-ID", i)] if i else []), *[("WARC-Concurrent-To", t) for t in to]]
+    kinds = {"q": "request", "r": "response", "m": "metadata"}
+    links = {
+        "<q1>": ["<r1>"], "<r1>": [], "<m1>": ["<q1>"],  # metadata -> request -> response
+        "<q2>": [], "<r2>": [], "<m2>": ["<q2>", "<r2>"],  # both named by one record
+        "<q3>": ["<r3>"], "<r3>": ["<q3>"], "<m3>": ["<r3>", "<r3>"],  # named both ways, and twice
+        "<q4>": ["<r4>"], "<r4>": ["<m4>"], "<m4>": [],
+        "<q5>": ["<gone>"], "<r5>": ["<gone>"], "<m5>": ["<m5>"],  # the named record is missing; one names itself
+    }
+    records = [build_record(kinds[i[1]], [*head(i, *to), http], b"HTTP/1.1 200 OK\r\n\r\n" + i.encode()) for i, to in links.items()]
+    records.append(build_record("metadata", head(None), b"no identifier"))
+    for n in range(2):
+        (Path(tmp_path) / f"{n}.warc").write_bytes(b"".join(records[n::2][::-1]))
+    frame = spark.createDataFrame([(f"{tmp_path}/{n}.warc",) for n in range(2)], "path string")
+    got = assemble(read_archive(spark, frame)).selectExpr("request.record_id", "response.record_id", "metadata.record_id").collect()
+    none = (None, None, "<m5>")
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(f"<q{k}>", f"<r{k}>", f"<m{k}>") for k in range(1, 5)] + [("<q5>", "<r5>", None), none], key=repr)
+
+
+def test_a_hot_record(spark):
+    """Thousands of records that name one record, which names another, are one capture."""
+    rows = spark.range(5000).selectExpr("concat('<m', id, '>') as record_id", "'metadata' as type", "array('<q>') as concurrent_to")
+    more = spark.createDataFrame([("<q>", "request", ["<r>"]), ("<r>", "response", [])], "record_id string, type string, concurrent_to array<string>")
+    got = assemble(rows.unionByName(more), ["record_id", "type"]).collect()
+    assert [(r.request.record_id, r.response.record_id, r.metadata.record_id) for r in got] == [("<q>", "<r>", "<m0>")]
+
+
 def test_empty_archive(spark, pages):
     manifest = write_archive(pages.limit(0))
     assert capture_report(assemble(read_archive(spark, manifest))).count() == 0
