@@ -11,16 +11,21 @@ what is kept (country, issuer, domain name) are part of the key of the permutati
 Kinds: e-mail local parts, IBANs (mod 97), IPv4 addresses, phone numbers, US social
 security numbers, dates (ISO, dotted, slashed; 1900 to 2099) and payment cards
 (Luhn). Where two candidates overlap the one first in this order counts. Slashes are
-day/month, or month/day where the second number is above 12; the latter keep to the
-dates of that order. Digit groups before or behind a card, and words behind an IBAN, may
-match with it: such a match is tried at its group borders, an IBAN first at its country's
-length, then from the longest to the shortest, then from the next group on. A pseudonym
-with which another of these trials would succeed is permuted on until none does, so that
-the way back meets the same value; only there may equal values differ.
+day/month, or month/day where the second number is above 12; all layouts share one
+domain, so a date is linked in each of them. Digit groups before or behind a card, and
+words behind an IBAN, may match with it: such a match is tried at its group borders, from
+every group on. Values of the usual length (of the country, of the card's first digits)
+are taken first, in the whole text, other lengths from the longest to the shortest only
+in what is left; so a value is the same whatever stands beside it, unless a group and a
+part of the value make up a valid value of usual length themselves.
+
+The way back goes by the spans of `values`, not by a second search: a pseudonym beside
+other groups, or a month/day date whose new day is 12 or less, could be read in two ways.
 
 Defined cases: a null text stays null, an empty one empty, both without values; very
 long texts are scanned whole; a value that fails validation stays; repeated rows give
-equal rows; an empty table gives no rows; other columns are kept as they are.
+equal rows; an empty table gives no rows; other columns are kept as they are, and the
+column of values takes a name that the table does not have.
 """
 
 from __future__ import annotations
@@ -28,12 +33,11 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -138,9 +142,8 @@ def _borders(text: str, marks: str) -> list[int]:
     return [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] in marks)]
 
 
-def iban_ends(text: str) -> list[int]:
-    length = IBAN_LENGTH.get(text[:2])
-    return sorted(_borders(text, " "), key=lambda end: end - text.count(" ", 0, end) != length)
+def iban_length(text: str) -> int | None:
+    return IBAN_LENGTH.get(text[:2])
 
 
 def iban_valid(text: str) -> bool:
@@ -190,40 +193,35 @@ def ssn(m: re.Match, f: Feistel, back: bool = False) -> str | None:
     return f"{area:03d}-{out[1] + 1:02d}-{out[2] + 1:04d}"
 
 
-def date(m: re.Match, f: Feistel, back: bool = False) -> str | None:
-    mark = next(c for c in m[0] if not c.isdigit())
-    parts = [int(x) for x in m[0].split(mark)]
-    iso = mark == "-"
-    year, month, day = parts if iso else parts[::-1]
-    if mark == "/" and month > 12:
-        return _month_first(parts, f, back)
-    try:
-        at = dt.date(year, month, day).toordinal() - START
-    except ValueError:
-        return None
-    if not 0 <= at < DAYS:
-        return None
-    new = dt.date.fromordinal(START + f.permute(at, DAYS, b"date", back))
-    return new.strftime("%Y-%m-%d") if iso else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
-
+def date_layout(text: str) -> str:
+    """Order of the parts: ymd, dmy, or mdy where the second of slashed parts can be no month."""
+    if "-" in text:
+        return "ymd"
+    return "mdy" if "/" in text and int(text[3:5]) > 12 else "dmy"
 
-# Days above 12 of each month, so that month/day cannot be read as day/month.
-LATE = [d for d in range(DAYS) if dt.date.fromordinal(START + d).day > 12]
 
-
-def _month_first(parts: list[int], f: Feistel, back: bool) -> str | None:
+def date(m: re.Match | list[str], f: Feistel, back: bool = False, layout: str | None = None) -> str | None:
+    """All layouts share one permutation of the days; `layout` is the order to read, by default that of date_layout."""
+    mark = next(c for c in m[0] if not c.isdigit())
+    layout = layout or date_layout(m[0])
+    parts = dict(zip(layout, map(int, m[0].split(mark)), strict=True))
     try:
-        at = dt.date(parts[2], parts[0], parts[1]).toordinal() - START
+        at = dt.date(parts["y"], parts["m"], parts["d"]).toordinal() - START
     except ValueError:
         return None
     if not 0 <= at < DAYS:
         return None
-    new = dt.date.fromordinal(START + LATE[f.permute(bisect_left(LATE, at), len(LATE), b"date:month", back)])
-    return f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+    new = dt.date.fromordinal(START + f.permute(at, DAYS, b"date", back))
+    shown = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    return mark.join(shown[c] for c in layout)
 
 
-def card_ends(text: str) -> list[int]:
-    return _borders(text, " -")
+def card_length(text: str) -> int | None:
+    """The usual number of digits of a card that begins like `text`."""
+    first, second = (_digits(text[:4]) + "0")[:2]
+    if first == "3":
+        return {"4": 15, "7": 15, "5": 16}.get(second, 14)
+    return {"1": 15, "2": 16, "4": 16, "5": 16, "6": 16}.get(first)
 
 
 def card_valid(text: str) -> bool:
@@ -256,16 +254,19 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "card": (re.compile(NOT_BEFORE + r"[0-9](?:[ -]?[0-9]){12,18}" + NOT_AFTER), card),
 }
 ANY = re.compile("[0-9@]")
-# kind -> (ends of the prefixes to try in turn, validation, borders of groups)
-GROUPED: dict[str, tuple[Callable, Callable, str]] = {"iban": (iban_ends, iban_valid, " "), "card": (card_ends, card_valid, " -")}
-REACH = 128  # more characters than three matches of a grouped kind have
-
-
-def _grouped(kind: str, text: str, used: bytearray, at: int, stop: int) -> Iterator[tuple[int, int]]:
-    """Spans of the valid values that start from `at` on, before `stop`."""
-    ends, valid, marks = GROUPED[kind]
-    while (m := KINDS[kind][0].search(text, at)) and m.start() < stop:
-        hit = next((e for e in ends(m[0]) if not any(used[m.start():m.start() + e]) and valid(m[0][:e])), None)
+# kind -> (usual length, validation, borders of groups)
+GROUPED: dict[str, tuple[Callable, Callable, str]] = {"iban": (iban_length, iban_valid, " "), "card": (card_length, card_valid, " -")}
+
+
+def _grouped(kind: str, text: str, used: bytearray, usual: bool) -> Iterator[tuple[int, int]]:
+    """Spans of the valid values of a grouped kind; with `usual` only those of the usual length."""
+    length, valid, marks = GROUPED[kind]
+    at = 0
+    while m := KINDS[kind][0].search(text, at):
+        ends = _borders(m[0], marks)
+        if usual:
+            ends = [e for e in ends if sum(c not in marks for c in m[0][:e]) == length(m[0])]
+        hit = next((e for e in ends if not any(used[m.start():m.start() + e]) and valid(m[0][:e])), None)
         if hit:
             at = m.start() + hit
             yield m.start(), at
@@ -273,48 +274,28 @@ def _grouped(kind: str, text: str, used: bytearray, at: int, stop: int) -> Itera
             at = next((i for i in range(m.start(), m.end()) if text[i] in marks), m.end())
 
 
-def _permuted_groups(kind: str, text: str, used: bytearray, f: Feistel, back: bool) -> list[tuple[int, int, str, str]]:
-    """The values of a grouped kind. One after the other is replaced, on the way back from the
-    last to the first, so both ways a value meets the same neighbours and walks the same cycle."""
-    cells, now, new = list(_grouped(kind, text, used, 0, len(text))), {}, {}
-    for k in reversed(range(len(cells))) if back else range(len(cells)):
-        start, end = cells[k]
-        low = max(0, start - REACH, cells[k - 3][1] if k > 2 else 0)
-        window, value = list(text[low:end + REACH]), text[start:end]
-        for a, b in cells[max(0, k - 9):k + 9]:
-            for i in range(max(a, low), min(b, end + REACH)):
-                window[i - low] = now.get(i, text[i])
-        trials = lambda: list(_grouped(kind, "".join(window), used[low:end + REACH], 0, end - low))
-        found = trials()
-        while True:
-            value = KINDS[kind][1]([value], f, back)
-            window[start - low:end - low] = value
-            if trials() == found:
-                break
-        now.update(zip(range(start, end), value, strict=True))
-        new[k] = value
-    return [(*cells[k], kind, new[k]) for k in range(len(cells))]
+def _candidates(kind: str, text: str, used: bytearray) -> Iterator[tuple[int, int]]:
+    if kind in GROUPED:
+        yield from _grouped(kind, text, used, True)
+        yield from _grouped(kind, text, used, False)
+    else:
+        yield from (m.span() for m in KINDS[kind][0].finditer(text))
 
 
-def find_values(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
+def find_values(text: str, f: Feistel) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the validated values, by start."""
     taken: list[tuple[int, int, str, str]] = []
     if not ANY.search(text):
         return taken
     used = bytearray(len(text))
-    for kind, (pattern, new) in KINDS.items():
-        if kind in GROUPED:
-            for hit in _permuted_groups(kind, text, used, f, back):
-                used[hit[0]:hit[1]] = b"\x01" * (hit[1] - hit[0])
-                taken.append(hit)
-            continue
-        for m in pattern.finditer(text):
-            if any(used[m.start():m.end()]):
+    for kind, (_, new) in KINDS.items():
+        for start, end in _candidates(kind, text, used):
+            if any(used[start:end]):
                 continue
-            pseudonym = new(m, f, back)
+            pseudonym = new([text[start:end]], f)
             if pseudonym is not None:
-                used[m.start():m.end()] = b"\x01" * (m.end() - m.start())
-                taken.append((m.start(), m.end(), kind, pseudonym))
+                used[start:end] = b"\x01" * (end - start)
+                taken.append((start, end, kind, pseudonym))
     return sorted(taken)
 
 
@@ -326,34 +307,92 @@ def replace_values(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text", back: bool = False) -> DataFrame:
-    """`docs` with the values of its text replaced, and `values`: array<struct<kind, start, end>> of the old text.
+def value_spans(text: str, found: list[tuple[int, int, str, str]]) -> list[dict]:
+    """What the way back needs of each value: its kind, its place in the old and in the new text, a date's layout."""
+    spans, moved = [], 0
+    for start, end, kind, new in found:
+        spans.append({
+            "kind": kind, "start": start, "end": end, "new_start": start + moved, "new_end": start + moved + len(new),
+            "layout": date_layout(text[start:end]) if kind == "date" else None})
+        moved += len(new) - (end - start)
+    return spans
+
+
+def restore_values(text: str, spans: list[dict], f: Feistel) -> str:
+    """The old text of a new one and its value_spans."""
+    found = []
+    for s in spans:
+        value = text[s["new_start"]:s["new_end"]]
+        more = {"layout": s["layout"]} if s["layout"] else {}
+        old = KINDS[s["kind"]][1]([value], f, True, **more)
+        if old is None:
+            raise ValueError(f"no pseudonym of kind {s['kind']} at {s['new_start']}")
+        found.append((s["new_start"], s["new_end"], s["kind"], old))
+    return replace_values(text, found)
 
-    `back` undoes the replacement with the same key.
-    """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("rest"), F.col(text_column).alias("text"))
-    value = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+VALUE = pa.struct([
+    ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("new_start", pa.int64()), ("new_end", pa.int64()), ("layout", pa.string())])
+VALUES = "array<struct<kind:string,start:bigint,end:bigint,new_start:bigint,new_end:bigint,layout:string>>"
+
+
+def _mapped(docs: DataFrame, kept: list[str], inputs: list[Column], step: Callable, schema: str) -> DataFrame:
+    """`rest` (the columns `kept`) and the columns that `step` makes of each batch of `inputs`, in Arrow tasks."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    rest = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias(free_name(kept, "pad")))
+    packed = docs.select(rest.alias("rest"), *inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Feistel(key)
         for batch in batches:
-            texts, values = [], []
-            for text in batch.column("text").to_pylist():
-                found = find_values(text, f, back) if text else []
-                texts.append(replace_values(text, found) if found else text)
-                values.append([{"kind": k, "start": a, "end": b} for a, b, k, _ in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rest"), pa.array(texts, pa.string()), pa.array(values, pa.list_(value))], names=["rest", "text", "values"])
+            columns = step(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *columns.values()], names=["rest", *columns])
+
+    return packed.mapInArrow(run, f"rest {packed.schema['rest'].dataType.simpleString()}, {schema}")
+
+
+def _unpacked(done: DataFrame, columns: list[str], text_column: str) -> list[Column]:
+    return [(F.col("text") if c == text_column else done["rest"].getField(c)).alias(c) for c in columns]
+
+
+def free_name(columns: list[str], name: str) -> str:
+    while name in columns:
+        name = f"found_{name}"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
+    """`docs` with the values of its text replaced, and as last column `values` (see VALUES), or `found_values` if
+    there is one already. `restore` undoes it."""
+
+    def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        f, texts, values = Feistel(key), [], []
+        for text in batch.column("text").to_pylist():
+            found = find_values(text, f) if text else []
+            texts.append(replace_values(text, found) if found else text)
+            values.append(value_spans(text, found) if found else [])
+        return {"text": pa.array(texts, pa.string()), "values": pa.array(values, pa.list_(VALUE))}
+
+    kept = [c for c in docs.columns if c != text_column]
+    done = _mapped(docs, kept, [F.col(f"`{text_column}`").alias("text")], step, f"text string, values {VALUES}")
+    return done.select(*_unpacked(done, docs.columns, text_column), F.col("values").alias(free_name(docs.columns, "values")))
+
+
+def restore(done: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
+    """What `pseudonymise` was given, from its result and the same key. The last column must be that of the values."""
+    name = done.columns[-1]
+
+    def step(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        f = Feistel(key)
+        pairs = zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)
+        return {"text": pa.array([restore_values(t, v, f) if v else t for t, v in pairs], pa.string())}
 
-    kind = packed.schema["rest"].dataType.simpleString()
-    done = packed.mapInArrow(run, f"rest {kind}, text string, values array<struct<kind:string,start:bigint,end:bigint>>")
-    columns = [F.col("text").alias(c) if c == text_column else F.col("rest").getField(c).alias(c) for c in docs.columns]
-    return done.select(*columns, F.col("values").alias("__values")).withColumnRenamed("__values", "values" if "values" not in docs.columns else "found_values")
+    inputs = [F.col(f"`{text_column}`").alias("text"), F.col(f"`{name}`").alias("spans")]
+    back = _mapped(done, [c for c in done.columns[:-1] if c != text_column], inputs, step, "text string")
+    return back.select(*_unpacked(back, done.columns[:-1], text_column))
 
 
 def pseudonym_report(done: DataFrame) -> DataFrame:
-    """doc_id, the new text, and the number of values of each kind."""
-    count = lambda k: F.size(F.filter("values", lambda v: v["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    """doc_id, the new text, and the number of values of each kind, of a result of `pseudonymise`."""
+    name = done.columns[-1]
+    count = lambda k: F.size(F.filter(name, lambda v: v["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return done.select("doc_id", "text", *[count(k) for k in KINDS])

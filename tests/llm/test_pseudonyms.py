@@ -6,7 +6,8 @@ import re
 import pytest
 from conftest import listed
 
-from firmloom.llm.pseudonyms import DAYS, Feistel, find_values, iban_check, luhn_digit, pseudonymise, pseudonym_report, replace_values
+from firmloom.llm.pseudonyms import (
+    DAYS, Feistel, find_values, iban_check, luhn_digit, pseudonymise, pseudonym_report, replace_values, restore, restore_values, value_spans)
 
 KEY = b"a test key"
 F = Feistel(KEY)
@@ -32,6 +33,11 @@ def one(text):
     return replace_values(text, found), [k for _, _, k, _ in found]
 
 
+def there_and_back(text):
+    found = find_values(text, F)
+    return restore_values(replace_values(text, found), value_spans(text, found), F)
+
+
 VALID = [
     ("card", "4337166598464399"), ("card", "4337 1665 9846 4399"), ("card", "378282246310005"), ("phone", "+1 (988) 555-2485"),
     ("phone", "(212) 555-0187"), ("phone", "+44 20 7946 0958"), ("ipv4", "70.123.182.155"), ("ssn", "219-09-9999"), ("date", "2024-02-29"),
@@ -50,7 +56,7 @@ def test_format_and_validity(kind, value):
     if kind != "ipv4":
         assert same(pseudonym) == same(value)
     assert one(new)[1] == [kind], "the pseudonym is valid itself"
-    assert replace_values(new, find_values(new, F, back=True)) == f"é {value}, x"
+    assert there_and_back(f"é {value}, x") == f"é {value}, x"
     digits = re.sub("[^0-9]", "", pseudonym)
     if kind == "card":
         assert luhn_digit(digits[:-1]) == digits[-1] and digits[0] == value[0]
@@ -85,8 +91,8 @@ def test_over_a_table(spark, docs):
     texts = [r.text for r in done.collect() if r.text]
     assert not any(v in t for t in texts for v in ("826) 555-4081", "190.137.22.10", "4337166598464399"))
     assert len({t[t.index("call"):] for t in texts}) == 1
-    back = pseudonymise(done.drop("found_values"), KEY, back=True).drop("found_values")
-    assert listed(back) == listed(df)
+    back = restore(done, KEY)
+    assert back.columns == df.columns and listed(back) == listed(df)
     plain = pseudonymise(docs, KEY)
     assert sorted((r.doc_id or -1, r.text or "") for r in plain.filter("size(values) = 0").collect()) == sorted(
         (r.doc_id or -1, r.text or "") for r in docs.collect() if not find_values(r.text or "", F))
@@ -110,7 +116,7 @@ BESIDE = [
 def test_values_beside_other_groups(text, value):
     new, kinds = one(f"x {text}, y")
     assert len(kinds) == 1 and value not in new and new.endswith(text[len(value):] + ", y")
-    assert replace_values(new, find_values(new, F, back=True)) == f"x {text}, y"
+    assert there_and_back(f"x {text}, y") == f"x {text}, y"
 
 
 def test_groups_around_cards_come_back():
@@ -123,12 +129,35 @@ def test_groups_around_cards_come_back():
             cells.append(" ".join(card[i:i + 4] for i in range(0, 16, 4)) if rng.random() < 0.7 else card)
             cells += [str(rng.randint(1, 9999)) for _ in range(rng.randint(0, 2))]
         text = " ".join(cells)
-        new = replace_values(text, find_values(text, F))
-        assert new != text and replace_values(new, find_values(new, F, back=True)) == text
+        assert one(text)[0] != text and there_and_back(text) == text
 
 
-def test_month_first_dates_keep_their_order():
-    days = [f"{m:02d}/{d:02d}/2020" for m in range(1, 13) for d in range(13, 29)]
-    images = [one(d)[0] for d in days]
-    assert len(set(images)) == len(days) and all(int(x[3:5]) > 12 >= int(x[:2]) for x in images)
+def test_month_first_dates_are_linked():
+    for m in range(1, 13):
+        for d in range(13, 29):
+            us, iso, dotted = (one(x)[0] for x in (f"{m:02d}/{d:02d}/2020", f"2020-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.2020"))
+            year, month, day = iso.split("-")
+            assert us == f"{month}/{day}/{year}" and dotted == f"{day}.{month}.{year}"
+            assert there_and_back(f"{m:02d}/{d:02d}/2020") == f"{m:02d}/{d:02d}/2020"
     assert one("13/32/2020")[1] == [] == one("02/30/2020")[1]
+
+
+@pytest.mark.parametrize("value", [CARD, "4111111111111111", "3782 822463 10005", IBAN])
+def test_one_value_has_one_pseudonym_beside_any_groups(value):
+    alone, rng = one(value)[0], random.Random(11)
+    for _ in range(1000):
+        behind = "".join(f" {rng.randint(0, 10 ** n - 1):0{n}d}" for n in [rng.randint(1, 4) for _ in range(rng.randint(1, 3))])
+        ahead = f"{rng.randint(400, 999)} " if rng.random() < 0.5 and len(alone) == len(CARD) else ""
+        text = f"{ahead}{value}{behind}"
+        assert one(text)[0].startswith(ahead + alone) and there_and_back(text) == text
+
+
+def test_text_alone_and_empty_table(spark):
+    only = spark.createDataFrame([(f"{CARD} 123, 12/31/2020, 1.2.3.4, 5.6.7.8",), (None,), ("",)], "text string")
+    done = pseudonymise(only, KEY)
+    assert done.columns == ["text", "values"] and listed(restore(done, KEY)) == listed(only)
+    assert restore(pseudonymise(only.limit(0), KEY), KEY).count() == 0
+    clash = only.selectExpr("text", "1 as values", "2 as found_values", "3 as pad", "4 as doc_id", "'x' as rest", "5 as spans")
+    done = pseudonymise(clash, KEY)
+    assert done.columns[-1] == "found_found_values" and listed(restore(done, KEY)) == listed(clash)
+    assert sorted(r.n_card for r in pseudonym_report(done).collect()) == [0, 0, 1]
