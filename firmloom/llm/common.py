@@ -45,6 +45,14 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, or a longer one if one of `columns` is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"found_{name}"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,8 +65,9 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
 
 def without(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of `docs` whose row_key is not in `keys`; broadcast if these were counted to be few."""
-    few = broadcast_if_small(keys.select(F.col("key").alias("__key")))
-    return docs.join(few, row_key(id_column, text_column) == F.col("__key"), "left_anti")
+    name = free_name(docs.columns, "key")
+    few = broadcast_if_small(keys.select(F.col("key").alias(name)))
+    return docs.join(few, row_key(id_column, text_column) == F.col(name), "left_anti")
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str, how: str = "inner") -> DataFrame:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmloom.llm.common import attach, broadcast_if_small, row_key, stage, text_of, without
+from firmloom.llm.common import attach, broadcast_if_small, free_name, row_key, stage, text_of, without
 from firmloom.llm.components import components
 from firmloom.llm.shingles import batch_words, shingle_set
 
@@ -481,10 +481,11 @@ class JaccardJoin:
         again = keys.filter("key = first_key and many > 1").select("key")
         if again.isEmpty():
             return kept
-        keyed = kept.withColumn("__key", row_key(self.id_column, self.text_column))
-        repeated = again.select(F.col("key").alias("__key"))
-        once = keyed.join(broadcast_if_small(repeated), "__key", "left_anti")
-        return once.unionByName(keyed.join(broadcast_if_small(repeated), "__key", "left_semi").dropDuplicates(["__key"])).drop("__key")
+        name = free_name(kept.columns, "key")
+        keyed = kept.withColumn(name, row_key(self.id_column, self.text_column))
+        repeated = again.select(F.col("key").alias(name))
+        once = keyed.join(broadcast_if_small(repeated), name, "left_anti")
+        return once.unionByName(keyed.join(broadcast_if_small(repeated), name, "left_semi").dropDuplicates([name])).drop(name)
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:

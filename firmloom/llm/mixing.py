@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmloom.llm.common import WORDS, stage, text_of
+from firmloom.llm.common import WORDS, free_name, stage, text_of
 from firmloom.operators.ordered import running_sum
 
 
@@ -96,8 +96,8 @@ def mix(
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, with their columns, each as often as the mix takes it."""
-    columns = docs.columns
-    mixed = mix(docs.select("*", F.struct(*columns).alias("__row")), keep=("__row",), **options)
+    columns, name = docs.columns, free_name(docs.columns, "whole")
+    mixed = mix(docs.withColumn(name, F.struct(*[F.col(f"`{c}`") for c in columns])), keep=(name,), **options)
     taken = mixed.filter("taken > 0").select(
-        "__row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
-    return taken.select(*[F.col("__row").getField(c).alias(c) for c in columns])
+        F.col(name).alias("whole"), F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))))
+    return taken.select(*[F.col("whole").getField(c).alias(c) for c in columns])

@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmloom.llm.common import free_name
+
 ROUNDS = 8
 START, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -354,12 +356,6 @@ def _unpacked(done: DataFrame, columns: list[str], text_column: str) -> list[Col
     return [(F.col("text") if c == text_column else done["rest"].getField(c)).alias(c) for c in columns]
 
 
-def free_name(columns: list[str], name: str) -> str:
-    while name in columns:
-        name = f"found_{name}"
-    return name
-
-
 def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
     """`docs` with the values of its text replaced, and as last column `values` (see VALUES), or `found_values` if
     there is one already. `restore` undoes it."""

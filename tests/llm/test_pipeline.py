@@ -3,7 +3,7 @@
 from collections import Counter
 
 import brute
-from conftest import prose
+from conftest import listed, prose
 
 import corpus_pipeline
 from firmloom.llm.common import stage, table
@@ -43,6 +43,22 @@ def test_stages(spark):
     assert sorted(map(tuple, last)) == sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect()))
 
 
+def test_stages_on_odd_tables(spark, docs, pairs):
+    """Nulls, repeats, ties and long texts; columns with names that the stages use; no rows at all."""
+    clash = docs.selectExpr("*", "doc_id as __row", "source as __key", "text as whole", "doc_id as found_key")
+    cells = lambda df: listed(df.select("doc_id", "text"))
+    for name, step in corpus_pipeline.STAGES:
+        plain, odd = step(spark, docs, FOLDER), step(spark, clash, FOLDER)
+        if name == "sharding":
+            assert listed(odd) == listed(plain) and odd.count() == docs.count()
+        else:
+            assert odd.columns == clash.columns and plain.columns == docs.columns and cells(odd) == cells(plain)
+            assert odd.filter("not (doc_id <=> __row and text <=> whole and source <=> __key and doc_id <=> found_key)").isEmpty()
+        if name == "near_duplicates":
+            assert {r.doc_id for r in odd.collect()} == {c for *_, c in brute.jaccard_components(pairs, 80, 5)}
+        assert step(spark, clash.limit(0), FOLDER).count() == 0
+
+
 def test_near_duplicates_of_five_words(spark):
     """Copies whose similarity is 0.8 or more in five words but below 0.9 in three."""
     rows = []
