@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from firmloom import schemas
 from firmloom.functions.similarity import wratio
 from firmloom.operators import fuzzy, identity, resolve as R, upsert as U
+from firmloom.session import checkpoint_dir
 
 SNAPSHOT = "ordinal long, " + ", ".join(f"{c} string" for c in schemas.REGISTRY_SNAPSHOT.names)
 
@@ -127,6 +129,20 @@ def test_owners_match_the_ordered_fold(spark, seed, numbers, names, size, limit)
     assert {r.ordinal: r.owner for r in got} == in_order(rows, held)
 
 
+def test_rounds_do_not_write_the_rows_again(spark):
+    rng = random.Random(5)
+    names = [f"{rng.getrandbits(720):0180x}" for _ in range(300)]
+    rows = [(i, rng.choice(names), str(rng.randrange(50))) for i in range(12_000)]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = written()
+    got = identity.owners(
+        spark.createDataFrame(rows, "ordinal long, name string, number string"),
+        spark.createDataFrame([], "name string, number string"), chunk_rows=4000).collect()
+    assert {r.ordinal: r.owner for r in got} == in_order(rows, [])
+    assert written() - before < 180 * len(rows)  # less than the rows, over all rounds
+
+
 def batch(spark, *rows):
     columns = "ordinal long, legal_name string, cro_number string, county string, raw_payload string"
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], columns).withColumn("source", F.lit("register"))
