@@ -18,6 +18,8 @@ from firmloom.sources import delimited as S
 from firmloom.sources import sinks
 from firmloom.streaming.assess import assess_sink
 
+FILE_ROWS = 10_000  # rows of a file that holds whole texts
+
 
 def folder(v, name):
     return f"{checkpoint_dir(v.spark).rstrip('/')}/firmloom-{name}-{uuid.uuid4().hex}"
@@ -45,9 +47,10 @@ def _(v):
 @query("read_spanning_lines", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, chr(13), ' ') AS text, source,
       row_number() OVER (ORDER BY doc_id) - 1 AS place FROM $documents""")
 def _(v):
-    # Whole texts with their line breaks and quotes as fields of one file.
+    # Whole texts with their line breaks and quotes as fields of files in the order of the ids, each written by one task.
     text = F.regexp_replace("text", "\r", " ")
-    rows = v.documents.select("doc_id", text.alias("text"), "source").coalesce(1).sortWithinPartitions("doc_id")
+    files = max(1, -(-v.documents.count() // FILE_ROWS))
+    rows = v.documents.select("doc_id", text.alias("text"), "source").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     read = S.read_delimited(v.spark, written(v, rows, "spanning"))
     placed = running_sum(read, [], ["ordinal"], F.lit(1).cast("long"), "n")
     return placed.select("doc_id", "text", "source", (F.col("n") - 1).alias("place"))

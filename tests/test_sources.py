@@ -293,3 +293,16 @@ def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
     assert sinks.remove_old_versions(spark, root, "assessment_rejections", keep=1) == 2
     assert content() == before
     assert not os.path.exists(f"{root}/assessment_rejections/{pointer.folder}/key_bucket=5")
+
+
+def test_spanning_lines_are_written_and_read_as_several_files(spark, monkeypatch):
+    from catalog import QUERIES, storage
+
+    monkeypatch.setattr(storage, "FILE_ROWS", 20)
+    made, write = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda *a: made.append(write(*a)) or made[-1])
+    got = QUERIES["read_spanning_lines"](spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    assert sorted((r.place, r.doc_id, r.text, r.source) for r in got) == [
+        (i, str(r.doc_id), r.text.replace("\r", " "), r.source) for i, r in enumerate(docs)]
+    assert len({r.name for r in spark.read.text(made[0]).selectExpr("_metadata.file_name as name").distinct().collect()}) >= 8
