@@ -9,6 +9,8 @@ pattern, thousands of texts per numpy call.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -59,6 +61,47 @@ class TextColumn:
             found[self.order] = _lcs_columns(columns, self.masks(pattern), len(self.lengths), len(pattern))
         return found
 
+    def edits(self, pattern: str) -> np.ndarray:
+        """Edit distance of the pattern to every text, in the texts' given order."""
+        found = self.lengths.copy()
+        if pattern:
+            columns = zip(self.columns, self.first_longer)
+            found[self.order] = _edit_columns(columns, self.masks(pattern), len(self.lengths), len(pattern))
+        return found
+
+
+def _edit_columns(columns, table: np.ndarray, count: int, size: int) -> np.ndarray:
+    """Bit-parallel edit distance (Myers 1999) for `count` texts fed one (codes, first live text) column at a time."""
+    words = table.shape[1]
+    one, top = np.uint64(1), np.uint64(63)
+    end = np.uint64((size - 1) % 64)
+    up = np.full((words, count), ~np.uint64(0), dtype=np.uint64)  # cells one more than the cell above, or one less
+    down = np.zeros((words, count), dtype=np.uint64)
+    distance = np.full(count, size, dtype=np.int64)
+    for codes, start in columns:
+        carry = more_in = less_in = None
+        for w in range(words):
+            more, less, match = up[w, start:], down[w, start:], table[codes, w]
+            both = match & more
+            total = both + more
+            overflow = total < both
+            if carry is not None:
+                total = total + carry
+                overflow |= total < carry
+            carry = overflow.astype(np.uint64)
+            across = (total ^ more) | match
+            level = match | less
+            rises, falls = less | ~(across | more), more & across
+            if w == words - 1:
+                distance[start:] += ((rises >> end) & one).astype(np.int64) - ((falls >> end) & one).astype(np.int64)
+            next_more, next_less = rises >> top, falls >> top
+            rises = (rises << one) | (one if more_in is None else more_in)
+            falls = falls << one if less_in is None else (falls << one) | less_in
+            more_in, less_in = next_more, next_less
+            up[w, start:] = falls | ~(level | rises)
+            down[w, start:] = rises & level
+    return distance
+
 
 def _lcs_columns(columns, table: np.ndarray, count: int, size: int) -> np.ndarray:
     """Bit-parallel LCS for `count` texts fed one (codes, first live text) column at a time."""
@@ -318,28 +361,45 @@ class WRatioIndex:
 
 
 class LevenshteinIndex:
-    """The same search by edit distance; the score is its negative."""
+    """The same search by edit distance; the score is its negative.
+
+    An equal name ends the search. Otherwise the characters that one name has and the other
+    lacks bound the distance from below: names are compared by rising bound, in growing
+    groups, until the bound exceeds the best distance.
+    """
+
+    GROUP = 64
 
     def __init__(self, names: list[str]):
         self.names = names
+        self.first = {n: i for i, n in reversed(list(enumerate(names)))}
         column = TextColumn(names)
-        self.alphabet = {int(c): i for i, c in enumerate(column.alphabet)}
-        self.column, self.order, self.lengths = column, column.order, column.lengths
+        self.alphabet = column.alphabet
+        self.bags = np.zeros((len(self.alphabet), len(names)), dtype=np.int32)
+        for codes, start in zip(column.columns, column.first_longer):
+            np.add.at(self.bags, (codes, column.order[start:]), 1)
+        self.lengths = column.lengths
 
     def best(self, name: str, floor: float = 0.0) -> tuple[int, float]:
-        row = np.repeat(np.arange(len(name) + 1)[:, None], len(self.names), axis=1)
-        pattern = [self.alphabet.get(ord(c), -1) for c in name]
-        for j, (text, start) in enumerate(zip(self.column.columns, self.column.first_longer)):
-            old = row[:, start:].copy()
-            row[0, start:] = j + 1
-            for i, code in enumerate(pattern):
-                row[i + 1, start:] = np.minimum(
-                    np.minimum(old[i + 1], row[i, start:]) + 1, old[i] + (text != code)
-                )
-        distance = np.empty(len(self.names), dtype=np.int64)
-        distance[self.order] = row[-1]
-        at = int(distance.argmin())
-        return at, -float(distance[at])
+        if name in self.first:
+            return self.first[name], -0.0
+        shared = np.zeros(len(self.names), dtype=np.int64)
+        for char, times in Counter(name).items():
+            row = int(np.searchsorted(self.alphabet, ord(char)))
+            if row < len(self.alphabet) and self.alphabet[row] == ord(char):
+                shared += np.minimum(self.bags[row], times)
+        bound = np.maximum(self.lengths, len(name)) - shared
+        order = np.argsort(bound, kind="stable")
+        at, least, begin, group = -1, int(bound.max()) + len(name) + 1, 0, self.GROUP
+        while begin < len(order) and bound[order[begin]] <= least:
+            rows = order[begin:begin + group]
+            rows = np.sort(rows[bound[rows] <= least])
+            distance = TextColumn([self.names[i] for i in rows]).edits(name)
+            near = int(distance.argmin())
+            if (distance[near], rows[near]) < (least, at) or at < 0:
+                at, least = int(rows[near]), int(distance[near])
+            begin, group = begin + group, group * 4
+        return at, -float(least)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -84,3 +85,22 @@ def slow_edits(a, b):
         for j, y in enumerate(b, 1):
             diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
     return row[-1]
+
+
+def test_edit_distance_of_long_and_empty_names():
+    rng = random.Random(4)
+    names = ["", "A" * 200, *[name(rng, 30) for _ in range(60)]]
+    for wanted in ["", "B", "A" * 64, "A" * 65, *[name(rng, 30) for _ in range(12)]]:
+        assert TextColumn(names).edits(wanted).tolist() == [slow_edits(wanted, n) for n in names]
+
+
+def test_a_full_cell_of_edit_distances_is_quick():
+    rng = random.Random(6)
+    names = list(dict.fromkeys(f"ACME {name(rng, 6)} {rng.randrange(10**6)}" for _ in range(4096)))
+    index = LevenshteinIndex(names)
+    start = time.process_time()
+    for wanted in names[:20]:
+        found, score = index.best(wanted[:-1])
+        assert -score <= 1 and slow_edits(wanted[:-1], names[found]) == -score
+        assert index.best(wanted) == (names.index(wanted), 0)
+    assert time.process_time() - start < 1
