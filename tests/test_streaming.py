@@ -131,6 +131,26 @@ def test_a_run_without_a_finish_expires(spark, tmp_path):
     assert [x for x in later if x[0] == "assess" and x[2] != "expired"] == [("assess", 5, "started", 5), ("assess", 7, "started", 7)]
 
 
+def state_rows(spark, tmp_path, build, rows, schema, mode):
+    """Rows that the state store holds after one batch."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    put(spark, tmp_path / "in", 0, spark.createDataFrame(rows, schema))
+    query = build(event_stream(spark, str(tmp_path / "in"), schema)).writeStream.outputMode(mode).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, i: df.count()).start()
+    assert query.awaitTermination(120)
+    return [p for p in query.recentProgress if p["numInputRows"]][-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_a_run_is_one_value_of_the_state(spark, tmp_path):
+    rows = [(r, i, step, "running", at(1), None) for r in ("r", "q") for i, step in enumerate(("research", "guard", "email"))]
+    assert state_rows(spark, tmp_path, settled_status_stream, rows, ENTRY, "update") == 2
+
+
+def test_a_company_is_one_value_of_the_state(spark, tmp_path):
+    rows = [(c, kind, i, "request") for c in ("c", "d") for i, kind in enumerate(("refresh", "assess", "other", "assess", "other"))]
+    assert state_rows(spark, tmp_path, single_flight_stream, rows, REQUEST, "append") == 2
+
+
 def test_tail_gives_each_event_once(spark, tmp_path):
     v = Views(spark, "/root/testdata/sf0.001")
     log = v.activity.select("run_id", "seq", "step")
