@@ -18,13 +18,15 @@ largest. All links that components need are found, none is guessed.
 
 Dense groups. Texts that consist mostly of frequent n-grams are clustered by the
 smallest of these; a cluster that fills an n-gram with more than `dense` classes is
-not paired by n-gram at all. Its members are compared with one hub instead, the class
-with the fewest rare n-grams, and kept as differences D from it. Two sets differ by
-|D(x)| + |D(y)| - 2 |D(x) & D(y)| n-grams: pairs whose differences are short link by
-the triangle inequality and need one star; all others link only if their differences
-share n-grams. Differences without a possible partner are dropped in rounds, what is
-left is cut to prefixes, and these pair as n-grams do: first with one hub a difference,
-then only across components. Shared differences are counted per fragment and summed.
+not paired by n-gram at all. Its members are compared with one set instead, the n-grams
+that most of them have, and kept as differences D from it; no set has fewer in all. Two
+sets differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)| n-grams: pairs whose differences are short
+link by the triangle inequality and need one star; all others link only if their differences
+share n-grams. Pairs that share one of their own meet there, so what members only lack
+is a meeting place just for pairs that share nothing else. Differences without a possible
+partner are dropped in rounds, what is left is cut to prefixes, and these pair as n-grams
+do: first with one hub a difference, then only across components. Shared differences are
+counted per fragment and summed.
 
 Verification. The order is cut into fragments, sets into segments by fragment. A
 pair's overlap is counted per fragment and summed; a link needs
@@ -264,17 +266,16 @@ class JaccardJoin:
             return mine.select(F.col("class").alias("a"), F.col("class").alias("b"))
         whole = self.sets(mine).groupBy("class").agg(F.flatten(F.collect_list("segment")).alias("grams"))
         full = stage(mine.join(whole, "class"), "dense_sets")
-        hubs = full.groupBy("cluster").agg(F.min_by("grams", F.struct("rare", "class")).alias("hub"))
-        apart = F.concat(F.array_except("grams", "hub"), F.array_except("hub", "grams"))
+        own, lost = F.array_except("grams", "hub"), F.array_except("hub", "grams")
         over, under = 100 + self.percent, 100 - self.percent
         far = stage(
-            attach(full.withColumn("salt", F.pmod("class", F.lit(SALTS))), hubs, ["cluster"], "salt")
-            .select("cluster", "class", "size", "salt", apart.alias("apart"))
+            attach(full.withColumn("salt", F.pmod("class", F.lit(SALTS))), self.common_sets(full), ["cluster"], "salt")
+            .select("cluster", "class", "size", "salt", F.concat(own, lost).alias("apart"), F.size(lost).alias("lost"))
             .withColumn("f", (over * F.size("apart") - under * F.col("size")).cast("bigint")), "differences")
         # Sets differ by at most |D(x)| + |D(y)|, so f(x) + f(y) <= 0 is a link; the class of least f has all such links.
         centres = far.groupBy("cluster").agg(F.min(F.struct("f", "class")).alias("c"))
         placed = stage(attach(far, centres, ["cluster"], "salt").select(
-            "cluster", "class", "f", "apart", F.col("c.class").alias("centre"), (F.col("f") + F.col("c.f") > 0).alias("away")), "centred")
+            "cluster", "class", "f", "apart", "lost", F.col("c.class").alias("centre"), (F.col("f") + F.col("c.f") > 0).alias("away")), "centred")
         star = placed.filter(~F.col("away") & (F.col("class") != F.col("centre"))).select(
             F.col("class").alias("a"), F.col("centre").alias("b"))
         met = self.shared_differences(placed)
@@ -283,25 +284,46 @@ class JaccardJoin:
         met = stage(met.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "parted")
         return near.unionByName(self.close(self.parts_of_differences(met), placed))
 
+    def common_sets(self, full: DataFrame) -> DataFrame:
+        """cluster, hub: the n-grams that more than half of a cluster's classes have.
+
+        Counted on the differences from one class, whose places in more than half of them change sides.
+        """
+        first = stage(full.groupBy("cluster").agg(
+            F.min_by("grams", F.struct("rare", -F.col("size"), "class")).alias("first"), F.count("*").alias("members")), "first")
+        apart = F.concat(F.array_except("grams", "first"), F.array_except("first", "grams"))
+        turned = (
+            attach(full.withColumn("salt", F.pmod("class", F.lit(SALTS))), first.select("cluster", "first"), ["cluster"], "salt")
+            .select("cluster", F.explode(apart).alias("g")).groupBy("cluster", "g").agg(F.count("*").alias("many"))
+            .join(first.select("cluster", "members"), "cluster").filter("2 * many > members")
+            .groupBy("cluster").agg(F.collect_list("g").alias("turned")))
+        return first.join(turned, "cluster", "left").select("cluster", F.when(F.col("turned").isNull(), F.col("first")).otherwise(
+            F.concat(F.array_except("first", "turned"), F.array_except("turned", "first"))).alias("hub"))
+
     def shared_differences(self, placed: DataFrame) -> DataFrame:
-        """cluster, g, class, f, away, usable, cap, rank, salt: differences at which two classes that link may first meet.
+        """cluster, g, class, f, away, usable, rank, salt: differences at which two classes that link may first meet.
 
         Two classes link if f(x) + f(y) <= 2 (100 + percent) times the differences they share,
-        so one with `usable` of them left has partners of f <= cap = 2 (100 + percent) usable - f
-        only. A place without such a partner goes, which lowers the caps of its class; rounds
-        go on while they take a tenth away. All that a pair that links shares stays. Of what
-        is left, the rarest first, a class needs no more than the prefix that the overlap
-        with its least partner leaves.
+        so one with `usable` of them has partners of f <= cap = 2 (100 + percent) usable - f
+        only. A pair that shares any n-gram of its own meets at one: there `usable` are those
+        left, `beside` them all that the class lacks. Places lacked serve pairs that share
+        nothing else: there only those left count. A place without a partner goes, which
+        lowers the caps of its class; rounds go on while they take a tenth away. All at which
+        a pair that links has to meet stays. Of what is left, the rarest first, a class needs
+        no more than the prefix that the overlap with its least partner leaves.
         """
         twice = 2 * (100 + self.percent)
-        now = stage(placed.select(
-            "cluster", "class", "f", "away", F.explode("apart").alias("g"), F.lit(0).cast("bigint").alias("many"),
-            F.lit(0).cast("bigint").alias("low")), "differing")
-        of_class = Window.partitionBy("class")
+        now = stage(
+            placed.select("cluster", "class", "f", "away", "lost", F.size("apart").alias("size"), F.posexplode("apart").alias("at", "g"))
+            .withColumn("own", F.col("at") < F.col("size") - F.col("lost")).select(
+                "cluster", "class", "f", "away", "own", F.when(F.col("own"), F.col("lost")).otherwise(0).alias("beside"), "g",
+                F.lit(0).cast("bigint").alias("many"), F.lit(0).cast("bigint").alias("low")), "differing")
+        of_class = Window.partitionBy("class", "own")
+        usable = F.count("*").over(of_class) + F.col("beside")
         count = now.count()
         while count:
             capped = (
-                now.drop("many", "low").withColumn("cap", twice * F.count("*").over(of_class) - F.col("f"))
+                now.drop("many", "low").withColumn("cap", twice * usable - F.col("f"))
                 .withColumn("salt", F.pmod("class", F.lit(SALTS))))
             away = lambda c: F.when(F.col("away"), F.col(c))
             partners = capped.groupBy("cluster", "g").agg(
@@ -311,17 +333,16 @@ class JaccardJoin:
                 attach(capped, partners, ["cluster", "g"], "salt")
                 .withColumn("low", F.when(F.col("away"), F.col("least")).otherwise(F.col("least_away")))
                 .withColumn("high", F.when(F.col("away"), F.col("most")).otherwise(F.col("most_away")))
-                .filter("low <= cap and f <= high").select("cluster", "class", "f", "away", "g", "many", "low"), "differing")
+                .filter("low <= cap and f <= high").select("cluster", "class", "f", "away", "own", "beside", "g", "many", "low"), "differing")
             before, count = count, now.count()
             if 10 * count > 9 * before:
                 break
-        need = F.greatest(F.lit(1), F.ceil((F.col("f") + F.min("low").over(of_class)) / twice))
+        need = F.greatest(F.lit(1), F.ceil((F.col("f") + F.min("low").over(of_class)) / twice) - F.col("beside"))
         ranked = (
-            now.withColumn("usable", F.count("*").over(of_class)).withColumn("need", need)
+            now.withColumn("usable", usable).withColumn("need", need)
             .withColumn("rank", F.row_number().over(of_class.orderBy("many", "g"))))
-        return stage(ranked.filter("rank <= usable - need + 1").select(
-            "cluster", "g", "class", "f", "away", "usable", "rank", (twice * F.col("usable") - F.col("f")).alias("cap"),
-            F.pmod("class", F.lit(SALTS)).alias("salt")), "met")
+        return stage(ranked.filter("rank <= usable - beside - need + 1").select(
+            "cluster", "g", "class", "f", "away", "usable", "rank", F.pmod("class", F.lit(SALTS)).alias("salt")), "met")
 
     def may_link(self, a: str, b: str) -> Column:
         """Bounds of two places of one difference, the first that both classes share."""

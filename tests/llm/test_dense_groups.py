@@ -7,6 +7,7 @@ import pytest
 from conftest import prose
 from pyspark.sql import functions as F
 
+from firmloom.llm import jaccard_join
 from firmloom.llm.jaccard_join import JaccardJoin
 
 
@@ -64,3 +65,58 @@ def test_pairs_of_a_group_grow_with_its_size(spark):
         return sum(sizes.values())
 
     assert join(240) <= 8 * max(join(60), 15)
+
+
+def rounds(spark, monkeypatch, rows, n=5, percent=80):
+    """Rows of the differences at first and after each round, with the result checked against brute force."""
+    counts = []
+    write = jaccard_join.stage
+
+    def counted(df, name="stage"):
+        out = write(df, name)
+        if name == "differing":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    join = JaccardJoin(spark.createDataFrame(rows, "doc_id bigint, text string"), n=n, percent=percent, dense=4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in join.documents().collect())
+    assert got == sorted(brute.jaccard_components(rows, percent, n))
+    return counts
+
+
+def edited(rng, base, i, edits):
+    words = list(base)
+    for at in rng.sample(range(len(base)), edits):
+        words[at] = rng.choice((f"own{i}x{at}", f"edit{rng.randrange(40)}"))
+    return " ".join(words)
+
+
+def test_places_lacked_by_many_are_no_meeting_place(spark, monkeypatch):
+    """Copies lack the same words again and again; only what they have in their place may link those far from the base."""
+    rng = random.Random(5)
+    base = prose(21, 100).split()
+    rows = [(0, " ".join(base)), *((i, edited(rng, base, i, 1 + i % 6)) for i in range(1, 200))]
+    # Own edits that two copies share, and pairs that only lack the same words.
+    rows += [(200 + i, " ".join([*base[:30], *(f"both{i // 2}x{k}" for k in range(6 + i % 2)), *base[40:]])) for i in range(6)]
+    rows += [(210 + i, " ".join(base[: 60 + i])) for i in range(6)]
+    first, *left = rounds(spark, monkeypatch, rows)
+    assert sum(left) < first / 2
+
+
+def test_a_cut_copy_does_not_lengthen_all_differences(spark, monkeypatch):
+    """Differences are taken from what most members have, not from a short text that has no rare n-gram."""
+    rng = random.Random(6)
+    base = prose(22, 100).split()
+    rows = [(i, edited(rng, base, i, 1 + i % 4)) for i in range(120)]
+    rows += [(200 + i, " ".join(base[: 30 + i])) for i in range(5)]
+    first, *left = rounds(spark, monkeypatch, rows)
+    sets = [brute_set(t) for _, t in rows]
+    most = {g for g in set().union(*sets) if 2 * sum(g in s for s in sets) > len(sets)}
+    assert first <= sum(len(s ^ most) for s in sets)
+    assert sum(left) < first
+
+
+def brute_set(text, n=5):
+    words = text.split()
+    return {tuple(words[k:k + n]) for k in range(max(1, len(words) - n + 1))}
