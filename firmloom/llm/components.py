@@ -1,8 +1,9 @@
 """Connected components of links that stay in the cluster.
 
-Alternates two steps until nothing changes: every node's larger neighbours are linked
-to the smallest one it knows (large star), then its smaller neighbours are (small
-star). Links end as stars around the smallest node of each component. Both steps
+Alternates two steps: every node's larger neighbours are linked to the smallest one it
+knows (large star), then its smaller neighbours are (small star). Links end as stars
+around the smallest node of each component; that is seen on the links themselves, so no
+round runs only to change nothing, and links that are stars already need none. Both steps
 take minima per node, which are combined before the shuffle; a node with very many
 neighbours is an aggregation key, and its links are rows, never one list.
 """
@@ -29,18 +30,23 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(links: DataFrame):
-    return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _stars(links: DataFrame) -> bool:
+    """Whether links (a > b) are stars: no node has two smaller neighbours, or one on either side."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("below")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("below")))
+    inner = ends.groupBy("node").agg((F.sum("below") > F.min("below")).alias("inner"))
+    return not inner.agg(F.max("inner")).first()[0]
+
+
+def star_links(parts: DataFrame) -> DataFrame:
+    """Links (a, b) that have the components `parts` (node, part) and are stars."""
+    return parts.filter("node <> part").select(F.col("node").alias("a"), F.col("part").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, part for every node of `links` (a, b): the smallest node it reaches."""
     now = stage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         now = stage(_star(_star(now, True), False), "edges")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("part")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("part")).distinct())

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmloom.llm.common import attach, broadcast_if_small, free_name, row_key, stage, text_of, without
-from firmloom.llm.components import components
+from firmloom.llm.components import components, star_links
 from firmloom.llm.shingles import batch_words, shingle_set
 
 CODE_BITS, SKIP = 40, (1 << 24) - 1
@@ -279,10 +279,9 @@ class JaccardJoin:
         star = placed.filter(~F.col("away") & (F.col("class") != F.col("centre"))).select(
             F.col("class").alias("a"), F.col("centre").alias("b"))
         met = self.shared_differences(placed)
-        near = stage(star.unionByName(self.close(self.hubs_of_differences(met), placed)), "near")
-        parts = components(near).withColumnRenamed("node", "class")
-        met = stage(met.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "parted")
-        return near.unionByName(self.close(self.parts_of_differences(met), placed))
+        parts = components(star.unionByName(self.close(self.hubs_of_differences(met), placed)))
+        met = stage(met.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("part", "class")), "parted")
+        return star_links(parts).unionByName(self.close(self.parts_of_differences(met), placed))
 
     def common_sets(self, full: DataFrame) -> DataFrame:
         """cluster, hub: the n-grams that more than half of a cluster's classes have.
@@ -467,16 +466,15 @@ class JaccardJoin:
             low("class").alias("a"), high("class").alias("b"), low("size").alias("size_a"), high("size").alias("size_b")).distinct()
 
     def links(self) -> DataFrame:
-        """Verified links (a, b) between classes; their components are those of all links."""
+        """Links (a, b) between classes, verified or of the stars that such links come to; their components are those of all links."""
         places = stage(self.places(), "places")
-        first = stage(self.verify(self.hub_pairs(places)).unionByName(self.dense_links(places)), "links")
-        parts = components(first)
+        parts = components(self.verify(self.hub_pairs(places)).unionByName(self.dense_links(places)))
         second = self.verify(self.cross_pairs(places, parts))
-        return first.unionByName(second)
+        return star_links(parts).unionByName(second)
 
     def placed(self) -> DataFrame:
         """doc_id, key, size, component_id and first_key, the key of the row that stands for the component."""
-        parts = components(stage(self.links(), "links")).withColumnRenamed("node", "class")
+        parts = components(self.links()).withColumnRenamed("node", "class")
         placed = stage(
             self.classes.select("name", "doc_id", "key", "class", F.pmod("class", F.lit(SALTS)).alias("salt"))
             .join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "parts")

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import listed, prose
 
+from firmloom.llm.common import stage
 from firmloom.llm.components import components
 from firmloom.llm.decontamination import decontaminate, remove_contaminated
 from firmloom.llm.jaccard_join import JaccardJoin, jaccard_join, pack_codes, unpack_codes
@@ -76,6 +77,34 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_run_no_round_that_changes_nothing(spark, monkeypatch):
+    """What is written for each call: the links, and a table for each round."""
+    written = []
+    monkeypatch.setattr("firmloom.llm.components.stage", lambda df, name: written.append(name) or stage(df, name))
+    found = lambda links: dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert found([(1, 5), (6, 1), (2, 9), (9, 2)]) == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2} and len(written) == 1
+    written.clear()
+    assert found([(1, 2), (2, 3)]) == {1: 1, 2: 1, 3: 1} and len(written) == 2
+
+
+def test_last_components_of_the_join_start_from_stars(spark, monkeypatch):
+    """Copies that are linked inside their n-grams come to the last call as stars, which need no round."""
+    base = prose(30, 300).split()
+    rows = [(k, " ".join([*base[:3 * k], f"z{k}", *base[3 * k + 1:]])) for k in range(90)]
+    written, calls = [], []
+    monkeypatch.setattr("firmloom.llm.components.stage", lambda df, name: written.append(name) or stage(df, name))
+
+    def counted(links):
+        written.clear()
+        parts = components(links)
+        calls.append(len(written))
+        return parts
+
+    monkeypatch.setattr("firmloom.llm.jaccard_join.components", counted)
+    got = listed(jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=80, n=5))
+    assert got == brute.jaccard_components(rows, 80, 5) and calls[-1] == 1
+
+
 ITEM = prose(20, 40).split()
 ITEMS = [
     (1, " ".join(ITEM)), (2, " ".join(ITEM[5:30]).upper()), (3, "solo"), (3, "solo"), (4, "two words"), (5, None), (6, " ,. "),
