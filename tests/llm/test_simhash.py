@@ -3,11 +3,12 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest import listed
 
 from firmloom.llm.common import table
-from firmloom.llm.simhash import chain, close_pairs, fingerprint, simhash_groups
+from firmloom.llm.simhash import chain, close_pairs, fingerprint, fingerprints, simhash_groups
 
 
 def signed(x):
@@ -26,6 +27,15 @@ def test_groups(docs, nothing, pairs):
     assert empty.columns == ["doc_id", "fingerprint", "component_id"] and empty.isEmpty()
 
 
+def test_tasks_take_few_texts_at_once(spark):
+    """Texts reach Python in batches of 256 rows, however many a partition holds."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i, f"a{i % 7} b c {i}") for i in range(1000)]
+    got = fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    sizes = got.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) == 1000 and max(r.n for r in sizes) <= 256
+
+
 def test_string_ids(spark):
     got = simhash_groups(spark.createDataFrame([("b", "x y z"), ("a", "X  y z"), (None, "q")], "doc_id string, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {("b", "a"), ("a", "a"), (None, None)}
