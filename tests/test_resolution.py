@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -143,6 +144,41 @@ def test_rounds_do_not_write_the_rows_again(spark):
     assert written() - before < 180 * len(rows)  # less than the rows, over all rounds
 
 
+def test_ordinals_beyond_longs_settle_in_chunks(spark):
+    rng = random.Random(6)
+    rows = [(Decimal(10**20 + i), f"k{rng.randrange(6)}", None if rng.random() < 0.1 else str(rng.randrange(25))) for i in range(60)]
+    held = [("k1", "3"), ("k2", "4")]
+    got = identity.owners(
+        spark.createDataFrame(rows, "ordinal decimal(38,0), name string, number string"),
+        spark.createDataFrame(held, "name string, number string"), chunk_rows=7).collect()
+    assert {r.ordinal: r.owner for r in got} == in_order(rows, held)
+
+
+def test_numbered_companies_with_keys_of_many_orders(spark, tmp_path):
+    from catalog import QUERIES
+
+    rng = random.Random(7)
+    lines = [(rng.randrange(53_900_000, 54_000_000), rng.randrange(1, 8), rng.randrange(12), rng.randrange(8),
+              rng.choice([0.01, 0.05]), rng.choice("ANR"), rng.choice("FO")) for _ in range(60)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_returnflag string, l_linestatus string"),
+        "customer": ([(1, "Buyer 1", 0, 1.0, "BUILDING")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(1, "Seller 1", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "nation": ([(0, "IRELAND", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    batch = {((o * 8 + n) * 100_000_000_000 + p * 10_000 + s): (f"Firm {s}", str(p) if d > 0.02 else None, flag, status) for o, n, p, s, d, flag, status in lines}
+    assert min(batch) > 2**63
+    want = {"Buyer 1": ("CRO1", "IRELAND", None), "Seller 1": ("CRS1", "IRELAND", None)}
+    owner = in_order([(i, *batch[i][:2]) for i in sorted(batch)], [])
+    for i in sorted(batch):
+        _, number, county, payload = batch[i]
+        want[owner[i]] = (number or want.get(owner[i], (None,))[0], county, payload)
+    got = QUERIES["upsert_companies_numbered"](spark, str(tmp_path)).collect()
+    assert {r.legal_name: tuple(r)[1:] for r in got} == want
+
+
 def batch(spark, *rows):
     columns = "ordinal long, legal_name string, cro_number string, county string, raw_payload string"
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], columns).withColumn("source", F.lit("register"))
