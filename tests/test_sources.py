@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from catalog.lists import PAGE_COLUMNS
 from firmloom.operators import ordered, upsert as U
 from firmloom import schemas
 from firmloom.plans.ingest import run_ingestion
+from firmloom.session import checkpoint_dir, kept
 from firmloom.sources import delimited as S
 from firmloom.sources import layout as Y
 from firmloom.sources import sinks
@@ -261,6 +263,56 @@ def test_quoted_breaks_in_other_encodings_and_folders(spark, tmp_path):
     assert [(r["Firm Name"], r["Note"]) for r in rows] == [("Caf\xe9\nOne", "x"), ("Two", "y\nz"), ("Three", None)]
 
 
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_longer_than_blocks_and_files_that_end_inside_quotes(spark, tmp_path, small_blocks):
+    long = "\n".join(f'line {i} ""x"", and' for i in range(2000))
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in" / "a.csv", f'\n\nFirm Name,Note\nOne,"{long}"\n\n"Two\n",b\n"Three","never\nclosed\n')
+    put(tmp_path / "in" / "b.csv", f'Firm Name,Note\n"{long}",y\n' + 'Four,"p\nq"\n' * 900)
+    rows = S.read_delimited(spark, str(tmp_path / "in")).orderBy("ordinal").collect()
+    text = long.replace('""', '"')
+    assert [(r["Firm Name"], r["Note"]) for r in rows[:2]] == [("One", text), ("Two\n", "b")]
+    assert rows[2]["Firm Name"] == "Three" and rows[2]["Note"].strip('"').startswith("never\nclosed")
+    assert [(r["Firm Name"], r["Note"]) for r in rows[3:]] == [(text, "y")] + [("Four", "p\nq")] * 900
+
+
+def test_lines_of_a_file_are_neither_stored_nor_shuffled(spark, tmp_path, small_blocks):
+    rng = random.Random(8)
+    words = [f"{rng.getrandbits(4000):01000x}" for _ in range(600)]
+    path = put(tmp_path / "big.csv", "Firm Name,Note\n" + "".join(f'"{w}\n{i}",{i}\n' for i, w in enumerate(words)))
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    stored = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+    before = stored()
+    rows = S.read_delimited(spark, path)
+    assert sorted((int(r["Note"]), r["Firm Name"]) for r in rows.collect()) == [(i, f"{w}\n{i}") for i, w in enumerate(words)]
+    assert stored() - before < os.path.getsize(path) / 4
+    # A change of the splits between opening and reading is an error, no loss of rows.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    with pytest.raises(Exception, match="read them again"):
+        rows.select("Note").collect()
+
+
+def test_staged_writes_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = found()
+    assert kept(spark.range(1000).repartition(3)).filter("id >= 0").collect()
+    for _ in range(50):  # they go in the background
+        if found() <= before:
+            break
+        time.sleep(0.2)
+    assert found() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
     root, schema = str(tmp_path), schemas.ASSESSMENT_REJECTIONS
     make = lambda rows: spark.createDataFrame([(k, why, "[]", 1.0, "m", None) for k, why in rows], schema)
