@@ -154,6 +154,14 @@ def test_ordinals_beyond_longs_settle_in_chunks(spark):
     assert {r.ordinal: r.owner for r in got} == in_order(rows, held)
 
 
+def test_a_missing_ordinal_rounds_no_other(spark):
+    rows = [(2**53 + 1 + i, f"k{i % 3}", str(i % 4)) for i in range(20)]
+    got = identity.owners(
+        spark.createDataFrame([*rows, (None, "k0", "1")], "ordinal long, name string, number string"),
+        spark.createDataFrame([], "name string, number string")).filter("ordinal is not null").collect()
+    assert {r.ordinal: r.owner for r in got} == in_order(rows, [])
+
+
 def test_numbered_companies_with_keys_of_many_orders(spark, tmp_path):
     from catalog import QUERIES
 
